@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, packing, token_files
 
 QUERIES = {
     "op3_mixing": mixing.op3_mixing,
+    "op8_packing": packing.op8_packing,
+    "op9_token_files": token_files.op9_token_files,
 }
 
 ORACLES = {
