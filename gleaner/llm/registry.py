@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, token_files
+from . import jaccard, mixing, packing, token_files
 
 QUERIES = {
+    "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
     "op3_mixing": mixing.op3_mixing,
     "op8_packing": packing.op8_packing,
     "op9_token_files": token_files.op9_token_files,
