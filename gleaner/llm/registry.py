@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import jaccard, mixing, packing, token_files
+from . import jaccard, mixing, packing, token_files, warc
 
 QUERIES = {
     "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
     "op3_mixing": mixing.op3_mixing,
+    "op5_warc": warc.op5_warc,
     "op8_packing": packing.op8_packing,
     "op9_token_files": token_files.op9_token_files,
 }
 
 ORACLES = {
+    "op5_warc": warc.ORACLE,
     "op3_mixing": mixing.ORACLE,
 }
