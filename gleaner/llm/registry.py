@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import jaccard, mixing, packing, token_files, warc
+from . import jaccard, mixing, neighbours, packing, token_files, warc
 
 QUERIES = {
+    "op1_learned_partitions": neighbours.op1_learned_partitions,
     "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
     "op3_mixing": mixing.op3_mixing,
     "op5_warc": warc.op5_warc,
