@@ -14,9 +14,11 @@ import re
 
 import numpy as np
 
-#: A bound for the words a worker remembers: the table is emptied when it is reached.
-CACHE_WORDS = 300_000
+#: A bound for the words of one generation a worker remembers; the one before is kept to be drawn on.
+CACHE_WORDS = 700_000
 ODD_SPACE = re.compile(r"[^\S \n]")
+#: Beyond these letters lower case is left to the library.
+NOT_LATIN = re.compile(r"[^\x00-\u024f]")
 #: White space and the word after it, for tokenizers that keep blanks.
 SPACED = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 TAILS = frozenset(".,;:!?")
@@ -49,7 +51,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(vocabulary(name))
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.split = SPACED.findall if keeps_spaces else str.split
+        self.folds = "Lowercase" in repr(self.tokenizer.normalizer)
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, by the library alone."""
@@ -59,11 +63,16 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The same ids, by way of the table of words."""
         safe = [ODD_SPACE.search(x) is None for x in texts]
+        if self.folds:
+            texts = [x.lower() if ok and NOT_LATIN.search(x) is None else x for x, ok in zip(texts, safe, strict=True)]
         words = [self.split(x) if ok else () for x, ok in zip(texts, safe, strict=True)]
         if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        known = self.known
+            self.before, self.known = self.known, {}
+        known, before = self.known, self.before
         new = set().union(*words).difference(known)
+        for x in new & before.keys():
+            known[x] = before[x]
+        new.difference_update(known)
         # "word," is "word" and ",": a mark after a letter always starts a piece of its own.
         cut = {x for x in new if len(x) > 1 and x[-1] in TAILS and x[-2].isalpha()}
         plain = [*({x[:-1] for x in cut} | {x[-1] for x in cut} | (new - cut)).difference(known)]
