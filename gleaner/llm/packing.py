@@ -28,7 +28,7 @@ from .tokens import encoder, portions
 
 CAPACITY = 1024
 PIECE = 256
-WINDOWS = 192
+WINDOWS = 128
 VOCABULARY = "byte_bpe_50k.json"
 END = 0
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, piece_uid long"
@@ -125,7 +125,8 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, windows: int = WIND
     out = f"{', '.join(f'{n} {t}' for n, t in pieces.dtypes)}, sequence_id long, offset long"
     dealt = rest.withColumn("_g", F.pmod(F.xxhash64("piece_uid"), F.lit(groups)))
     alone = full.withColumns({"sequence_id": F.col("piece_uid") * 2 + 1, "offset": F.lit(0).cast("long")})
-    return dealt.groupBy("_g").applyInPandas(pack, out).unionByName(alone)
+    tasks = max(1, min(groups // 4, 1 << 14))  # few groups a task: their work is far above their bytes
+    return dealt.repartition(tasks, "_g").groupBy("_g").applyInPandas(pack, out).unionByName(alone)
 
 
 def pack(docs: DataFrame, keep_ids: bool = True, **how) -> DataFrame:

@@ -9,6 +9,7 @@ hold the two against each other.
 
 from __future__ import annotations
 
+import base64
 import os
 import re
 
@@ -23,6 +24,9 @@ NOT_LATIN = re.compile(r"[^\x00-\u024f]")
 SPACED = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 TAILS = frozenset(".,;:!?")
 
+#: Vocabularies that exist as byte ranks too, which tiktoken turns into the same ids at several times the speed.
+RANKS = {"byte_bpe_50k.json": "byte_bpe_50k.tiktoken"}
+
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
@@ -51,6 +55,14 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(vocabulary(name))
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.split = SPACED.findall if keeps_spaces else str.split
+        self.ranks = None
+        if name in RANKS:
+            import public_tokenizers
+            import tiktoken
+
+            with open(vocabulary(RANKS[name]), "rb") as lines:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+            self.ranks = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.folds = "Lowercase" in repr(self.tokenizer.normalizer)
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
@@ -61,7 +73,11 @@ class Encoder:
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The same ids, by way of the table of words."""
+        """The same ids, by way of ranks or of the table of words; beyond Latin letters by the library alone."""
+        if self.ranks is not None:
+            plain = [NOT_LATIN.search(x) is None for x in texts]
+            odd = iter(self.whole([x for x, ok in zip(texts, plain, strict=True) if not ok]))
+            return [self.ranks.encode_to_numpy(x, disallowed_special=()).astype("<u4").tobytes() if ok else next(odd) for x, ok in zip(texts, plain, strict=True)]
         safe = [ODD_SPACE.search(x) is None for x in texts]
         if self.folds:
             texts = [x.lower() if ok and NOT_LATIN.search(x) is None else x for x, ok in zip(texts, safe, strict=True)]
