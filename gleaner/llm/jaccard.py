@@ -29,12 +29,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blocks import BLOCKS, batch_of, block_batch, merged_blocks
 from .common import saved, table
 from .components import components
 from .shingles import BITS, mixed, parity_bitmap, set_key, shingle_sets
 
 SKETCH = 1 << 20
-BLOCKS = 16
 #: A shingle is frequent if its counter exceeds the mean counter by this many.
 FREQUENT = 64
 #: Frequent shingles of a group, on average, in a set of the smallest size it is used for.
@@ -45,10 +45,6 @@ ROUNDS = (4, 64, None)
 FILTER_BITS = 1 << 23
 
 
-def batch_of(columns: dict[str, pa.Array]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*columns.values()], [*columns])
-
-
 def hashed(docs: DataFrame, n: int) -> DataFrame:
     """Rows of two kinds: a document's id, set size and set key; or a block of the task's shingle counts."""
 
@@ -68,20 +64,6 @@ def hashed(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, block int, counts binary")
 
 
-def merged_blocks(parts: DataFrame, how: np.ufunc, kind: str) -> list[bytes]:
-    """Blocks of a fixed-size table of counters or bits, combined by ``how``; its size is the bound of what is collected."""
-
-    def merge(group):
-        total = None
-        for x in group["counts"]:
-            x = np.frombuffer(x, kind)
-            total = x.copy() if total is None else how(total, x)
-        return group.iloc[:1].assign(counts=[total.tobytes()])
-
-    rows = parts.select("block", "counts").groupBy("block").applyInPandas(merge, "block int, counts binary").collect()
-    return [bytes(x["counts"]) for x in sorted(rows, key=lambda x: x["block"])]
-
-
 def index_entries(tokens: np.ndarray, rare: np.ndarray, percent: int) -> np.ndarray:
     """Index entries of one set, by the rule in the module's docstring."""
     n = len(tokens)
@@ -222,10 +204,9 @@ def needed_filter(keys: DataFrame) -> np.ndarray:
         for batch in batches:
             bits[batch.column(0).to_numpy().astype(np.int64) & (FILTER_BITS - 1)] = True
         if bits.any():
-            yield batch_of({"block": pa.array(range(BLOCKS), pa.int32()), "counts": pa.array([x.tobytes() for x in np.split(np.packbits(bits), BLOCKS)], pa.binary())})
+            yield block_batch(np.packbits(bits), "u1")
 
-    blocks = merged_blocks(keys.select("s1").mapInArrow(run, "block int, counts binary"), np.bitwise_or, "u1")
-    return np.frombuffer(b"".join(blocks), np.uint8)
+    return merged_blocks(keys.select("s1").mapInArrow(run, "block int, counts binary"), np.bitwise_or, "u1")
 
 
 def sets_of(docs: DataFrame, n: int, needed: DataFrame) -> DataFrame:
@@ -284,11 +265,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     """
     both = saved(hashed(docs, n), "hashed")
     own = both.where("block is null").select("doc_id", "n", "s1", "s2")
-    blocks = merged_blocks(both.where("block is not null"), np.add, "<u4")
+    sketch = merged_blocks(both.where("block is not null"), np.add, "<u4")
     classes = saved(own.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
     links = None
-    if blocks:
-        links = all_links(docs, n, percent, np.frombuffer(b"".join(blocks), "<u4"), classes)
+    if len(sketch):
+        links = all_links(docs, n, percent, sketch, classes)
     rows = own.join(classes, ["s1", "s2"], "left")
     if links is None:
         root = F.col("rep")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import jaccard, mixing, neighbours, packing, token_files, warc
+from . import jaccard, langid, mixing, neighbours, packing, token_files, warc
 
 QUERIES = {
     "op1_learned_partitions": neighbours.op1_learned_partitions,
     "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
     "op3_mixing": mixing.op3_mixing,
     "op5_warc": warc.op5_warc,
+    "op7_language_id": langid.op7_language_id,
     "op8_packing": packing.op8_packing,
     "op9_token_files": token_files.op9_token_files,
 }
