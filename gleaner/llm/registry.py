@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, langid, mixing, neighbours, packing, token_files, warc
+from . import jaccard, langid, mixing, neighbours, packing, token_files, toxicity, warc
 
 QUERIES = {
     "op1_learned_partitions": neighbours.op1_learned_partitions,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_warc": warc.op5_warc,
     "op7_language_id": langid.op7_language_id,
     "op8_packing": packing.op8_packing,
+    "op10_toxicity": toxicity.op10_toxicity,
     "op9_token_files": token_files.op9_token_files,
 }
 
