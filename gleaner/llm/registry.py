@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import jaccard, langid, mixing, neighbours, packing, token_files, toxicity, warc
+from . import extraction, jaccard, langid, mixing, neighbours, packing, token_files, toxicity, warc
 
 QUERIES = {
     "op1_learned_partitions": neighbours.op1_learned_partitions,
     "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
     "op3_mixing": mixing.op3_mixing,
+    "op4_main_text": extraction.op4_main_text,
     "op5_warc": warc.op5_warc,
     "op7_language_id": langid.op7_language_id,
     "op8_packing": packing.op8_packing,
