@@ -32,3 +32,9 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, after bounding in bytes what Spark hands to Python at once: texts may be of any length."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    return df

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import batch_of
-from .common import table
+from .common import bounded_batches, table
 
 #: Labelled pages the weights are learned from: the documented bound of the fit.
 FIT_PAGES = 400
@@ -211,7 +211,7 @@ def fit(pages: DataFrame, fit_pages: int = FIT_PAGES) -> Weights:
         keys = [*(inside | outside)]
         yield batch_of({"key": pa.array(keys, pa.string()), "a": pa.array([inside[k] for k in keys], pa.int64()), "b": pa.array([outside[k] for k in keys], pa.int64())})
 
-    sample = pages.where("html is not null").orderBy(F.xxhash64("page_id", "url"), "page_id").select("html").limit(fit_pages)
+    sample = bounded_batches(pages).where("html is not null").orderBy(F.xxhash64("page_id", "url"), "page_id").select("html").limit(fit_pages)
     counts = sample.mapInArrow(run, "key string, a long, b long").groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     rows = counts.orderBy(F.desc(F.col("a") + F.col("b")), "key").limit(2000).collect()
     return learn(Counter({x["key"]: x["a"] for x in rows}), Counter({x["key"]: x["b"] for x in rows}))
@@ -232,7 +232,7 @@ def extract(pages: DataFrame, weights: Weights) -> DataFrame:
                 texts = [main_text(x.as_py(), shared.value) for x in part.column(2)]
                 yield batch_of({"page_id": part.column(0), "url": part.column(1), "text": pa.array(texts, pa.string()), "n_chars": pa.array(map(len, texts), pa.int64())})
 
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html")
+    rows = bounded_batches(pages).select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html")
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import BLOCKS, batch_of, block_batch, merged_blocks
-from .common import saved, table
+from .common import bounded_batches, saved, table
 from .components import components
 from .shingles import BITS, mixed, parity_bitmap, set_key, shingle_sets
 
@@ -263,7 +263,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     with equal doc_id count as one document for links; a null doc_id is never a component's name unless
     it is alone; an empty table gives no rows; further columns of ``docs`` are not read.
     """
-    both = saved(hashed(docs, n), "hashed")
+    both = saved(hashed(bounded_batches(docs), n), "hashed")
     own = both.where("block is null").select("doc_id", "n", "s1", "s2")
     sketch = merged_blocks(both.where("block is not null"), np.add, "<u4")
     classes = saved(own.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")

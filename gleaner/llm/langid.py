@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import batch_of, block_batch, merged_blocks
-from .common import table
+from .common import bounded_batches, table
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -148,7 +148,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 def fit(docs: DataFrame, learns: Column, fit_rows: int = FIT_ROWS) -> Model:
     """Learns from the rows of ``docs`` (doc_id, text, lang) for which ``learns`` holds."""
-    known = docs.where(learns & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    known = bounded_batches(docs).where(learns & F.col("lang").isNotNull() & F.col("text").isNotNull())
     df, total = document_frequencies(known.select("text"))
     idf = np.log((1 + total) / (1 + df.astype(float))) + 1
     sizes = {x["lang"]: x["n"] for x in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -177,7 +177,7 @@ def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     empty table gives no rows; columns of ``docs`` that are not kept cannot clash.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*keep).alias("row"), F.col("text").alias("t"))
+    rows = bounded_batches(docs).select(F.struct(*keep).alias("row"), F.col("text").alias("t"))
     kind = rows.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

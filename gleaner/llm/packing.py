@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import bounded_batches, saved, table
 from .tokens import encoder, portions
 
 CAPACITY = 1024
@@ -105,7 +105,7 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = E
                 names = [*(x.split()[0] for x in PIECES.split(", ")), *["ids"] * keep_ids]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return docs.select("doc_id", "text").mapInArrow(cut, schema)
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(cut, schema)
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, windows: int = WINDOWS) -> DataFrame:

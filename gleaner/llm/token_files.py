@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import saved, scratch, table
+from .common import bounded_batches, saved, scratch, table
 from .files import Sink, opened
 from .tokens import encoder, portions
 
@@ -140,7 +140,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end
             writer.close()
             yield pa.RecordBatch.from_pydict({"shard": [shard], "name": [writer.sink.name], "docs": [len(writer.docs)], "tokens": [writer.tokens], "bytes": [writer.sink.size]})
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = bounded_batches(docs).select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return saved(ordered.mapInArrow(write, SHARDS), "token-shards")
 
 

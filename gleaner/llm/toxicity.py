@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import batch_of
-from .common import table
+from .common import bounded_batches, table
 from .shingles import BYTES, PLACES, mixed, text_arrays
 
 BUCKETS = 1 << 20
@@ -210,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, learns: Column, fit_docs: int = FIT_
                 raw = [x[a:b].astype("<u4").tobytes() for a, b in zip(text, text[1:], strict=False)]
                 yield batch_of({"x": pa.array(raw, pa.binary()), "toxic": batch.column(1)[base : base + len(raw)]})
 
-    joined = docs.select("doc_id", "text").where("text is not null").join(few, "doc_id").select("text", F.col("toxic").cast("int"))
+    joined = bounded_batches(docs).select("doc_id", "text").where("text is not null").join(few, "doc_id").select("text", F.col("toxic").cast("int"))
     rows = joined.mapInArrow(run, "x binary, toxic int").collect()
     found = sorted(((bytes(x["x"]), x["toxic"]) for x in rows))
     return train([np.frombuffer(x, "<u4").reshape(-1, FEATURES) for x, _ in found], np.array([y for _, y in found]) > 0)
@@ -223,7 +223,7 @@ def score(docs: DataFrame, model: Field, *keep: str, spans: bool = True) -> Data
     repeated rows are scored alike; an empty table gives no rows; columns not kept cannot clash.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*keep).alias("row"), F.col("text").alias("t"))
+    rows = bounded_batches(docs).select(F.struct(*keep).alias("row"), F.col("text").alias("t"))
     kind = rows.schema["row"].dataType.simpleString()
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, scratch, table
+from .common import bounded_batches, saved, scratch, table
 from .files import Sink, opened
 
 #: Fixed values of the formats.
@@ -175,7 +175,7 @@ def write_warc(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     ``least`` bytes are all responses; an empty table writes no file; further columns are not read.
     """
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
-    rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha1("payload"))
+    rows = bounded_batches(pages).select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha1("payload"))
     firsts = rows.groupBy("digest").agg(F.min("page_id").alias("first"))
     # A payload that a third of the rows share makes one hot key here: a plain join, whose hot partitions Spark splits.
     joined = rows.join(firsts, "digest").select("page_id", "url", "payload", "first")
