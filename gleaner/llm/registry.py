@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import extraction, jaccard, langid, mixing, neighbours, packing, token_files, toxicity, warc
+from . import extraction, jaccard, langid, media, mixing, neighbours, packing, token_files, toxicity, warc
 
 QUERIES = {
     "op1_learned_partitions": neighbours.op1_learned_partitions,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op4_main_text": extraction.op4_main_text,
     "op5_warc": warc.op5_warc,
+    "op6_flac": media.op6_flac,
     "op7_language_id": langid.op7_language_id,
     "op8_packing": packing.op8_packing,
     "op10_toxicity": toxicity.op10_toxicity,
