@@ -41,7 +41,7 @@ FREQUENT = 64
 GROUP = 4
 CHUNK = 1024
 #: Partners that a member of an index entry proposes before linked pairs are skipped, round by round.
-ROUNDS = (4, 64, None)
+ROUNDS = (1, 16, None)
 FILTER_BITS = 1 << 23
 
 
@@ -196,8 +196,11 @@ def proposed(entries: DataFrame, percent: int, skip: int, most: int | None) -> D
     return entries.repartition(*key).sortWithinPartitions(*key, "n", "s1", "s2").mapInArrow(run, PAIRS)
 
 
-def needed_filter(keys: DataFrame) -> np.ndarray:
-    """A bit table of fixed size that holds every key's hash; the join after it is exact."""
+def bit_filter(keys: DataFrame) -> np.ndarray:
+    """A bit table of fixed size that holds the low bits of every key (one long column of hashes).
+
+    It only thins out rows before a shuffle; the join that follows is exact.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(FILTER_BITS, bool)
@@ -206,44 +209,59 @@ def needed_filter(keys: DataFrame) -> np.ndarray:
         if bits.any():
             yield block_batch(np.packbits(bits), "u1")
 
-    return merged_blocks(keys.select("s1").mapInArrow(run, "block int, counts binary"), np.bitwise_or, "u1")
+    return merged_blocks(keys.mapInArrow(run, "block int, counts binary"), np.bitwise_or, "u1")
+
+
+def shared_members(node: DataFrame, shared: DataFrame) -> DataFrame:
+    """Entries of all nodes that are in ``shared`` (entry, members), a row each."""
+    bits = node.sparkSession.sparkContext.broadcast(bit_filter(shared.select("entry")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.unpackbits(bits.value).astype(bool)
+        for batch in batches:
+            lists = batch.column(2)
+            entry = lists.flatten().to_numpy().astype(np.int64)
+            of = np.repeat(np.arange(len(batch)), pc.list_value_length(lists).to_numpy())
+            keep = table[entry & (FILTER_BITS - 1)] if len(table) else np.zeros(0, bool)
+            at = pa.array(of[keep])
+            yield batch_of({"s1": batch.column(0).take(at), "s2": batch.column(1).take(at), "entry": pa.array(entry[keep])})
+
+    found = node.select("s1", "s2", "entries").mapInArrow(run, "s1 long, s2 long, entry long")
+    return found.join(shared, "entry")
 
 
-def sets_of(docs: DataFrame, n: int, needed: DataFrame) -> DataFrame:
-    """The sets of the nodes in ``needed`` (s1, s2, rep), each from the document that stands for it."""
-    bits = docs.sparkSession.sparkContext.broadcast(needed_filter(needed))
+def texts_of(docs: DataFrame, n: int, needed: DataFrame) -> DataFrame:
+    """Texts of the nodes in ``needed`` (s1, s2, rep), each from the document that stands for it.
+
+    Texts are shorter than their sets of hashes and pack well; a few rows that are not needed may come along.
+    """
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(needed.select("s1")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.unpackbits(bits.value).astype(bool)
         for batch in batches:
-            ids, rows, raw = batch.column(0).cast(pa.int64()), [], []
-            where = []
+            where, rows = [], []
             for i, tokens in shingle_sets(batch.column(1), n):
-                key = set_key(tokens)
-                if table[key[0] & (FILTER_BITS - 1)]:
+                if len(tokens) and len(table) and table[(key := set_key(tokens))[0] & (FILTER_BITS - 1)]:
                     where.append(i)
                     rows.append(key)
-                    raw.append(tokens.tobytes())
-            if rows:
-                keys = np.array(rows, np.int64)
-                yield batch_of({"s1": pa.array(keys[:, 0]), "s2": pa.array(keys[:, 1]), "rep": pc.take(ids, pa.array(where)), "tokens": pa.array(raw, pa.binary())})
+            keys, at = np.array(rows, np.int64).reshape(-1, 2), pa.array(where, pa.int64())
+            yield batch_of({"s1": pa.array(keys[:, 0]), "s2": pa.array(keys[:, 1]), "rep": batch.column(0).cast(pa.int64()).take(at), "t": batch.column(1).cast(pa.string()).take(at)})
 
-    if not len(bits.value):
-        return docs.sparkSession.createDataFrame([], "s1 long, s2 long, tokens binary")
-    found = docs.select("doc_id", "text").mapInArrow(run, "s1 long, s2 long, rep long, tokens binary")
-    return found.join(needed, ["s1", "s2", "rep"], "left_semi").drop("rep")
+    found = docs.select("doc_id", "text").mapInArrow(run, "s1 long, s2 long, rep long, t string")
+    # Repeated rows of one document would meet again and again in the joins: one text a node is kept.
+    own = found.join(needed.withColumnRenamed("rep", "own"), ["s1", "s2"]).where("rep = own")
+    return own.select("s1", "s2", "t").dropDuplicates(["s1", "s2"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs whose sets reach the threshold."""
-    a = sets.toDF("a1", "a2", "ta")
-    b = sets.toDF("b1", "b2", "tb")
+    a, b = texts.toDF("a1", "a2", "ta"), texts.toDF("b1", "b2", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("ta"), batch.column("tb"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            for (_, x), (_, y) in zip(shingle_sets(batch.column("ta"), n), shingle_sets(batch.column("tb"), n), strict=True):
                 if len(x) > len(y):
                     x, y = y, x
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
@@ -281,15 +299,15 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
 def all_links(docs: DataFrame, n: int, percent: int, sketch: np.ndarray, classes: DataFrame) -> DataFrame | None:
     """Components (v, root) over the classes' ``rep``, or None if there are no candidates."""
     node = saved(nodes(docs, n, percent, sketch), "nodes")
-    single = node.select("s1", "s2", F.explode("entries").alias("entry"))
-    shared = single.groupBy("entry").agg(F.count("*").alias("members")).where("members > 1")
-    member = saved(single.join(shared, "entry"), "members")
+    single = node.select(F.explode("entries").alias("entry"))
+    shared = saved(single.groupBy("entry").agg(F.count("*").alias("members")).where("members > 1"), "shared")
+    member = saved(shared_members(node, shared), "members")
     sized = node.drop("entries").join(classes, ["s1", "s2"])
     split = F.ceil(F.col("members") / CHUNK).cast("long")
     chunk = F.pmod(F.col("s1"), split)
     placed = member.join(sized, ["s1", "s2"]).withColumn("c", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), split - 1)))
     placed = placed.select("entry", F.least("c", "other").alias("c1"), F.greatest("c", "other").alias("c2"), "c", "n", "s1", "s2", "b0", "b1", "b2", "b3", "rep")
-    links = sets = roots = None
+    links = texts = roots = None
     skip = 0
     for most in ROUNDS:
         if roots is None:
@@ -299,11 +317,11 @@ def all_links(docs: DataFrame, n: int, percent: int, sketch: np.ndarray, classes
             rows = rows.withColumn("root", F.coalesce("root", "rep")).drop("rep")
         found = saved(proposed(rows.select(*(x.split()[0] for x in ENTRY.split(", "))), percent, skip, most), "proposed")
         pairs = found.where("not more").select("a1", "a2", "b1", "b2").distinct()
-        if sets is None:
-            # Every node with a candidate proposes one in the first round, so these sets serve all rounds.
+        if texts is None:
+            # Every node with a candidate proposes one in the first round, so these texts serve all rounds.
             needed = pairs.select(F.col("a1").alias("s1"), F.col("a2").alias("s2")).union(pairs.select("b1", "b2")).distinct()
-            sets = saved(sets_of(docs, n, saved(needed.join(classes, ["s1", "s2"]), "needed")), "sets")
-        good = verified(pairs, sets, percent)
+            texts = saved(texts_of(docs, n, saved(needed.join(classes, ["s1", "s2"]), "needed")), "texts")
+        good = verified(pairs, texts, n, percent)
         ends = good.join(classes.toDF("a1", "a2", "u"), ["a1", "a2"]).join(classes.toDF("b1", "b2", "v"), ["b1", "b2"]).select("u", "v")
         ends = saved(ends, "links")
         links = ends if links is None else links.union(ends)
