@@ -37,7 +37,7 @@ def any_line(pattern: str, skip: str | None = None) -> Column:
 def first_line(test) -> Column:
     """Number and text of the first line for which ``test`` holds, or null."""
     numbered = F.transform("text", lambda x, i: F.struct((i + 1).cast("int").alias("line"), x.alias("code"), test(x).alias("ok")))
-    return F.element_at(F.filter(numbered, lambda x: x["ok"]), 1)
+    return F.get(F.filter(numbered, lambda x: x["ok"]), F.lit(0))
 
 
 def captured(i: Column) -> Column:

@@ -95,11 +95,10 @@ def line_findings(texts: DataFrame, rules: tuple[LineRule, ...] = RULES) -> Data
     wanted = sorted({x for r in rules for x in r.extensions})
     own = texts.where(T.extension(F.col("path")).isin(*wanted))
     rows = exploded(own).withColumn("ext", T.extension(F.col("path"))).withColumn("t", T.trimmed(F.col("code")))
-    path = F.col("path")
-    c = {x: F.col(x) for x in ("path", "code", "before", "after", "ext")} | T.test_guards(path)
-    c |= {"hash": F.col("t").startswith("#"), "slash": F.col("t").startswith("//"), "block": F.col("t").startswith("/*")}
-    c |= {"stripped": F.col("stripped"), "lower": F.lower("code")}
-    rows = rows.withColumn("stripped", T.without_comment(F.col("code")))
+    # Guards become columns of their own: each is computed once a line, not once a rule.
+    guards = T.test_guards(F.col("path")) | {"hash": F.col("t").startswith("#"), "slash": F.col("t").startswith("//"), "block": F.col("t").startswith("/*")}
+    rows = rows.withColumns(guards | {"stripped": T.without_comment(F.col("code")), "lower": F.lower("code")})
+    c = {x: F.col(x) for x in rows.columns}
     broken = F.array(*(F.when(condition(r, c), F.lit(k)) for k, r in enumerate(rules)))
     found = rows.select("path", "line", "code", F.explode(F.filter(broken, lambda x: x.isNotNull())).alias("seq"))
     return described(found, [(r.id, r.severity, r.message, r.suggestion) for r in rules])
