@@ -13,9 +13,10 @@ prefix as well. Groups follow the power of two below the smaller set's size; a s
 power that a partner no larger than itself may have.
 
 Members of an index entry are compared by size and by 256-bit parity bitmaps, which bound the overlap
-from above, and what is left is verified on the sets. Each member proposes its first few partners; after
-verification, pairs whose ends are linked already are skipped and the others follow until none is left:
-all candidates are settled, without all pairs of a large group. Entries with more than ``CHUNK`` members
+from above; pairs that pass are compared by longer bitmaps, and what is left is verified on the sets. In
+a first round each set is verified against the one partner that most of its entries propose, which joins
+most groups to their hubs. In the rounds that follow, members propose all candidates not linked to them
+yet, until none is left: all candidates are settled, without all pairs of a large group. Entries with more than ``CHUNK`` members
 are split into blocks that are compared by twos in tasks of their own.
 """
 
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from .blocks import BLOCKS, batch_of, block_batch, merged_blocks
 from .common import bounded_batches, saved, table
 from .components import components
-from .shingles import BITS, mixed, parity_bitmap, set_key, shingle_sets
+from .shingles import differing_bits, mixed, parity_bitmap, set_key, shingle_sets, sized_bitmap
 
 SKETCH = 1 << 20
 #: A shingle is frequent if its counter exceeds the mean counter by this many.
@@ -40,8 +41,8 @@ FREQUENT = 64
 #: Frequent shingles of a group, on average, in a set of the smallest size it is used for.
 GROUP = 4
 CHUNK = 1024
-#: Partners that a member of an index entry proposes before linked pairs are skipped, round by round.
-ROUNDS = (1, 16, None)
+#: Candidates that a member of an entry proposes, up to this number, in the rounds after the first.
+ROUNDS = (16, None)
 FILTER_BITS = 1 << 23
 
 
@@ -99,23 +100,24 @@ def index_entries(tokens: np.ndarray, rare: np.ndarray, percent: int) -> np.ndar
 def nodes(docs: DataFrame, n: int, percent: int, sketch: np.ndarray) -> DataFrame:
     """One row a distinct set: its key, size, bitmap and index entries."""
     frequent = docs.sparkSession.sparkContext.broadcast(np.packbits(sketch > sketch.mean() + FREQUENT))
-    schema = "s1 long, s2 long, n long, b0 long, b1 long, b2 long, b3 long, entries array<long>"
+    schema = "s1 long, s2 long, n long, b0 long, b1 long, b2 long, b3 long, entries array<long>, bits binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = np.unpackbits(frequent.value).astype(bool)
         for batch in batches:
-            rows, entries = [], []
+            rows, entries, bits = [], [], []
             for _, tokens in shingle_sets(batch.column(0), n):
                 if len(tokens):
                     found = index_entries(tokens, ~often[(tokens & np.uint64(SKETCH - 1)).astype(np.int64)], percent)
                     if len(found):
                         rows.append((*set_key(tokens), len(tokens), *parity_bitmap(tokens).tolist()))
                         entries.append(found.view(np.int64))
+                        bits.append(sized_bitmap(tokens))
             if rows:
                 ends = np.cumsum([0, *map(len, entries)]).astype(np.int32)
                 table = np.array(rows, np.int64)
                 names = ["s1", "s2", "n", "b0", "b1", "b2", "b3"]
-                yield batch_of({k: pa.array(table[:, i]) for i, k in enumerate(names)} | {"entries": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(entries)))})
+                yield batch_of({k: pa.array(table[:, i]) for i, k in enumerate(names)} | {"entries": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(entries))), "bits": pa.array(bits, pa.binary())})
 
     rows = docs.select("text").mapInArrow(run, schema)
     return rows.groupBy("s1", "s2").agg(*(F.first(c).alias(c) for c in rows.columns[2:]))
@@ -153,13 +155,15 @@ def partners(keys: np.ndarray, block: np.ndarray, size: np.ndarray, bits: np.nda
 
 
 ENTRY = "entry long, c1 long, c2 long, c long, n long, s1 long, s2 long, b0 long, b1 long, b2 long, b3 long, root long"
-PAIRS = "a1 long, a2 long, b1 long, b2 long, entry long, more boolean"
+PAIRS = "a1 long, a2 long, b1 long, b2 long, entry long, kind int"
+PAIR, OPEN, NODE = range(3)
 
 
 def proposed(entries: DataFrame, percent: int, skip: int, most: int | None) -> DataFrame:
     """Pairs that members propose: each with its candidates number ``skip`` up to ``most``, not linked yet.
 
-    ``more`` marks entries in which some member has further candidates; such a row may have no pair.
+    Of kind ``OPEN`` are entries in which some member has further candidates, of kind ``NODE`` members
+    that have candidates but are in no pair here.
     """
 
     def settle(t: np.ndarray) -> pa.RecordBatch:
@@ -171,11 +175,12 @@ def proposed(entries: DataFrame, percent: int, skip: int, most: int | None) -> D
         apart = t[left, 11] != t[right, 11]
         now = (rank >= skip) & apart & (rank < most if most else True)
         late = np.unique(t[left[(rank >= most) & apart], 0]) if most else t[:0, 0]
-        a, b = t[left[now]], t[right[now]]
-        n = len(late)
-        columns = {"a1": a[:, 5], "a2": a[:, 6], "b1": b[:, 5], "b2": b[:, 6], "entry": a[:, 0], "more": np.zeros(len(a), bool)}
-        full = {k: pa.concat_arrays([pa.array(v), pa.nulls(n, pa.array(v).type)]) for k, v in columns.items() if k not in ("entry", "more")}
-        return batch_of(full | {"entry": pa.array(np.append(columns["entry"], late)), "more": pa.array(np.append(columns["more"], np.ones(n, bool)))})
+        rest = np.setdiff1d(left[apart], np.append(left[now], right[now]))
+        a, b = np.concatenate([t[left[now]], t[rest]]), t[right[now]]
+        n, m, k = len(b), len(rest), len(late)
+        columns = {"a1": a[:, 5], "a2": a[:, 6], "b1": b[:, 5], "b2": b[:, 6], "entry": np.concatenate([b[:, 0], t[rest, 0], late])}
+        full = {c: pa.concat_arrays([pa.array(v), pa.nulls(n + m + k - len(v), pa.int64())]) for c, v in columns.items()}
+        return batch_of(full | {"kind": pa.array(np.repeat([PAIR, NODE, OPEN], [n, m, k]).astype(np.int32))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -254,22 +259,41 @@ def texts_of(docs: DataFrame, n: int, needed: DataFrame) -> DataFrame:
     return own.select("s1", "s2", "t").dropDuplicates(["s1", "s2"])
 
 
+def likely(pairs: DataFrame, node: DataFrame, percent: int) -> DataFrame:
+    """The pairs that may reach the threshold by their longer bitmaps."""
+    a, b = node.select("s1", "s2", "n", "bits").toDF("a1", "a2", "na", "xa"), node.select("s1", "s2", "n", "bits").toDF("b1", "b2", "nb", "xb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "xa", "xb")), strict=True):
+                most = min((n + m - differing_bits(x, y)) // 2, n, m)
+                keep.append(100 * most >= percent * (n + m - most))
+            yield batch.select(["a1", "a2", "b1", "b2"]).filter(pa.array(keep, pa.bool_()))
+
+    joined = pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).select("a1", "a2", "b1", "b2", "na", "nb", "xa", "xb")
+    return joined.mapInArrow(run, "a1 long, a2 long, b1 long, b2 long")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs whose sets reach the threshold."""
     a, b = texts.toDF("a1", "a2", "ta"), texts.toDF("b1", "b2", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, x = None, np.zeros(0, np.uint64)
         for batch in batches:
             keep = []
-            for (_, x), (_, y) in zip(shingle_sets(batch.column("ta"), n), shingle_sets(batch.column("tb"), n), strict=True):
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int((y[at] == x).sum())
+            keys = zip(batch.column("a1").to_pylist(), batch.column("a2").to_pylist(), strict=True)
+            for i, (key, (_, y)) in enumerate(zip(keys, shingle_sets(batch.column("tb"), n), strict=True)):
+                if key != held:  # rows come sorted by the first of the pair: a hub is hashed once
+                    held, x = key, next(shingle_sets(batch.column("ta")[i : i + 1], n))[1]
+                few, many = (x, y) if len(x) <= len(y) else (y, x)
+                at = np.minimum(np.searchsorted(many, few), len(many) - 1)
+                both = int((many[at] == few).sum())
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a1", "a2", "b1", "b2"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).select("a1", "a2", "b1", "b2", "ta", "tb")
+    joined = pairs.join(b, ["b1", "b2"]).join(a, ["a1", "a2"]).select("a1", "a2", "b1", "b2", "ta", "tb")
     return joined.mapInArrow(run, "a1 long, a2 long, b1 long, b2 long")
 
 
@@ -302,33 +326,39 @@ def all_links(docs: DataFrame, n: int, percent: int, sketch: np.ndarray, classes
     single = node.select(F.explode("entries").alias("entry"))
     shared = saved(single.groupBy("entry").agg(F.count("*").alias("members")).where("members > 1"), "shared")
     member = saved(shared_members(node, shared), "members")
-    sized = node.drop("entries").join(classes, ["s1", "s2"])
+    sized = node.drop("entries", "bits").join(classes, ["s1", "s2"])
     split = F.ceil(F.col("members") / CHUNK).cast("long")
     chunk = F.pmod(F.col("s1"), split)
     placed = member.join(sized, ["s1", "s2"]).withColumn("c", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), split - 1)))
     placed = placed.select("entry", F.least("c", "other").alias("c1"), F.greatest("c", "other").alias("c2"), "c", "n", "s1", "s2", "b0", "b1", "b2", "b3", "rep")
-    links = texts = roots = None
-    skip = 0
-    for most in ROUNDS:
-        if roots is None:
-            rows = placed.withColumn("root", F.xxhash64("s1", "s2")).drop("rep")
-        else:
-            rows = placed.join(open_entries, "entry", "left_semi").join(roots.withColumnRenamed("v", "rep"), "rep", "left")
-            rows = rows.withColumn("root", F.coalesce("root", "rep")).drop("rep")
-        found = saved(proposed(rows.select(*(x.split()[0] for x in ENTRY.split(", "))), percent, skip, most), "proposed")
-        pairs = found.where("not more").select("a1", "a2", "b1", "b2").distinct()
-        if texts is None:
-            # Every node with a candidate proposes one in the first round, so these texts serve all rounds.
-            needed = pairs.select(F.col("a1").alias("s1"), F.col("a2").alias("s2")).union(pairs.select("b1", "b2")).distinct()
-            texts = saved(texts_of(docs, n, saved(needed.join(classes, ["s1", "s2"]), "needed")), "texts")
-        good = verified(pairs, texts, n, percent)
+    columns = [x.split()[0] for x in ENTRY.split(", ")]
+
+    def settled(pairs: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """Links found so far and their components, after verification of ``pairs``."""
+        good = verified(saved(likely(pairs, node, percent), "likely"), texts, n, percent)
         ends = good.join(classes.toDF("a1", "a2", "u"), ["a1", "a2"]).join(classes.toDF("b1", "b2", "v"), ["b1", "b2"]).select("u", "v")
         ends = saved(ends, "links")
         links = ends if links is None else links.union(ends)
-        roots = saved(components(links), "roots")
-        open_entries = found.where("more").select("entry").distinct()
-        if not most or not open_entries.take(1):
-            return roots
+        return links, saved(components(links), "roots")
+
+    # First round: of the first candidates in all its entries, each set's most frequent one.
+    found = saved(proposed(placed.withColumn("root", F.xxhash64("s1", "s2")).select(*columns), percent, 0, 1), "proposed")
+    pairs = found.where(F.col("kind") == PAIR)
+    needed = found.where(F.col("kind") != OPEN).select(F.col("a1").alias("s1"), F.col("a2").alias("s2")).union(pairs.select("b1", "b2")).distinct()
+    texts = saved(texts_of(docs, n, saved(needed.join(classes, ["s1", "s2"]), "needed")), "texts")
+    votes = pairs.groupBy("b1", "b2", "a1", "a2").agg(F.count("*").alias("votes"))
+    choice = votes.groupBy("b1", "b2").agg(F.max_by(F.struct("a1", "a2"), F.struct("votes", "a1", "a2")).alias("a"))
+    links, roots = settled(choice.select("a.a1", "a.a2", "b1", "b2"), None)
+    skip = 0
+    for most in ROUNDS:
+        open_entries = found.where(F.col("kind") != NODE).select("entry").distinct()
+        rows = placed.join(open_entries, "entry", "left_semi").join(roots.withColumnRenamed("v", "rep"), "rep", "left")
+        rows = rows.withColumn("root", F.coalesce("root", "rep")).select(*columns)
+        found = saved(proposed(rows, percent, skip, most), "proposed")
+        links, roots = settled(found.where(F.col("kind") == PAIR).select("a1", "a2", "b1", "b2").distinct(), links)
+        found = found.where(F.col("kind") == OPEN)
+        if not most or not found.take(1):
+            break
         skip = most
     return roots
 

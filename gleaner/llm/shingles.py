@@ -90,3 +90,20 @@ def parity_bitmap(tokens: np.ndarray) -> np.ndarray:
     """Each token flips one of ``BITS`` bits: two sets' bitmaps differ in no more bits than the sets in tokens."""
     flips = np.bincount((tokens >> np.uint64(24)).astype(np.int64) & (BITS - 1), minlength=BITS) & 1
     return np.packbits(flips.astype(np.uint8)).view(np.int64)
+
+
+def sized_bitmap(tokens: np.ndarray) -> bytes:
+    """A parity bitmap with about three bits a token, for pairs that the small one cannot tell apart."""
+    bits = 1 << min(max(len(tokens).bit_length() + 1, 8), 17)
+    flips = np.bincount((tokens >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8)).tobytes()
+
+
+def differing_bits(a: bytes, b: bytes) -> int:
+    """In how many bits two sized bitmaps differ, the longer one folded to the shorter: no more than the sets do in tokens."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
