@@ -100,7 +100,10 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
         name, sep, value = line.decode("utf-8", "replace").partition(":")
         if not sep:
             raise ValueError("header line without colon")
-        headers[name.strip().lower()] = value.strip()
+        name = name.strip().lower()
+        if name in headers and name != "warc-concurrent-to":  # two records' headers run into each other
+            raise ValueError("header field repeated")
+        headers[name] = value.strip()
     length = headers.get("content-length", "")
     if not length.isdigit() or "warc-type" not in headers:
         raise ValueError("no usable length or type")
