@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .blocks import batch_of, block_batch, merged_blocks
@@ -23,8 +23,9 @@ from .common import bounded_batches, table
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 #: Labelled rows the regression is fitted on: the documented bound of the fit, dealt evenly over the languages.
+#: Languages with fewer rows give all of theirs and leave the rest to the others; each gives one at least.
 FIT_ROWS = 3000
-#: Of these, one in so many is kept for the temperature.
+#: Of each language's, one in so many is kept for the temperature.
 CALIBRATE = 5
 UNDETERMINED = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -80,10 +81,11 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(-1, keepdims=True)
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, int]], langs: list[str], idf: np.ndarray, alpha: float = 2.0, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3, epochs: int = 4, batch: int = 16) -> Model:
-    """Follow the regularised leader (proximal) over mini-batches; then the temperature."""
+def train(rows: list[tuple[np.ndarray, np.ndarray, int]], langs: list[str], idf: np.ndarray, alpha: float = 2.0, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3, epochs: int = 4, batch: int = 16, aside: list[bool] | None = None) -> Model:
+    """Follow the regularised leader (proximal) over mini-batches; then the temperature, on rows set ``aside``."""
     model = Model(langs, idf, np.zeros((BUCKETS, len(langs)), np.float32), np.zeros(len(langs)))
-    keep = [i for i in range(len(rows)) if i % CALIBRATE]
+    aside = [not i % CALIBRATE for i in range(len(rows))] if aside is None else aside
+    keep = [i for i, x in enumerate(aside) if not x]
     z, n = np.zeros((BUCKETS, len(langs))), np.zeros((BUCKETS, len(langs)))
     bias_n, rng = np.full(len(langs), 1e-8), np.random.default_rng(5)
 
@@ -116,7 +118,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], langs: list[str], idf:
             bias_n += pull**2
             model.bias -= 0.1 * pull / np.sqrt(bias_n)
     model.weights = leader(np.arange(BUCKETS)).astype(np.float32)
-    kept = [x for i, x in enumerate(rows) if not i % CALIBRATE and len(x[0])]
+    kept = [x for x, out in zip(rows, aside, strict=True) if out and len(x[0])]
     if kept:
         logits, label = np.array([model.logits(*x[:2]) for x in kept]), [x[2] for x in kept]
         loss = {t: -np.log(softmax(logits / t)[np.arange(len(kept)), label] + 1e-12).mean() for t in np.geomspace(0.02, 5, 80)}
@@ -146,28 +148,54 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     return (pairs[:, 0], int(pairs[0, 1])) if len(pairs) else (np.zeros(BUCKETS, np.uint64), 0)
 
 
+def dealt(sizes: list[int], fit_rows: int) -> int:
+    """The most rows that each language may give so that all give ``fit_rows`` at most; one at least."""
+    left = fit_rows
+    for k, size in enumerate(sorted(sizes)):
+        if size * (len(sizes) - k) > left:
+            return max(1, left // (len(sizes) - k))
+        left -= size
+    return max(sizes, default=1)
+
+
+def sample(known: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], DataFrame]:
+    """The languages of ``known`` and its rows (text, lang, n) to fit on: of each language the same number of distinct rows, or all it has.
+
+    A first cut by hash keeps more than that of each language, so that only few rows are numbered.
+    """
+    key = F.xxhash64("doc_id", "text")
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct(key).alias("distinct")).collect()
+    if not sizes:
+        return [], known.select("text", "lang", F.lit(1).alias("n"))
+    share = dealt([x["n"] for x in sizes], fit_rows)
+    # Room for the error of the distinct count (0.3 is six of its deviations) and for chance.
+    room = 1.3 * share + 6 * share**0.5 + 20
+    rate = F.create_map(*[y for x in sizes for y in (F.lit(x["lang"]), F.lit(min(1.0, room / max(1, x["distinct"]))))])
+    roll = F.pmod(key, F.lit(1 << 40)) / (1 << 40)
+    few = known.where(roll < rate[F.col("lang")]).select("doc_id", "text", "lang").distinct()
+    numbered = few.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(roll, "doc_id", "text")))
+    return sorted(x["lang"] for x in sizes), numbered.where(F.col("n") <= share).select("text", "lang", "n")
+
+
 def fit(docs: DataFrame, learns: Column, fit_rows: int = FIT_ROWS) -> Model:
     """Learns from the rows of ``docs`` (doc_id, text, lang) for which ``learns`` holds."""
     known = bounded_batches(docs).where(learns & F.col("lang").isNotNull() & F.col("text").isNotNull())
     df, total = document_frequencies(known.select("text"))
     idf = np.log((1 + total) / (1 + df.astype(float))) + 1
-    sizes = {x["lang"]: x["n"] for x in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    langs = sorted(sizes)
+    langs, picked = sample(known, fit_rows)
     if not langs:
         return Model([], idf, np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
-    share = fit_rows // len(langs) or 1
-    rate = F.create_map(*[y for k, v in sizes.items() for y in (F.lit(k), F.lit(min(1.0, 1.3 * share / v)))])
-    roll = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / (1 << 20)
-    picked = known.where(roll < rate[F.col("lang")]).orderBy(roll, "doc_id").limit(fit_rows)
     place = {k: i for i, k in enumerate(langs)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both = [counted(x or "") for x in batch.column(0).to_pylist()]
-            yield batch_of({"w": pa.array([a.astype("<u2").tobytes() for a, _ in both], pa.binary()), "c": pa.array([b.astype("<u4").tobytes() for _, b in both], pa.binary()), "lang": batch.column(1)})
+            yield batch_of({"w": pa.array([a.astype("<u2").tobytes() for a, _ in both], pa.binary()), "c": pa.array([b.astype("<u4").tobytes() for _, b in both], pa.binary()), "lang": batch.column(1), "n": batch.column(2)})
 
-    rows = picked.select("text", "lang").mapInArrow(run, "w binary, c binary, lang string").collect()
-    return train([(np.frombuffer(x["w"], "<u2").astype(np.int64), np.frombuffer(x["c"], "<u4"), place[x["lang"]]) for x in rows], langs, idf)
+    rows = sorted(picked.mapInArrow(run, "w binary, c binary, lang string, n int").collect(), key=lambda x: (x["n"], x["lang"]))
+    # A language's first rows are trained on, so that one of a single row is learned too.
+    aside = [not x["n"] % CALIBRATE for x in rows]
+    return train([(np.frombuffer(x["w"], "<u2").astype(np.int64), np.frombuffer(x["c"], "<u4"), place[x["lang"]]) for x in rows], langs, idf, aside=aside)
 
 
 def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:

@@ -23,6 +23,23 @@ def test_language_of_odd_rows(spark):
     assert langid.predict(docs, langid.fit(docs.limit(0), F.lit(True)), "doc_id").where("lang_pred = 'und'").count() == 60
 
 
+def test_rare_languages_keep_their_rows(spark):
+    sizes = {"en": 20000, "de": 20000, "fr": 20000, "es": 20000, "rare": 200}
+    docs = spark.createDataFrame([(f"{k}{i}", f"{k} words {i}", k) for k, n in sizes.items() for i in range(n)] + [("twin", "twin words", "twin")] * 5000, "doc_id string, text string, lang string")
+    langs, rows = langid.sample(docs, 1000)
+    assert langs == sorted([*sizes, "twin"])
+    # The language of one row, though repeated, gives it once; the others give the same number.
+    assert {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()} == {k: 166 for k in sizes} | {"twin": 1}
+    assert langid.dealt([10, 20, 5000, 5000], 1000) == 485 and langid.dealt([3, 4], 1000) == 4 and langid.dealt([9] * 50, 20) == 1
+
+
+def test_rare_language_is_predicted(spark):
+    words = {"aa": "alpha gamma lambda", "ee": "hello verge melee", "oo": "bonobo robot cocoon", "uu": "humus lupus muumuu", "yy": "gypsy syzygy pygmy"}
+    docs = spark.createDataFrame([(f"{k}{i}", f"{w} {i}", k) for k, w in words.items() for i in range(40 if k == "yy" else 8000)], "doc_id string, text string, lang string")
+    model = langid.fit(docs, F.lit(True), 500)
+    assert {k: model.predict(w)[0] for k, w in words.items()} == {k: k for k in words}
+
+
 def test_temperature_is_fitted():
     rng = np.random.default_rng(0)
     rows = []
