@@ -22,11 +22,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where(F.col("score") < toxicity.THRESHOLD).select(*COLUMNS)
 
 
+#: The language stage rejects a document that is in none of the learned languages with at least this calibrated probability.
+FOREIGN = 0.9
+
+
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents for which a language can be predicted; those without letters go."""
-    model = langid.fit(docs, F.lit(True))
+    """Documents in a language that the stage's labelled rows teach.
+
+    Those that the model calls ``und`` with a score of ``FOREIGN`` or more go, as do those without a letter.
+    Texts of few letters say too little and stay; where no language is labelled nothing is learned and all stay.
+    """
+    model = langid.fit(docs, F.col("lang") != langid.UNDETERMINED, open_set=True)
+    if not model.langs:
+        return docs.select(*COLUMNS)
     found = langid.predict(docs, model, *COLUMNS)
-    return found.where(F.col("lang_pred") != langid.UNDETERMINED).select(*COLUMNS)
+    letters = F.length(F.regexp_replace("text", r"[^\p{L}]", ""))
+    foreign = (F.col("score") == 0) | (F.col("score") >= FOREIGN) & (letters >= langid.FEW_LETTERS)
+    return found.where((F.col("lang_pred") != langid.UNDETERMINED) | ~foreign).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

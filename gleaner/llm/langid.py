@@ -29,6 +29,10 @@ FIT_ROWS = 3000
 CALIBRATE = 5
 UNDETERMINED = "und"
 LETTER = re.compile(r"[^\W\d_]")
+#: Texts of fewer letters say too little to be told from strange ones.
+FEW_LETTERS = 20
+#: First letters of the scripts that strange texts are written in.
+SCRIPTS = (0x3B1, 0x430, 0x561, 0x5D0, 0x621, 0x905, 0xE01, 0x10D0, 0x3041, 0x4E00, 0x6C00, 0xAC00)
 
 
 def grams(text: str) -> np.ndarray:
@@ -177,20 +181,45 @@ def sample(known: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], DataF
     return sorted(x["lang"] for x in sizes), numbered.where(F.col("n") <= share).select("text", "lang", "n")
 
 
-def fit(docs: DataFrame, learns: Column, fit_rows: int = FIT_ROWS) -> Model:
-    """Learns from the rows of ``docs`` (doc_id, text, lang) for which ``learns`` holds."""
+def strange(text: str, seed: int) -> str:
+    """``text`` in no language: its letters shuffled, exchanged within the alphabet, or taken from another script."""
+    rng, text = np.random.default_rng(seed), text.lower()
+    letters = [*LETTER.finditer(text)]
+    if seed % 3 == 0:
+        new = [letters[k].group() for k in rng.permutation(len(letters))]
+    else:
+        old = sorted({x.group() for x in letters})
+        codes = rng.permutation([ord(x) for x in dict.fromkeys([*"abcdefghijklmnopqrstuvwxyz", *old])]) if seed % 3 == 1 else rng.choice(SCRIPTS) + rng.permutation(len(old))
+        table = dict(zip(old, map(chr, codes.tolist()), strict=False))
+        new = [table[x.group()] for x in letters]
+    out = [*text]
+    for x, to in zip(letters, new, strict=True):
+        out[x.start()] = to
+    return "".join(out)
+
+
+def fit(docs: DataFrame, learns: Column, fit_rows: int = FIT_ROWS, open_set: bool = False) -> Model:
+    """Learns from the rows of ``docs`` (doc_id, text, lang) for which ``learns`` holds.
+
+    With ``open_set`` one row in three is learned a second time, made strange, as ``und``: the model then tells
+    texts of the learned languages from others, and its temperature is fitted on both.
+    """
     known = bounded_batches(docs).where(learns & F.col("lang").isNotNull() & F.col("text").isNotNull())
     df, total = document_frequencies(known.select("text"))
     idf = np.log((1 + total) / (1 + df.astype(float))) + 1
     langs, picked = sample(known, fit_rows)
     if not langs:
         return Model([], idf, np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
+    langs = sorted({*langs, UNDETERMINED}) if open_set else langs
     place = {k: i for i, k in enumerate(langs)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = [counted(x or "") for x in batch.column(0).to_pylist()]
-            yield batch_of({"w": pa.array([a.astype("<u2").tobytes() for a, _ in both], pa.binary()), "c": pa.array([b.astype("<u4").tobytes() for _, b in both], pa.binary()), "lang": batch.column(1), "n": batch.column(2)})
+            learned = [*zip(*(x.to_pylist() for x in batch.columns), strict=True)]
+            if open_set:
+                learned += [(strange(text, n // 3), UNDETERMINED, n // 3 + 1) for text, _, n in learned if n % 3 == 0 and len(LETTER.findall(text)) >= FEW_LETTERS]
+            both = [counted(x) for x, _, _ in learned]
+            yield batch_of({"w": pa.array([a.astype("<u2").tobytes() for a, _ in both], pa.binary()), "c": pa.array([b.astype("<u4").tobytes() for _, b in both], pa.binary()), "lang": pa.array([x[1] for x in learned], pa.string()), "n": pa.array([x[2] for x in learned], pa.int32())})
 
     rows = sorted(picked.mapInArrow(run, "w binary, c binary, lang string, n int").collect(), key=lambda x: (x["n"], x["lang"]))
     # A language's first rows are trained on, so that one of a single row is learned too.

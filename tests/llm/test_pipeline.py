@@ -1,4 +1,5 @@
 import importlib
+import random
 
 import pytest
 
@@ -23,6 +24,24 @@ def test_stages_in_order(spark, sf_dir):
     assert docs.groupBy("sequence_id").sum("length").where("`sum(length)` > 1024").count() == 0
 
 
+def test_language_stage_rejects_foreign_texts(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rng = random.Random(1)
+    foreign = ["Все люди рождаются свободными и равными в своем достоинстве и правах", "人人生而自由在尊严和权利上一律平等他们赋有理性和良心并应以兄弟关系", "12 34 5678 !?", "".join(rng.choices("bcdfghjklmnpqrstvwxz    ", k=300)), "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=300))]
+    clean = ["Von.", "the of and", "a"]
+    rows = [(k, text, None, "s", len(text)) for k, text in enumerate(foreign + clean, 10**9)]
+    planted = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    kept = corpus_pipeline.drop_unknown_language(spark, planted, sf_dir)
+    assert [r.text for r in kept.where("doc_id >= 1000000000").orderBy("doc_id").collect()] == clean
+    assert kept.where("doc_id < 1000000000").count() >= 0.98 * docs.count()
+
+
+def test_language_stage_keeps_all_where_nothing_is_labelled(spark):
+    rows = [(1, "some text of a kind", None, "s", 1), (2, "12", None, "s", 1), (3, None, "und", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_unknown_language(spark, docs, "").collect()) == [1, 2, 3]
+
+
 def test_near_duplicates_leave_one_row(spark):
     text = " ".join(f"w{i}" for i in range(40))
     rows = [(4, text), (2, text + " more"), (9, "other words that stand alone here"), (9, "other words that stand alone here"), (7, None), (None, "nameless text of its own kind")]
