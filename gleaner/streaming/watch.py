@@ -45,21 +45,23 @@ def file_lines(content: str) -> list[str]:
 
 
 def tracked(events: DataFrame) -> DataFrame:
-    """Changed lines (path, line, code) of each event (path, ts, content) against the path's snapshot, kept as state.
+    """Changed lines (path, ts, line, code) of each event (path, ts, content) against the path's snapshot, kept as state.
 
-    A path seen for the first time has changed in all its lines.
+    A path seen for the first time has changed in all its lines. Events of one path in a micro-batch follow each
+    other by ``ts``; the lines of each are given with it, so that a line that changes twice stands twice.
     """
 
     def update(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
         before = list(state.get[0]) if state.exists else None
-        out: dict[int, str] = {}
-        for content in rows["content"]:
+        out: list[tuple[Any, ...]] = []
+        for ts, content in zip(rows["ts"], rows["content"], strict=True):
             after = file_lines(content)
             lines = range(1, len(after) + 1) if before is None else changed_lines(before, after)
-            out = {k: after[k - 1] for k in lines}
+            out += [(key[0], ts, k, after[k - 1]) for k in lines]
             before = after
         state.update((before,))
-        yield pd.DataFrame({"path": [key[0]] * len(out), "line": [*out], "code": [*out.values()]})
+        if out:
+            yield pd.DataFrame(out, columns=["path", "ts", "line", "code"])
 
-    return events.groupBy("path").applyInPandasWithState(update, "path string, line int, code string", "lines array<string>", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("path").applyInPandasWithState(update, "path string, ts timestamp, line int, code string", "lines array<string>", "append", GroupStateTimeout.NoTimeout)

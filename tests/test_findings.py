@@ -85,3 +85,17 @@ def test_changed_lines_as_a_stream(spark, tmp_path):
         spark.createDataFrame([("f", t + dt.timedelta(seconds=k), content)], schema).coalesce(1).write.mode("append").json(str(source))
         events.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start(str(out)).awaitTermination()
     assert sorted((r.line, r.code) for r in spark.read.parquet(str(out)).collect()) == [(1, "a"), (2, "b"), (2, "x")]
+
+
+def test_changed_lines_of_several_events_in_a_batch(spark, tmp_path):
+    schema = "path string, ts timestamp, content string"
+    source, out, t = tmp_path / "in", tmp_path / "out", dt.datetime(2024, 1, 1)
+    source.mkdir()
+    events = watch.tracked(spark.readStream.schema(schema).json(str(source)))
+    saves = [["a\nb\nc\n", "a\nb\nx\n"], ["y\nb\nx\n", "y\nb\nz\n", "y\nb\nz\n"]]
+    for k, batch in enumerate(saves):
+        rows = [("f", t + dt.timedelta(seconds=10 * k + i), content) for i, content in enumerate(batch)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(source))
+        events.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start(str(out)).awaitTermination()
+    found = sorted(((r.ts - t).seconds, r.line, r.code) for r in spark.read.parquet(str(out)).collect())
+    assert found == [(0, 1, "a"), (0, 2, "b"), (0, 3, "c"), (1, 3, "x"), (10, 1, "y"), (11, 3, "z")]
