@@ -11,6 +11,7 @@ blocks of rows and queries, and a query's partitions are extended until they hol
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,9 +24,11 @@ from .common import saved, table
 
 #: Rows the partitions are learned from, those of smallest id hash; the documented bound of the fit.
 SAMPLE = 8192
+#: Rows beside the sample that the number of probes is chosen on; of small tables one row in eight.
+HELD_OUT = 1024
 PARTS = 64
 NEIGHBOURS = 10
-#: Queries are routed to the fewest partitions that find this share of neighbours within the sample.
+#: Queries are routed to the fewest partitions that find this share of the neighbours of rows held out of the fit.
 RECALL = 0.94
 #: Rows and queries of a block that one task compares.
 BLOCK_ROWS = 4096
@@ -114,24 +117,31 @@ class Router:
 
 
 def fit(x: np.ndarray, k: int, parts: int = PARTS, recall: float = RECALL) -> tuple[Router, int]:
-    """The router and the number of partitions that a query is sent to."""
-    while parts > 1 and len(x) < 16 * parts:
+    """The router and the number of partitions that a query is sent to.
+
+    The last rows of ``x`` are in neither the graph nor the training: the number follows from their neighbours.
+    """
+    held = min(HELD_OUT, len(x) // 8)
+    own = x[: len(x) - held]
+    while parts > 1 and len(own) < 16 * parts:
         parts //= 2
     if len(x) < 2:
         return Router(x, np.ones((len(x), 1)), epochs=0), 1
-    near = graph(x, NEIGHBOURS)
+    near = graph(own, NEIGHBOURS)
     part = balanced_parts(near, parts)
     # A row's target: its own part and those of its neighbours.
-    target = np.zeros((len(x), parts))
+    target = np.zeros((len(own), parts))
     for column in np.column_stack([part, part, near_parts := part[near]]).T:
-        target[np.arange(len(x)), column] += 1
+        target[np.arange(len(own)), column] += 1
     target /= near_parts.shape[1] + 2
-    router = Router(x, target)
+    router = Router(own, target)
+    if not held or parts == 1:
+        return router, parts
     odds = router(x)
     home = odds.argmax(1)
-    asked = np.random.default_rng(3).permutation(len(x))[:1024]
+    asked = np.arange(len(own), len(x))
     scores = x[asked] @ x.T
-    scores[np.arange(len(asked)), asked] = -np.inf
+    scores[np.arange(held), asked] = -np.inf
     true = np.argsort(-scores, axis=1)[:, : min(k, len(x) - 1)]
     rank = np.argsort(np.argsort(-odds[asked], axis=1), axis=1)
     needed = np.take_along_axis(rank, home[true], axis=1)
@@ -175,19 +185,26 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
     """Each query's ``k`` nearest rows found: query_id, rank, vec_id, score.
 
     ``is_query`` is a condition on ``id``. Null ids and vectors that are null, empty, zero or hold null or
-    non-finite components take no part, nor do vectors of another length than most of the sample's. Rows
-    with equal ids are one candidate, at its best score; fewer than ``k`` candidates are all returned; an
-    empty table gives no rows; further columns are not read.
+    non-finite components take no part. Vectors are compared with those of their length, each length by a
+    router of its own. Rows with equal ids are one candidate, at its best score; fewer than ``k`` candidates
+    are all returned; an empty table gives no rows; further columns are not read.
     """
     rows = usable(vectors, id_col, vector_col)
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
-    spark = vectors.sparkSession
-    empty = "query_id long, rank int, vec_id long, score double"
-    if not sample:
-        return spark.createDataFrame([], empty)
-    lengths = [len(x["v"]) for x in sample]
-    width = max(set(lengths), key=lambda n: (lengths.count(n), n))
-    router, probes = fit(np.array([x["v"] for x in sample if len(x["v"]) == width]), k)
+    widths = sorted(x["n"] for x in rows.select(F.size("v").alias("n")).distinct().collect())
+    found = [candidates(rows.where(F.size("v") == n), is_query, k) for n in widths]
+    found = [x for x in found if x is not None]
+    if not found:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    merged = reduce(DataFrame.union, found).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return merged.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def candidates(rows: DataFrame, is_query, k: int) -> DataFrame | None:
+    """Query, row and score of each query's best rows of each block; ``rows`` (id, v) have vectors of one length."""
+    spark = rows.sparkSession
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE + HELD_OUT).collect()
+    router, probes = fit(np.array([x["v"] for x in sample]), k)
     shared = spark.sparkContext.broadcast(router)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +213,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
                 part = pa.array(shared.value(matrix(batch.column("v"))).argmax(1).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([*batch.columns, part], ["id", "v", "part"])
 
-    index = saved(rows.where(F.size("v") == width).mapInArrow(place, "id long, v array<double>, part int"), "vector-index")
+    index = saved(rows.mapInArrow(place, "id long, v array<double>, part int"), "vector-index")
     # One row a partition comes to the driver.
     counts = {x["part"]: x["n"] for x in index.groupBy("part").agg(F.count("*").alias("n")).collect()}
     in_part = np.array([counts.get(p, 0) for p in range(router.weights[3].size)])
@@ -215,7 +232,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
     asked = {x["part"]: x["n"] for x in routed.groupBy("part").agg(F.count("*").alias("n")).collect()}
     blocks = [(p, -(-n // BLOCK_ROWS), -(-asked[p] // BLOCK_QUERIES)) for p, n in counts.items() if p in asked]
     if not blocks:
-        return spark.createDataFrame([], empty)
+        return None
     shape = F.broadcast(spark.createDataFrame(blocks, "part int, nr int, nq int"))  # at most PARTS rows
     pick = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -229,10 +246,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
         return pd.DataFrame({"query_id": q, "vec_id": r, "score": score})
 
     key = ("part", "q", "r")
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(rank, "query_id long, vec_id long, score double")
-    merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return merged.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(rank, "query_id long, vec_id long, score double")
 
 
 def op1_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from gleaner.llm import mixing, neighbours
@@ -37,6 +38,40 @@ def test_recall_against_brute_force(spark):
     assert hits / (20 * len(expected)) >= 0.9
 
 
+def test_probes_hold_for_unseen_rows():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(12096, 64))
+    router, probes = neighbours.fit(x[:4096], 20)
+    queries, rows = x[4096:4596], x[4096:]
+    scores = queries @ rows.T
+    scores[np.arange(500), np.arange(500)] = -np.inf
+    true = np.argsort(-scores, axis=1)[:, :20]
+    rank = np.argsort(np.argsort(-router(queries), axis=1), axis=1)
+    assert (np.take_along_axis(rank, router(rows).argmax(1)[true], axis=1) < probes).mean() >= 0.94
+
+
+def test_recall_well_above_the_sample(spark):
+    rng = np.random.default_rng(4)
+    x = (rng.normal(size=(300, 32))[rng.integers(0, 300, 30000)] + 0.7 * rng.normal(size=(30000, 32))).astype(np.float32)
+    rows = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(30000), "embedding": x.tolist()}), "vec_id long, embedding array<float>")
+    found = defaultdict(set)
+    for r in neighbours.search(rows, F.col("id") % 100 == 0).collect():
+        found[r.query_id].add(r.vec_id)
+    x = x.astype(float)
+    scores = x[::100] @ x.T
+    scores[np.arange(300), np.arange(300) * 100] = -np.inf
+    recall = np.mean([len(found[100 * k] & set(true)) / 20 for k, true in enumerate(np.argsort(-scores, axis=1)[:, :20].tolist())])
+    print(f"recall {recall:.3f}")
+    assert len(found) == 300 and recall >= 0.9
+
+
+def test_search_covers_vectors_of_every_length(spark):
+    data = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [2.0, 0.0]), (20, [1.0, 2.0, 3.0]), (21, [1.0, 0.0, 0.0]), (40, [1.0])]
+    rows = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    found = [(r.query_id, r.rank, r.vec_id, r.score) for r in neighbours.search(rows, F.col("id") % 20 == 0).collect()]
+    assert sorted(found) == [(0, 1, 2, 2.0), (0, 2, 1, 0.5), (20, 1, 21, 1.0)]
+
+
 def test_search_leaves_out_unusable_vectors(spark):
     nan = float("nan")
     data = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [1.0, None]), (6, []), (7, [2.0, 0.0]), (7, [1.0, 0.0]), (None, [9.0, 9.0]), (20, [1.0, 2.0, 3.0])]
