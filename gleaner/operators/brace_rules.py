@@ -121,7 +121,7 @@ LINE_RULES = (
     LineRule("bad-defaults.any-type-assertion", "warning", (".ts", ".tsx"), r"\bas\s+any\b", "The type is given up", "Assert the real type", guards=("slash", "block", "js_test")),
     LineRule("bad-defaults.non-null-assertion", "info", (".ts", ".tsx"), r"[\w$\])]!(?:[.;,)\[\]]|\s*$)", "null is ruled out by assertion", "Check it", guards=("slash", "block", "js_test")),
     LineRule("bad-defaults.eval-usage", "error", JS, r"(?:^|[^\w.$])eval\s*\(|\bnew\s+Function\s*\(", "Text is run as code", "Parse it", guards=("slash", "block", "js_test")),
-    LineRule("test-isolation.js-test-only-import", "info", JS, r"(?:\bfrom\s+|\brequire\s*\(\s*|^\s*import\s+)['\"](?:[^'\"]*/)?(?:__tests__/|__mocks__/|__fixtures__/|testutils/|test-utils/|(?:test-?_?helper|mock-|mock_|fake-|fake_|stub-|stub_)[^'\"/]*['\"]|(?:test-?_?helpers|test-?_?utils|test-?_?setup|mocks|fixtures|stubs|fakes)(?:\.\w+)?['\"]|[^'\"/]*(?:\.test|\.spec|_test|_spec|-test|-spec)(?:\.\w+)?['\"])", "A test module is imported outside tests", "Move it to the tests", guards=("slash", "block", "js_test")),
+    LineRule("test-isolation.test-only-import", "info", JS, r"(?:\bfrom\s+|\brequire\s*\(\s*|^\s*import\s+)['\"](?i:(?:[^'\"]*/)?(?:(?:__tests__|__mocks__|__fixtures__|testutils|test-utils)(?:/[^'\"]*)?['\"]|(?:test[-_]?helper|mock-|mock_|fake-|fake_|stub-|stub_)[^'\"/]*['\"]|(?:test[-_]?helpers|test[-_]?utils|test[-_]?setup|mocks|fixtures|stubs|fakes)(?:\.[^.'\"/]*)?['\"]|[^'\"/]*[._-](?:test|spec)(?:\.[^.'\"/]*)?['\"]))", "A test module is imported outside tests", "Move it to the tests", guards=("slash", "block", "js_test")),
 )
 
 

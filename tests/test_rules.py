@@ -80,3 +80,13 @@ def test_a_tree_is_read_with_hidden_names(spark, tmp_path):
     want = [os.path.join(root, "b", n) for n in (".env", "__init__.py", "x.py")]
     assert walk(root) == want and sorted(r.path for r in read_tree(spark, root).collect()) == want
     assert walk(os.path.join(root, "vendor")) == []
+
+
+def test_test_only_imports(spark):
+    hits = ["./__mocks__", "./__tests__", "./Mocks", "../lib/TestUtils/x", "./a/__Fixtures__/b.json", "./user.Spec.js", "./user_test", "./Fake-clock", "test_helpers", "./stubs.ts"]
+    misses = ["./mocksmith", "./x__mocks__", "./latest", "./contest/user", "./mocks.a.b", "./spec"]
+    lines = [f"import x from '{m}';" for m in hits + misses] + [f'const y = require("{m}");' for m in hits + misses]
+    files = spark.createDataFrame([("src/a.js", "\n".join(lines)), ("src/a.test.js", "\n".join(lines))], "path string, content string")
+    found = line_rules.line_findings(split_lines(files), brace_rules.LINE_RULES).where("rule like 'test-isolation.%'").collect()
+    n = len(lines) // 2
+    assert sorted((r.file, r.rule, r.line) for r in found) == [("src/a.js", "test-isolation.test-only-import", k + base + 1) for base in (0, n) for k in range(len(hits))]
