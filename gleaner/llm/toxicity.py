@@ -26,6 +26,8 @@ BUCKETS = 1 << 20
 FIT_DOCS = 2000
 #: Tokens of a fitted segment; scoring has no such bound.
 SEGMENT = 256
+#: Tokens whose marginals the fit of the document layer holds at once.
+GROUP = 1 << 16
 THRESHOLD = 0.7
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
 FEATURES = 2 + len(BEGINNINGS)
@@ -181,13 +183,17 @@ def train(docs: list[np.ndarray], toxic: np.ndarray, epochs: int = 6, rate: floa
             start_squares += g**2
             model.start -= rate * g / np.sqrt(start_squares)
     # The document layer: Newton steps on the logistic likelihood with a small ridge.
+    total, most = np.zeros(len(docs)), np.zeros(len(docs))
     ends = np.cumsum([0, *map(len, docs)])
-    score = np.concatenate([model.weights[x].sum(1, dtype=np.float64) for x in docs])
-    reset = np.zeros(len(score), bool)
-    reset[ends[:-1][np.diff(ends) > 0]] = True
-    p = model.marginals(score, reset)
-    total = np.array([p[a:b].sum() for a, b in zip(ends, ends[1:], strict=False)])
-    most = np.array([p[a:b].max(initial=0) for a, b in zip(ends, ends[1:], strict=False)])
+    # Groups of whole texts, so that memory follows the longest text and not all of them.
+    for group in np.split(np.arange(len(docs)), np.flatnonzero(np.diff(ends[1:] // GROUP)) + 1):
+        score = np.concatenate([model.weights[docs[i]].sum(1, dtype=np.float64) for i in group])
+        own = ends[group[0] : group[-1] + 2] - ends[group[0]]
+        reset = np.zeros(len(score), bool)
+        reset[own[:-1][np.diff(own) > 0]] = True
+        p = model.marginals(score, reset)
+        for i, a, b in zip(group, own, own[1:], strict=False):
+            total[i], most[i] = p[a:b].sum(), p[a:b].max(initial=0)
     x, w = np.stack([np.ones(len(total)), np.log1p(total), most], 1), np.zeros(3)
     for _ in range(50):
         q = 1 / (1 + np.exp(-x @ w))
@@ -197,7 +203,10 @@ def train(docs: list[np.ndarray], toxic: np.ndarray, epochs: int = 6, rate: floa
 
 
 def fit(docs: DataFrame, labels: DataFrame, learns: Column, fit_docs: int = FIT_DOCS) -> Field:
-    """Learns from rows of ``labels`` (doc_id, toxic) for which ``learns`` holds and their texts in ``docs``."""
+    """Learns from rows of ``labels`` (doc_id, toxic) for which ``learns`` holds and their texts in ``docs``.
+
+    Of rows with equal doc_id one text is learned from, so that ``fit_docs`` bounds the rows too.
+    """
     marks = labels.where(learns & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     by_hash = F.xxhash64("doc_id")
     picked = [marks.where(F.col("toxic") == k).orderBy(by_hash, "doc_id").limit(fit_docs) for k in (0, 1)]
@@ -210,9 +219,9 @@ def fit(docs: DataFrame, labels: DataFrame, learns: Column, fit_docs: int = FIT_
                 raw = [x[a:b].astype("<u4").tobytes() for a, b in zip(text, text[1:], strict=False)]
                 yield batch_of({"x": pa.array(raw, pa.binary()), "toxic": batch.column(1)[base : base + len(raw)]})
 
-    joined = bounded_batches(docs).select("doc_id", "text").where("text is not null").join(few, "doc_id").select("text", F.col("toxic").cast("int"))
-    rows = joined.mapInArrow(run, "x binary, toxic int").collect()
-    found = sorted(((bytes(x["x"]), x["toxic"]) for x in rows))
+    joined = bounded_batches(docs).select("doc_id", "text").where("text is not null").join(few, "doc_id")
+    texts = joined.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").cast("int").alias("toxic")).select("text", "toxic")
+    found = sorted((bytes(x["x"]), x["toxic"]) for x in texts.mapInArrow(run, "x binary, toxic int").collect())
     return train([np.frombuffer(x, "<u4").reshape(-1, FEATURES) for x, _ in found], np.array([y for _, y in found]) > 0)
 
 

@@ -106,3 +106,12 @@ def test_toxic_documents_and_spans(spark):
     assert found[9001].score == found[9002].score < 0.3 and found[9001].spans == []
     assert len(found[9003].spans) == 3 and odd[4][1][found[9003].spans[-1].start :] == "trashheap"
     assert toxicity.score(table.limit(0), model, "doc_id").count() == 0
+
+
+def test_repeated_ids_are_learned_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, f"idiot {i}") for i in range(500)] + [(2, "clean words"), (2, "clean words")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda docs, toxic: seen.append((len(docs), toxic.tolist())))
+    toxicity.fit(docs, labels, F.lit(True))
+    assert [(n, sorted(y)) for n, y in seen] == [(2, [False, True])]
