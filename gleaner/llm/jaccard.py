@@ -236,7 +236,7 @@ def shared_members(node: DataFrame, shared: DataFrame) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, n: int, needed: DataFrame) -> DataFrame:
-    """Texts of the nodes in ``needed`` (s1, s2, rep), each from the document that stands for it.
+    """Texts of the nodes in ``needed`` (s1, s2, name), each from rows of the document that names it.
 
     Texts are shorter than their sets of hashes and pack well; a few rows that are not needed may come along.
     """
@@ -251,11 +251,11 @@ def texts_of(docs: DataFrame, n: int, needed: DataFrame) -> DataFrame:
                     where.append(i)
                     rows.append(key)
             keys, at = np.array(rows, np.int64).reshape(-1, 2), pa.array(where, pa.int64())
-            yield batch_of({"s1": pa.array(keys[:, 0]), "s2": pa.array(keys[:, 1]), "rep": batch.column(0).cast(pa.int64()).take(at), "t": batch.column(1).cast(pa.string()).take(at)})
+            yield batch_of({"s1": pa.array(keys[:, 0]), "s2": pa.array(keys[:, 1]), "doc_id": batch.column(0).cast(pa.int64()).take(at), "t": batch.column(1).cast(pa.string()).take(at)})
 
-    found = docs.select("doc_id", "text").mapInArrow(run, "s1 long, s2 long, rep long, t string")
-    # Repeated rows of one document would meet again and again in the joins: one text a node is kept.
-    own = found.join(needed.withColumnRenamed("rep", "own"), ["s1", "s2"]).where("rep = own")
+    found = docs.select("doc_id", "text").mapInArrow(run, "s1 long, s2 long, doc_id long, t string")
+    # Copies would meet again and again in the joins: one text a node is kept.
+    own = found.join(needed, ["s1", "s2"]).where("doc_id <=> name")
     return own.select("s1", "s2", "t").dropDuplicates(["s1", "s2"])
 
 
@@ -302,53 +302,68 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
 
     Documents link when ``100 * intersection >= percent * union`` of their shingle sets; component_id is
     the smallest doc_id that links reach. Null and empty texts have size 0 and their own doc_id; rows
-    with equal doc_id count as one document for links; a null doc_id is never a component's name unless
-    it is alone; an empty table gives no rows; further columns of ``docs`` are not read.
+    with equal doc_id count as one document for links; a row without a doc_id links like any other, but
+    names no component (one of such rows alone has a null name); texts of any length are read whole; an empty
+    table gives no rows; further columns of ``docs`` are not read.
     """
     both = saved(hashed(bounded_batches(docs), n), "hashed")
     own = both.where("block is null").select("doc_id", "n", "s1", "s2")
     sketch = merged_blocks(both.where("block is not null"), np.add, "<u4")
-    classes = saved(own.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
-    links = None
+    # A class of equal sets is known by a number of its own, ``rep``; its smallest doc_id is its ``name``.
+    named = own.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("name"))
+    classes = saved(named.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    label = classes.select("s1", "s2", F.col("name").alias("label"))
     if len(sketch):
-        links = all_links(docs, n, percent, sketch, classes)
-    rows = own.join(classes, ["s1", "s2"], "left")
-    if links is None:
-        root = F.col("rep")
-    else:
-        rows, root = rows.join(links.withColumnRenamed("v", "rep"), "rep", "left"), F.coalesce("root", "rep")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, root).otherwise(F.col("doc_id")).alias("component_id"))
+        roots = all_links(docs, n, percent, sketch, classes, same_documents(own, classes))
+        found = roots.join(classes.select(F.col("rep").alias("v"), "name"), "v")
+        tops = found.join(found.groupBy("root").agg(F.min("name").alias("top")), "root").select(F.col("v").alias("rep"), "top")
+        label = classes.join(tops, "rep", "left").select("s1", "s2", F.coalesce("top", "name").alias("label"))
+    rows = own.join(label, ["s1", "s2"], "left")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def all_links(docs: DataFrame, n: int, percent: int, sketch: np.ndarray, classes: DataFrame) -> DataFrame | None:
-    """Components (v, root) over the classes' ``rep``, or None if there are no candidates."""
+def same_documents(own: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (u, v) between classes that rows of one doc_id are in."""
+    key = F.struct("s1", "s2")
+    repeated = own.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min(key).alias("a"), F.max(key).alias("b")).where("a <> b")
+    # Every class of such a doc_id is linked to the smallest of them.
+    pairs = own.where("n > 0").join(repeated.select("doc_id", "a"), "doc_id").where((key != F.col("a"))).select(F.col("a.s1").alias("a1"), F.col("a.s2").alias("a2"), F.col("s1").alias("b1"), F.col("s2").alias("b2")).distinct()
+    return saved(class_pairs(pairs, classes), "same-documents")
+
+
+def class_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of set keys as pairs (u, v) of class numbers."""
+    number = classes.select("s1", "s2", "rep")
+    return pairs.join(number.toDF("a1", "a2", "u"), ["a1", "a2"]).join(number.toDF("b1", "b2", "v"), ["b1", "b2"]).select("u", "v")
+
+
+def all_links(docs: DataFrame, n: int, percent: int, sketch: np.ndarray, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (v, root) over the classes' ``rep``, of ``links`` known before and all others."""
     node = saved(nodes(docs, n, percent, sketch), "nodes")
     single = node.select(F.explode("entries").alias("entry"))
     shared = saved(single.groupBy("entry").agg(F.count("*").alias("members")).where("members > 1"), "shared")
     member = saved(shared_members(node, shared), "members")
-    sized = node.drop("entries", "bits").join(classes, ["s1", "s2"])
+    sized = node.drop("entries", "bits").join(classes.select("s1", "s2", "rep"), ["s1", "s2"])
     split = F.ceil(F.col("members") / CHUNK).cast("long")
     chunk = F.pmod(F.col("s1"), split)
     placed = member.join(sized, ["s1", "s2"]).withColumn("c", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), split - 1)))
     placed = placed.select("entry", F.least("c", "other").alias("c1"), F.greatest("c", "other").alias("c2"), "c", "n", "s1", "s2", "b0", "b1", "b2", "b3", "rep")
     columns = [x.split()[0] for x in ENTRY.split(", ")]
 
-    def settled(pairs: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    def settled(pairs: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Links found so far and their components, after verification of ``pairs``."""
         good = verified(saved(likely(pairs, node, percent), "likely"), texts, n, percent)
-        ends = good.join(classes.toDF("a1", "a2", "u"), ["a1", "a2"]).join(classes.toDF("b1", "b2", "v"), ["b1", "b2"]).select("u", "v")
-        ends = saved(ends, "links")
-        links = ends if links is None else links.union(ends)
+        links = links.union(saved(class_pairs(good, classes), "links"))
         return links, saved(components(links), "roots")
 
     # First round: of the first candidates in all its entries, each set's most frequent one.
     found = saved(proposed(placed.withColumn("root", F.xxhash64("s1", "s2")).select(*columns), percent, 0, 1), "proposed")
     pairs = found.where(F.col("kind") == PAIR)
     needed = found.where(F.col("kind") != OPEN).select(F.col("a1").alias("s1"), F.col("a2").alias("s2")).union(pairs.select("b1", "b2")).distinct()
-    texts = saved(texts_of(docs, n, saved(needed.join(classes, ["s1", "s2"]), "needed")), "texts")
+    texts = saved(texts_of(docs, n, saved(needed.join(classes.select("s1", "s2", "name"), ["s1", "s2"]), "needed")), "texts")
     votes = pairs.groupBy("b1", "b2", "a1", "a2").agg(F.count("*").alias("votes"))
     choice = votes.groupBy("b1", "b2").agg(F.max_by(F.struct("a1", "a2"), F.struct("votes", "a1", "a2")).alias("a"))
-    links, roots = settled(choice.select("a.a1", "a.a2", "b1", "b2"), None)
+    links, roots = settled(choice.select("a.a1", "a.a2", "b1", "b2"), links)
     skip = 0
     for most in ROUNDS:
         open_entries = found.where(F.col("kind") != NODE).select("entry").distinct()

@@ -78,6 +78,20 @@ def test_empty_repeated_and_unnamed_rows(spark):
     assert found == sorted([(5, 3, 2), (5, 3, 2), (None, 3, 2), (None, 0, None), (2, 3, 2)], key=str)
 
 
+def test_null_and_repeated_ids_carry_links(spark):
+    words = [f"w{i}" for i in range(100)]
+    text = lambda k: " ".join(words[:-k] if k else words)
+    rows = [(1, text(0)), (None, text(4)), (2, text(8)), (3, "quite other words that no one else has here"), (None, "a text without a name or partner in this table")]
+    found = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 95).collect()
+    assert sorted((x.doc_id or -1, x.component_id or -1) for x in found) == [(-1, -1), (-1, 1), (1, 1), (2, 1), (3, 3)]
+    x, y = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(5, x), (7, x), (7, y), (9, y), (11, "and something that is all of its own")]
+    found = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(5, 5), (7, 5), (7, 5), (9, 5), (11, 11)]
+    root, _ = brute(rows, 3, 90)
+    assert {r.doc_id: r.component_id for r in found} == root
+
+
 def test_very_long_words_are_hashed_whole():
     import pyarrow as pa
 
