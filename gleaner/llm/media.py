@@ -18,8 +18,7 @@ from .common import bounded_batches, saved, table
 #: Bytes of samples that are coded side by side.
 PORTION = 1 << 21
 MEDIA = "doc_id long, n_bytes long, media binary"
-BLOCKS = "doc_id long, n_bytes long, media_bytes long, first_sample long, pcm binary"
-DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, blocks array<struct<first_sample: long, pcm: binary>>"
 
 
 def payload_of(text: str | None) -> bytes:
@@ -42,8 +41,8 @@ def slices(sizes: list[int], most: int = PORTION) -> Iterator[slice]:
 def encode_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes (of the text) and media for every row of ``docs`` (doc_id, text).
 
-    A null text is empty; an empty text is one block of filling; repeated rows give equal files; an
-    empty table gives no rows; further columns are not read.
+    A null text is empty; an empty text is one block of filling; very long texts are coded whole, in portions of
+    many frames; repeated rows give equal files; an empty table gives no rows; further columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,22 +72,23 @@ def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Ar
             yield rows.column(0), rows.column(1), files[part], flac.decode(files[part])
 
 
-def pcm_blocks(media: DataFrame) -> DataFrame:
-    """One row a block of 576 samples: its first sample's number and its bytes, after all checks."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sizes, files, payloads in decoded(batches):
-            n = [len(p) // flac.BLOCK for p in payloads]
-            at = pa.array(np.repeat(np.arange(len(n)), n))
-            blocks = [p[i : i + flac.BLOCK] for p in payloads for i in range(0, len(p), flac.BLOCK)]
-            first = np.concatenate([np.arange(k) * flac.BLOCK for k in n])
-            size = pa.array([len(f) for f in files], pa.int64())
-            yield batch_of({"doc_id": ids.take(at), "n_bytes": sizes.take(at), "media_bytes": size.take(at), "first_sample": pa.array(first), "pcm": pa.array(blocks, pa.binary())})
+def block_lists(payloads: list[bytes]) -> pa.ListArray:
+    """Each payload's blocks of 576 samples with the number of their first sample."""
+    n = np.array([len(p) // flac.BLOCK for p in payloads])
+    total = int(n.sum())
+    offsets = pa.array(np.arange(total + 1, dtype=np.int32) * flac.BLOCK)
+    pcm = pa.Array.from_buffers(pa.binary(), total, [None, offsets.buffers()[1], pa.py_buffer(b"".join(payloads))])
+    first = (np.arange(total) - np.repeat(np.cumsum(n) - n, n)) * flac.BLOCK
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.StructArray.from_arrays([pa.array(first, pa.int64()), pcm], ["first_sample", "pcm"]))
 
-    return bounded_batches(media).select("doc_id", "n_bytes", "media").mapInArrow(run, BLOCKS)
 
+def pcm_blocks(media: DataFrame) -> DataFrame:
+    """Digests and features of every file from its decoded samples, and these as blocks with seekable sample offsets.
+
+    All frame checksums and each file's MD5 are verified first; a damaged file stops the job. Files of any length
+    are decoded whole; repeated rows give equal blocks; an empty table gives no rows; further columns are not read.
+    """
 
-def media_digests(media: DataFrame) -> DataFrame:
-    """Digests and features of every file, from its decoded blocks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sizes, files, payloads in decoded(batches):
             yield batch_of(
@@ -101,6 +101,7 @@ def media_digests(media: DataFrame) -> DataFrame:
                     "media_bytes": pa.array(map(len, files), pa.int64()),
                     "media_sha256": pa.array([hashlib.sha256(f).hexdigest() for f in files], pa.string()),
                     "feature": pa.array(map(feature, payloads), pa.string()),
+                    "blocks": block_lists(payloads),
                 }
             )
 
@@ -108,4 +109,5 @@ def media_digests(media: DataFrame) -> DataFrame:
 
 
 def op6_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_digests(saved(encode_documents(table(spark, sf_dir, "documents")), "media"))
+    """The FLAC files are a saved table; the result carries what is read back from it, blocks included."""
+    return pcm_blocks(saved(encode_documents(table(spark, sf_dir, "documents")), "media"))
