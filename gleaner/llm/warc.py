@@ -32,6 +32,10 @@ VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: A file is closed at this size; files never hold more than one record beyond it.
 FILE_BYTES = 8 << 20
+#: Payloads with more than one row in so many are told to all tasks: there are fewer of them than this.
+HOT = 1000
+#: The longest header that is looked for behind a version line outside of a gzip member.
+HEADER = 1 << 20
 #: Bytes of a member that are unpacked at a time.
 STEP = 1 << 14
 DATE = "2020-01-01T00:00:00Z"
@@ -135,8 +139,9 @@ def record_at(data: bytes, at: int) -> Found:
         if size != len(raw):
             raise ValueError("member holds more than its record")
         return Found(at, end - at, headers, block)
-    # A plain record: its length is in its header, so only that much is copied.
-    end = data.find(b"\r\n\r\n", at)
+    # A plain record: its length is in its header, so only that much is copied; a header's length is bounded, so
+    # that marks without a header behind them cost no more than that each.
+    end = data.find(b"\r\n\r\n", at, at + HEADER)
     length = re.search(rb"(?i)\r\ncontent-length:[ \t]*(\d+)", data[at : end + 2]) if end >= 0 else None
     stop = end + 8 + int(length[1]) if length else at + 16
     headers, block, size = parse(data[at:stop])
@@ -179,9 +184,15 @@ def write_warc(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     """
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     rows = bounded_batches(pages).select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha1("payload"))
-    firsts = rows.groupBy("digest").agg(F.min("page_id").alias("first"))
-    # A payload that a third of the rows share makes one hot key here: a plain join, whose hot partitions Spark splits.
-    joined = rows.join(firsts, "digest").select("page_id", "url", "payload", "first")
+    firsts = saved(rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")), "payloads")
+    # Payloads that many rows share are told to every task, so that their rows need not meet in one; there are at
+    # most HOT of them. Their keys in the join that follows are dealt out.
+    total = firsts.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(firsts.where(F.col("n") > max(1, total // HOT)).select("digest", F.struct("first").alias("hot")))
+    spread = F.concat(F.lit("hot"), F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 20)))
+    marked = rows.join(hot, "digest", "left").withColumn("key", F.when(F.col("hot").isNull(), F.col("digest")).otherwise(spread))
+    rest = firsts.select(F.col("digest").alias("key"), F.struct("first").alias("own"))
+    joined = marked.join(rest, "key", "left").select("page_id", "url", "payload", F.coalesce("hot", "own")["first"].alias("first"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, sink, n, done = TaskContext.get().partitionId(), None, 0, []
@@ -224,8 +235,13 @@ def fields(found: Found, name: str, keep_payload: bool) -> tuple:
     return ("record", name, found.at, found.size, None, number(h.get("x-page-id")), h.get("warc-target-uri"), h["warc-type"], number(h.get("x-refers-to-page-id")), size, digest, body if keep_payload else None)
 
 
-def read_warc(files: DataFrame, folder: str, keep_payload: bool = True) -> DataFrame:
-    """Rows of kind ``record`` and ``gap`` from the files named in ``files``."""
+def read_warc(files: DataFrame, folder: str, keep_payload: bool = True, complete: bool = False) -> DataFrame:
+    """Rows of kind ``record`` and ``gap`` from the files named in ``files``.
+
+    A gap is a run of bytes that fails the checks, up to the next record that passes; gaps and records cover each file.
+    With ``complete`` a gap, or another number of records than were written, stops the job. A file is held whole, and
+    files are closed at ``FILE_BYTES``. No files give no rows.
+    """
     names = [x.split()[0] for x in RECORDS.split(", ")]
     kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
 
@@ -234,26 +250,31 @@ def read_warc(files: DataFrame, folder: str, keep_payload: bool = True) -> DataF
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name in batch.column(0).to_pylist():
+            for name, written in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 with opened(folder, name) as handle:
                     data = handle.read()
                 rows: list[tuple] = []
                 for found in salvage(data):
                     rows.append(fields(found, name, keep_payload))
+                    written -= rows[-1][0] == "record"
+                    if complete and rows[-1][0] == "gap":
+                        raise ValueError(f"{name}: bytes {found.at} to {found.at + found.size} were not read back: {rows[-1][4]}")
                     if len(rows) == 1000:
                         yield batch_of(rows)
                         rows = []
+                if complete and written:
+                    raise ValueError(f"{name}: {written} records fewer than were written")
                 if rows:
                     yield batch_of(rows)
 
     tasks = max(1, files.count())
-    return files.select("name").repartition(tasks).mapInArrow(read, RECORDS)
+    return files.select("name", "records").repartition(tasks).mapInArrow(read, RECORDS)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "warc")
     files = write_warc(table(spark, sf_dir, "pages"), folder)
-    found = read_warc(files, folder, keep_payload=False).where("kind = 'record'")
+    found = read_warc(files, folder, keep_payload=False, complete=True)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
