@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words as the contracts define them: runs of anything but blank and the five ASCII line and tab controls.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,10 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path under ``spark.checkpoint.dir``, the folder that driver and executors share.
 
-    Where the setting is absent (tests, a single machine) a local temporary folder takes its place.
+    Where the setting is absent on a single machine, as in tests, a local temporary folder takes its place; a
+    cluster without it is refused, as its executors would not see each other's files.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._conf.get("spark.checkpoint.dir")
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="gleaner-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -34,6 +38,19 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def within(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """Rows of ``rows`` whose ``key``, a 64-bit hash, is among its ``n`` smallest values.
+
+    Keys alone are ordered, and of them only about ``n``, after a cut that follows from their number; nothing else of
+    the rows is moved. Rows of equal keys stay together, so there may be more than ``n``; a null key counts as none.
+    """
+    distinct = rows.agg(F.approx_count_distinct(key)).first()[0]
+    cut = int(min(1.0, (1.5 * n + 200) / max(1, distinct)) * 2**64) - 2**63
+    few = rows.select(key).where(F.col(key) <= F.lit(min(cut, 2**63 - 1))).distinct()
+    last = few.orderBy(key).limit(n).agg(F.max(key)).first()[0]
+    return rows.where(F.col(key) <= F.lit(last))
+
+
 def bounded_batches(df: DataFrame) -> DataFrame:
     """``df``, after bounding in bytes what Spark hands to Python at once: texts may be of any length."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")

@@ -1,9 +1,10 @@
 """Main text of web pages by the maximum-scoring subsequence.
 
-A page becomes a row of items, tags and pieces of text. Words score positive by the place they stand in
-(below zero in links, menus and the like), tags negative; the weights are log-odds from labelled pages,
-for which pages serve whose authors marked one ``article`` or ``main`` element. A linear scan finds the
-contiguous region of greatest score, and the text in it, without embedded boilerplate, is the result.
+A page becomes a row of items, tags and pieces of text. Words score positive by the block they stand in (below
+zero in blocks of links alone), tags negative. Words of class, id and role say whether an element is boilerplate;
+its items score below zero too. All weights are log-odds from labelled pages, for which pages serve whose authors
+marked one ``article`` or ``main`` element, drawn towards priors. A linear scan finds the contiguous region of greatest
+score; the text in it, without the boilerplate embedded between its words, is the result.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import batch_of
-from .common import bounded_batches, table
+from .common import bounded_batches, table, within
 
 #: Labelled pages the weights are learned from: the documented bound of the fit.
 FIT_PAGES = 400
@@ -37,61 +38,91 @@ BLOCK = set(
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th "
     "thead tr ul".split()
 )
-#: Elements, and words of class, id and role, whose contents are no article text.
-BOILERPLATE = set("aside button canvas datalist dialog footer form head iframe menu nav noscript object script select style svg template textarea title".split())
-HINTS = set(
-    "ad ads advert advertisement adverts alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie "
-    "cookies disqus dropdown footer form login menu menubar modal nav navbar navigation newsletter notice notices pager pagination popup promo "
-    "promoted related respond search share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
+#: What elements and words of class, id and role say before any page is seen: below zero of boilerplate, above of content.
+TAG_PRIORS = dict.fromkeys("aside button canvas datalist dialog footer form head iframe menu nav noscript object script select style svg template textarea title".split(), -6.0)
+STRONG = dict.fromkeys(
+    "advert advertisement adverts breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer "
+    "login masthead menu menubar modal nav navbar navigation newsletter pager pagination popup promo promoted related respond search sidebar "
+    "sponsor sponsored subscribe".split(),
+    -6.0,
 )
-OUTSIDE_ARTICLE = {"header", "masthead"}
+WEAK = dict.fromkeys("ad ads alert banner dropdown form notice notices share sharing social toolbar widget".split(), -3.0) | {"header": -2.0}
+CONTENT = dict.fromkeys("article body content entry free post story text".split(), 2.0)
+PRIORS = STRONG | WEAK | CONTENT
+#: Labelled pages that a prior counts for, and the bound of what is learned.
+PRIOR_PAGES = 20
+BOUND = 4.0
+#: Elements whose words are never below zero by their place alone.
+GENERIC = set("article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 legend li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
+#: What embedded boilerplate costs a region at most, and within an element of content.
+HOLE, EMBEDDED = -20.0, -0.3
+#: A page whose words stand in elements of weak evidence alone, so many times more than elsewhere, is read without it.
+OVERRULED = 10
 WORDS = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
 
 
-@dataclass
+@dataclass(slots=True)
+class Element:
+    """An open element: its tokens, those of class, id and role apart, and the nearest block at and in it."""
+
+    name: str
+    tokens: tuple[str, ...]
+    hidden: bool
+    link: bool
+    article: bool
+    block: str
+    above: Element | None
+
+
+@dataclass(slots=True)
 class Item:
-    """A tag (``text`` None) or a piece of text; ``key`` is what weights are learned for."""
+    """A tag (``text`` None) or a piece of text in ``place``; ``key`` is what weights are learned for."""
 
     key: str
+    place: Element | None
     text: str | None = None
     words: int = 0
     inside: bool = False
     breaks: bool = False
-    skip: bool = False
+    link: bool = False
 
 
-def boilerplate(name: str, attributes: str, in_article: bool) -> bool:
-    if name in BOILERPLATE or name in OUTSIDE_ARTICLE and not in_article:
-        return True
-    if name in ("html", "body", "article", "main"):
-        return False
+def element(name: str, attributes: str, above: Element | None) -> Element:
+    tokens, hidden = set(), False
     for kind, value in ATTRIBUTE.findall(attributes):
-        if kind.lower() == "hidden" or kind.lower() == "aria-hidden" and "true" in value.lower():
-            return True
-        found = {x.lower() for x in WORDS.split(value.strip("\"'"))}
-        if found & HINTS or found & OUTSIDE_ARTICLE and not in_article:
-            return True
-    return False
+        kind = kind.lower()
+        if kind == "hidden" or kind == "aria-hidden":
+            hidden = hidden or kind == "hidden" or "true" in value.lower()
+        else:
+            tokens |= {x.lower() for x in WORDS.split(value.strip("\"'")) if x}
+    if name in ("html", "body", "article", "main"):
+        tokens, hidden = set(), False
+    up = above
+    return Element(name, tuple(sorted(tokens)), hidden, name == "a" or bool(up and up.link), name in ("article", "main") or bool(up and up.article), name if name in BLOCK else up.block if up else "body", up)
 
 
 def items(page: str) -> list[Item]:
     """Tags and texts of a page in order; unclosed and stray tags are borne with."""
     out: list[Item] = []
-    stack: list[tuple[str, bool, bool, bool, str]] = []  # name, boilerplate, link, article, nearest block
-    skip = link = article = False
-    block = "body"
+    stack: list[Element] = []
+    first = 0  # of the items since the last block's bound
 
     def text(raw: str) -> None:
         if raw:
-            plain = html.unescape(raw)
-            words = len(plain.split())
-            if words or plain:
-                out.append(Item(f"text {'skip' if skip else 'link' if link else block}", plain, words, article, False, skip))
+            plain, top = html.unescape(raw), stack[-1] if stack else None
+            out.append(Item(f"text {top.block if top else 'body'}", top, plain, len(plain.split()), bool(top and top.article), False, bool(top and top.link)))
+
+    def bound() -> None:
+        # A block that is all links is told from one that holds a link among words.
+        nonlocal first
+        own = [x for x in out[first:] if x.words]
+        if own and all(x.link for x in own):
+            for x in own:
+                x.key = "text links"
+        first = len(out)
 
     def pop(to: int) -> None:
-        nonlocal skip, link, article, block
         del stack[to:]
-        skip, link, article, block = stack[-1][1:] if stack else (False, False, False, "body")
 
     at = 0
     while at < len(page):
@@ -104,34 +135,37 @@ def items(page: str) -> list[Item]:
         if not name:
             continue
         closing, attributes = bool(found[1] or found[4]), found[3] or found[6] or ""
+        if name in BLOCK:
+            bound()
         if closing:
-            place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            out.append(Item(f"/{name}", inside=article and name not in ("article", "main"), breaks=name in BLOCK))
+            place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].name == name), None)
+            top = stack[place] if place is not None else stack[-1] if stack else None
+            out.append(Item(f"/{name}", top, inside=bool(top and top.above and top.above.article), breaks=name in BLOCK))
             if place is not None:
                 pop(place)
             continue
         if name in BLOCK and name not in ("html", "body", "head"):
             # A paragraph ends where a block starts; list items and cells end where the next one starts.
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p" or stack[i][0] == name and name in ("li", "dd", "dt", "td", "th", "tr", "option"):
+                if stack[i].name == "p" or stack[i].name == name and name in ("li", "dd", "dt", "td", "th", "tr", "option"):
                     pop(i)
                     break
-                if stack[i][0] in BLOCK:
+                if stack[i].name in BLOCK:
                     break
-        out.append(Item(name, inside=article, breaks=name in BLOCK))
+        above = stack[-1] if stack else None
+        own = element(name, attributes, above)
+        out.append(Item(name, own, inside=bool(above and above.article), breaks=name in BLOCK))
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
             at = end.end()
             continue
         if name in VOID:
             if name == "br":
-                out.append(Item(f"text {'skip' if skip else 'link' if link else block}", " ", 0, article, False, skip))
+                text(" ")
             continue
-        skip = skip or boilerplate(name, attributes, article)
-        link, article = link or name == "a", article or name in ("article", "main")
-        block = name if name in BLOCK else block
-        stack.append((name, skip, link, article, block))
+        stack.append(own)
     text(page[at:])
+    bound()
     return out
 
 
@@ -140,34 +174,91 @@ def labelled(found: list[Item]) -> bool:
     return sum(x.text is None and x.key in ("article", "main") for x in found) == 1
 
 
+def tokens_above(place: Element | None) -> set[str]:
+    found = set()
+    while place:
+        found.update(place.tokens)
+        place = place.above
+    return found
+
+
 @dataclass
 class Weights:
-    """Scores of a word by its place, and of tags."""
+    """Scores of a word by its place, of tags, and what words of class, id and role say."""
 
     known: dict[str, float] = field(default_factory=dict)
-
-    def of(self, item: Item) -> float:
-        if item.text is None:
-            return self.known.get(item.key, -0.2)
-        place = item.key[5:]
-        return item.words * self.known.get(item.key, -0.3 if place == "skip" else -0.5 if place == "link" else 1.0)
-
-
-def learn(inside: Counter, outside: Counter) -> Weights:
-    """Log-odds by key, words kept positive or negative by their place and tags below zero."""
-    base = math.log((sum(inside.values()) + 1) / (sum(outside.values()) + 1))
-    known = {}
+    tokens: dict[str, float] = field(default_factory=lambda: dict(PRIORS))
+
+    def evidence(self, x: Element, weak: bool) -> float:
+        """Of an element: below zero of boilerplate, above of content; ``weak`` words count or not."""
+        if x.hidden:
+            return -6.0
+        if x.name in ("html", "body", "article", "main"):
+            return 2.0 if x.name in ("article", "main") else 0.0
+        tag = -6.0 if x.name == "header" and not (x.above and x.above.article) else TAG_PRIORS.get(x.name, 0.0)
+        said = [self.tokens.get(t, 0.0) for t in x.tokens if weak or t not in WEAK]
+        return max(-6.0, min(6.0, tag + sum(said)))
+
+    def word(self, key: str) -> float:
+        """Of one word by its place, boilerplate apart."""
+        if key == "text links":
+            return self.known.get(key, -0.5)
+        return self.known.get(key, 1.0 if key[5:] in GENERIC else 0.3)
+
+    def scores(self, found: list[Item], weak: bool = True) -> tuple[list[float], list[bool]]:
+        """Every item's score, and whether it is part of boilerplate.
+
+        An element of boilerplate costs no more than ``HOLE``, or ``EMBEDDED`` within content, however long it is,
+        so that it does not part the text around it.
+        """
+        seen: dict[int, tuple[Element | None, bool]] = {}  # the outermost boilerplate at an element, and if it is in content
+
+        def of(x: Element | None) -> tuple[Element | None, bool]:
+            if x is None:
+                return None, False
+            if id(x) not in seen:
+                outer, content = of(x.above)
+                said = self.evidence(x, weak) if outer is None else 0.0
+                seen[id(x)] = (outer or (x if said < 0 else None), content or outer is None and said >= 2)
+            return seen[id(x)]
+
+        scores, skips, left = [], [], {}
+        for x in found:
+            outer, content = of(x.place)
+            if outer is None:
+                # Within content a block of links is a paragraph like others.
+                word = 0.3 if content and x.key == "text links" else self.word(x.key)
+                scores.append(self.known.get(x.key, -0.2) if x.text is None else x.words * word)
+            else:
+                cost = -0.2 if x.text is None else -0.5 * x.words
+                rest = left.get(id(outer), EMBEDDED if content else HOLE)
+                scores.append(max(cost, rest))
+                left[id(outer)] = rest - scores[-1]
+            skips.append(outer is not None)
+        return scores, skips
+
+
+def learn(inside: Counter, outside: Counter, pages: int) -> Weights:
+    """Weights from words (by place and by token) and tags counted inside and outside of marked content.
+
+    Log-odds, bounded; plain words are kept above zero and tags below. What tokens say is drawn towards their
+    priors, which count for ``PRIOR_PAGES`` pages, and keeps a prior's sign where it is one of boilerplate.
+    """
+    total = [sum(c[k] for k in c if k.startswith("text ")) for c in (inside, outside)]
+    base = math.log((total[0] + 1) / (total[1] + 1))
+    known, tokens = {}, dict(PRIORS)
     for key in inside | outside:
-        if key in ("article", "main", "/article", "/main"):
-            continue
-        odds = math.log((inside[key] + 0.5) / (outside[key] + 0.5)) - base
-        if key == "text skip":
-            known[key] = min(-0.1, max(-0.5, odds))  # mild: boilerplate inside the article must not part it
+        odds = max(-BOUND, min(BOUND, math.log((inside[key] + 0.5) / (outside[key] + 0.5)) - base))
+        if key.startswith("."):
+            token, prior = key[1:], PRIORS.get(key[1:], 0.0)
+            drawn = (odds * pages + prior * PRIOR_PAGES) / (pages + PRIOR_PAGES)
+            # A word that is only ever around marked content, or also there, says little of itself.
+            tokens[token] = min(-1.0, drawn) if prior < 0 else drawn if drawn < -2 or prior else 0.0
         elif key.startswith("text "):
-            known[key] = max(-3.0, min(3.0, odds))
-        else:
+            known[key] = max(0.3, min(3.0, odds)) if key[5:] in GENERIC else max(-3.0, min(3.0, odds))
+        elif key.strip("/") not in ("article", "main"):
             known[key] = max(-0.3, min(-0.05, odds))
-    return Weights(known)
+    return Weights(known, tokens)
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -182,23 +273,43 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return region
 
 
+def holes(skips: list[bool], words: list[int], a: int, b: int) -> list[bool]:
+    """Which items of the region ``a``:``b`` are boilerplate between kept words; the region's ends are the scan's."""
+    kept = [i for i in range(a, b) if words[i] and not skips[i]]
+    if not kept:
+        return [False] * (b - a)
+    return [skips[i] and kept[0] < i < kept[-1] for i in range(a, b)]
+
+
 def main_text(page: str | None, weights: Weights) -> str:
     """The text of the best region: blocks in page order, white space as one blank, one newline between."""
     found = items(page or "")
-    a, b = best_region([weights.of(x) for x in found])
+    words = [x.words for x in found]
+    scores, skips = weights.scores(found)
+    a, b = best_region(scores)
+    plain, plain_skips = weights.scores(found, weak=False)
+    doubtful = sum(n for n, x, y in zip(words, skips, plain_skips, strict=True) if x and not y)
+    if doubtful > OVERRULED * sum(n for n, x in zip(words[a:b], skips[a:b], strict=True) if not x):
+        scores, skips = plain, plain_skips
+        a, b = best_region(scores)
     blocks, current = [], []
-    for x in found[a:b]:
+    for x, hole in zip(found[a:b], holes(skips, words, a, b), strict=True):
         if x.breaks:
             blocks.append("".join(current))
             current = []
-        elif x.text is not None and not x.skip:
+        elif x.text is not None and not hole:
             current.append(x.text)
     blocks.append("".join(current))
     return "\n".join(y for y in (" ".join(x.split()) for x in blocks) if y)
 
 
 def fit(pages: DataFrame, fit_pages: int = FIT_PAGES) -> Weights:
-    """Weights from labelled pages among those of smallest id hash; default weights if none is labelled."""
+    """Weights from labelled pages among those of smallest id hash; priors alone if none is labelled.
+
+    Rows repeated with all their columns are one page of the sample.
+    """
+    rows = bounded_batches(pages).where("html is not null").select("html", F.xxhash64("page_id", "url", F.octet_length("html")).alias("key"))
+    sample = within(rows, "key", fit_pages).groupBy("key").agg(F.min("html").alias("html")).select("html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inside, outside = Counter(), Counter()
@@ -206,22 +317,27 @@ def fit(pages: DataFrame, fit_pages: int = FIT_PAGES) -> Weights:
             for page in batch.column(0):
                 found = items(page.as_py() or "")
                 if labelled(found):
+                    inside["pages"] += 1
                     for x in found:
-                        (inside if x.inside else outside)[x.key] += 1 if x.text is None else x.words
+                        side = inside if x.inside else outside
+                        side[x.key] += 1 if x.text is None else x.words
+                        if x.words:
+                            side.update(dict.fromkeys((f".{t}" for t in tokens_above(x.place)), x.words))
         keys = [*(inside | outside)]
         yield batch_of({"key": pa.array(keys, pa.string()), "a": pa.array([inside[k] for k in keys], pa.int64()), "b": pa.array([outside[k] for k in keys], pa.int64())})
 
-    sample = bounded_batches(pages).where("html is not null").orderBy(F.xxhash64("page_id", "url"), "page_id").select("html").limit(fit_pages)
-    counts = sample.mapInArrow(run, "key string, a long, b long").groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    rows = counts.orderBy(F.desc(F.col("a") + F.col("b")), "key").limit(2000).collect()
-    return learn(Counter({x["key"]: x["a"] for x in rows}), Counter({x["key"]: x["b"] for x in rows}))
+    # Keys are those of at most ``fit_pages`` pages.
+    rows = sample.mapInArrow(run, "key string, a long, b long").groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect()
+    inside, outside = Counter({x["key"]: x["a"] for x in rows}), Counter({x["key"]: x["b"] for x in rows})
+    return learn(inside, outside, inside.pop("pages", 0))
 
 
 def extract(pages: DataFrame, weights: Weights) -> DataFrame:
     """page_id, url, text and n_chars for every row of ``pages``.
 
-    Null html is empty and gives an empty text; repeated rows give equal texts; an empty table gives no
-    rows; further columns are not read.
+    Null html is empty and gives an empty text, as does a page of boilerplate alone; pages of any length are read
+    whole; of regions of equal score the first counts; repeated rows give equal texts; an empty table gives no rows;
+    further columns are not read.
     """
     shared = pages.sparkSession.sparkContext.broadcast(weights)
 

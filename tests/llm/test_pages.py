@@ -1,5 +1,9 @@
 import base64
 import hashlib
+import html
+import random
+import re
+from collections import Counter
 
 import pytest
 
@@ -42,6 +46,59 @@ def test_best_region_is_the_greatest_sum():
         assert sum(x[a:b]) == max([0, *(sum(x[i:j]) for i in range(len(x)) for j in range(i + 1, len(x) + 1))])
 
 
+def learned(pages_of):
+    """Weights learned from pages, without Spark."""
+    inside, outside = Counter(), Counter()
+    for page in pages_of:
+        for x in extraction.items(page):
+            side = inside if x.inside else outside
+            side[x.key] += 1 if x.text is None else x.words
+            if x.words:
+                side.update(dict.fromkeys((f".{t}" for t in extraction.tokens_above(x.place)), x.words))
+    return extraction.learn(inside, outside, len(pages_of))
+
+
+def test_the_learned_region_decides(sf_dir, monkeypatch):
+    import pandas as pd
+
+    real = [x for x in pd.read_parquet(f"{sf_dir}/pages.parquet")["html"].dropna() if extraction.labelled(extraction.items(x))]
+    weights = learned(real)
+    with_priors = [extraction.main_text(x, weights) for x in real]
+    for page, text in zip(real, with_priors):
+        # By brute force: the words between the tags of the element that the author marked.
+        marked = re.sub(r"<[^>]*>", " ", page[page.index("<article>") : page.index("</article>")])
+        assert text.split() == html.unescape(marked).split()
+    monkeypatch.setattr(extraction, "PRIORS", {})
+    monkeypatch.setattr(extraction, "TAG_PRIORS", {})
+    bare = learned(real)
+    assert [extraction.main_text(x, bare) for x in real] == with_priors
+    monkeypatch.setattr(extraction, "best_region", lambda scores: (0, len(scores)))
+    assert all(extraction.main_text(x, weights) != y for x, y in zip(real, with_priors))
+
+
+def test_scores_of_random_pages_against_all_regions():
+    rng = random.Random(4)
+    for _ in range(60):
+        body = "".join(rng.choice(["<p>a b c</p>", "<div class=ad>x y</div>", "<ul><li><a>m</a></li></ul>", "<nav><a>n o</a></nav>", "<h2>t u</h2>"]) for _ in range(rng.randrange(8)))
+        scores, skips = extraction.Weights().scores(extraction.items(body))
+        a, b = extraction.best_region(scores)
+        best = max([0.0, *(sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1))])
+        assert sum(scores[a:b]) == pytest.approx(best) and len(skips) == len(scores)
+
+
+def test_embedded_boilerplate_and_telling_names():
+    words = lambda n, w="word": " ".join([w] * n)
+    text = lambda page: Counter(extraction.main_text(page, extraction.Weights()).split())
+    aside = f"<p>{words(12, 'one')}</p><aside>{words(300, 'side')}</aside><p>{words(40, 'two')}</p>"
+    assert text(f"<nav><a>Menu</a></nav><article>{aside}</article><footer>f</footer>") == {"one": 12, "two": 40}
+    assert text(f"<div class=nav><a>M</a></div><div id=content>{aside}</div>") == {"one": 12, "two": 40}
+    assert text("<article><p>We saw <a href=x>the long matter</a></p><p><a>Read it all</a></p><p>end</p></article>") == Counter("We saw the long matter Read it all end".split())
+    for name in ("post-share-text", "story ad-free", "widget-content", "widget"):
+        assert text(f"<nav><a>Menu here</a></nav><h1>Title</h1><div class='{name}'><p>{words(50)}</p></div>") == {"Title": 1, "word": 50}, name
+    assert text(f"<div class=post><p>{words(20)}</p></div><div class='comment-content'><p>{words(400, 'c')}</p></div>") == {"word": 20}
+    assert text("<nav><a>Menu a b c</a></nav><footer>foot note text</footer>") == {}
+
+
 def test_archives_round_trip(spark, tmp_path):
     rows = [(5, "http://a/", "same", None), (2, "http://b/", "same", None), (9, "http://c/ü\n", "ünï\r\n\r\nWARC/1.1\r\n", None), (1, None, None, None), (4, "e", "", None), (7, "l", "x" * 300000, None), (7, "l", "x" * 300000, None), (None, "n", "same", None)]
     folder = str(tmp_path / "warc")
