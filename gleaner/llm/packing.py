@@ -29,6 +29,8 @@ from .tokens import encoder, portions
 CAPACITY = 1024
 PIECE = 256
 WINDOWS = 128
+#: Pieces of a group, on average at most: tables of very short documents have more groups of fewer windows.
+GROUP_PIECES = 4096
 VOCABULARY = "byte_bpe_50k.json"
 END = 0
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, piece_uid long"
@@ -109,11 +111,16 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = E
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, windows: int = WINDOWS) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to a saved table of pieces, each no longer than ``capacity``."""
+    """Adds ``sequence_id`` and ``offset`` to a saved table of pieces, each no longer than ``capacity``.
+
+    Pieces are dealt to groups by a hash of ``piece_uid``, which numbers the rows of the saved table's tasks: another
+    partitioning of the input gives other sequences of the same kind. Ties of size go by ``piece_uid``; an empty table
+    gives no rows; further columns are kept, but for the group's own.
+    """
     full = pieces.where(F.col("length") == capacity)
     rest = pieces.where(F.col("length") < capacity)
-    total = rest.agg(F.sum("length")).first()[0] or 0
-    groups = max(1, round(total / (capacity * windows)))
+    sums = rest.agg(F.sum("length").alias("ids"), F.count("*").alias("pieces")).first()
+    groups = max(1, round((sums["ids"] or 0) / (capacity * windows)), -(-sums["pieces"] // GROUP_PIECES))
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("piece_uid", ignore_index=True)
@@ -133,7 +140,7 @@ def pack(docs: DataFrame, keep_ids: bool = True, **how) -> DataFrame:
     """Every document's pieces with their places in sequences of at most ``CAPACITY`` ids.
 
     Columns: ``PIECES`` without ``piece_uid``, ``ids`` if kept, ``sequence_id``, ``offset``. A null text is
-    empty, and an empty text is its end id alone; a null doc_id stays null; rows repeated are packed each
+    empty, and an empty text is its end id alone; very long texts are cut into windows; a null doc_id stays null; rows repeated are packed each
     for itself; an empty table gives no rows; further columns of ``docs`` are not read.
     """
     pieces = saved(tokenized_pieces(docs, keep_ids=keep_ids, **how), "pieces")

@@ -28,6 +28,9 @@ VOCABULARY = "word_bpe_49k.json"
 END = 2
 #: A frame is closed at this many bytes of ids; a longer document has a frame of its own size.
 FRAME_BYTES = 1 << 16
+#: A shard is closed at this many bytes of ids or documents; a task writes as many shards as it needs.
+SHARD_BYTES = 1 << 26
+SHARD_DOCS = 1 << 18
 #: Fixed values of the zstandard seekable format.
 SKIPPABLE_INDEX = 0x184D2A50
 SKIPPABLE_TABLE = 0x184D2A5E
@@ -41,7 +44,7 @@ class ShardWriter:
     """Writes one shard: ``add`` documents in order, then ``close``."""
 
     def __init__(self, folder: str, shard: int):
-        self.sink = Sink(folder, f"tokens-{shard:06d}", ".zst")
+        self.sink = Sink(folder, f"tokens-{shard:012d}", ".zst")
         self.compressor = zstandard.ZstdCompressor(level=3)
         self.frames: list[tuple[int, int, int]] = []
         self.docs: list[tuple[int | None, int, int]] = []
@@ -122,30 +125,43 @@ class ShardReader:
 def write_tokens(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end: int = END) -> DataFrame:
     """Writes every document's ids to shards in ``folder``; returns the saved table of shards.
 
-    Documents are range-partitioned by doc_id, so shards ascend and a hot source is spread over all of
-    them. Null texts are empty; null ids come first; documents with equal ids follow by text; an empty
-    table writes no shard; further columns are not read.
+    Documents are range-partitioned by doc_id and row, so shards ascend and neither a hot source nor one doc_id
+    repeated goes to one task; shards are numbered by task and place in it. Null texts are empty; very long texts are
+    one frame; null ids come first; documents with equal ids follow in the order of the table's rows; an empty table
+    writes no shard; further columns are not read.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last, shard = encoder(vocabulary, keeps_spaces=False), np.uint32(end).tobytes(), TaskContext.get().partitionId()
+        encode, last, shard = encoder(vocabulary, keeps_spaces=False), np.uint32(end).tobytes(), TaskContext.get().partitionId() << 24
         writer = None
+
+        def row() -> pa.RecordBatch:
+            writer.close()
+            return pa.RecordBatch.from_pydict({"shard": [shard], "name": [writer.sink.name], "docs": [len(writer.docs)], "tokens": [writer.tokens], "bytes": [writer.sink.size]})
+
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
             for part in portions(texts):
-                writer = writer or ShardWriter(folder, shard)
                 for doc, ids in zip(doc_ids[part], encode.encode(texts[part]), strict=True):
+                    writer = writer or ShardWriter(folder, shard)
                     writer.add(doc, ids + last)
+                    if 4 * writer.tokens >= SHARD_BYTES or len(writer.docs) >= SHARD_DOCS:
+                        yield row()
+                        writer, shard = None, shard + 1
         if writer:
-            writer.close()
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "name": [writer.sink.name], "docs": [len(writer.docs)], "tokens": [writer.tokens], "bytes": [writer.sink.size]})
+            yield row()
 
-    ordered = bounded_batches(docs).select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    numbered = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"))
+    ordered = numbered.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "text")
     return saved(ordered.mapInArrow(write, SHARDS), "token-shards")
 
 
 def read_tokens(shards: DataFrame, folder: str, keep_ids: bool = True) -> DataFrame:
-    """Documents of the shards: doc_id, start (ids before it in all shards), n_tokens, ids_crc32 and ids."""
+    """Documents of the shards: doc_id, start (ids before it in all shards), n_tokens, ids_crc32 and ids.
+
+    A shard whose tables or frames fail their checks stops the job; no shards give no rows. Only the rows of shards,
+    of which there is one for ``SHARD_BYTES`` of ids, are summed up in one task.
+    """
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = shards.withColumn("first", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if keep_ids else "")

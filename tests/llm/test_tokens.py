@@ -51,8 +51,10 @@ def test_packing_covers_each_id_once(spark):
             assert offset == at
             at += length
         assert at <= 1024
-    ids = encoder(packing.VOCABULARY, True).whole([DATA[5][1]])[0] + np.uint32(0).tobytes()
-    assert b"".join(x.ids for x in sorted((x for x in found if x.doc_id == 7), key=lambda x: x.start)) == ids
+    for doc, text, _ in DATA:
+        ids = encoder(packing.VOCABULARY, True).whole([text or ""])[0] + np.uint32(0).tobytes()
+        own = sorted({(x.start, bytes(x.ids)) for x in found if x.doc_id == doc})  # the repeated rows' pieces are equal
+        assert b"".join(x for _, x in own) == ids
     assert sum(x.length for x in found if x.doc_id == 3) == 2 * found[[x.doc_id for x in found].index(3)].doc_tokens
     assert packing.pack(rows(spark, [])).count() == 0
 
@@ -71,6 +73,27 @@ def test_token_files_round_trip(spark, tmp_path):
     assert token_files.write_tokens(rows(spark, []), folder).count() == 0
 
 
+def test_many_empty_texts_make_small_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_PIECES", 64)
+    found = packing.pack(rows(spark, [(i, "", "x") for i in range(2000)]), keep_ids=False)
+    groups = found.groupBy((found.sequence_id / (1 << 21)).cast("long").alias("g")).count().collect()
+    assert sum(x["count"] for x in groups) == 2000 and max(x["count"] for x in groups) < 150 and len(groups) >= 31
+
+
+def test_shards_are_rolled_by_size_and_documents(spark, tmp_path, monkeypatch):
+    data = [(i // 3, f"some words {i} " * (i % 7), "x") for i in range(90)] + [(None, "same", "x")] * 20
+    monkeypatch.setattr(token_files, "SHARD_BYTES", 400)
+    monkeypatch.setattr(token_files, "SHARD_DOCS", 9)
+    folder = str(tmp_path / "rolled")
+    shards = token_files.write_tokens(rows(spark, data), folder)
+    sizes = shards.collect()
+    assert len(sizes) > 12 and max(x.docs for x in sizes) == 9 and sum(x.docs for x in sizes) == len(data)
+    found = sorted(token_files.read_tokens(shards, folder).collect(), key=lambda x: x.start)
+    assert [x.doc_id for x in found] == [None] * 20 + [i // 3 for i in range(90)]
+    want = encoder(token_files.VOCABULARY, False).whole([d[1] for d in sorted(data, key=lambda d: (d[0] is not None, d[0] or 0))])
+    assert [bytes(x.ids)[:-4] for x in found] == want
+
+
 class Handle(io.BytesIO):
     def size(self):
         return len(self.getvalue())
