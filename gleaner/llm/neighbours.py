@@ -4,12 +4,15 @@ A neighbour graph of a bounded sample is cut into balanced parts by recursive bi
 learns which part a vector's neighbours are in. It gives every row of the table its partition and routes
 each query to its most probable partitions, whose rows are ranked by the exact measure.
 
-The sample is the only bounded thing: all rows are indexed, partitions of any size are searched in
-blocks of rows and queries, and a query's partitions are extended until they hold enough candidates.
+A partition of many rows is cut once more in the same way, by a network learned from rows of its own, so
+partitions keep their size up to ``PARTS * INNER`` of them. The samples are the only bounded things: all
+rows are indexed, partitions of any size are searched in blocks of rows and queries, and a query's
+partitions are extended until they hold enough candidates.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from functools import reduce
 
@@ -20,13 +23,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import saved, table
+from .common import bounded_batches, saved, table, within
 
 #: Rows the partitions are learned from, those of smallest id hash; the documented bound of the fit.
 SAMPLE = 8192
 #: Rows beside the sample that the number of probes is chosen on; of small tables one row in eight.
 HELD_OUT = 1024
 PARTS = 64
+#: A partition expected to hold more rows is cut into parts of about so many, at most ``INNER``, learned from ``INNER_SAMPLE`` of its rows.
+PART_ROWS = 1 << 16
+INNER = 64
+INNER_SAMPLE = 4096
 NEIGHBOURS = 10
 #: Queries are routed to the fewest partitions that find this share of the neighbours of rows held out of the fit.
 RECALL = 0.94
@@ -116,17 +123,37 @@ class Router:
         return self.softmax(np.maximum(x * self.scale @ self.weights[0] + self.weights[1], 0))
 
 
-def fit(x: np.ndarray, k: int, parts: int = PARTS, recall: float = RECALL) -> tuple[Router, int]:
-    """The router and the number of partitions that a query is sent to.
+class Cells:
+    """The network of all partitions and those of partitions that are cut once more; parts are numbered through."""
 
-    The last rows of ``x`` are in neither the graph nor the training: the number follows from their neighbours.
-    """
-    held = min(HELD_OUT, len(x) // 8)
-    own = x[: len(x) - held]
+    def __init__(self, router: Router, inner: dict[int, Router]):
+        self.router, self.inner = router, inner
+        self.sizes = np.array([inner[p].weights[3].size if p in inner else 1 for p in range(router.weights[3].size)])
+        self.first = np.concatenate([[0], np.cumsum(self.sizes)])
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        """Each part's probability."""
+        odds = np.repeat(self.router(x), self.sizes, axis=1)
+        for p, own in self.inner.items():
+            odds[:, self.first[p] : self.first[p + 1]] *= own(x)
+        return odds
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        """The part that a row is kept in."""
+        top = self.router(x).argmax(1)
+        part = self.first[top]
+        for p, own in self.inner.items():
+            if (mine := top == p).any():
+                part[mine] += own(x[mine]).argmax(1)
+        return part
+
+
+def learned(own: np.ndarray, parts: int) -> Router:
+    """A network for at most ``parts`` balanced parts (a power of two) of the neighbour graph of ``own``."""
     while parts > 1 and len(own) < 16 * parts:
         parts //= 2
-    if len(x) < 2:
-        return Router(x, np.ones((len(x), 1)), epochs=0), 1
+    if len(own) < 2:
+        return Router(own, np.ones((len(own), 1)), epochs=0)
     near = graph(own, NEIGHBOURS)
     part = balanced_parts(near, parts)
     # A row's target: its own part and those of its neighbours.
@@ -134,19 +161,32 @@ def fit(x: np.ndarray, k: int, parts: int = PARTS, recall: float = RECALL) -> tu
     for column in np.column_stack([part, part, near_parts := part[near]]).T:
         target[np.arange(len(own)), column] += 1
     target /= near_parts.shape[1] + 2
-    router = Router(own, target)
+    return Router(own, target)
+
+
+def held_rows(n: int) -> int:
+    return min(HELD_OUT, n // 8)
+
+
+def probes_of(odds, home, x: np.ndarray, k: int, recall: float = RECALL) -> int:
+    """The fewest parts that find ``recall`` of the neighbours of the last rows of ``x``, which were not learned from."""
+    held, parts = held_rows(len(x)), odds(x[:1]).shape[1]
     if not held or parts == 1:
-        return router, parts
-    odds = router(x)
-    home = odds.argmax(1)
-    asked = np.arange(len(own), len(x))
+        return parts
+    asked = np.arange(len(x) - held, len(x))
     scores = x[asked] @ x.T
     scores[np.arange(held), asked] = -np.inf
     true = np.argsort(-scores, axis=1)[:, : min(k, len(x) - 1)]
-    rank = np.argsort(np.argsort(-odds[asked], axis=1), axis=1)
-    needed = np.take_along_axis(rank, home[true], axis=1)
-    shares = [(needed < m).mean() for m in range(1, parts + 1)]
-    return router, next((m for m, s in enumerate(shares, 1) if s >= recall), parts)
+    rank = np.argsort(np.argsort(-odds(x[asked]), axis=1), axis=1)
+    needed = np.take_along_axis(rank, home(x)[true], axis=1)
+    found = np.cumsum(np.bincount(needed.ravel(), minlength=parts)) / needed.size
+    return int(np.searchsorted(found, recall)) + 1 if found[-1] >= recall else parts
+
+
+def fit(x: np.ndarray, k: int, parts: int = PARTS, recall: float = RECALL) -> tuple[Router, int]:
+    """The router of a sample whose last rows are kept from learning, and the number of partitions a query is sent to."""
+    router = learned(x[: len(x) - held_rows(len(x))], parts)
+    return router, probes_of(router, lambda rows: router(rows).argmax(1), x, k, recall)
 
 
 def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -186,8 +226,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
 
     ``is_query`` is a condition on ``id``. Null ids and vectors that are null, empty, zero or hold null or
     non-finite components take no part. Vectors are compared with those of their length, each length by a
-    router of its own. Rows with equal ids are one candidate, at its best score; fewer than ``k`` candidates
-    are all returned; an empty table gives no rows; further columns are not read.
+    router of its own. Rows with equal ids are one candidate, at its best score; ties of score go to smaller ids;
+    fewer than ``k`` candidates are all returned; an empty table gives no rows; further columns are not read.
     """
     rows = usable(vectors, id_col, vector_col)
     widths = sorted(x["n"] for x in rows.select(F.size("v").alias("n")).distinct().collect())
@@ -203,24 +243,32 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
 def candidates(rows: DataFrame, is_query, k: int) -> DataFrame | None:
     """Query, row and score of each query's best rows of each block; ``rows`` (id, v) have vectors of one length."""
     spark = rows.sparkSession
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE + HELD_OUT).collect()
-    router, probes = fit(np.array([x["v"] for x in sample]), k)
-    shared = spark.sparkContext.broadcast(router)
+    keyed = rows.withColumn("key", F.xxhash64("id"))
+    # Of rows with equal ids one is learned from; at most the sample's rows come to the driver.
+    few = within(keyed, "key", SAMPLE + HELD_OUT).groupBy("key").agg(F.min("v").alias("v"))
+    sample = sorted(few.collect(), key=lambda r: r["key"])
+    x = np.array([r["v"] for r in sample])
+    router = learned(x[: len(x) - held_rows(len(x))], PARTS)
+    share = np.bincount(router(x).argmax(1), minlength=router.weights[3].size) / len(x)
+    cells = Cells(router, inner_routers(keyed.where(F.col("key") > sample[-1]["key"]), router, share * rows.count()))
+    probes = probes_of(cells, cells.home, x, k)
+    shared = spark.sparkContext.broadcast(cells)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                part = pa.array(shared.value(matrix(batch.column("v"))).argmax(1).astype(np.int32))
+                part = pa.array(shared.value.home(matrix(batch.column("v"))).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([*batch.columns, part], ["id", "v", "part"])
 
-    index = saved(rows.mapInArrow(place, "id long, v array<double>, part int"), "vector-index")
+    index = saved(bounded_batches(rows).mapInArrow(place, "id long, v array<double>, part int"), "vector-index")
     # One row a partition comes to the driver.
     counts = {x["part"]: x["n"] for x in index.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    in_part = np.array([counts.get(p, 0) for p in range(router.weights[3].size)])
+    in_part = np.array([counts.get(p, 0) for p in range(cells.first[-1])])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
+        for whole in batches:
+            for a in range(0, len(whole), 512):
+                batch = whole[a : a + 512]
                 order = np.argsort(-shared.value(matrix(batch.column("v"))), axis=1)
                 held = np.cumsum(in_part[order], axis=1)
                 # Besides the probable ones, as many partitions as hold k candidates and the query itself.
@@ -233,7 +281,7 @@ def candidates(rows: DataFrame, is_query, k: int) -> DataFrame | None:
     blocks = [(p, -(-n // BLOCK_ROWS), -(-asked[p] // BLOCK_QUERIES)) for p, n in counts.items() if p in asked]
     if not blocks:
         return None
-    shape = F.broadcast(spark.createDataFrame(blocks, "part int, nr int, nq int"))  # at most PARTS rows
+    shape = F.broadcast(spark.createDataFrame(blocks, "part int, nr int, nq int"))  # at most PARTS * INNER rows
     pick = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = routed.join(shape, "part").withColumn("q", pick("nq")).withColumn("r", every("nr")).select("part", "q", "r", "id", "v")
@@ -249,5 +297,33 @@ def candidates(rows: DataFrame, is_query, k: int) -> DataFrame | None:
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(rank, "query_id long, vec_id long, score double")
 
 
+def inner_routers(rows: DataFrame, router: Router, expected: np.ndarray) -> dict[int, Router]:
+    """Networks for the partitions that are ``expected`` to hold more than ``PART_ROWS`` rows, each learned in a task."""
+    parts = {p: min(INNER, 1 << (int(-(-n // PART_ROWS)) - 1).bit_length()) for p, n in enumerate(expected) if n > PART_ROWS}
+    if not parts:
+        return {}
+    rate = {p: min(1.0, 1.5 * INNER_SAMPLE / expected[p]) for p in parts}
+    roll = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 40)) / (1 << 40)
+    shared = rows.sparkSession.sparkContext.broadcast(router)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                part = shared.value(matrix(batch.column("v"))).argmax(1)
+                keep = pa.array(batch.column("roll").to_numpy() < np.array([rate.get(p, 0) for p in range(len(expected))])[part])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(part.astype(np.int32))], ["id", "v", "part"]).filter(keep)
+
+    def learn(group: pd.DataFrame) -> pd.DataFrame:
+        p = int(group["part"].iloc[0])
+        own = learned(np.stack(group.sort_values("id")["v"].iloc[:INNER_SAMPLE]), parts[p])
+        return pd.DataFrame({"part": [p], "router": [pickle.dumps(own)]})
+
+    few = bounded_batches(rows).select("id", "v", roll.alias("roll")).where(F.col("roll") < max(rate.values()))
+    placed = few.mapInArrow(place, "id long, v array<double>, part int").groupBy("part", "id").agg(F.min("v").alias("v"))
+    # At most PARTS networks come to the driver.
+    found = placed.groupBy("part").applyInPandas(learn, "part int, router binary").collect()
+    return {x["part"]: pickle.loads(x["router"]) for x in found}
+
+
 def op1_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)

@@ -65,6 +65,37 @@ def test_recall_well_above_the_sample(spark):
     assert len(found) == 300 and recall >= 0.9
 
 
+def recall_of(spark, rows, ids, x, step):
+    found = defaultdict(set)
+    for r in neighbours.search(rows, F.col("id") % step == 0).collect():
+        found[r.query_id].add(r.vec_id)
+    expected = truth(ids, x, np.flatnonzero(ids % step == 0), 20)
+    return np.mean([len(found[q] & {v for v, _ in own}) / len(own) for q, own in expected.items()])
+
+
+def test_large_partitions_are_cut_once_more(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = (rng.normal(size=(300, 16))[rng.integers(0, 300, 30000)] + 0.4 * rng.normal(size=(30000, 16))).astype(np.float32)
+    rows = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(30000), "embedding": x.tolist()}), "vec_id long, embedding array<float>")
+    monkeypatch.setattr(neighbours, "PARTS", 8)
+    monkeypatch.setattr(neighbours, "PART_ROWS", 1000)
+    made = []
+    own = neighbours.Cells.__init__
+    monkeypatch.setattr(neighbours.Cells, "__init__", lambda self, router, inner: made.append(inner) or own(self, router, inner))
+    assert recall_of(spark, rows, np.arange(30000), x.astype(float), 100) >= 0.9
+    assert made and len(made[0]) == 8 and all(r.weights[3].size >= 4 for r in made[0].values())
+
+
+def test_recall_on_the_embeddings(spark):
+    sf = "/root/testdata/sf0.1"
+    data = pd.read_parquet(f"{sf}/embeddings.parquet")
+    data = data[[v is not None and len(v) > 0 and bool(np.isfinite(np.asarray(v, float)).all()) and bool(np.any(v)) for v in data["embedding"]]]
+    rows, ids = spark.read.parquet(f"{sf}/embeddings.parquet"), data["vec_id"].to_numpy()
+    recall = recall_of(spark, rows, ids, np.stack(data["embedding"]).astype(float), 20)
+    print(f"recall {recall:.3f}")
+    assert recall >= 0.9
+
+
 def test_search_covers_vectors_of_every_length(spark):
     data = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [2.0, 0.0]), (20, [1.0, 2.0, 3.0]), (21, [1.0, 0.0, 0.0]), (40, [1.0])]
     rows = spark.createDataFrame(data, "vec_id long, embedding array<float>")
