@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import bounded_batches
 
 BLOCKS = 16
+#: Groups of tasks whose tables are folded before those of all tasks meet.
+GROUPS = 64
+BLOCK = "block int, counts binary"
 
 
 def batch_of(columns: dict[str, pa.Array]) -> pa.RecordBatch:
@@ -14,17 +22,28 @@ def batch_of(columns: dict[str, pa.Array]) -> pa.RecordBatch:
 
 
 def merged_blocks(parts: DataFrame, how: np.ufunc, kind: str) -> np.ndarray:
-    """The table, combined by ``how`` from rows of ``block`` and ``counts``; its size bounds what is collected."""
-
-    def merge(group):
-        total = None
-        for x in group["counts"]:
-            x = np.frombuffer(x, kind)
-            total = x.copy() if total is None else how(total, x)
-        return group.iloc[:1].assign(counts=[total.tobytes()])
-
-    rows = parts.select("block", "counts").groupBy("block").applyInPandas(merge, "block int, counts binary").collect()
-    return np.frombuffer(b"".join(bytes(x["counts"]) for x in sorted(rows, key=lambda x: x["block"])), kind)
+    """The table, combined by ``how`` from rows of ``block`` and ``counts``; its size bounds what is collected.
+
+    Rows are folded as they stream by, first in groups of the tasks that wrote them and then by block, so that a
+    task holds one table whatever the number of rows.
+    """
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = np.frombuffer(counts.as_py(), kind)
+                if block in totals:
+                    how(totals[block], x, out=totals[block])
+                else:
+                    totals[block] = x.copy()
+        if totals:
+            yield batch_of({"block": pa.array(totals, pa.int32()), "counts": pa.array([x.tobytes() for x in totals.values()], pa.binary())})
+
+    rows = bounded_batches(parts).select("block", "counts", (F.spark_partition_id() % GROUPS).alias("group"))
+    grouped = rows.repartition("block", "group").sortWithinPartitions("block", "group").select("block", "counts").mapInArrow(fold, BLOCK)
+    found = grouped.repartition("block").mapInArrow(fold, BLOCK).collect()
+    return np.frombuffer(b"".join(bytes(x["counts"]) for x in sorted(found, key=lambda x: x["block"])), kind)
 
 
 def block_batch(table: np.ndarray, kind: str) -> pa.RecordBatch:

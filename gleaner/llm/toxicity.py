@@ -3,7 +3,7 @@
 Tokens are runs of letters and digits. Labels are given by document, so tokens are labelled first: in
 toxic documents, those with a feature (word or beginning of a word) that labelled toxic documents have
 and clean ones lack. The field has two tags and features of the word, its beginnings and its end; it is
-fitted by stochastic gradient on a bounded sample. Forward-backward runs over whole texts, and a
+fitted by stochastic gradient on a bounded sample of documents, in shards whose weights are averaged. Forward-backward runs over whole texts, and a
 logistic layer turns the sum and maximum of the marginals into the document's score.
 """
 
@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import batch_of
-from .common import bounded_batches, table
+from .blocks import BLOCK, batch_of, block_batch, merged_blocks
+from .common import bounded_batches, saved, table
 from .shingles import BYTES, PLACES, mixed, text_arrays
 
 BUCKETS = 1 << 20
@@ -26,8 +26,12 @@ BUCKETS = 1 << 20
 FIT_DOCS = 2000
 #: Tokens of a fitted segment; scoring has no such bound.
 SEGMENT = 256
-#: Tokens whose marginals the fit of the document layer holds at once.
-GROUP = 1 << 16
+#: Segments of one step of the fit, its passes, rate and decay, and bytes of text that a task passes over at most.
+STEP = 64
+EPOCHS = 4
+RATE = 0.5
+DECAY = 1e-4
+SHARD_BYTES = 1 << 21
 THRESHOLD = 0.7
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
 FEATURES = 2 + len(BEGINNINGS)
@@ -122,137 +126,213 @@ class Field:
         both = ahead * behind / np.stack([np.ones(len(odds)), odds], 1)
         return both[:, 1] / both.sum(1)
 
-    def document(self, p: np.ndarray, text: np.ndarray) -> np.ndarray:
-        """Scores of texts from their tokens' marginals; ``text`` has each text's first token and the end."""
+    def marginals_of(self, x: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """Marginals of the tokens of texts; ``text`` has each text's first token and the end."""
+        reset = np.zeros(len(x), bool)
+        reset[text[:-1][np.diff(text) > 0]] = True
+        return self.marginals(self.weights[x].sum(1, dtype=np.float64), reset)
+
+    def summed(self, p: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sum and maximum of each text's marginals."""
         total, most = np.zeros(len(text) - 1), np.zeros(len(text) - 1)
         full = np.flatnonzero(np.diff(text))
         if len(full):
             total[full] = np.add.reduceat(p, text[full])
             most[full] = np.maximum.reduceat(p, text[full])
+        return total, most
+
+    def document(self, p: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """Scores of texts from their tokens' marginals."""
+        total, most = self.summed(p, text)
         z = self.layer @ np.stack([np.ones(len(total)), np.log1p(total), most])
         return 1 / (1 + np.exp(-z))
 
 
-def token_labels(docs: list[np.ndarray], toxic: np.ndarray) -> list[np.ndarray]:
-    """Labels of the documents' tokens (feature buckets): see the module's docstring."""
-    df = np.zeros((2, BUCKETS), np.int64)
-    for x, y in zip(docs, toxic, strict=True):
-        df[int(y), np.unique(x[:, :-1])] += 1
-    n = np.maximum(1, np.bincount(toxic.astype(int), minlength=2))
-    marked = (df[1] >= min(SUPPORT, max(2, n[1] // 20))) & (df[1] / n[1] > RATIO * (df[0] + 0.5) / n[0])
-    return [marked[x[:, :-1]].any(1) & bool(y) for x, y in zip(docs, toxic, strict=True)]
-
-
-def train(docs: list[np.ndarray], toxic: np.ndarray, epochs: int = 6, rate: float = 0.5, decay: float = 1e-4) -> Field:
-    """Fits the field by AdaGrad on the log-likelihood of the token labels, then the document layer."""
-    model = Field()
-    if not len(docs) or toxic.all() or not toxic.any():
-        return model
-    labels = token_labels(docs, toxic)
-    pieces = [(x[a : a + SEGMENT], y[a : a + SEGMENT]) for x, y in zip(docs, labels, strict=True) for a in range(0, len(x), SEGMENT)]
-    squares, rng = np.full(BUCKETS, 1e-3), np.random.default_rng(13)
-    step_squares, start_squares = np.full((2, 2), 1e-3), np.full(2, 1e-3)
-    for _ in range(epochs):
-        order = rng.permutation(len(pieces))
-        for part in np.array_split(order, max(1, len(order) // 256)):
-            x, y = np.concatenate([pieces[i][0] for i in part]), np.concatenate([pieces[i][1] for i in part])
-            reset = np.zeros(len(x), bool)
-            reset[np.cumsum([0, *(len(pieces[i][0]) for i in part[:-1])])] = True
-            score = model.weights[x].sum(1, dtype=np.float64)
-            odds, step = np.exp(np.clip(score, -30, 30)), np.exp(model.step)
-            ahead = messages(odds, reset, step, np.exp(model.start))
-            last = np.append(reset[1:], True)
-            behind = messages(odds[::-1], last[::-1], step.T, np.ones(2))[::-1]
-            both = ahead * behind / np.stack([np.ones(len(odds)), odds], 1)
-            p = both[:, 1] / both.sum(1)
-            error = (p - y) / len(part)
-            slope = np.bincount(x.ravel(), np.repeat(error, x.shape[1]), BUCKETS)
-            used = np.flatnonzero(slope)
-            slope[used] += decay * model.weights[used]
-            squares[used] += slope[used] ** 2
-            model.weights[used] -= rate * slope[used] / np.sqrt(squares[used])
-            inner = np.flatnonzero(~reset)
-            pair = ahead[inner - 1][:, :, None] * step[None] * behind[inner][:, None, :]
-            pair /= pair.sum((1, 2), keepdims=True)
-            true = np.bincount(y[inner - 1] * 2 + y[inner], minlength=4).reshape(2, 2)
-            g = (pair.sum(0) - true) / len(part)
-            step_squares += g**2
-            model.step -= rate * g / np.sqrt(step_squares)
-            head = np.flatnonzero(reset)
-            g = (np.array([(1 - p[head]).sum(), p[head].sum()]) - np.bincount(y[head].astype(int), minlength=2)) / len(part)
-            start_squares += g**2
-            model.start -= rate * g / np.sqrt(start_squares)
-    # The document layer: Newton steps on the logistic likelihood with a small ridge.
-    total, most = np.zeros(len(docs)), np.zeros(len(docs))
-    ends = np.cumsum([0, *map(len, docs)])
-    # Groups of whole texts, so that memory follows the longest text and not all of them.
-    for group in np.split(np.arange(len(docs)), np.flatnonzero(np.diff(ends[1:] // GROUP)) + 1):
-        score = np.concatenate([model.weights[docs[i]].sum(1, dtype=np.float64) for i in group])
-        own = ends[group[0] : group[-1] + 2] - ends[group[0]]
-        reset = np.zeros(len(score), bool)
-        reset[own[:-1][np.diff(own) > 0]] = True
-        p = model.marginals(score, reset)
-        for i, a, b in zip(group, own, own[1:], strict=False):
-            total[i], most[i] = p[a:b].sum(), p[a:b].max(initial=0)
-    x, w = np.stack([np.ones(len(total)), np.log1p(total), most], 1), np.zeros(3)
+def segments(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """Index and feature buckets (tokens x FEATURES) of every text."""
+    for base, data, starts in text_arrays(column):
+        x, text, _, _ = tokens(data, starts)
+        for i in range(len(text) - 1):
+            yield base + i, x[text[i] : text[i + 1]]
+
+
+def marked_features(sample: DataFrame) -> np.ndarray:
+    """The buckets that mark tokens of toxic documents: see the module's docstring."""
+    size = {int(x["toxic"]): x["count"] for x in sample.groupBy("toxic").count().collect()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros((2, BUCKETS), np.uint32)
+        for batch in batches:
+            toxic = batch.column(1).to_pylist()
+            for i, x in segments(batch.column(0)):
+                df[int(toxic[i]), np.unique(x[:, :-1])] += 1
+        yield block_batch(df.ravel(), "<u4")
+
+    df = merged_blocks(sample.select("text", "toxic").mapInArrow(run, BLOCK), np.add, "<u4").reshape(2, -1).astype(np.int64)
+    clean, bad = max(1, size.get(0, 0)), max(1, size.get(1, 0))
+    return (df[1] >= min(SUPPORT, max(2, bad // 20))) & (df[1] / bad > RATIO * (df[0] + 0.5) / clean)
+
+
+def descend(model: Field, squares: np.ndarray, small: np.ndarray, part: list[tuple[np.ndarray, np.ndarray]]) -> None:
+    """One AdaGrad step on the likelihood of the token labels of ``part``; changes its arguments.
+
+    ``squares`` sums squared slopes by bucket, ``small`` those of transitions and starts.
+    """
+    x, y = np.concatenate([a for a, _ in part]), np.concatenate([b for _, b in part])
+    reset = np.zeros(len(x), bool)
+    reset[np.cumsum([0, *(len(a) for a, _ in part[:-1])])] = True
+    score = model.weights[x].sum(1, dtype=np.float64)
+    odds, step = np.exp(np.clip(score, -30, 30)), np.exp(model.step)
+    ahead = messages(odds, reset, step, np.exp(model.start))
+    last = np.append(reset[1:], True)
+    behind = messages(odds[::-1], last[::-1], step.T, np.ones(2))[::-1]
+    both = ahead * behind / np.stack([np.ones(len(odds)), odds], 1)
+    p = both[:, 1] / both.sum(1)
+    error = (p - y) / len(part)
+    slope = np.bincount(x.ravel(), np.repeat(error, x.shape[1]), BUCKETS)
+    used = np.flatnonzero(slope)
+    slope = slope[used] + DECAY * model.weights[used]
+    squares[used] += slope**2
+    model.weights[used] -= RATE * slope / np.sqrt(squares[used])
+    inner = np.flatnonzero(~reset)
+    pair = ahead[inner - 1][:, :, None] * step[None] * behind[inner][:, None, :]
+    pair /= pair.sum((1, 2), keepdims=True)
+    true = np.bincount(y[inner - 1] * 2 + y[inner], minlength=4).reshape(2, 2)
+    g = (pair.sum(0) - true) / len(part)
+    small[:4] += g.ravel() ** 2
+    model.step -= RATE * g / np.sqrt(small[:4].reshape(2, 2))
+    head = np.flatnonzero(reset)
+    g = (np.array([(1 - p[head]).sum(), p[head].sum()]) - np.bincount(y[head].astype(int), minlength=2)) / len(part)
+    small[4:] += g**2
+    model.start -= RATE * g / np.sqrt(small[4:])
+
+
+def train_field(sample: DataFrame, marked: np.ndarray, shards: int) -> Field:
+    """Fits the field in ``EPOCHS`` passes over ``sample`` (text, toxic, key).
+
+    A pass is one job: every shard descends from the same weights, text after text, holding one batch of
+    segments, and the changes are averaged over the shards that made them.
+    """
+    spark = sample.sparkSession
+    model, squares, small = Field(), np.full(BUCKETS, 1e-3, np.float32), np.full(6, 1e-3)
+    for epoch in range(EPOCHS):
+        held = spark.sparkContext.broadcast((np.packbits(marked), model, squares, small))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits, before, old, old_small = held.value
+            marks = np.unpackbits(bits).astype(bool)
+            own, sums, own_small = Field(before.weights.copy(), before.step.copy(), before.start.copy()), old.copy(), old_small.copy()
+            part: list[tuple[np.ndarray, np.ndarray]] = []
+            for batch in batches:
+                toxic = batch.column(1).to_pylist()
+                for i, x in segments(batch.column(0)):
+                    y = marks[x[:, :-1]].any(1) & bool(toxic[i])
+                    for a in range(0, len(x), SEGMENT):
+                        part.append((x[a : a + SEGMENT], y[a : a + SEGMENT]))
+                        if len(part) == STEP:
+                            descend(own, sums, own_small, part)
+                            part = []
+            if part:
+                descend(own, sums, own_small, part)
+            change, more = own.weights - before.weights, sums - old
+            used = np.flatnonzero(more)
+            # After the buckets come the numbers of transitions and starts.
+            rest = np.concatenate([(own.step - before.step).ravel(), own.start - before.start])
+            at = np.append(used, BUCKETS + np.arange(6))
+            yield batch_of({"bucket": pa.array(at.astype(np.int32)), "change": pa.array(np.append(change[used], rest)), "square": pa.array(np.append(more[used], own_small - old_small))})
+
+        dealt = sample.repartition(shards, "key").sortWithinPartitions(F.xxhash64("key", F.lit(epoch)), "key").select("text", "toxic")
+        changes = dealt.mapInArrow(run, "bucket int, change double, square double")
+        # At most a row a bucket comes to the driver.
+        rows = changes.groupBy("bucket").agg(F.avg("change").alias("change"), F.sum("square").alias("square")).toArrow()
+        at, change, square = (x.to_numpy() for x in rows.columns)
+        word, new = at < BUCKETS, np.zeros((2, 6))
+        model = Field(model.weights.copy(), model.step, model.start)
+        squares = squares.copy()
+        model.weights[at[word]] += change[word]
+        squares[at[word]] += square[word]
+        new[:, at[~word] - BUCKETS] = change[~word], square[~word]
+        model.step, model.start, small = model.step + new[0, :4].reshape(2, 2), model.start + new[0, 4:], small + new[1]
+        held.destroy()
+    return model
+
+
+def document_layer(sample: DataFrame, model: Field) -> np.ndarray:
+    """Logistic weights over sum and maximum of each document's marginals: Newton steps with a small ridge."""
+    shared = sample.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for base, data, starts in text_arrays(batch.column(0)):
+                x, text, _, _ = tokens(data, starts)
+                total, most = shared.value.summed(shared.value.marginals_of(x, text), text)
+                n = len(total)
+                yield batch_of({"total": pa.array(total), "most": pa.array(most), "toxic": batch.column(1)[base : base + n].cast(pa.int32()), "key": batch.column(2)[base : base + n]})
+
+    # A few numbers a sampled document come to the driver.
+    rows = sample.select("text", "toxic", "key").mapInArrow(run, "total double, most double, toxic int, key long").collect()
+    x = np.array([(1.0, np.log1p(r["total"]), r["most"]) for r in sorted(rows, key=lambda r: r["key"])])
+    y, w = np.array([r["toxic"] for r in sorted(rows, key=lambda r: r["key"])]), np.zeros(3)
     for _ in range(50):
         q = 1 / (1 + np.exp(-x @ w))
-        w -= np.linalg.solve((x.T * (q * (1 - q) + 1e-9)) @ x + 0.5 * np.eye(3), x.T @ (q - toxic) + 0.5 * w)
-    model.layer = w
-    return model
+        w -= np.linalg.solve((x.T * (q * (1 - q) + 1e-9)) @ x + 0.5 * np.eye(3), x.T @ (q - y) + 0.5 * w)
+    return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, learns: Column, fit_docs: int = FIT_DOCS) -> Field:
-    """Learns from rows of ``labels`` (doc_id, toxic) for which ``learns`` holds and their texts in ``docs``.
+def sampled(docs: DataFrame, labels: DataFrame, learns: Column, fit_docs: int = FIT_DOCS) -> DataFrame:
+    """text, toxic (0 or 1) and key of the documents learned from: ``fit_docs`` of each label, by hash, at most.
 
-    Of rows with equal doc_id one text is learned from, so that ``fit_docs`` bounds the rows too.
+    Of rows with equal doc_id one text is taken, so that ``fit_docs`` bounds the rows too.
     """
-    marks = labels.where(learns & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    marks = labels.where(learns & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     by_hash = F.xxhash64("doc_id")
     picked = [marks.where(F.col("toxic") == k).orderBy(by_hash, "doc_id").limit(fit_docs) for k in (0, 1)]
     few = F.broadcast(picked[0].union(picked[1]))  # at most 2 * fit_docs rows
+    joined = docs.select("doc_id", "text").where("text is not null").join(few, "doc_id")
+    texts = joined.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    return saved(texts.select("text", "toxic", F.xxhash64("doc_id").alias("key")), "toxicity-sample")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for base, data, starts in text_arrays(batch.column(0)):
-                x, text, _, _ = tokens(data, starts)
-                raw = [x[a:b].astype("<u4").tobytes() for a, b in zip(text, text[1:], strict=False)]
-                yield batch_of({"x": pa.array(raw, pa.binary()), "toxic": batch.column(1)[base : base + len(raw)]})
 
-    joined = bounded_batches(docs).select("doc_id", "text").where("text is not null").join(few, "doc_id")
-    texts = joined.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").cast("int").alias("toxic")).select("text", "toxic")
-    found = sorted((bytes(x["x"]), x["toxic"]) for x in texts.mapInArrow(run, "x binary, toxic int").collect())
-    return train([np.frombuffer(x, "<u4").reshape(-1, FEATURES) for x, _ in found], np.array([y for _, y in found]) > 0)
+def fit(docs: DataFrame, labels: DataFrame, learns: Column, fit_docs: int = FIT_DOCS) -> Field:
+    """Learns from rows of ``labels`` (doc_id, toxic) for which ``learns`` holds and their texts in ``docs``.
+
+    The sample's whole texts are learned from; it stays a table that tasks stream, so that neither driver nor
+    task holds more of it than a batch. Labels of one kind only, or none, give the field that finds nothing toxic.
+    """
+    sample = sampled(bounded_batches(docs), labels, learns, fit_docs)
+    seen = sample.agg(F.min("toxic").alias("least"), F.max("toxic").alias("most"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    if seen["least"] == seen["most"]:
+        return Field()
+    model = train_field(sample, marked_features(sample), -(-seen["bytes"] // SHARD_BYTES))
+    model.layer = document_layer(sample, model)
+    return model
 
 
 def score(docs: DataFrame, model: Field, *keep: str, spans: bool = True) -> DataFrame:
     """Columns ``keep`` of ``docs`` with ``score`` and, if asked for, ``spans`` of toxic tokens.
 
-    Spans are half-open character offsets. Null and empty texts have no tokens and the score of none;
+    Spans are half-open character offsets, one a token; equal texts score alike, so ties stay ties;
+    texts of any length are read whole, each as one chain. Null and empty texts have no tokens and the score of none;
     repeated rows are scored alike; an empty table gives no rows; columns not kept cannot clash.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = bounded_batches(docs).select(F.struct(*keep).alias("row"), F.col("text").alias("t"))
     kind = rows.schema["row"].dataType.simpleString()
-    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for base, data, starts in text_arrays(batch.column(1)):
                 x, text, begin, end = tokens(data, starts)
-                reset = np.zeros(len(x), bool)
-                reset[text[:-1][np.diff(text) > 0]] = True
-                p = shared.value.marginals(shared.value.weights[x].sum(1, dtype=np.float64), reset)
+                p = shared.value.marginals_of(x, text)
                 n = len(text) - 1
                 columns = {"row": batch.column(0)[base : base + n], "score": pa.array(shared.value.document(p, text))}
                 if spans:
                     before = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # characters before each byte
-                    found = []
-                    for i in range(n):
-                        hit = text[i] + np.flatnonzero(p[text[i] : text[i + 1]] > 0.5)
-                        a, b = before[begin[hit]] - before[starts[i]], before[end[hit]] - before[starts[i]]
-                        found.append([{"start": s, "end": e} for s, e in zip(a.tolist(), b.tolist(), strict=True)])
-                    columns["spans"] = pa.array(found, span)
+                    hit = np.flatnonzero(p > 0.5)
+                    of = np.searchsorted(text, hit, "right") - 1
+                    a, b = before[begin[hit]] - before[starts[of]], before[end[hit]] - before[starts[of]]
+                    ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))]).astype(np.int32)
+                    columns["spans"] = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["start", "end"]))
                 yield batch_of(columns)
 
     schema = f"row {kind}, score double" + (", spans array<struct<start: long, end: long>>" if spans else "")
@@ -266,5 +346,5 @@ def held_out() -> Column:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"), ~held_out())
-    found = score(docs, model, "doc_id", spans=False)
-    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    found = score(docs, model, "doc_id")
+    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "spans")

@@ -108,10 +108,32 @@ def test_toxic_documents_and_spans(spark):
     assert toxicity.score(table.limit(0), model, "doc_id").count() == 0
 
 
-def test_repeated_ids_are_learned_once(spark, monkeypatch):
-    docs = spark.createDataFrame([(1, f"idiot {i}") for i in range(500)] + [(2, "clean words"), (2, "clean words")], "doc_id long, text string")
-    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
-    seen = []
-    monkeypatch.setattr(toxicity, "train", lambda docs, toxic: seen.append((len(docs), toxic.tolist())))
-    toxicity.fit(docs, labels, F.lit(True))
-    assert [(n, sorted(y)) for n, y in seen] == [(2, [False, True])]
+def test_repeated_ids_are_learned_once(spark):
+    docs = spark.createDataFrame([(1, f"idiot {i}") for i in range(500)] + [(2, "clean words"), (2, "clean words"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (None, 1)], "doc_id long, toxic int")
+    rows = toxicity.sampled(docs, labels, F.lit(True)).collect()
+    assert sorted((r.toxic, r.text) for r in rows) == [(0, "clean words"), (1, "idiot 0")]
+    assert toxicity.fit(docs, labels.where("toxic = 1"), F.lit(True)).layer.tolist() == toxicity.Field().layer.tolist()
+
+
+def test_shards_of_any_number_learn_the_same_words(spark):
+    rows = made(400, 5)
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    sample = toxicity.sampled(docs, labels, F.lit(True))
+    marked = toxicity.marked_features(sample)
+    words = np.frombuffer(b"idiot abcde moron", np.uint8)
+    x, *_ = toxicity.tokens(words, np.array([0, len(words)]))
+    for shards in (1, 3):
+        weights = toxicity.train_field(sample, marked, shards).weights[x].sum(1)
+        assert weights[0] > 1 > weights[1] and weights[2] > 1
+
+
+def test_held_out_toxicity_of_the_tables(spark):
+    sf = "/root/testdata/sf0.01"
+    truth = spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null")
+    found = toxicity.op10_toxicity(spark, sf).join(truth, "doc_id").where("held_out").collect()
+    score, toxic = np.array([r.score for r in found]), np.array([r.toxic for r in found]) > 0
+    above = (score[toxic][:, None] > score[~toxic][None]) + 0.5 * (score[toxic][:, None] == score[~toxic][None])
+    assert above.mean() > 0.85
+    assert np.mean([r.predicted for r in found if not r.toxic]) < 0.05
+    assert all((r.score >= 0.7) == (r.predicted == 1) for r in found)
