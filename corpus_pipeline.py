@@ -16,7 +16,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score stays below the threshold; learned from all labels of kept rows."""
+    """Documents whose toxicity score stays below the threshold; learned from all labels of kept rows.
+
+    Null and empty texts score as clean, repeated rows alike; without labels of both kinds, or rows, all stay.
+    """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), F.lit(True))
     found = toxicity.score(docs, model, *COLUMNS, spans=False)
     return found.where(F.col("score") < toxicity.THRESHOLD).select(*COLUMNS)
@@ -44,8 +47,9 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that shares 80 % of five-word shingles: that of smallest doc_id.
 
-    A group's row stays if its doc_id names the group, and so do rows without a doc_id that are alone. Of
-    rows with equal doc_id and text one stays.
+    A group's row stays if its doc_id names the group, and so do rows of groups without any doc_id. Of rows with
+    equal doc_id and text one stays, that of smallest further columns. Null and empty texts are near no other; an
+    empty table gives no rows.
     """
     groups = jaccard.jaccard_components(docs, 5, 80)
     named = groups.where(F.col("component_id").isNull() | (F.col("component_id") == F.col("doc_id"))).select("doc_id").distinct()
@@ -54,11 +58,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     if not repeated.take(1):
         return kept
     again = F.col("doc_id").eqNullSafe(F.col("_id"))
-    return kept.join(repeated, again, "left_anti").union(kept.join(repeated, again, "left_semi").dropDuplicates(["doc_id", "text"]))
+    rest = F.struct(*(c for c in COLUMNS if c not in ("doc_id", "text")))
+    once = kept.join(repeated, again, "left_semi").groupBy("doc_id", "text").agg(F.min(rest).alias("_rest")).select("doc_id", "text", "_rest.*")
+    return kept.join(repeated, again, "left_anti").union(once.select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix as rows: a document once for each epoch that takes it whole, and its taken words at the cut."""
+    """The mix as rows: a document once for each epoch that takes it whole, and its taken words at the cut.
+
+    Documents without words weigh nothing and are left out; rows repeated are dealt each for itself; an empty table
+    gives no rows.
+    """
     mixed = mixing.mix(docs.select(*COLUMNS), mixing.n_words(F.col("text")))
     size, taken = F.col("size"), F.col("taken")
     whole = F.when(size > 0, F.expr("cast(taken div size as int)")).otherwise(0)
@@ -77,7 +87,7 @@ def first_words(text, n):
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all rows with their places in windows of 1024 ids."""
+    """Pieces of all rows with their places in windows of 1024 ids; a null text is its end id alone."""
     return packing.pack(docs, keep_ids=False)
 
 
