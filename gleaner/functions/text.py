@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,8 +14,66 @@ _WORD = "[0-9A-Za-z_]"
 _EDGE = f"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
 
 
+_BEFORE, _AFTER = f"(?<!{_WORD})", f"(?!{_WORD})"
+
+
+def _group(pattern: str, i: int) -> list[str]:
+    """The alternatives of the group that opens at ``i``, and what follows it as the last item."""
+    depth, start, parts, inside, k = 0, i, [], False, i
+    while k < len(pattern):
+        c = pattern[k]
+        if c == "\\":
+            k += 2
+            continue
+        if inside:
+            inside = c != "]"
+        elif c == "[":
+            inside = True
+        elif c == "(":
+            depth += 1
+            if depth == 1:
+                start = k + (3 if pattern.startswith("(?:", k) else 1)
+        elif c == ")":
+            depth -= 1
+            if not depth:
+                return [*parts, pattern[start:k], pattern[k + 1 :]]
+        elif c == "|" and depth == 1:
+            parts.append(pattern[start:k])
+            start = k + 1
+        k += 1
+    return [*parts, pattern[start:], ""]
+
+
+def _starts_word(pattern: str) -> bool:
+    """Whether all that the pattern matches starts with a word character."""
+    if pattern.startswith("("):
+        *parts, rest = _group(pattern, 0)
+        return rest[:1] not in ("?", "*", "{") and not parts[0].startswith("?") and all(map(_starts_word, parts))
+    literal = re.match(r"[0-9A-Za-z_]|\\w", pattern)
+    return bool(literal) and pattern[literal.end() : literal.end() + 1] not in ("?", "*", "{")
+
+
+def _ends_word(pattern: str) -> bool:
+    """Whether all that the pattern matches ends with a word character."""
+    if pattern.endswith(")") and not pattern.endswith("\\)"):
+        depth = 0
+        for k in range(len(pattern) - 1, -1, -1):
+            if pattern[k - 1 : k] == "\\" or "[" in pattern:  # escapes and classes: leave it to the full edge
+                return False
+            depth += (pattern[k] == ")") - (pattern[k] == "(")
+            if not depth:
+                parts = _group(pattern, k)[:-1]
+                return not parts[0].startswith("?") and all(map(_ends_word, parts))
+        return False
+    return pattern.endswith("\\w") or bool(re.search(r"(?:^|[^\\])[0-9A-Za-z_]$", pattern))
+
+
 def java(pattern: str) -> str:
-    """An RE2 pattern in Java's dialect: ASCII word edges and blanks, ``$`` at the very end, ``.`` all but newline."""
+    """An RE2 pattern in Java's dialect: ASCII word edges and blanks, ``$`` at the very end, ``.`` all but newline.
+
+    Where what follows (or precedes) a word edge is always a word character, one look-behind (or look-ahead) is the
+    same and quicker.
+    """
     out, i, inside = [], 0, False
     while i < len(pattern):
         two, c = pattern[i : i + 2], pattern[i]
@@ -22,7 +82,8 @@ def java(pattern: str) -> str:
             i += 11
             continue
         if c == "\\":
-            out.append({r"\b": _EDGE, r"\s": r"\t\n\f\r " if inside else r"[\t\n\f\r ]"}.get(two, two))
+            edge = _BEFORE if _starts_word(pattern[i + 2 :]) else _AFTER if _ends_word(pattern[:i]) else _EDGE
+            out.append({r"\b": edge, r"\s": r"\t\n\f\r " if inside else r"[\t\n\f\r ]"}.get(two, two))
             i += 2
             continue
         if c in "[]":
@@ -32,6 +93,11 @@ def java(pattern: str) -> str:
     return "(?d)" + "".join(out)
 
 
+def literal(value: str) -> str:
+    """A string as it stands in SQL."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def matches(text: Column, pattern: str) -> Column:
     return text.rlike(java(pattern))
 
@@ -79,9 +145,26 @@ def test_guards(path: Column) -> dict[str, Column]:
     }
 
 
-def violation_hash(rule: Column, path: Column, line: Column, code: Column) -> Column:
-    """SHA-256 of rule, path, line and code, a line each."""
-    return F.sha2(F.concat_ws("\n", trimmed(rule), path, line.cast("string"), trimmed(code)), 256)
+def clean_path(path: Column, root: str = "") -> Column:
+    """The shortest equal path, relative to ``root`` if it lies below it, without a leading ``./``."""
+
+    def step(done: Column, x: Column) -> Column:
+        up = (x == "..") & (F.size(done) > 0) & (F.coalesce(F.element_at(done, -1), F.lit("")) != "..")
+        return F.when((x == "") | (x == "."), done).when(up, F.slice(done, F.lit(1), F.size(done) - 1)).when((x == "..") & path.startswith("/"), done).otherwise(F.concat(done, F.array(x)))
+
+    parts = F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+    out = F.when(path.startswith("/"), F.concat(F.lit("/"), parts)).when(parts == "", ".").otherwise(parts)
+    if root:
+        top = root.rstrip("/")
+        while top.startswith("./"):
+            top = top[2:]
+        out = F.when(out == top, ".").when(F.startswith(out, F.lit(top + "/")), F.substring(out, F.lit(len(top) + 2), F.length(out))).otherwise(out)
+    return out
+
+
+def violation_hash(rule: Column, path: Column, line: Column, code: Column, root: str = "") -> Column:
+    """SHA-256 of rule, path (cleaned and counted from ``root``), line and code, a line each."""
+    return F.sha2(F.concat_ws("\n", trimmed(rule), clean_path(path, root), line.cast("string"), trimmed(code)), 256)
 
 
 #: Words that code patterns keep; every other identifier becomes ``id``.

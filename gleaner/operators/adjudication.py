@@ -51,21 +51,35 @@ def within_budget(calls: DataFrame, budget: float, *order: str) -> DataFrame:
     return calls.withColumn("spent", spent).withColumn("allowed", F.col("spent") < budget)
 
 
+def confidence_step(state: Column, x: Column) -> Column:
+    """The state (decision, confidence, seen) of a pattern after one more decision.
+
+    An equal decision raises the confidence, another one halves it and starts the count anew.
+    """
+    given = F.when(F.coalesce(x["confidence"], F.lit(0.0)) > 0, F.least(x["confidence"], F.lit(1.0))).otherwise(F.lit(FIRST))
+    again = state["decision"] == x["decision"]
+    confidence = F.when(state["decision"].isNull(), given).when(again, F.least(F.lit(1.0), state["confidence"] + UP)).otherwise(F.greatest(F.lit(FLOOR), state["confidence"] * DOWN))
+    return F.struct(x["decision"].alias("decision"), confidence.alias("confidence"), F.when(again, state["seen"] + 1).otherwise(1).alias("seen"))
+
+
 def folded_confidence(precedents: DataFrame) -> DataFrame:
     """Confidence and count of (rule_id, pattern_hash) after all its decisions in order of ``ord``.
 
-    An equal decision raises the confidence, another one halves it and starts the count anew.
+    Within a run of equal decisions the confidence has a closed form, so decisions are first summed up by run; a row
+    then holds a pattern's runs, about 50 bytes each, and only changes of mind lengthen it.
     """
-    steps = F.array_sort(F.collect_list(F.struct("ord", "decision", "confidence")))
+    order = Window.partitionBy("rule_id", "pattern_hash").orderBy("ord")
+    rows = precedents.select("rule_id", "pattern_hash", "ord", "decision", "confidence", (~F.col("decision").eqNullSafe(F.lag("decision").over(order))).cast("int").alias("new"))
+    rows = rows.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = rows.groupBy("rule_id", "pattern_hash", "run").agg(F.min_by("decision", "ord").alias("decision"), F.min_by("confidence", "ord").alias("confidence"), F.count("*").cast("int").alias("n"))
+    steps = F.array_sort(F.collect_list(F.struct("run", "decision", "confidence", "n")))
     start = F.struct(F.lit(None).cast("string").alias("decision"), F.lit(0.0).alias("confidence"), F.lit(0).alias("seen"))
 
     def step(state: Column, x: Column) -> Column:
-        given = F.when(F.coalesce(x["confidence"], F.lit(0.0)) > 0, F.least(x["confidence"], F.lit(1.0))).otherwise(F.lit(FIRST))
-        again = state["decision"] == x["decision"]
-        confidence = F.when(state["decision"].isNull(), given).when(again, F.least(F.lit(1.0), state["confidence"] + UP)).otherwise(F.greatest(F.lit(FLOOR), state["confidence"] * DOWN))
-        return F.struct(x["decision"].alias("decision"), confidence.alias("confidence"), F.when(again, state["seen"] + 1).otherwise(1).alias("seen"))
+        first = confidence_step(state, x)
+        return F.struct(x["decision"].alias("decision"), F.least(F.lit(1.0), first["confidence"] + UP * (x["n"] - 1)).alias("confidence"), x["n"].alias("seen"))
 
-    grouped = precedents.groupBy("rule_id", "pattern_hash").agg(F.aggregate(steps, start, step).alias("s"))
+    grouped = runs.groupBy("rule_id", "pattern_hash").agg(F.aggregate(steps, start, step).alias("s"))
     return grouped.select("rule_id", "pattern_hash", "s.decision", F.round("s.confidence", 9).alias("confidence"), F.col("s.seen").alias("seen_count"))
 
 

@@ -14,10 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .line_rules import JS, LineRule, described, line_findings
-from .python_rules import numbered, some
+from .line_rules import JS, LineRule, described, line_findings, of_extensions
+from .python_rules import NOWHERE, numbered, place, some
 
-BLOCKS = "path string, line int, last int, header string, kids array<struct<text:string,line:int>>, body string, function string, in_loop boolean, later array<struct<text:string,line:int>>"
+#: A statement: its text, line, that line of the source and the one above it.
+STATEMENT = "struct<text:string,line:int,code:string,above:string>"
+BLOCKS = f"path string, line int, code string, last int, header string, kids array<{STATEMENT}>, deep array<{STATEMENT}>, body string, function string, in_loop boolean, later array<{STATEMENT}>"
 HIDDEN = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?|`(?:[^`\\]|\\.)*`?", re.S)
 LOOP = re.compile(r"^(?:for|while|do)\b")
 CALLABLE = re.compile(r"\bfunc\b|\bfunction\b|=>\s*$")
@@ -29,12 +31,13 @@ def masked(source: str) -> str:
 
 
 def blocks_of(path: str, source: str) -> Iterator[tuple]:
-    """The file itself and every brace block in it, with direct statements and the parent's later ones."""
+    """The file itself and every brace block in it, with its own statements, those of blocks in it too, and the parent's later ones."""
+    lines = ["", *(x.removesuffix("\r") for x in source.split("\n"))]
     plain, line_of, line = masked(source), [], 1
     for c in source:
         line_of.append(line)
         line += c == "\n"
-    root = {"from": 0, "start": 0, "header": "", "kids": [], "function": "", "loop": False, "parent": None, "place": 0}
+    root = {"from": 0, "start": 0, "header": "", "kids": [], "deep": [], "function": "", "loop": False, "parent": None, "place": 0}
     done, block, begin, round_, nested = [], root, 0, [0], []
     line_of.append(line)
 
@@ -48,6 +51,7 @@ def blocks_of(path: str, source: str) -> Iterator[tuple]:
         if plain[begin:end].strip():
             lead = len(source[begin:end]) - len(source[begin:end].lstrip())
             block["kids"].append((text, line_of[begin + lead]))
+            block["deep"].append(block["kids"][-1])
         begin = end
         nested.clear()
 
@@ -60,7 +64,7 @@ def blocks_of(path: str, source: str) -> Iterator[tuple]:
             header = source[begin:i].strip()
             lead = len(source[begin:i]) - len(source[begin:i].lstrip())
             called = bool(CALLABLE.search(header)) or bool(re.search(r"\)\s*(?::\s*[\w<>\[\]., ]+)?$", header)) and not re.match(r"(?:\}?\s*else\s+)?(?:if|for|while|switch|catch|with)\b|\}?\s*catch\b", header)
-            inner = {"from": line_of[begin + lead], "start": i, "header": header, "kids": [], "parent": block, "place": len(block["kids"]), "begin": begin, "nested": nested}
+            inner = {"from": line_of[begin + lead], "start": i, "header": header, "kids": [], "deep": [], "parent": block, "place": len(block["kids"]), "begin": begin, "nested": nested}
             inner["function"] = header if called else block["function"]
             inner["loop"] = not called and (block["loop"] or bool(LOOP.match(header)))
             block, begin, nested = inner, i + 1, []
@@ -69,6 +73,7 @@ def blocks_of(path: str, source: str) -> Iterator[tuple]:
             statement(i)
             done.append((block, i))
             begin, nested = block["begin"], [*block["nested"], (block["start"], i + 1)]
+            block["parent"]["deep"] += block["deep"]
             block = block["parent"]
             round_.pop()
         elif c == ";" and not round_[-1] and not re.match(r"\s*(?:else\s+)?(?:if|for|switch)\b", plain[begin:i]):
@@ -82,12 +87,13 @@ def blocks_of(path: str, source: str) -> Iterator[tuple]:
     for b, end in done:
         up = b["parent"]
         later = up["kids"][b["place"] + 1 :] if up else []
-        pairs = lambda rows: [{"text": t, "line": n} for t, n in rows]
-        yield path, b["from"] or 1, line_of[end], b["header"], pairs(b["kids"]), source[b["start"] : end], b["function"], b["loop"], pairs(later)
+        rows = lambda found: [{"text": t, "line": n, "code": lines[n], "above": lines[n - 1]} for t, n in found]
+        at = b["from"] or 1
+        yield path, at, lines[at], line_of[end], b["header"], rows(b["kids"]), rows(b["deep"]), source[b["start"] : end], b["function"], b["loop"], rows(later)
 
 
 def brace_blocks(files: DataFrame) -> DataFrame:
-    names = "path line last header kids body function in_loop later".split()
+    names = "path line code last header kids deep body function in_loop later".split()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -125,10 +131,22 @@ LINE_RULES = (
 )
 
 
-def statements(pattern: str, column: str = "kids", but: str | None = None) -> Column:
-    """Lines of direct statements that match ``pattern`` and not ``but``."""
-    hit = lambda x: T.matches(x["text"], pattern) & (~T.matches(x["text"], but) if but else F.lit(True))
-    return F.transform(F.filter(column, hit), lambda x: x["line"])
+#: A comment on a statement's line or the line above it that gives a reason.
+REASON = r"// reason:|//nolint:"
+
+
+def statements(pattern: str | Column, column: str = "kids", but: str | None = None, reasoned: bool = False) -> Column:
+    """Places of statements that match ``pattern`` and not ``but``; of those with a reason if ``reasoned`` none."""
+
+    def hit(x: Column) -> Column:
+        test = T.matches(x["text"], pattern) if isinstance(pattern, str) else F.rlike(x["text"], pattern)
+        if but:
+            test = test & ~T.matches(x["text"], but)
+        if reasoned:
+            test = test & ~T.matches(F.lower(F.concat_ws("\n", x["above"], x["code"])), REASON)
+        return test
+
+    return F.transform(F.filter(column, hit), place)
 
 
 def kid(pattern: str) -> Column:
@@ -140,9 +158,14 @@ def body_has(pattern: str) -> Column:
 
 
 def body_line(pattern: str) -> Column:
-    """The line of the first match in the block, from its line breaks."""
+    """The place of the first match in a whole file, from the line breaks before it."""
     before = F.regexp_extract("body", "(?s)^(.*?)(?:" + T.java(pattern)[4:] + ")", 1)
-    return F.array(F.col("open_line") + F.regexp_count(before, F.lit("\n")))
+    breaks = F.regexp_count(before, F.lit("\n"))
+    return F.array(F.struct((breaks + 1).alias("line"), F.regexp_replace(F.get(F.split("body", "\n", -1), breaks), r"\r$", "").alias("code")))
+
+
+#: Rules about JavaScript whose ids do not say so.
+ON_JS = ("bad-defaults.no-timeout-fetch", "test-isolation.no-afterall-cleanup")
 
 
 def conditions() -> list[tuple[str, str, str, str, Column, Column | None]]:
@@ -161,17 +184,18 @@ def conditions() -> list[tuple[str, str, str, str, Column, Column | None]]:
     top = head == ""
     app = js_src & top & body_has(r"=\s*(?:express|(?:new\s+)?Koa)\s*\(") & body_has(ROUTE)
     first = F.regexp_extract(head, T.java(r"(?:\(|function\s*\w*\s*\(|=\s*)\(?\s*(err|error|e)\s*,"), 1)
-    reason = r"(?i)//\s*(?:reason:|nolint:)|//nolint"
+    rest = F.substring("body", F.lit(2), F.length("body"))
+    named = lambda x, a, z: F.concat(F.lit(a), F.replace(x, F.lit("$"), F.lit("\\$")), F.lit(z))
     return [
         ("silent-fallback.empty-error-check", "error", "The error becomes nil", "Return the error", err & one & kid(r"^return\s+nil(?:\s*,\s*nil)*$"), None),
-        ("silent-fallback.bare-return-on-error", "warning", "The error is lost in a bare return", "Return the error", err & T.matches(F.col("function"), r"\)\s*\(\s*\w+\s+[\w.*\[\]]+") & ~body_has(reason), statements(r"^return(?:\s+(?:nil|false|\"\"|[-+]?[0-9._xX]+)(?:\s*,\s*(?:nil|false|\"\"|[-+]?[0-9._xX]+))*)?$")),
+        ("silent-fallback.bare-return-on-error", "warning", "The error is lost in a bare return", "Return the error", err & T.matches(F.col("function"), r"\)\s*\(\s*\w+\s+[\w.*\[\]]+"), statements(r"^return(?:\s+(?:nil|false|\"\"|[-+]?0[0._xX]*)(?:\s*,\s*(?:nil|false|\"\"|[-+]?0[0._xX]*))*)?$", "deep", reasoned=True)),
         ("error-context.unwrapped-error", "warning", "The error is returned without context", "Wrap it", err, statements(r"^return\b.*\berr\s*(?:,|$)", but=r"Errorf|Wrap")),
         ("error-context.http-200-on-error", "error", "An error is answered with success", "Return after the error", err & ~g["go_test"] & T.matches(F.col("function"), r"http\.ResponseWriter") & ~body_has(r"\breturn\b"), F.slice(statements(success, "later"), 1, 1)),
-        ("error-context.nil-on-error", "error", "The error is replaced by nil", "Return the error", err, statements(r"^return\s+(?:nil|\"\")\s*,\s*nil$")),
+        ("error-context.nil-on-error", "error", "The error is replaced by nil", "Return the error", err, statements(r"^return\s+(?:nil|\"\")\s*,\s*nil$", "deep")),
         ("bad-defaults.no-timeout", "error", "The client waits for ever", "Set Timeout", go & T.matches(head, r"\bhttp\.Client$") & ~body_has(r"\bTimeout\s*:"), None),
         ("bad-defaults.no-timeout", "error", "The default client waits for ever", "Use a client with Timeout", go, statements(r"\bhttp\.(?:Get|Post|PostForm|Head)\(", but=r"\{")),
         ("bad-defaults.magic-number", "info", "A number stands without a name", "Name it", go_src & (F.col("function") != ""), statements(r"[=(,+*/<>]\s*(?:[2-9]|[1-9][0-9]+)(?:\.[0-9]+)?\s*(?:[),+*/;]|$)", but=r"^const\b|time\.|make\(|\[[^\]]*[0-9]|SplitN|ParseInt|ParseFloat|FormatInt|len\(|\"[^\"]*[0-9]|\{|//")),
-        ("bad-defaults.unvalidated-env-go", "warning", "The variable may be unset", "Check it for an empty value", go & (F.col("function") != ""), F.when(~T.matches(F.col("body"), r"[!=]=\s*\"\"|LookupEnv"), statements(r"\bos\.Getenv\(", but=r"^if\b|\{")).otherwise(F.array().cast("array<int>"))),
+        ("bad-defaults.unvalidated-env-go", "warning", "The variable may be unset", "Check it for an empty value", go & (F.col("function") != ""), F.when(~T.matches(F.col("body"), r"[!=]=\s*\"\"|LookupEnv"), statements(r"\bos\.Getenv\(", but=r"^if\b|\{")).otherwise(F.array().cast(NOWHERE))),
         ("trace-gaps.long-function-no-log", "info", "A long function logs nothing", "Log what it does", function & ~g["go_test"] & (F.col("last") - F.col("line") > 30) & ~body_has(LOG_CALL) & T.matches(name, r"^[A-Z]") & ~T.matches(F.lower(name), f"^(?:{'|'.join(PURE)})"), None),
         ("trace-gaps.error-path-no-log", "warning", "The error's path logs nothing", "Log it", err & ~g["go_test"] & (F.size("kids") > 1) & ~body_has(LOG_CALL), None),
         ("trace-gaps.no-request-id", "warning", "The handler reads no request id", "Take it from the header", handler & ~g["go_test"] & ~body_has(r"(?i)\.Header\.Get\(\"[^\"]*request[-_ ]?id|\.Context\(\)\.Value\(|req(?:uest)?_?id\w*\([^)]*\.Context\(\)"), None),
@@ -181,27 +205,30 @@ def conditions() -> list[tuple[str, str, str, str, Column, Column | None]]:
         ("bad-defaults.goroutine-no-context", "warning", "The goroutine cannot be stopped", "Pass a context", go_src, statements(r"^go\s+[\w.]+\(", but=r"\bctx\b|\bcontext\b|(?i)//\s*reason:|//\s*nolint")),
         ("bad-defaults.goroutine-no-context", "warning", "The goroutine cannot be stopped", "Pass a context", go_src & T.matches(head, r"^go\s+func\b") & ~T.matches(head, r"context\.Context") & ~body_has(r"\bctx\b|\bcontext\b|\bdone\b|\bchan\b"), None),
         ("error-context.swallowed-error", "warning", "The error is logged and dropped", "Return it", err & ~g["go_test"] & body_has(LOG_CALL) & ~kid(r"^(?:return|break|continue|goto)\b") & ~body_has(r"(?i)//[^\n]*(?:intentional|expected|nolint|not propagated)"), None),
-        ("bad-defaults.context-todo", "warning", "The context is a placeholder", "Pass the caller's", go_src & (F.col("function") != "") & ~T.matches(F.col("function"), r"^func\s+(?:main|init)\b"), statements(r"\bcontext\.(?:TODO|Background)\(\)", but=reason + r"|\{")),
+        ("bad-defaults.context-todo", "warning", "The context is a placeholder", "Pass the caller's", go_src & (F.col("function") != "") & ~T.matches(F.col("function"), r"^func\s+(?:main|init)\b"), statements(r"\bcontext\.(?:TODO|Background)\(\)", but=r"\{", reasoned=True)),
         ("silent-fallback.js-empty-catch", "warning", "The handler is empty", "Handle the error", catch & (F.size("kids") == 0) & ~body_has(r"//|/\*"), None),
         ("silent-fallback.js-catch-return-null", "warning", "The error becomes null", "Handle it", js_src, statements(r"\.catch\(\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>\s*(?:null|undefined|\{\s*return\s+(?:null|undefined)\s*;?\s*\})")),
         ("silent-fallback.js-floating-promise", "warning", "The promise is not awaited", "Await it", js_src, statements(r"^(?:[\w$]+\.)?fetch\s*\(", but=r"\)\s*\.(?:then|catch)\s*\(")),
-        ("silent-fallback.js-callback-err-ignored", "warning", "The callback ignores its error", "Handle it", js_src & (first != "") & ~T.matches(F.substring("body", F.lit(2), F.length("body")), r"\b(?:err|error|e)\b"), None),
-        ("error-context.js-rethrow-no-wrap", "warning", "The error is thrown again as it is", "Add context", catch & (caught != ""), statements(r"^throw\s+(?:e|err|error|ex|exception)\s*;?$")),
+        ("silent-fallback.js-callback-err-ignored", "warning", "The callback ignores its error", "Handle it", js_src & (first != "") & ~F.rlike(rest, F.concat(F.lit(r"(?<![\w$])"), first, F.lit(r"(?![\w$])"))), None),
+        ("error-context.js-rethrow-no-wrap", "warning", "The error is thrown again as it is", "Add context", catch & (caught != ""), statements(named(caught, r"^throw\s+", r"\s*;?$"), "deep")),
         ("error-context.js-console-error-no-throw", "warning", "The error is printed and dropped", "Throw or handle it", catch & body_has(r"\bconsole\.error\s*\(") & ~body_has(r"\bthrow\b"), F.slice(F.reverse(statements(r"\bconsole\.error\s*\(")), 1, 1)),
-        ("error-context.js-http-200-on-error", "error", "An error is answered with success", "Send an error status", catch, statements(r"\.status\(\s*(?:200|201|202|204)\s*\)|\b(?:res|ctx|response)\.json\(")),
+        ("error-context.js-http-200-on-error", "error", "An error is answered with success", "Send an error status", catch, statements(r"\.status\(\s*(?:200|201|202|204)\s*\)|\b(?:res|ctx|response)\.json\(", "deep")),
         ("trace-gaps.js-no-error-handler-express", "warning", "The app has no error handler", "Add one with four parameters", app & ~body_has(r"\.use\s*\(\s*(?:async\s*)?(?:function\s*\w*\s*)?\(\s*(?:err|error)\s*,[^,)]*,[^,)]*,[^,)]*\)"), body_line(ROUTE)),
         ("trace-gaps.js-missing-correlation-id", "info", "Requests carry no id", "Add one", app & ~body_has("|".join(re.escape(x) for x in CORRELATION)), body_line(ROUTE)),
         ("bad-defaults.no-timeout-fetch", "error", "The request may wait for ever", "Pass a signal", js_src, statements(r"(?:^|[^\w.$])fetch\s*\(", but=r"\bsignal\b|\.\.\.")),
-        ("test-isolation.no-afterall-cleanup", "warning", "Setup is not undone", "Add the matching after hook", js & g["js_test"] & (kid(r"^beforeAll\s*\(") & ~kid(r"^afterAll\s*\(") | kid(r"^beforeEach\s*\(") & ~kid(r"^afterEach\s*\(")), F.concat(F.when(~kid(r"^afterAll\s*\("), statements(r"^beforeAll\s*\(")).otherwise(F.array().cast("array<int>")), F.when(~kid(r"^afterEach\s*\("), statements(r"^beforeEach\s*\(")).otherwise(F.array().cast("array<int>")))),
+        ("test-isolation.no-afterall-cleanup", "warning", "Setup is not undone", "Add the matching after hook", js & g["js_test"] & (kid(r"^beforeAll\s*\(") & ~kid(r"^afterAll\s*\(") | kid(r"^beforeEach\s*\(") & ~kid(r"^afterEach\s*\(")), F.concat(F.when(~kid(r"^afterAll\s*\("), statements(r"^beforeAll\s*\(")).otherwise(F.array().cast(NOWHERE)), F.when(~kid(r"^afterEach\s*\("), statements(r"^beforeEach\s*\(")).otherwise(F.array().cast(NOWHERE)))),
     ]
 
 
-def brace_findings(files: DataFrame, texts: DataFrame) -> DataFrame:
-    """Findings of the rules here over ``files`` (path, content) and their lines."""
-    rules = conditions()
-    blocks = brace_blocks(files).withColumn("open_line", F.col("line") + F.regexp_count("header", F.lit("\n")))
-    own = [F.when(c, F.array(F.col("line")) if at is None else at.cast("array<int>")).otherwise(F.array().cast("array<int>")) for _, _, _, _, c, at in rules]
-    hits = F.flatten(F.array(*(F.transform(F.coalesce(x, F.array().cast("array<int>")), numbered(k)) for k, x in enumerate(own))))
-    found = blocks.select("path", F.explode(hits).alias("x")).select("path", "x.line", "x.seq").distinct()
-    found = found.join(texts, "path").select("path", "line", F.coalesce(F.get("text", F.col("line") - 1), F.lit("")).alias("code"), "seq")
-    return described(found, [r[:4] for r in rules]).unionByName(line_findings(texts, LINE_RULES))
+def brace_findings(files: DataFrame, texts: DataFrame, extensions: tuple[str, ...] | None = None) -> DataFrame:
+    """Findings of the rules here over ``files`` (path, content) and their lines; only rules about ``extensions`` if given."""
+    go, js = (extensions is None or bool(set(x) & set(extensions)) for x in ((".go",), JS))
+    rules = [r for r in conditions() if (js if ".js-" in r[0] or r[0] in ON_JS else go)]
+    lines = line_findings(texts, of_extensions(LINE_RULES, extensions))
+    if not rules:
+        return lines
+    here, none = F.array(F.struct("line", "code")), F.array().cast(NOWHERE)
+    places = [F.when(c, here if at is None else at.cast(NOWHERE)).otherwise(none) for _, _, _, _, c, at in rules]
+    hits = F.flatten(F.array(*(F.transform(F.coalesce(x, none), numbered(k)) for k, x in enumerate(places))))
+    found = brace_blocks(files).select("path", F.explode(hits).alias("x")).select("path", "x.*").distinct()
+    return described(found, [r[:4] for r in rules]).unionByName(lines)

@@ -40,24 +40,24 @@ def last_decisions(precedents: DataFrame) -> DataFrame:
     return precedents.groupBy("rule_id", "violation_hash").agg(F.max_by("decision", "ord").alias("decision"))
 
 
-def not_allowed(findings: DataFrame, precedents: DataFrame) -> DataFrame:
-    """Findings whose last decision is not ``allow``."""
+def not_allowed(findings: DataFrame, precedents: DataFrame, root: str = "") -> DataFrame:
+    """Findings whose last decision is not ``allow``; their paths count from ``root``."""
     allowed = last_decisions(precedents).where("decision = 'allow'").select(F.col("rule_id").alias("rule"), F.col("violation_hash").alias("_v"))
-    hashed = findings.withColumn("_v", T.violation_hash(F.col("rule"), F.col("file"), F.col("line"), F.col("code")))
+    hashed = findings.withColumn("_v", T.violation_hash(F.col("rule"), F.col("file"), F.col("line"), F.col("code"), root))
     return hashed.join(allowed, ["rule", "_v"], "left_anti").select(*findings.columns)
 
 
-def with_context(findings: DataFrame, lines: DataFrame, reach: int = 10) -> DataFrame:
-    """Each finding's lines around it, numbered and with its own marked.
+def with_context(findings: DataFrame, texts: DataFrame, reach: int = 10) -> DataFrame:
+    """Each finding's lines around it, numbered and with its own marked; ``texts`` are files split into lines.
 
-    Findings are spread over the lines they need, so the join has whole keys (file, line), not a range.
+    A file's lines are one array, of which the finding takes a slice: findings are the small side of the join, so
+    files need no shuffle.
     """
-    near = findings.withColumn("_at", F.explode(F.sequence(F.col("line") - reach, F.col("line") + reach)))
-    text = lines.select(F.col("path").alias("file"), F.col("line").alias("_at"), F.col("code").alias("_text"))
-    mark = F.when(F.col("_at") == F.col("line"), ">> ").otherwise("   ")
-    rows = near.join(text, ["file", "_at"]).withColumn("_row", F.struct("_at", F.concat(mark, F.lpad(F.col("_at").cast("string"), 5, " "), F.lit(" | "), "_text").alias("s")))
-    grouped = rows.groupBy(*findings.columns).agg(F.array_sort(F.collect_list("_row")).alias("_rows"))
-    return grouped.select(*findings.columns, F.array_join(F.transform("_rows", lambda x: x["s"]), "\n").alias("context"))
+    joined = findings.join(texts.select(F.col("path").alias("file"), F.col("text").alias("_lines")), "file")
+    first = F.greatest(F.col("line") - reach, F.lit(1))
+    mark = lambda at: F.when(at == F.col("line"), ">> ").otherwise("   ")
+    rows = F.transform(F.slice("_lines", first, F.col("line") + reach - first + 1), lambda x, i: F.concat(mark(first + i), F.lpad((first + i).cast("string"), 5, " "), F.lit(" | "), x))
+    return joined.select(*findings.columns, F.array_join(rows, "\n").alias("context"))
 
 
 def severity_summary(findings: DataFrame) -> DataFrame:
@@ -78,12 +78,6 @@ def has_errors(findings: DataFrame) -> bool:
     return bool(findings.where("severity = 'error'").take(1))
 
 
-def json_report(findings: DataFrame, path: str, files_scanned: int, version: str = "1") -> DataFrame:
-    """One JSON document a row of ``report``: findings stay rows until a sink writes them."""
-    row = F.to_json(F.struct("rule", "severity", "file", "line", "code", "message", "suggestion"))
-    return findings.select(F.lit(version).alias("version"), F.lit(path).alias("path"), F.lit(files_scanned).alias("files_scanned"), row.alias("finding"))
-
-
 def expanded_hunks(diff: DataFrame) -> DataFrame:
     """Changed lines (file, line) of hunk headers ``@@ -a,b +start,count @@`` in ``diff`` (file, header)."""
     part = lambda i: F.regexp_extract("header", r"^@@ [^+]*\+([0-9]+)(?:,([0-9]+))?", i)

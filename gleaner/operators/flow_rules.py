@@ -7,6 +7,8 @@ exits before it.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -173,9 +175,13 @@ def leaks(texts: DataFrame) -> DataFrame:
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-def flow_findings(texts: DataFrame) -> DataFrame:
-    plain = described(unreachable(texts).unionByName(swallowed(texts)).unionByName(unused(texts)).unionByName(leaks(texts)), RULES)
-    bash = hidden_failures(texts)
-    rule, _, message, suggestion = RULES[3]
-    hidden = bash.select(F.lit(rule).alias("rule"), "severity", F.col("path").alias("file"), "line", "code", F.lit(message).alias("message"), F.lit(suggestion).alias("suggestion"), (F.lit(100) + F.col("kind")).cast("long").alias("seq"))
-    return plain.unionByName(hidden)
+def flow_findings(texts: DataFrame, extensions: tuple[str, ...] | None = None) -> DataFrame:
+    """Findings of the rules here; with ``extensions`` only what concerns files of these is looked for."""
+    some = lambda *own: extensions is None or bool(set(own) & set(extensions))
+    parts = [rule(texts) for rule, own in ((unreachable, (".go", *T.JS, ".py", ".pyi")), (swallowed, (*T.JS, ".py", ".pyi")), (unused, (".go", *T.JS, ".py", ".pyi")), (leaks, T.JS)) if some(*own)]
+    found = [described(reduce(DataFrame.unionByName, parts), RULES)] if parts else []
+    if some(".sh", ".bash") or not found:
+        bash = hidden_failures(texts)
+        rule, _, message, suggestion = RULES[3]
+        found.append(bash.select(F.lit(rule).alias("rule"), "severity", F.col("path").alias("file"), "line", "code", F.lit(message).alias("message"), F.lit(suggestion).alias("suggestion"), (F.lit(100) + F.col("kind")).cast("long").alias("seq")))
+    return reduce(DataFrame.unionByName, found)

@@ -69,43 +69,53 @@ RULES = (
 )
 
 
-def condition(rule: LineRule, c: dict[str, Column]) -> Column:
-    """Whether a line with columns ``c`` breaks the rule; the cheap tests come first."""
-    test = c["ext"].isin(*rule.extensions)
-    for g in rule.guards:
-        test = test & ~c[g]
+def condition(rule: LineRule) -> str:
+    """SQL that holds on lines that break the rule; the cheap tests come first.
+
+    Rules are text until one expression of all of them is parsed, which is far quicker than building each by calls.
+    """
+    rlike = lambda on, pattern: f"{on} rlike {T.literal(T.java(pattern))}"
+    test = [f"ext in ({', '.join(map(T.literal, rule.extensions))})", *(f"not {g}" for g in rule.guards)]
     if rule.path:
-        test = test & T.matches(c["path"], rule.path)
+        test.append(rlike("path", rule.path))
     if rule.not_path:
-        test = test & ~T.matches(c["path"], rule.not_path)
-    test = test & T.matches(c[rule.on], rule.pattern)
+        test.append(f"not {rlike('path', rule.not_path)}")
+    test.append(rlike(rule.on, rule.pattern))
     if rule.on == "stripped":
-        test = test & (c["stripped"] != "") & ~T.is_comment(c["stripped"])
+        test.append("stripped <> '' and not stripped_comment")
     if rule.unless:
-        test = test & ~T.matches(c["code"], rule.unless)
+        test.append(f"not {rlike('code', rule.unless)}")
     if rule.before_lacks:
-        test = test & ~F.coalesce(c["before"], F.lit("")).contains(rule.before_lacks)
+        test.append(f"not contains(coalesce(before, ''), {T.literal(rule.before_lacks)})")
     if rule.after_lacks:
-        test = test & ~T.matches(T.trimmed(F.coalesce(c["after"], F.lit(""))), rule.after_lacks)
-    return test
+        test.append("not " + rlike(f"btrim(coalesce(after, ''), {T.literal(T.BLANKS)})", rule.after_lacks))
+    return " and ".join(test)
 
 
 def line_findings(texts: DataFrame, rules: tuple[LineRule, ...] = RULES) -> DataFrame:
     """Findings of ``rules`` over files split into lines (``path``, ``text``)."""
+    if not rules:
+        return described(texts.select("path", F.lit(1).alias("line"), F.lit("").alias("code"), F.lit(0).alias("seq")).limit(0), [("", "", "", "")])
     wanted = sorted({x for r in rules for x in r.extensions})
     own = texts.where(T.extension(F.col("path")).isin(*wanted))
     rows = exploded(own).withColumn("ext", T.extension(F.col("path"))).withColumn("t", T.trimmed(F.col("code")))
     # Guards become columns of their own: each is computed once a line, not once a rule.
     guards = T.test_guards(F.col("path")) | {"hash": F.col("t").startswith("#"), "slash": F.col("t").startswith("//"), "block": F.col("t").startswith("/*")}
-    rows = rows.withColumns(guards | {"stripped": T.without_comment(F.col("code")), "lower": F.lower("code")})
-    c = {x: F.col(x) for x in rows.columns}
-    broken = F.array(*(F.when(condition(r, c), F.lit(k)) for k, r in enumerate(rules)))
+    stripped = T.without_comment(F.col("code"))
+    rows = rows.withColumns(guards | {"stripped": stripped, "stripped_comment": T.is_comment(stripped), "lower": F.lower("code")})
+    broken = F.expr("array(" + ", ".join(f"case when {condition(r)} then {k} end" for k, r in enumerate(rules)) + ")")
     found = rows.select("path", "line", "code", F.explode(F.filter(broken, lambda x: x.isNotNull())).alias("seq"))
     return described(found, [(r.id, r.severity, r.message, r.suggestion) for r in rules])
 
 
 def described(found: DataFrame, rules: list[tuple[str, str, str, str]]) -> DataFrame:
     """Finding rows from ``path``, ``line``, ``code`` and ``seq``, the rule's place in ``rules``."""
-    table = F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in zip(("rule", "severity", "message", "suggestion"), r, strict=True))) for r in rules))
-    rows = found.withColumn("r", F.element_at(table, F.col("seq") + 1))
-    return rows.select("r.rule", "r.severity", F.col("path").alias("file"), F.col("line").cast("int").alias("line"), "code", "r.message", "r.suggestion", F.col("seq").cast("long").alias("seq"))
+    names = ("rule", "severity", "message", "suggestion")
+    rows = ", ".join("named_struct(" + ", ".join(f"{T.literal(n)}, {T.literal(x)}" for n, x in zip(names, r, strict=True)) + ")" for r in rules)
+    named = found.withColumn("r", F.expr(f"element_at(array({rows}), cast(seq + 1 as int))"))
+    return named.select("r.rule", "r.severity", F.col("path").alias("file"), F.col("line").cast("int").alias("line"), "code", "r.message", "r.suggestion", F.col("seq").cast("long").alias("seq"))
+
+
+def of_extensions(rules: tuple[LineRule, ...], extensions: tuple[str, ...] | None) -> tuple[LineRule, ...]:
+    """Rules about files of ``extensions``; all if that is None."""
+    return rules if extensions is None else tuple(r for r in rules if set(r.extensions) & set(extensions))

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from .line_rules import described
 
-KID = "struct<field:string,type:string,name:string,value:string,line:int>"
-NODES = f"path string, line int, type string, name string, parent string, parent_name string, scope int, kids array<{KID}>, later array<string>"
+KID = "struct<field:string,type:string,name:string,value:string,line:int,code:string>"
+NODES = f"path string, line int, code string, type string, name string, parent string, parent_name string, scope int, kids array<{KID}>, later array<string>"
 KEPT = (ast.ExceptHandler, ast.Call, ast.Raise, ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda, ast.Import, ast.ImportFrom, ast.Assign, ast.Expr, ast.If)
 
 
@@ -66,12 +66,17 @@ def kids(node: ast.AST) -> list[dict]:
     return out
 
 
+def line_at(lines: list[str], k: int | None) -> str:
+    return lines[k - 1].removesuffix("\r") if k and k <= len(lines) else ""
+
+
 def nodes_of(path: str, source: str) -> Iterator[tuple]:
     """Rows of one file; a file that does not parse has none."""
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return
+    lines = source.split("\n")
     todo: list[tuple[ast.AST, ast.AST, int, list]] = [(x, tree, 0, tree.body[i + 1 :]) for i, x in enumerate(tree.body)]
     while todo:
         node, parent, scope, after = todo.pop()
@@ -79,7 +84,7 @@ def nodes_of(path: str, source: str) -> Iterator[tuple]:
             later: list[str] = []
             if isinstance(node, (ast.Assign, ast.Expr)) and "requests." in (dotted(node) or ""):
                 later = sorted({d for s in after for x in ast.walk(s) if isinstance(x, ast.Attribute) and (d := dotted(x))})
-            yield path, node.lineno, type(node).__name__, dotted(node), type(parent).__name__, dotted(parent), scope, kids(node), later
+            yield path, node.lineno, line_at(lines, node.lineno), type(node).__name__, dotted(node), type(parent).__name__, dotted(parent), scope, [k | {"code": line_at(lines, k["line"])} for k in kids(node)], later
         inner = scope + isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Lambda))
         for _, value in ast.iter_fields(node):
             rows = [x for x in value if isinstance(x, ast.AST)] if isinstance(value, list) else [value] if isinstance(value, ast.AST) else []
@@ -151,8 +156,8 @@ def conditions() -> list[tuple[str, str, str, str, Column, Column | None]]:
         ("error-context.py-bare-raise-different", "warning", "Another exception loses the cause", "Raise from the exception", raises & (F.col("parent") == "ExceptHandler") & (F.size("kids") == 1) & (exc["type"] == "Call"), None),
         ("error-context.py-generic-exception", "warning", "The exception's type says nothing", "Raise a type of its own", raises & (exc["type"] == "Call") & exc["name"].isin(*BROAD), None),
         ("error-context.py-string-exception", "error", "A string is raised", "Raise an exception", raises & ((exc["type"] == "JoinedStr") | (exc["type"] == "Constant") & T.matches(F.coalesce(exc["value"], F.lit("")), "^['\"]")), None),
-        ("error-context.py-log-and-raise", "info", "The error is logged and raised", "Do one of both", handler & (F.size(logged) > 0) & some(lambda x: body(x) & (x["type"] == "Raise")), F.array(F.array_max(F.transform(logged, lambda x: x["line"])))),
-        ("bad-defaults.py-mutable-default-arg", "error", "A default value is shared between calls", "Use None", kind.isin("FunctionDef", "AsyncFunctionDef", "Lambda") & (F.size(default) > 0), F.transform(default, lambda x: x["line"])),
+        ("error-context.py-log-and-raise", "info", "The error is logged and raised", "Do one of both", handler & (F.size(logged) > 0) & some(lambda x: body(x) & (x["type"] == "Raise")), F.slice(F.reverse(F.array_sort(F.transform(logged, place))), 1, 1)),
+        ("bad-defaults.py-mutable-default-arg", "error", "A default value is shared between calls", "Use None", kind.isin("FunctionDef", "AsyncFunctionDef", "Lambda") & (F.size(default) > 0), F.transform(default, place)),
         ("bad-defaults.py-no-timeout-requests", "error", "The request may wait for ever", "Pass timeout=", call & request & ~keyword("timeout") & ~keyword("**"), None),
         ("bad-defaults.py-star-import", "warning", "All names are imported", "Name them", ~test & (kind == "ImportFrom") & some(lambda x: x["name"] == "*"), None),
         ("bad-defaults.py-global-state", "warning", "A module holds mutable state", "Put it into an object", ~test & (kind == "Assign") & (F.col("parent") == "Module") & some(lambda x: field("value")(x) & mutable(x)), None),
@@ -163,17 +168,23 @@ def conditions() -> list[tuple[str, str, str, str, Column, Column | None]]:
     ]
 
 
+def place(x: Column) -> Column:
+    """Line and text of a finding."""
+    return F.struct(x["line"].alias("line"), x["code"].alias("code"))
+
+
 def numbered(k: int):
-    return lambda line: F.struct(line.alias("line"), F.lit(k).alias("seq"))
+    return lambda x: F.struct(x["line"].alias("line"), x["code"].alias("code"), F.lit(k).alias("seq"))
+
+
+NOWHERE = "array<struct<line:int,code:string>>"
 
 
-def python_findings(files: DataFrame, texts: DataFrame) -> DataFrame:
-    """Findings of the Python rules over ``files`` (path, content) and their lines."""
+def python_findings(files: DataFrame) -> DataFrame:
+    """Findings of the Python rules over ``files`` (path, content); the node table has the lines, so files are read once."""
     rules = conditions()
-    nodes = python_nodes(files)
-    lines = [F.when(c, F.array(F.col("line")) if at is None else at).otherwise(F.array().cast("array<int>")) for _, _, _, _, c, at in rules]
-    hits = F.flatten(F.array(*(F.transform(x, numbered(k)) for k, x in enumerate(lines))))
-    found = nodes.select("path", F.explode(hits).alias("x")).select("path", "x.line", "x.seq").distinct()
-    text = texts.select("path", F.col("text"))
-    found = found.join(text, "path").select("path", "line", F.coalesce(F.get("text", F.col("line") - 1), F.lit("")).alias("code"), "seq")
+    here, none = F.array(F.struct("line", "code")), F.array().cast(NOWHERE)
+    places = [F.when(c, here if at is None else at.cast(NOWHERE)).otherwise(none) for _, _, _, _, c, at in rules]
+    hits = F.flatten(F.array(*(F.transform(x, numbered(k)) for k, x in enumerate(places))))
+    found = python_nodes(files).select("path", F.explode(hits).alias("x")).select("path", "x.*").distinct()
     return described(found, [r[:4] for r in rules])

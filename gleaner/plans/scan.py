@@ -2,47 +2,37 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..operators import brace_rules, file_rules, findings, flow_rules, line_rules, python_rules
 from ..operators.lines import split_lines
 
-LANGUAGES = {"go": (".go",), "js": T.JS, "py": (".py", ".pyi"), "bash": (".sh", ".bash"), "rust": (".rs",)}
-
-
-def of_languages(files: DataFrame, enabled: dict[str, bool]) -> DataFrame:
-    """Files without those of switched-off languages; files of no language always pass."""
-    off = [x for name, on in enabled.items() if not on for x in LANGUAGES[name]]
-    return files.where(~T.extension(F.col("path")).isin(*off)) if off else files
-
 
-def all_findings(files: DataFrame) -> DataFrame:
+def all_findings(files: DataFrame, extensions: tuple[str, ...] | None = None) -> DataFrame:
     """Findings of every rule over ``files`` (path, content).
 
-    Text is split into lines once per family; families that only need lines stay in the JVM, syntax
-    families go through a helper that returns tables.
+    Families that only need lines stay in the JVM, syntax families go through a helper that returns tables. Where
+    the ``extensions`` of the files are known, only rules about them become part of the plan.
     """
     texts = split_lines(files)
     families = [
-        python_rules.python_findings(files, texts),
-        brace_rules.brace_findings(files, texts),
-        file_rules.file_findings(texts),
-        line_rules.line_findings(texts),
-        flow_rules.flow_findings(texts),
+        lambda: python_rules.python_findings(files) if extensions is None or {".py", ".pyi"} & set(extensions) else None,
+        lambda: brace_rules.brace_findings(files, texts, extensions),
+        lambda: file_rules.file_findings(texts),
+        lambda: line_rules.line_findings(texts, line_rules.of_extensions(line_rules.RULES, extensions)),
+        lambda: flow_rules.flow_findings(texts, extensions),
     ]
     # Syntax rules come before line rules where both name a place.
-    numbered = [x.withColumn("seq", F.col("seq") + 1000 * k) for k, x in enumerate(families)]
-    out = numbered[0]
-    for x in numbered[1:]:
-        out = out.unionByName(x)
-    return out
+    found = [(k, x) for k, family in enumerate(families) if (x := family()) is not None]
+    return reduce(DataFrame.unionByName, (x.withColumn("seq", F.col("seq") + 1000 * k) for k, x in found))
 
 
-def scan(files: DataFrame, disabled: list[str] | None = None, overrides: DataFrame | None = None, precedents: DataFrame | None = None, changed: DataFrame | None = None) -> DataFrame:
+def scan(files: DataFrame, disabled: list[str] | None = None, overrides: DataFrame | None = None, precedents: DataFrame | None = None, changed: DataFrame | None = None, extensions: tuple[str, ...] | None = None) -> DataFrame:
     """Deduplicated findings after overrides, suppression and the filter of changed lines, not yet ordered."""
-    out = findings.deduplicated(findings.enabled(all_findings(files), disabled or []))
+    out = findings.deduplicated(findings.enabled(all_findings(files, extensions), disabled or []))
     if overrides is not None:
         out = findings.overridden(out, overrides)
     if precedents is not None:

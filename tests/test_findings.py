@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from gleaner import registry
 from gleaner.operators import adjudication, findings
-from gleaner.plans.scan import of_languages, scan
+from gleaner.plans.scan import scan
+from gleaner.sources.config import of_languages
 from gleaner.streaming import watch
 
 FINDING = "rule string, severity string, file string, line int, code string, message string, suggestion string, seq long"
@@ -45,7 +46,7 @@ def test_scan_with_overrides_and_languages(spark):
     changed = spark.createDataFrame([("a.py", 2)], "file string, line int")
     over = spark.createDataFrame([("trace-gaps.print-debug", "error")], "rule string, new_severity string")
     assert [(r.line, r.severity) for r in scan(files, overrides=over, changed=changed).collect()] == [(2, "error")]
-    assert {r.path for r in of_languages(files, {"rust": False, "py": True}).collect()} == {"a.py"}
+    assert {r.path for r in of_languages(files, {"rust": False, "python": True}).collect()} == {"a.py"}
 
 
 def test_confidence_grows_and_decays(spark):

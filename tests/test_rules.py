@@ -56,7 +56,7 @@ def test_dead_code_stays_dead_until_a_branch(spark):
 
 
 def test_python_rules(files):
-    found = python_rules.python_findings(files, split_lines(files))
+    found = python_rules.python_findings(files)
     assert places(found, "a/y.py") == {
         (1, "py-unittest-import"), (2, "py-star-import"), (3, "py-global-state"), (4, "py-mutable-default-arg"), (6, "py-no-timeout-requests"), (6, "py-silent-request"), (6, "py-dict-get-none"),
         (7, "py-bare-except"), (7, "py-except-pass"), (9, "py-except-broad"), (10, "py-log-and-raise"), (11, "py-bare-raise-different"), (12, "py-string-exception"),
@@ -90,3 +90,54 @@ def test_test_only_imports(spark):
     found = line_rules.line_findings(split_lines(files), brace_rules.LINE_RULES).where("rule like 'test-isolation.%'").collect()
     n = len(lines) // 2
     assert sorted((r.file, r.rule, r.line) for r in found) == [("src/a.js", "test-isolation.test-only-import", k + base + 1) for base in (0, n) for k in range(len(hits))]
+
+
+def test_handlers_are_read_with_the_blocks_in_them(spark):
+    js = """try { a() } catch (problem) {
+  if (x) {
+    throw problem;
+  }
+  if (y) { throw problem; }
+  throw new Error('x', { cause: problem });
+}
+try { b() } catch ($e) {
+  log($e);
+  while (z) {
+    res.json({ ok: 1 });
+  }
+  throw $e;
+}
+read('f', (err, data) => {
+  use(e, data.error);
+});
+read('f', (err, data) => {
+  if (err) { use(data); }
+});
+"""
+    go = """package m
+func A() (out string, bad error) {
+\tif err != nil {
+\t\tif x {
+\t\t\treturn nil, nil
+\t\t}
+\t\t// REASON: an empty answer is fine
+\t\treturn
+\t}
+\tif err != nil {
+\t\tfor {
+\t\t\treturn "", nil
+\t\t}
+\t\treturn
+\t}
+\tctx := context.TODO()
+\t// reason: a test double
+\tother := context.Background()
+\treturn "", nil
+}
+"""
+    files = spark.createDataFrame([("s.js", js), ("m.go", go)], "path string, content string")
+    found = brace_rules.brace_findings(files, split_lines(files))
+    assert {x for x in places(found, "s.js") if x[1] in ("js-rethrow-no-wrap", "js-http-200-on-error", "js-callback-err-ignored")} == {(3, "js-rethrow-no-wrap"), (5, "js-rethrow-no-wrap"), (13, "js-rethrow-no-wrap"), (11, "js-http-200-on-error"), (15, "js-callback-err-ignored")}
+    assert {x for x in places(found, "m.go") if x[1] in ("nil-on-error", "bare-return-on-error", "context-todo")} == {(5, "nil-on-error"), (12, "nil-on-error"), (5, "bare-return-on-error"), (12, "bare-return-on-error"), (14, "bare-return-on-error"), (16, "context-todo")}
+    code = {r.line: r.code for r in found.where("file = 's.js' and rule = 'error-context.js-rethrow-no-wrap'").collect()}
+    assert code[3] == "    throw problem;"
