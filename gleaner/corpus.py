@@ -19,3 +19,18 @@ CORPUS = [
     ("g/m.go", "package m\nimport \"github.com/stretchr/testify/mock\"\nfunc Do(w http.ResponseWriter, r *http.Request) {\n\tx, err := f()\n\tif err != nil {\n\t\tlog.Printf(\"x %v\", err)\n\t}\n\tw.WriteHeader(200)\n\tv, _ := g()\n\ty := v.(string)\n\tfor i := 0; i < n; i++ {\n\t\tdefer z.Close()\n\t}\n\tgo run(y)\n\tc := http.Client{}\n\tctx := context.TODO()\n\tcmd := exec.Command(\"sh\", \"-c\", a)\n\tos.Open(\"testdata/x\")\n}\nfunc A() (string, error) {\n\tif err := b(); err != nil {\n\t\treturn \"\", nil\n\t}\n\tif err != nil {\n\t\treturn nil\n\t}\n\tif err != nil {\n\t\treturn \"\", err\n\t}\n\tif err.Error() == \"x\" {\n\t}\n\treturn \"\", errors.New(\"failed\")\n}\n"),
     ("requirements.txt", "flask\nx==1\n# c\n-r other\nnumpy>=2\n"),
 ]
+
+
+#: A unit of generated code by language: lines that break rules between lines that do not.
+UNITS = {
+    ".go": "func Load{k}(path string) (string, error) {\n\tdata, err := os.ReadFile(path)\n\tif err != nil {\n\t\treturn \"\", nil\n\t}\n\tname := string(data)\n\tfor i := 0; i < len(name); i++ {\n\t\tcount := i * 7\n\t\tlog.Printf(\"%d\", count)\n\t}\n\tif err := check(name); err != nil {\n\t\treturn \"\", err\n\t}\n\treturn name, nil\n}\n\n// Next is plain.\nfunc Next{k}(n int) int {\n\treturn n + 1\n}\n",
+    ".js": "async function load{k}(url) {\n  const unused{k} = 1;\n  try {\n    const res = await fetch(url);\n    return await res.json();\n  } catch (e) {\n    console.error(e);\n  }\n  return null;\n}\n\n// plain\nexport function next{k}(n) {\n  if (n > 3) {\n    return n;\n  }\n  const total = n + 1;\n  console.log(total);\n  return total;\n}\n",
+    ".py": "def load_{k}(path, seen=[]):\n    try:\n        with open(path) as f:\n            data = f.read()\n    except Exception:\n        pass\n    result = requests.get(path)\n    print(data)\n    return data\n\n\nclass Next{k}:\n    def step(self, n):\n        if n > 3:\n            return n\n        total = n + 1\n        return total\n\n# plain\nVALUE_{k} = {k}\n",
+}
+
+
+def generated(extension: str, lines: int = 10_000, per_file: int = 200) -> list[tuple[str, str]]:
+    """Files of one language with about ``lines`` lines in all."""
+    units = per_file // UNITS[extension].count("\n")
+    body = lambda f: "".join(UNITS[extension].replace("{k}", str(f * units + k)) for k in range(units))
+    return [(f"src/m{f}{extension}", body(f)) for f in range(lines // per_file)]

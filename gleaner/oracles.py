@@ -97,7 +97,7 @@ ORACLES: dict[str, str] = {
     "findings_sort_rank": f"WITH {PROJ} SELECT file, seq, row_number() OVER (PARTITION BY file ORDER BY {RANK}, line, rule, seq)::INT AS place FROM proj",
     "severity_override": f"WITH {PROJ} SELECT rule, CASE rule WHEN 'ev.click' THEN 'error' WHEN 'ev.view' THEN 'warning' ELSE severity END AS severity, count(*) AS n FROM proj GROUP BY 1, 2",
     "rule_disable": f"WITH {PROJ} SELECT rule, count(*) AS n FROM proj WHERE rule <> 'ev.view' GROUP BY 1",
-    "changed_lines_semi": f"WITH {PROJ} SELECT rule, file, line, seq FROM proj p WHERE EXISTS (SELECT 1 FROM events e WHERE e.event_id % 5 = 0 AND 'u' || e.user_id = p.file AND e.event_id % 50 + 1 = p.line)",
+    "changed_lines_semi": f"WITH {PROJ} SELECT rule, file, line, seq FROM proj p WHERE EXISTS (SELECT 1 FROM events e WHERE e.event_type = 'click' AND 'u' || e.user_id = p.file AND e.event_id % 50 + 1 = p.line)",
     "precedent_suppress": f"WITH {PROJ}, h AS (SELECT *, {VIOLATION} AS v FROM proj), d AS (SELECT rule, v, arg_max(seq % 2, seq) AS last FROM h GROUP BY 1, 2) SELECT rule, file, line, code, seq FROM h JOIN d USING (rule, v) WHERE d.last <> 0",
     "precedent_topk": f"WITH {DECIDED}, e AS (SELECT *, CASE WHEN confidence <= 0 THEN 0.5 ELSE least(confidence, 1.0) END AS effective FROM decided), r AS (SELECT rule_id AS rule, pattern_hash, row_number() OVER (PARTITION BY rule_id, pattern_hash ORDER BY effective DESC, seen_count DESC, created_at DESC, ord)::INT AS rank, ord, round(effective, 6) AS effective FROM e WHERE effective >= 0.6) SELECT * FROM r WHERE rank <= 10",
     "severity_summary": f"WITH {PROJ} SELECT count(*) AS total, count_if(severity = 'error')::BIGINT AS errors, count_if(severity = 'warning')::BIGINT AS warnings, count_if(severity = 'info')::BIGINT AS info FROM proj",

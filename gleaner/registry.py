@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .corpus import CORPUS
+from .corpus import CORPUS, generated
 from .functions import text as T
 from .operators import adjudication, brace_rules, file_rules, findings, flow_rules, line_rules, python_rules
 from .operators.lines import exploded, split_lines
@@ -77,7 +77,7 @@ def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = split_lines(files)
     rule = tuple(r for r in line_rules.RULES if r.id == "config-smells.hardcoded-credentials")
     found = line_rules.line_findings(texts, rule).select("rule", "file", "line")
-    return findings.with_context(found, exploded(texts))
+    return findings.with_context(found, texts)
 
 
 def budget(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +122,7 @@ def overrides(spark: SparkSession) -> DataFrame:
 
 
 def changed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("event_id % 5 = 0")
+    e = table(spark, sf_dir, "events").where("event_type = 'click'")
     return e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("file"), (F.col("event_id") % 50 + 1).cast("int").alias("line")).distinct()
 
 
@@ -134,6 +134,11 @@ def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projected(spark, sf_dir).select("file", "seq", F.row_number().over(order).alias("place"))
 
 
+def scan_generated(extension: str) -> Callable[[SparkSession, str], DataFrame]:
+    """The whole scan over ten thousand generated lines of one language."""
+    return lambda s, d: scan(s.createDataFrame(generated(extension), "path string, content string"), extensions=(extension,)).select(*KEYS)
+
+
 def on_code(rules) -> Callable[[SparkSession, str], DataFrame]:
     return lambda s, d: rules(code_files(s)).select(*KEYS).distinct()
 
@@ -141,12 +146,15 @@ def on_code(rules) -> Callable[[SparkSession, str], DataFrame]:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_documents": lambda s, d: scan(document_files(s, d)).select(*KEYS),
     "scan_code": lambda s, d: scan(code_files(s)).select(*KEYS),
+    "scan_10k_go": scan_generated(".go"),
+    "scan_10k_js": scan_generated(".js"),
+    "scan_10k_py": scan_generated(".py"),
     "rule_line_pack_documents": lambda s, d: line_rules.line_findings(split_lines(document_files(s, d))).select(*KEYS),
     "rule_line_pack_code": lambda s, d: line_rules.line_findings(split_lines(code_files(s))).select(*KEYS),
     "rule_structure_lines_code": lambda s, d: line_rules.line_findings(split_lines(code_files(s)), brace_rules.LINE_RULES).select(*KEYS),
     "rule_file_pack_code": on_code(lambda f: file_rules.file_findings(split_lines(f))),
     "rule_flow_pack_code": on_code(lambda f: flow_rules.flow_findings(split_lines(f))),
-    "rule_python_code": on_code(lambda f: python_rules.python_findings(f, split_lines(f))),
+    "rule_python_code": on_code(lambda f: python_rules.python_findings(f)),
     "rule_go_js_code": on_code(lambda f: brace_rules.brace_findings(f, split_lines(f))),
     "lines_explode": lambda s, d: exploded(split_lines(document_files(s, d))).select(F.col("path").alias("file"), "line", "code"),
     "file_routing": lambda s, d: document_files(s, d).groupBy(T.extension(F.col("path")).alias("ext")).agg(F.count("*").alias("files"), F.sum(F.length("content")).alias("chars")),
@@ -172,6 +180,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "debounce_sessions": sessions,
 }
 
-from .oracles import ORACLES  # noqa: E402
+from . import cases, oracles  # noqa: E402
+
+QUERIES |= cases.QUERIES
+ORACLES = oracles.ORACLES | cases.ORACLES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-import fnmatch
 import os
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+
+from .config import fits
 
 # Extensions that are read, folders and names that are not.
 EXTENSIONS = (".go", ".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", ".py", ".pyi", ".rs", ".sh", ".bash", ".toml", ".yaml", ".yml", ".json", ".env")
 FOLDERS = (".git", "vendor", "node_modules", "testdata", "__pycache__", ".venv", "dist", "build")
 NAMES = ("*.min.js", "*.bundle.js", "*.pyc")
+#: Extensions of files whose changes are followed.
+WATCHED = (".go", ".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", ".sh", ".bash", ".toml", ".yaml", ".yml", ".json", ".env")
 PER_PARTITION = 256
 
 
@@ -21,14 +25,21 @@ def suffix(name: str) -> str:
 
 
 def walk(root: str, folders=FOLDERS, names=NAMES) -> list[str]:
-    """Paths below ``root`` in lexical order; hidden folders and those of ``folders`` are left out, the root too."""
+    """Paths below ``root`` in lexical order; hidden folders and those of ``folders`` are left out, the root too.
+
+    ``names`` are patterns of base names that are left out; a malformed one is an error. A ``root`` that is a file is
+    read whatever its name.
+    """
+    if os.path.isfile(root):
+        return [root]
+    fits("", [*names])
     top = os.path.basename(os.path.normpath(root))
     if root != "." and (top in folders or top.startswith(".")):
         return []
     out = []
     for at, inner, found in os.walk(root):
         inner[:] = sorted(d for d in inner if d not in folders and not d.startswith("."))
-        out += [os.path.join(at, f) for f in found if suffix(f) in EXTENSIONS and not any(fnmatch.fnmatchcase(f, p) for p in names)]
+        out += [os.path.join(at, f) for f in found if suffix(f) in EXTENSIONS and not fits(f, [*names])]
     return sorted(out)
 
 
@@ -37,13 +48,19 @@ class PathBatch(InputPartition):
         self.paths = paths
 
 
+def listed(options: dict[str, str], key: str) -> tuple[str, ...]:
+    return tuple(filter(None, options.get(key, "").split(",")))
+
+
 class FileReader(DataSourceReader):
+    """Walks once on the driver; a task gets the paths of its own batch alone."""
+
     def __init__(self, options: dict[str, str]):
-        more = tuple(filter(None, options.get("exclude", "").split(",")))
-        self.paths = walk(options["path"], FOLDERS + more)
+        self.options = options
 
     def partitions(self) -> list[PathBatch]:
-        return [PathBatch(self.paths[i : i + PER_PARTITION]) for i in range(0, len(self.paths), PER_PARTITION)]
+        paths = walk(self.options["path"], FOLDERS + listed(self.options, "exclude"), NAMES + listed(self.options, "patterns"))
+        return [PathBatch(paths[i : i + PER_PARTITION]) for i in range(0, len(paths), PER_PARTITION)]
 
     def read(self, partition: PathBatch) -> Iterator[tuple]:
         for path in getattr(partition, "paths", None) or []:
@@ -51,8 +68,51 @@ class FileReader(DataSourceReader):
                 yield path, f.read()
 
 
+class EventReader(SimpleDataSourceStreamReader):
+    """Files of one folder (not below it) that were written since the last look: path, time of writing and content.
+
+    Offsets hold the times of writing seen, so a query that starts anew goes on where it ended. What is removed or
+    renamed away gives no event; a file that vanishes while it is read gives none either.
+    """
+
+    def __init__(self, options: dict[str, str]):
+        self.root = options["path"]
+
+    def initialOffset(self) -> dict:
+        return {"seen": {}}
+
+    def look(self) -> dict[str, int]:
+        found = {}
+        with os.scandir(self.root) as entries:
+            for e in entries:
+                if e.is_file() and suffix(e.name) in WATCHED:
+                    found[e.path] = e.stat().st_mtime_ns
+        return found
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        now = self.look()
+        return self.rows(start["seen"], now), {"seen": now}
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        return self.rows(start["seen"], end["seen"])
+
+    def rows(self, before: dict[str, int], now: dict[str, int]) -> Iterator[tuple]:
+        out = []
+        for path, at in sorted(now.items()):
+            if before.get(path) != at:
+                try:
+                    with open(path, encoding="utf-8", errors="replace", newline="") as f:
+                        out.append((path, datetime.fromtimestamp(at / 1e9, UTC), f.read()))
+                except FileNotFoundError:
+                    continue
+        return iter(out)
+
+
 class SourceTree(DataSource):
-    """``spark.read.format("source_tree").load(root)``: unlike the file sources it also reads names with a leading dot or underscore."""
+    """``spark.read.format("source_tree").load(root)``: unlike the file sources it also reads names with a leading dot or underscore.
+
+    Paths are those of a file system that driver and executors mount alike.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -65,6 +125,26 @@ class SourceTree(DataSource):
         return FileReader(dict(self.options))
 
 
-def read_tree(spark: SparkSession, root: str, exclude: str = "") -> DataFrame:
+class FileEvents(DataSource):
+    """``spark.readStream.format("file_events").load(folder)``: one row each time that a file of the folder is written."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "file_events"
+
+    def schema(self) -> str:
+        return "path string, ts timestamp, content string"
+
+    def simpleStreamReader(self, schema) -> EventReader:
+        return EventReader(dict(self.options))
+
+
+def read_tree(spark: SparkSession, root: str, exclude: str = "", patterns: str = "") -> DataFrame:
+    """Files below ``root`` (path, content) without folders in the comma list ``exclude`` and names fitting ``patterns``."""
     spark.dataSource.register(SourceTree)
-    return spark.read.format("source_tree").option("exclude", exclude).load(root)
+    return spark.read.format("source_tree").option("exclude", exclude).option("patterns", patterns).load(root)
+
+
+def read_events(spark: SparkSession, folder: str) -> DataFrame:
+    spark.dataSource.register(FileEvents)
+    return spark.readStream.format("file_events").load(folder)

@@ -2,39 +2,70 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.findings import has_errors
+from ..plans.scan import scan
 
-def debounced(events: DataFrame, gap: str = "100 milliseconds") -> DataFrame:
-    """The last event of each burst per path: events closer than ``gap`` are one burst (works on streams too)."""
+
+def debounced(events: DataFrame, gap: str = "100 milliseconds", late: str = "1 minute") -> DataFrame:
+    """The last event of each burst per path: events closer than ``gap`` are one burst.
+
+    Of events at one time the one of greatest content counts. On streams events more than ``late`` behind are dropped,
+    and a burst is given when the watermark has passed it (append mode).
+    """
+    if events.isStreaming:
+        events = events.withWatermark("ts", late)
     session = F.session_window("ts", gap)
-    return events.groupBy("path", session).agg(F.max_by("content", "ts").alias("content"), F.max("ts").alias("ts"), F.count("*").alias("events")).drop("session_window")
+    last = F.max(F.struct("ts", "content")).alias("last")
+    return events.groupBy("path", session).agg(last, F.count("*").alias("events")).select("path", "last.content", "last.ts", "events")
 
 
 def changed_lines(before: list[str], after: list[str]) -> list[int]:
     """Numbers (from 1) of lines of ``after`` outside a longest common subsequence with ``before``.
 
-    On ties the walk goes up in ``before`` first.
+    On ties the walk goes up in ``before`` first. Equal ends are cut off first, which keeps the subsequence's length
+    and the walk's way; rows of the table are made by numpy, one bit a cell kept for the way back.
     """
-    m, n = len(before), len(after)
-    table = [[0] * (n + 1) for _ in range(m + 1)]
-    for i in range(1, m + 1):
-        for j in range(1, n + 1):
-            table[i][j] = table[i - 1][j - 1] + 1 if before[i - 1] == after[j - 1] else max(table[i - 1][j], table[i][j - 1])
+    start = 0
+    while start < min(len(before), len(after)) and before[start] == after[start]:
+        start += 1
+    end = 0
+    while end < min(len(before), len(after)) - start and before[-1 - end] == after[-1 - end]:
+        end += 1
+    # Lines at the start are only cut off if the rest has none in common with them: else the walk may pair others.
+    codes: dict[str, int] = {}
+    x = np.array([codes.setdefault(s, len(codes)) for s in before[: len(before) - end]], np.int64)
+    y = np.array([codes.setdefault(s, len(codes)) for s in after[: len(after) - end]], np.int64)
+    if start and not (set(before[:start]) & {*before[start:], *after[start:]}):
+        x, y = x[start:], y[start:]
+    else:
+        start = 0
+    m, n = len(x), len(y)
+    row, ups = np.zeros(n + 1, np.int32), []
+    for i in range(m):
+        same = y == x[i]
+        # A cell is the greatest of the one above and, at matches left of it or there, the diagonal one plus one.
+        new = np.maximum.accumulate(np.maximum(row[1:], np.where(same, row[:-1] + 1, 0)))
+        ups.append(np.packbits(row[1:] >= np.append(0, new[:-1])))
+        row = np.append(0, new)
     changed, i, j = [], m, n
     while j:
-        if i and before[i - 1] == after[j - 1]:
+        if i and x[i - 1] == y[j - 1]:
             i, j = i - 1, j - 1
-        elif i and table[i - 1][j] >= table[i][j - 1]:
+        elif i and ups[i - 1][(j - 1) >> 3] >> (7 - ((j - 1) & 7)) & 1:
             i -= 1
         else:
-            changed.append(j)
+            changed.append(j + start)
             j -= 1
     return changed[::-1]
 
@@ -44,12 +75,15 @@ def file_lines(content: str) -> list[str]:
     return lines[:-1] if lines and lines[-1] == "" else lines
 
 
-def tracked(events: DataFrame) -> DataFrame:
+def tracked(events: DataFrame, contents: bool = False) -> DataFrame:
     """Changed lines (path, ts, line, code) of each event (path, ts, content) against the path's snapshot, kept as state.
 
     A path seen for the first time has changed in all its lines. Events of one path in a micro-batch follow each
-    other by ``ts``; the lines of each are given with it, so that a line that changes twice stands twice.
+    other by ``ts``; the lines of each are given with it, so that a line that changes twice stands twice. With
+    ``contents`` every event gives one more row, of line 0, that carries its content.
     """
+    schema = "path string, ts timestamp, line int, code string" + (", content string" if contents else "")
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def update(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
@@ -58,10 +92,48 @@ def tracked(events: DataFrame) -> DataFrame:
         for ts, content in zip(rows["ts"], rows["content"], strict=True):
             after = file_lines(content)
             lines = range(1, len(after) + 1) if before is None else changed_lines(before, after)
-            out += [(key[0], ts, k, after[k - 1]) for k in lines]
+            out += [(key[0], ts, k, after[k - 1], None)[: len(names)] for k in lines]
+            if contents:
+                out.append((key[0], ts, 0, None, content))
             before = after
         state.update((before,))
         if out:
-            yield pd.DataFrame(out, columns=["path", "ts", "line", "code"])
+            yield pd.DataFrame(out, columns=names)
+
+    return events.groupBy("path").applyInPandasWithState(update, schema, "lines array<string>", "append", GroupStateTimeout.NoTimeout)
+
+
+def watch(events: DataFrame, checkpoint: str, handle: Callable[[DataFrame], None], **how) -> tuple[StreamingQuery, Session]:
+    """Scans each changed file and hands its findings on changed lines to ``handle``, micro-batch by micro-batch.
+
+    ``events`` (path, ts, content) is a stream; ``how`` goes to ``scan``. The session's flag is set once an error was found.
+    """
+    session = Session()
+    text = F.struct("ts", "content")
+
+    def each(batch: DataFrame, _: int) -> None:
+        batch = batch.persist()
+        try:
+            # The last content of a path in the batch is scanned, and kept where any of its lines changed on the way.
+            last = batch.groupBy("path").agg(F.max(text).alias("last"))
+            found = scan(last.select("path", "last.content"), changed=batch.where("line > 0").select(F.col("path").alias("file"), "line").distinct(), **how)
+            found = found.persist()
+            session.errors = session.errors or has_errors(found)
+            handle(found)
+            found.unpersist()
+        finally:
+            batch.unpersist()
+
+    query = tracked(events, contents=True).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()
+    return query, session
+
+
+@dataclass
+class Session:
+    """What a run of ``watch`` ends with: 1 if any batch had an error, else 0."""
+
+    errors: bool = False
 
-    return events.groupBy("path").applyInPandasWithState(update, "path string, ts timestamp, line int, code string", "lines array<string>", "append", GroupStateTimeout.NoTimeout)
+    @property
+    def exit_code(self) -> int:
+        return int(self.errors)
