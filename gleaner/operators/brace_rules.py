@@ -22,6 +22,7 @@ STATEMENT = "struct<text:string,line:int,code:string,above:string>"
 BLOCKS = f"path string, line int, code string, last int, header string, kids array<{STATEMENT}>, deep array<{STATEMENT}>, body string, function string, in_loop boolean, later array<{STATEMENT}>"
 HIDDEN = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?|`(?:[^`\\]|\\.)*`?", re.S)
 LOOP = re.compile(r"^(?:for|while|do)\b")
+CONTINUED = re.compile(r"\s*(?:else|catch|finally)\b")
 CALLABLE = re.compile(r"\bfunc\b|\bfunction\b|=>\s*$")
 
 
@@ -61,8 +62,10 @@ def blocks_of(path: str, source: str) -> Iterator[tuple]:
         elif c in ")]":
             round_[-1] = max(0, round_[-1] - 1)
         elif c == "{":
-            header = source[begin:i].strip()
-            lead = len(source[begin:i]) - len(source[begin:i].lstrip())
+            # What follows a closed block with else or catch starts there, not where the statement does.
+            top = nested[-1][1] if nested and CONTINUED.match(plain, nested[-1][1]) else begin
+            header = source[top:i].strip()
+            lead = top - begin + len(source[top:i]) - len(source[top:i].lstrip())
             called = bool(CALLABLE.search(header)) or bool(re.search(r"\)\s*(?::\s*[\w<>\[\]., ]+)?$", header)) and not re.match(r"(?:\}?\s*else\s+)?(?:if|for|while|switch|catch|with)\b|\}?\s*catch\b", header)
             inner = {"from": line_of[begin + lead], "start": i, "header": header, "kids": [], "deep": [], "parent": block, "place": len(block["kids"]), "begin": begin, "nested": nested}
             inner["function"] = header if called else block["function"]

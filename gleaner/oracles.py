@@ -87,7 +87,122 @@ def code_pattern() -> str:
 
 LEVELLED = f"CASE WHEN regexp_matches(code, '(?i)\\b({'|'.join(KEYWORDS)})\\b') THEN NULL ELSE {code_pattern()} END"
 
+#: What rules of files, flow and syntax find in the corpus: listed by the library, then reviewed row by row against what
+#: the rules say (one row was corrected by that). They tell of changes; a finding that both miss they do not show.
+FOUND = {
+    "rule_file_pack_code": """
+a/.env 1 config-smells.dotenv-no-example info
+a/.env 1 config-smells.missing-gitignore warning
+a/install.sh 2 silent-fallback.no-err-trap info
+a/m.cjs 1 bad-defaults.no-strict-mode info
+a/run.sh 1 bad-defaults.missing-pipefail error
+a/run.sh 2 silent-fallback.no-err-trap info
+a/x.py 1 trace-gaps.no-logging-config warning
+a/y.js 1 trace-gaps.no-unhandled-rejection warning
+b/.env 1 config-smells.dotenv-no-example info
+g/m.go 17 trace-gaps.no-stderr-capture info
+r/lib.rs 5 rust.unwrap-in-production error
+""",
+    "rule_flow_pack_code": """
+a/install.sh 3 silent-fallback.hidden-failure-bash info
+a/run.sh 3 silent-fallback.hidden-failure-bash warning
+a/run.sh 4 silent-fallback.hidden-failure-bash warning
+a/run.sh 9 silent-fallback.hidden-failure-bash info
+a/s.js 5 code-quality.error-swallowing warning
+a/t.ts 1 code-quality.unused-variable warning
+a/x.py 4 code-quality.unreachable-code warning
+a/x.py 7 code-quality.error-swallowing warning
+a/x.py 9 code-quality.unused-variable warning
+a/x.py 10 code-quality.unused-variable warning
+a/x.py 11 code-quality.unused-variable warning
+a/x.py 12 code-quality.unused-variable warning
+a/x.test.js 1 test-isolation.test-missing-cleanup info
+a/x.test.js 2 test-isolation.test-leaked-server warning
+a/y.js 1 code-quality.unused-variable warning
+a/y.js 2 code-quality.error-swallowing warning
+a/y.js 7 code-quality.unreachable-code warning
+a/y.js 13 code-quality.unused-variable warning
+a/y.py 3 code-quality.unused-variable warning
+a/y.py 6 code-quality.unused-variable warning
+a/y.py 7 code-quality.error-swallowing warning
+a/y.py 13 code-quality.unreachable-code warning
+a/y.py 14 code-quality.unreachable-code warning
+a/y.py 15 code-quality.unreachable-code warning
+g/m.go 16 code-quality.unused-variable warning
+g/m.go 17 code-quality.unused-variable warning
+""",
+    "rule_python_code": """
+a/x.py 7 silent-fallback.py-except-broad warning
+a/x.py 7 silent-fallback.py-except-pass warning
+a/x.py 13 silent-fallback.py-subprocess-no-check warning
+a/y.py 1 mock-leakage.py-unittest-import error
+a/y.py 2 bad-defaults.py-star-import warning
+a/y.py 3 bad-defaults.py-global-state warning
+a/y.py 4 bad-defaults.py-mutable-default-arg error
+a/y.py 6 bad-defaults.py-no-timeout-requests error
+a/y.py 6 silent-fallback.py-dict-get-none info
+a/y.py 6 trace-gaps.py-silent-request warning
+a/y.py 7 silent-fallback.py-bare-except error
+a/y.py 7 silent-fallback.py-except-pass warning
+a/y.py 9 silent-fallback.py-except-broad warning
+a/y.py 10 error-context.py-log-and-raise info
+a/y.py 11 error-context.py-bare-raise-different warning
+a/y.py 12 error-context.py-string-exception error
+a/y.py 13 bad-defaults.py-no-encoding-open info
+a/y.py 14 silent-fallback.py-dict-get-none info
+a/y.py 15 silent-fallback.py-getattr-silent-default info
+a/y.py 16 mock-leakage.py-debug-flag warning
+""",
+    "rule_go_js_code": """
+a/s.js 2 trace-gaps.js-missing-correlation-id info
+a/s.js 2 trace-gaps.js-no-error-handler-express warning
+a/s.js 5 silent-fallback.js-empty-catch warning
+a/s.js 4 bad-defaults.no-timeout-fetch error
+a/s.js 4 silent-fallback.js-floating-promise warning
+a/s.js 8 error-context.js-console-error-no-throw warning
+a/s.js 9 error-context.js-http-200-on-error error
+a/s.js 11 silent-fallback.js-callback-err-ignored warning
+a/s.js 14 silent-fallback.js-catch-return-null warning
+a/s.js 15 error-context.js-promise-reject-non-error warning
+a/s.js 16 bad-defaults.eval-usage error
+a/s.js 17 error-context.js-generic-error-message warning
+a/t.ts 1 bad-defaults.any-type-assertion warning
+a/t.ts 2 bad-defaults.non-null-assertion info
+a/t.ts 4 mock-leakage.js-env-test-check warning
+a/t.ts 5 mock-leakage.js-test-import-in-src error
+a/t.ts 6 silent-fallback.js-optional-chain-silence info
+a/x.test.js 1 test-isolation.no-afterall-cleanup warning
+a/x.test.js 4 test-isolation.no-afterall-cleanup warning
+a/y.js 2 silent-fallback.js-empty-catch warning
+a/y.js 10 bad-defaults.no-timeout-fetch error
+a/y.js 10 silent-fallback.js-floating-promise warning
+g/m.go 2 mock-leakage.mock-import-non-test error
+g/m.go 3 trace-gaps.no-request-id warning
+g/m.go 5 error-context.swallowed-error warning
+g/m.go 8 bad-defaults.magic-number info
+g/m.go 8 error-context.http-200-on-error error
+g/m.go 9 silent-fallback.ignored-error error
+g/m.go 10 silent-fallback.unchecked-type-assert warning
+g/m.go 12 bad-defaults.defer-in-loop warning
+g/m.go 14 bad-defaults.goroutine-no-context warning
+g/m.go 15 bad-defaults.no-timeout error
+g/m.go 16 bad-defaults.context-todo warning
+g/m.go 22 error-context.nil-on-error error
+g/m.go 24 silent-fallback.empty-error-check error
+g/m.go 28 error-context.unwrapped-error warning
+g/m.go 30 error-context.error-string-compare warning
+g/m.go 32 error-context.generic-message warning
+""",
+}
+
+
+def reviewed(name: str) -> str:
+    rows = (x.split(" ") for x in FOUND[name].strip().split("\n"))
+    return "SELECT * FROM (VALUES " + ", ".join(f"({q(r)}, {q(s)}, {q(f)}, {n}::INT)" for f, n, r, s in rows) + ") AS t(rule, severity, file, line)"
+
+
 ORACLES: dict[str, str] = {
+    **{name: reviewed(name) for name in FOUND},
     "rule_line_pack_documents": pack(DOCS, RULES),
     "rule_line_pack_code": pack(CODE, RULES),
     "rule_structure_lines_code": pack(CODE, LINE_RULES),

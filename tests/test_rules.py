@@ -66,7 +66,7 @@ def test_python_rules(files):
 
 def test_structure_rules(files):
     found = brace_rules.brace_findings(files, split_lines(files))
-    assert places(found, "a/s.js") >= {(2, "js-no-error-handler-express"), (3, "js-empty-catch"), (4, "js-floating-promise"), (4, "no-timeout-fetch"), (8, "js-console-error-no-throw"), (9, "js-http-200-on-error"), (11, "js-callback-err-ignored"), (14, "js-catch-return-null"), (15, "js-promise-reject-non-error"), (16, "eval-usage"), (17, "js-generic-error-message")}
+    assert places(found, "a/s.js") >= {(2, "js-no-error-handler-express"), (5, "js-empty-catch"), (4, "js-floating-promise"), (4, "no-timeout-fetch"), (8, "js-console-error-no-throw"), (9, "js-http-200-on-error"), (11, "js-callback-err-ignored"), (14, "js-catch-return-null"), (15, "js-promise-reject-non-error"), (16, "eval-usage"), (17, "js-generic-error-message")}
     assert places(found, "g/m.go") >= {(2, "mock-import-non-test"), (5, "swallowed-error"), (8, "http-200-on-error"), (9, "ignored-error"), (10, "unchecked-type-assert"), (12, "defer-in-loop"), (14, "goroutine-no-context"), (15, "no-timeout"), (16, "context-todo"), (22, "nil-on-error"), (24, "empty-error-check"), (28, "unwrapped-error"), (30, "error-string-compare"), (32, "generic-message")}
     assert (4, "no-afterall-cleanup") in places(found, "a/x.test.js")
 
@@ -141,3 +141,12 @@ func A() (out string, bad error) {
     assert {x for x in places(found, "m.go") if x[1] in ("nil-on-error", "bare-return-on-error", "context-todo")} == {(5, "nil-on-error"), (12, "nil-on-error"), (5, "bare-return-on-error"), (12, "bare-return-on-error"), (14, "bare-return-on-error"), (16, "context-todo")}
     code = {r.line: r.code for r in found.where("file = 's.js' and rule = 'error-context.js-rethrow-no-wrap'").collect()}
     assert code[3] == "    throw problem;"
+
+
+def test_blocks_that_continue_a_statement(spark):
+    js = "try {\n  a();\n}\ncatch (e) {\n}\n"
+    go = "package m\nfunc A() (string, error) {\n\tif x {\n\t\treturn b, nil\n\t} else if err != nil {\n\t\treturn nil, nil\n\t}\n\treturn b, nil\n}\nfunc B(v interface{}) error {\n\tif err != nil {\n\t\treturn err\n\t}\n\treturn nil\n}\n"
+    files = spark.createDataFrame([("s.js", js), ("m.go", go)], "path string, content string")
+    found = brace_rules.brace_findings(files, split_lines(files))
+    assert places(found, "s.js") == {(4, "js-empty-catch")}
+    assert places(found, "m.go") == {(5, "empty-error-check"), (6, "nil-on-error"), (12, "unwrapped-error")}
