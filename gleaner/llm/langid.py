@@ -230,8 +230,8 @@ def fit(docs: DataFrame, learns: Column, fit_rows: int = FIT_ROWS, open_set: boo
 def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """Columns ``keep`` of ``docs`` with ``lang_pred`` and ``score``; whole texts are read.
 
-    Null texts and texts without a letter are ``und`` with score 0; repeated rows are predicted alike; an
-    empty table gives no rows; columns of ``docs`` that are not kept cannot clash.
+    Null texts and texts without a letter are ``und`` with score 0; texts of any length are read whole; of
+    languages equally likely the first by name counts; repeated rows are predicted alike; an empty table gives no rows; columns of ``docs`` that are not kept cannot clash.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = bounded_batches(docs).select(F.struct(*keep).alias("row"), F.col("text").alias("t"))

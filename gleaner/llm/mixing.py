@@ -33,7 +33,8 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     Sources by code point, null last, weigh ``weights`` in turn. Targets stop at ``most`` times the
     source's size; the excess goes to the others by weight. With sources in order of cap over weight,
     those before the first whose cap exceeds its share at the current level are full, and that level
-    serves the rest, which is where repeated resharing ends.
+    serves the rest, which is where repeated resharing ends. Sources, a row each, are ordered in one task: the column
+    is one of sources, not of millions of values.
     """
     per = sized.groupBy("_s").agg(F.count("*").alias("_rows"), F.sum("_size").alias("_total"))
     by_name = Window.orderBy(F.col("_s").isNull(), F.col("_s"))
