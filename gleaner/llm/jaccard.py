@@ -324,10 +324,15 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
 
 def same_documents(own: DataFrame, classes: DataFrame) -> DataFrame:
     """Links (u, v) between classes that rows of one doc_id are in."""
-    key = F.struct("s1", "s2")
-    repeated = own.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min(key).alias("a"), F.max(key).alias("b")).where("a <> b")
+    sets = own.where("n > 0 and doc_id is not null")
+    span = sets.groupBy("doc_id").agg(*(f(c).alias(f"{c}_{name}") for c in ("s1", "s2") for name, f in (("a", F.min), ("z", F.max))))
+    repeated = saved(span.where("s1_a <> s1_z or s2_a <> s2_z").select("doc_id"), "repeated-documents")
+    if not repeated.take(1):
+        return repeated.select(F.lit(0).cast("long").alias("u"), F.lit(0).cast("long").alias("v"))
+    several = sets.select("doc_id", "s1", "s2").join(repeated, "doc_id").distinct()
+    least = several.groupBy("doc_id").agg(F.min(F.struct("s1", "s2")).alias("a"))
     # Every class of such a doc_id is linked to the smallest of them.
-    pairs = own.where("n > 0").join(repeated.select("doc_id", "a"), "doc_id").where((key != F.col("a"))).select(F.col("a.s1").alias("a1"), F.col("a.s2").alias("a2"), F.col("s1").alias("b1"), F.col("s2").alias("b2")).distinct()
+    pairs = several.join(least, "doc_id").where(F.struct("s1", "s2") != F.col("a")).select(F.col("a.s1").alias("a1"), F.col("a.s2").alias("a2"), F.col("s1").alias("b1"), F.col("s2").alias("b2")).distinct()
     return saved(class_pairs(pairs, classes), "same-documents")
 
 
