@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import extraction, jaccard, langid, media, mixing, neighbours, packing, token_files, toxicity, warc
+from . import centroids, extraction, jaccard, langid, media, mixing, neighbours, packing, pieces, ranking, token_files, toxicity, warc
 
 QUERIES = {
     "op1_learned_partitions": neighbours.op1_learned_partitions,
@@ -15,9 +15,14 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op10_toxicity": toxicity.op10_toxicity,
     "op9_token_files": token_files.op9_token_files,
+    "op11_centroids": centroids.op11_centroids,
+    "op12_lexical_search": ranking.op12_lexical_search,
+    "op13_byte_bpe": pieces.op13_byte_bpe,
 }
 
 ORACLES = {
     "op5_warc": warc.ORACLE,
     "op3_mixing": mixing.ORACLE,
+    "op11_centroids": centroids.ORACLE,
+    "op12_lexical_search": ranking.ORACLE,
 }
