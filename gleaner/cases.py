@@ -68,6 +68,25 @@ def verdict_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("rule", "pattern_hash", "items", "verdict", "source", "by", "tokens_in", "tokens_out", F.round("cost", 9).alias("cost"), F.round("confidence", 6).alias("confidence"))
 
 
+def answered(batch: dict) -> tuple[str, int, int]:
+    """A judge that is asked now: it prices a batch by the words of its code and is away for those of eight."""
+    n = len(batch["code"].split())
+    if n == 8:
+        raise TimeoutError("no answer")
+    verdict = ("guilty", "not_guilty", "advisory")[n % 3]
+    return f'{{"verdict": "{verdict}", "reasoning": "because", "confidence": 0.7, "precedent_decision": "allow", "precedent_rationale": "now"}}', n * 1000, n * 100
+
+
+#: What the longest pattern of ``found`` costs.
+DEAREST = (12 * 1000 * 0.8 + 12 * 100 * 4.0) / 1e6
+
+
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which batches were asked for within the budget, what came of it and what it cost."""
+    out = judging.judged(found(spark, sf_dir), past(spark, sf_dir), judging.asked(answered), budget=BUDGET, strict=False, dearest=DEAREST)
+    return out.select("rule", "pattern_hash", "asked", "by", "verdict", "problem", F.round("cost", 9).alias("cost"))
+
+
 def verdict_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = found(spark, sf_dir)
     return judging.dealt_out(rows, verdicts(spark, sf_dir))
@@ -105,6 +124,13 @@ def amendments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judging.approved_amendments(judging.senate_verdicts(senate_documents(spark, sf_dir))).select("verdict_id", "rule_id", "action")
 
 
+def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From documents of rulings to the state of each rule."""
+    ruled = judging.approved_amendments(judging.senate_verdicts(senate_documents(spark, sf_dir)))
+    fresh = adjudication.new_amendments(ruled, ruled.limit(0))
+    return adjudication.replayed_amendments(fresh.withColumn("ord", F.struct(F.substring("verdict_id", 2, 20).cast("long"), "place")))
+
+
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
     body = F.concat(F.lit('{"verdict": "'), F.when(k % 4 == 0, "unsure").otherwise("guilty"), F.lit('", "reasoning": "a } in \\"a\\" string", "confidence": '), (k % 13 / 10).cast("string"), F.lit(', "precedent_decision": "deny", "precedent_rationale": "x"}'))
@@ -164,6 +190,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "precedent_upsert": upserted,
     "law_proposals": proposal_rows,
     "senate_amendments": amendments,
+    "senate_replay": replayed,
+    "judge_calls_within_budget": calls,
     "path_cleaning": paths,
     "code_patterns": patterns,
 }
@@ -309,7 +337,7 @@ ORACLES: dict[str, str] = {
     "report_summary": "SELECT count(*) AS total, count_if(event_type = 'purchase')::BIGINT AS errors, 0::BIGINT AS warnings, count_if(event_type <> 'purchase')::BIGINT AS info, 12::INT AS files_scanned, 34::INT AS duration_ms FROM events",
     "report_code": "SELECT event_id AS seq, CASE WHEN event_type = 'purchase' THEN 'ERROR ' ELSE 'INFO  ' END AS label, CASE WHEN user_id % 12 + 1 > 5 THEN 'a a a a a…' ELSE array_to_string(list_transform(range(user_id % 12 + 1), lambda i: 'a'), ' ') END AS code FROM events",
     "judge_verdicts": f"WITH {PAID} SELECT rule, pattern_hash, items, verdict, source, \"by\", {LLM.format('n * 1000')}::INT AS tokens_in, {LLM.format('n * 100')}::INT AS tokens_out, round({LLM.format('price')}, 9)::DOUBLE AS cost, CASE WHEN \"by\" = 'llm' THEN 0.7::DOUBLE WHEN \"by\" IS NOT NULL THEN CASE WHEN n < 3 THEN 0.95::DOUBLE ELSE 0.5::DOUBLE END END AS confidence FROM verdict",
-    "judge_summary": f"WITH {PAID} SELECT sum(items)::BIGINT AS total, sum(CASE WHEN verdict = 'guilty' THEN items ELSE 0 END)::BIGINT AS guilty, sum(CASE WHEN verdict = 'not_guilty' THEN items ELSE 0 END)::BIGINT AS not_guilty, sum(CASE WHEN verdict = 'advisory' THEN items ELSE 0 END)::BIGINT AS advisory, count(*) AS batches, sum(CASE WHEN matched THEN items ELSE 0 END)::BIGINT AS precedent_matches, count_if(\"by\" = 'auto')::BIGINT AS auto_applied, count_if(\"by\" = 'llm')::BIGINT AS llm_calls, sum({LLM.format('n * 1000')})::BIGINT AS tokens_in, sum({LLM.format('n * 100')})::BIGINT AS tokens_out, round(sum({LLM.format('price')}), 9)::DOUBLE AS cost, bool_or(NOT paid AND NOT auto) AS budget_exhausted FROM verdict",
+    "judge_summary": f"WITH {PAID} SELECT sum(items)::BIGINT AS total, sum(CASE WHEN verdict = 'guilty' THEN items ELSE 0 END)::BIGINT AS guilty, sum(CASE WHEN verdict = 'not_guilty' THEN items ELSE 0 END)::BIGINT AS not_guilty, sum(CASE WHEN verdict = 'advisory' THEN items ELSE 0 END)::BIGINT AS advisory, count(*) AS batches, sum(CASE WHEN matched THEN items ELSE 0 END)::BIGINT AS precedent_matches, count_if(\"by\" = 'auto')::BIGINT AS auto_applied, count_if(\"by\" = 'llm')::BIGINT AS llm_calls, 0::BIGINT AS failed_calls, sum({LLM.format('n * 1000')})::BIGINT AS tokens_in, sum({LLM.format('n * 100')})::BIGINT AS tokens_out, round(sum({LLM.format('price')}), 9)::DOUBLE AS cost, bool_or(NOT paid AND NOT auto) AS budget_exhausted FROM verdict",
     "judge_fan_out": f"WITH {FREE} SELECT rule, verdict, source, count(*) AS n, min(seq) AS first FROM f JOIN verdict USING (rule, n) GROUP BY 1, 2, 3",
     "judge_answers": "SELECT event_id, CASE WHEN event_id % 6 = 0 THEN 'no json object' WHEN event_id % 4 = 0 THEN 'invalid verdict' WHEN event_id % 13 > 10 THEN 'confidence out of range' END AS problem, CASE WHEN event_id % 6 <> 0 AND event_id % 4 <> 0 AND event_id % 13 <= 10 THEN (event_id % 13) / 10.0::DOUBLE END AS confidence FROM events",
     "debt_rows": f"WITH {FREE} SELECT rule AS rule_id, file, count(*) AS n, min(line) AS first FROM f JOIN verdict USING (rule, n) WHERE verdict = 'advisory' GROUP BY 1, 2",
@@ -324,6 +352,12 @@ ORACLES: dict[str, str] = {
       SELECT pattern_hash, ord, decision, round(c, 9)::DOUBLE AS confidence, seen AS seen_count FROM s WHERE i > 0""",
     "law_proposals": "WITH c AS (SELECT CASE WHEN event_type = 'view' THEN 'rust.panic-in-lib' ELSE 'own.rule' END AS rule_id, 'u' || (user_id % 30) AS pattern_hash, CASE WHEN event_id % 2 = 0 THEN 'allow' ELSE 'deny' END AS decision, count(*) AS n, min(ts) AS a, max(ts) AS z FROM events WHERE ts IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 7), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, rule_id, decision, pattern_hash)::INT AS place FROM c) SELECT place, rule_id, pattern_hash, decision, '## Proposal ' || place || ': `' || rule_id || '`' || chr(10) || chr(10) || '- Rule: ' || CASE WHEN rule_id = 'own.rule' THEN '(no description)' ELSE 'A library panics' END || chr(10) || '- Pattern: `' || pattern_hash || '`' || chr(10) || '- Decision: `' || decision || '`' || chr(10) || '- Evidence: ' || n || ' (threshold 7)' || chr(10) || '- First seen: ' || strftime(a, '%Y-%m-%dT%H:%M:%SZ') || chr(10) || '- Last seen: ' || strftime(z, '%Y-%m-%dT%H:%M:%SZ') || chr(10) || '- Amendment: ' || CASE WHEN decision = 'allow' THEN 'Add a targeted exception for this pattern (always judged not guilty).' ELSE 'Enforce more strictly for this pattern (always judged guilty).' END || chr(10) AS text FROM r",
     "senate_amendments": "SELECT 'v' || event_id AS verdict_id, 'r' || user_id AS rule_id, (['disable_rule', 'enable_rule', 'set_severity'])[(event_id % 4 + 1)::INT] AS action FROM events WHERE event_id % 7 <> 0 AND event_id % 5 <> 0 AND event_id % 4 <> 3",
+    "senate_replay": "WITH e AS (SELECT 'r' || user_id AS rule_id, event_id AS k, event_id % 4 AS a FROM events WHERE event_id % 7 <> 0 AND event_id % 5 <> 0 AND event_id % 4 <> 3) SELECT rule_id, max(CASE WHEN a = 2 THEN 'info' END) AS new_severity, coalesce(arg_max(a = 0, k) FILTER (a < 2), false) AS disabled FROM e GROUP BY 1",
+    "judge_calls_within_budget": f"""WITH {FREE}, o AS (SELECT *, CASE WHEN auto OR n = 8 THEN 0.0::DOUBLE ELSE (n * 1000 * 0.8::DOUBLE + n * 100 * 4.0::DOUBLE) / 1e6::DOUBLE END AS due FROM j),
+      s AS (SELECT *, NOT auto AND coalesce(sum(due) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < {BUDGET} AS asked FROM o),
+      b2 AS (SELECT *, CASE WHEN auto THEN 'auto' WHEN asked AND n <> 8 THEN 'llm' WHEN matched THEN 'fallback' END AS how FROM s)
+      SELECT rule, pattern_hash, asked, how AS "by", CASE how WHEN 'llm' THEN (['guilty', 'not_guilty', 'advisory'])[(n % 3 + 1)::INT] WHEN 'auto' THEN CASE WHEN n % 2 = 0 THEN 'guilty' ELSE 'not_guilty' END WHEN 'fallback' THEN CASE WHEN n % 2 = 0 THEN 'guilty' ELSE 'not_guilty' END END AS verdict,
+             CASE WHEN asked AND n = 8 THEN 'unavailable: no answer' END AS problem, round(CASE WHEN how = 'llm' THEN due ELSE 0 END, 9)::DOUBLE AS cost FROM b2""",
     "path_cleaning": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'a/b/x.py' WHEN 1 THEN 'src/' || user_id WHEN 2 THEN '../' || user_id ELSE '/repository/' || user_id END AS path FROM events",
     "code_patterns": "SELECT * FROM (VALUES " + ", ".join(f"({q(a).replace(chr(9), '')} || {q(chr(9) if chr(9) in a else '')}, {q(b)})" for a, b in PATTERNS) + ") AS t(code, pattern)",
 }

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import folding
 
-# Confidence of a new pattern, growth, decay and their bounds; prices in USD per million tokens.
-FIRST, UP, DOWN, FLOOR, UNKNOWN = 0.6, 0.1, 0.5, 0.2, 0.5
+# Confidence where none is known, prices in USD per million tokens.
+UNKNOWN = 0.5
 PRICE_IN, PRICE_OUT = 0.80, 4.00
 
 
@@ -51,36 +52,15 @@ def within_budget(calls: DataFrame, budget: float, *order: str) -> DataFrame:
     return calls.withColumn("spent", spent).withColumn("allowed", F.col("spent") < budget)
 
 
-def confidence_step(state: Column, x: Column) -> Column:
-    """The state (decision, confidence, seen) of a pattern after one more decision.
-
-    An equal decision raises the confidence, another one halves it and starts the count anew.
-    """
-    given = F.when(F.coalesce(x["confidence"], F.lit(0.0)) > 0, F.least(x["confidence"], F.lit(1.0))).otherwise(F.lit(FIRST))
-    again = state["decision"] == x["decision"]
-    confidence = F.when(state["decision"].isNull(), given).when(again, F.least(F.lit(1.0), state["confidence"] + UP)).otherwise(F.greatest(F.lit(FLOOR), state["confidence"] * DOWN))
-    return F.struct(x["decision"].alias("decision"), confidence.alias("confidence"), F.when(again, state["seen"] + 1).otherwise(1).alias("seen"))
-
-
 def folded_confidence(precedents: DataFrame) -> DataFrame:
     """Confidence and count of (rule_id, pattern_hash) after all its decisions in order of ``ord``.
 
-    Within a run of equal decisions the confidence has a closed form, so decisions are first summed up by run; a row
-    then holds a pattern's runs, about 50 bytes each, and only changes of mind lengthen it.
+    An equal decision raises the confidence, another one halves it and starts the count anew. A pattern's history is
+    folded in parts by as many tasks as its rows need.
     """
-    order = Window.partitionBy("rule_id", "pattern_hash").orderBy("ord")
-    rows = precedents.select("rule_id", "pattern_hash", "ord", "decision", "confidence", (~F.col("decision").eqNullSafe(F.lag("decision").over(order))).cast("int").alias("new"))
-    rows = rows.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = rows.groupBy("rule_id", "pattern_hash", "run").agg(F.min_by("decision", "ord").alias("decision"), F.min_by("confidence", "ord").alias("confidence"), F.count("*").cast("int").alias("n"))
-    steps = F.array_sort(F.collect_list(F.struct("run", "decision", "confidence", "n")))
-    start = F.struct(F.lit(None).cast("string").alias("decision"), F.lit(0.0).alias("confidence"), F.lit(0).alias("seen"))
-
-    def step(state: Column, x: Column) -> Column:
-        first = confidence_step(state, x)
-        return F.struct(x["decision"].alias("decision"), F.least(F.lit(1.0), first["confidence"] + UP * (x["n"] - 1)).alias("confidence"), x["n"].alias("seen"))
-
-    grouped = runs.groupBy("rule_id", "pattern_hash").agg(F.aggregate(steps, start, step).alias("s"))
-    return grouped.select("rule_id", "pattern_hash", "s.decision", F.round("s.confidence", 9).alias("confidence"), F.col("s.seen").alias("seen_count"))
+    steps = precedents.select("rule_id", "pattern_hash", "ord", "decision", F.lit(False).alias("fixed"), F.col("confidence").alias("value"), F.lit(0).alias("seen"))
+    last = folding.states(steps, last_only=True)
+    return last.select("rule_id", "pattern_hash", "decision", F.round("after_confidence", 9).alias("confidence"), F.col("after_seen").alias("seen_count"))
 
 
 def law_candidates(precedents: DataFrame, threshold: int = 10) -> DataFrame:
@@ -92,15 +72,19 @@ def law_candidates(precedents: DataFrame, threshold: int = 10) -> DataFrame:
 
 
 def replayed_amendments(amendments: DataFrame) -> DataFrame:
-    """Each rule's state (rule_id, new_severity, disabled) after all actions in order of ``ord``."""
+    """Each rule's state (rule_id, new_severity, disabled) after all actions (those of rulings) in order of ``ord``."""
     severity = F.max_by(F.when(F.col("action") == "set_severity", F.col("severity")), F.when(F.col("action") == "set_severity", F.col("ord")))
-    switch = F.max_by("action", F.when(F.col("action").isin("enable", "disable"), F.col("ord")))
-    return amendments.groupBy("rule_id").agg(severity.alias("new_severity"), (F.coalesce(switch, F.lit("enable")) == "disable").alias("disabled"))
+    switch = F.max_by("action", F.when(F.col("action").isin("enable_rule", "disable_rule"), F.col("ord")))
+    return amendments.groupBy("rule_id").agg(severity.alias("new_severity"), (F.coalesce(switch, F.lit("enable_rule")) == "disable_rule").alias("disabled"))
 
 
 def new_amendments(proposed: DataFrame, applied: DataFrame) -> DataFrame:
     """Amendments that were not applied yet; nulls count as empty."""
     key = ["verdict_id", "rule_id", "action", "severity", "exception"]
     filled = [F.coalesce(F.col(k).cast("string"), F.lit("")).alias(f"_{k}") for k in key]
-    rows = proposed.dropDuplicates(key).select("*", *filled)
+    rest = [c for c in proposed.columns if c not in key]
+    # Of equal ones the first in its ruling stays, and of those the least in its further columns.
+    order = F.struct(*(c for c in ("place",) if c in rest), *(c for c in rest if c != "place"), *key)
+    first = F.min_by(F.struct(*proposed.columns), order).alias("_first")
+    rows = proposed.groupBy(*filled).agg(first).select("_first.*", *(f"_{k}" for k in key))
     return rows.join(applied.select(*filled), [f"_{k}" for k in key], "left_anti").select(*proposed.columns)

@@ -6,6 +6,8 @@ the same. Verdicts of batches are dealt out to all their findings; tokens count
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -13,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .. import storage
 from ..functions import text as T
 from . import adjudication
 from .reports import rfc3339
@@ -23,20 +26,20 @@ AMENDMENT = "rule_id:string,action:string,severity:string,exception:string,ratio
 SENATE = f"id string, status string, decided_at timestamp, amendments array<struct<{AMENDMENT}>>"
 
 
+#: A brace, or a whole string (one that never ends takes the rest).
+MARKS = re.compile(r'[{}]|"(?:[^"\\]|\\.|\\\Z)*(?:"|\Z)', re.S)
+
+
 def json_object(text: str | None) -> str | None:
-    """The first balanced ``{...}`` of a text, strings and escapes respected; none if it never closes."""
-    start = (text or "").find("{")
-    depth, quoted, escaped = 0, False, False
-    for i in range(start, len(text or "") if start >= 0 else start):
-        c = text[i]
-        if quoted:
-            escaped, quoted = c == "\\" and not escaped, c != '"' or escaped
-        elif c == '"':
-            quoted = True
-        elif c in "{}":
-            depth += 1 if c == "{" else -1
-            if not depth:
-                return text[start : i + 1]
+    """The first balanced ``{...}`` of a text, strings and escapes respected; none if it never closes.
+
+    Answers are one a batch and short; only the marks that matter are visited.
+    """
+    start, depth = (text or "").find("{"), 0
+    for m in MARKS.finditer(text or "", max(start, 0)):
+        depth += {"{": 1, "}": -1}.get(m[0], 0)
+        if depth == 0 and m[0] == "}":
+            return text[start : m.end()]
     return None
 
 
@@ -65,10 +68,17 @@ def parsed_answers(rows: DataFrame, column: str = "raw") -> DataFrame:
     return out.withColumn("problem", problem).drop("_v")
 
 
-def asked(ask: Callable[[dict], tuple[str, int, int]]) -> Callable[[DataFrame], DataFrame]:
+#: What it may mean that a judge cannot be reached or did not answer in time.
+UNAVAILABLE = (OSError, TimeoutError)
+#: Calls of a wave at most: what runs at once, and what is asked again if a wave is lost.
+WAVE = 1024
+
+
+def asked(ask: Callable[[dict], tuple[str, int, int]], unavailable: tuple[type[Exception], ...] = UNAVAILABLE) -> Callable[[DataFrame], DataFrame]:
     """A judge from a function that takes a batch as a dict and gives the model's text and token counts.
 
-    It runs in the tasks; a batch for which it raises, or whose text does not parse, has no answer.
+    It runs in the tasks. A batch for which it raises one of ``unavailable``, or whose text does not parse, has a ``problem`` in
+    the place of an answer; any other exception is a fault of the function and fails the job.
     """
 
     def judge(batches: DataFrame) -> DataFrame:
@@ -77,41 +87,85 @@ def asked(ask: Callable[[dict], tuple[str, int, int]]) -> Callable[[DataFrame],
                 rows = []
                 for row in part.to_dict("records"):
                     try:
-                        rows.append((row["rule"], row["pattern_hash"], *ask(row)))
-                    except Exception as e:  # a judge that cannot be reached is told apart by its lack of an answer
-                        rows.append((row["rule"], row["pattern_hash"], f"failed: {e}", 0, 0))
-                yield pd.DataFrame(rows, columns=["rule", "pattern_hash", "raw", "tokens_in", "tokens_out"])
+                        rows.append((row["rule"], row["pattern_hash"], *ask(row), None))
+                    except unavailable as e:
+                        rows.append((row["rule"], row["pattern_hash"], None, 0, 0, f"unavailable: {e}"))
+                yield pd.DataFrame(rows, columns=["rule", "pattern_hash", "raw", "tokens_in", "tokens_out", "lost"])
 
-        raw = batches.mapInPandas(run, "rule string, pattern_hash string, raw string, tokens_in int, tokens_out int")
-        return parsed_answers(raw).where("problem is null").select(*(x.split()[0] for x in ANSWERS.split(", ")))
+        raw = batches.mapInPandas(run, "rule string, pattern_hash string, raw string, tokens_in int, tokens_out int, lost string")
+        return parsed_answers(raw).withColumn("problem", F.coalesce("lost", "problem")).select(*(x.split()[0] for x in ANSWERS.split(", ")), "problem")
 
     return judge
 
 
-def judged(findings: DataFrame, precedents: DataFrame, answers: DataFrame | Callable[[DataFrame], DataFrame], least: float = 0.0, sure: float = 0.9, budget: float = 0.0, strict: bool = True) -> DataFrame:
+def told(answers: DataFrame) -> DataFrame:
+    """Answers under names of their own, with what they cost; those with a problem cost nothing."""
+    names = [x.split()[0] for x in ANSWERS.split(", ")][2:]
+    problem = F.col("problem") if "problem" in answers.columns else F.lit(None).cast("string")
+    cost = F.when(problem.isNull(), adjudication.token_cost(F.col("tokens_in"), F.col("tokens_out"))).otherwise(0.0)
+    return answers.select("rule", "pattern_hash", *(F.col(c).alias(f"a_{c}") for c in names), cost.alias("a_cost"), problem.alias("problem"))
+
+
+def in_waves(batches: DataFrame, judge: Callable[[DataFrame], DataFrame], budget: float, dearest: float = 0.0, most: int = WAVE) -> DataFrame:
+    """Answers of a judge that is asked in order of ``place`` while what was spent is below ``budget``; each batch once at most.
+
+    Calls go out in waves. A wave has as many calls as the rest of the budget pays for at the price of the dearest call, known
+    (``dearest``) or so far, so none is made that asking one after the other would not make; only where ``dearest`` is not
+    given and a call costs more than all before it may the rest of its wave be too many. Those answers have ``a_paid`` false.
+    A wave's answers are written before the next wave, so a lost executor or a second look at the result asks nothing anew.
+    """
+    spark = batches.sparkSession
+    order = [*(F.col(f"place.{n}") for n in ("file", "line", "seq")), F.col("rule"), F.col("pattern_hash")]
+    rows = storage.saved(batches.withColumn("_key", F.struct(*(x.alias(f"k{i}") for i, x in enumerate(order)))), "batches")
+    folder, spent, last, size, k = storage.scratch(spark, "waves"), 0.0, None, 1, 0
+    if dearest > 0:
+        size = max(1, min(most, math.ceil(budget / dearest - 1e-9)))
+    before = Window.orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)  # over the rows of one wave
+    while spent < budget:
+        rest = rows if last is None else rows.where(F.col("_key") > F.struct(*(F.lit(x).cast(f.dataType).alias(f"k{i}") for i, (x, f) in enumerate(zip(last, rows.schema["_key"].dataType, strict=True)))))
+        wave = storage.saved(rest.orderBy("_key").limit(size), "wave")
+        end = wave.agg(F.count("*"), F.max("_key")).first()
+        if not end[0]:
+            break
+        found = told(judge(wave.drop("_key"))).join(wave.select("rule", "pattern_hash", "_key"), ["rule", "pattern_hash"])
+        found.write.parquet(f"{folder}/raw/wave={k}")
+        answers = spark.read.parquet(f"{folder}/raw/wave={k}")
+        paid = (F.coalesce(F.sum("a_cost").over(before), F.lit(0.0)) + spent) < budget
+        answers.withColumn("a_paid", paid).write.parquet(f"{folder}/answers/wave={k}")
+        cost, price = answers.agg(F.sum("a_cost"), F.max("a_cost")).first()
+        spent, dearest, last, k = spent + (cost or 0.0), max(dearest, price or 0.0), end[1], k + 1
+        if end[0] < size:
+            break
+        size = most if dearest <= 0 else max(1, min(most, math.ceil((budget - spent) / dearest - 1e-9)))
+    if not k:
+        return told(judge(batches.limit(0))).withColumn("a_paid", F.lit(True))
+    return spark.read.parquet(f"{folder}/answers").drop("_key", "wave")
+
+
+def judged(findings: DataFrame, precedents: DataFrame, answers: DataFrame | Callable[[DataFrame], DataFrame], least: float = 0.0, sure: float = 0.9, budget: float = 0.0, strict: bool = True, dearest: float = 0.0) -> DataFrame:
     """One verdict a batch (rule, pattern_hash): its source, tokens and cost, and how it came about.
 
     A best precedent surer than ``sure`` decides. Other batches are judged in order while what earlier ones cost is
     below ``budget`` (0 is no limit); the best precedent of ``least`` confidence stands in for an answer that is missing
-    or not paid for. A batch with neither fails the job if ``strict``, else has no verdict.
+    or not paid for. A batch with neither fails the job if ``strict``, else has no verdict. Answers are a table of recorded
+    ones, or a judge that is asked now: each open batch once, and none once the budget is spent (``in_waves``).
     """
     batches = adjudication.pattern_batches(findings)
     top = adjudication.matches(batches, precedents, 0.0, 1).select("rule", "pattern_hash", "decision", "rationale", F.col("confidence").alias("stored"), "effective")
     rows = batches.join(top, ["rule", "pattern_hash"], "left").withColumn("auto", F.coalesce(F.col("effective") > sure, F.lit(False)))
     open_ = rows.where(~F.col("auto"))
-    told = answers(open_.select("rule", "pattern_hash", "first.*", "items")) if callable(answers) else answers
-    told = told.select("rule", "pattern_hash", *(F.col(c).alias(f"a_{c}") for c in ("verdict", "reasoning", "confidence", "precedent_decision", "precedent_rationale", "tokens_in", "tokens_out")))
-    rows = rows.join(told, ["rule", "pattern_hash"], "left")
-    cost = F.when(~F.col("auto"), F.coalesce(adjudication.token_cost(F.col("a_tokens_in"), F.col("a_tokens_out")), F.lit(0.0))).otherwise(0.0)
-    rows = rows.withColumn("cost", cost)
-    if budget > 0:
+    if callable(answers):
+        asking = open_.select("rule", "pattern_hash", "first.*", "items", "place")
+        given = in_waves(asking, answers, budget, dearest) if budget > 0 else storage.saved(told(answers(asking)), "answers").withColumn("a_paid", F.lit(True))
+        rows = rows.join(given, ["rule", "pattern_hash"], "left").withColumn("paid", F.coalesce("a_paid", F.lit(budget <= 0)))
+        rows = rows.withColumn("cost", F.when(~F.col("auto"), F.coalesce("a_cost", F.lit(0.0))).otherwise(0.0))
+    else:
+        rows = rows.join(told(answers), ["rule", "pattern_hash"], "left").withColumn("cost", F.when(~F.col("auto"), F.coalesce("a_cost", F.lit(0.0))).otherwise(0.0))
         # What is spent only grows, so after the first batch that is not paid for none is: a running sum tells. Rows
         # are batches, one a pattern, and pass one task.
         before = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-        rows = rows.withColumn("paid", F.coalesce(F.sum("cost").over(before), F.lit(0.0)) < budget)
-    else:
-        rows = rows.withColumn("paid", F.lit(True))
-    by = F.when(F.col("auto"), "auto").when(F.col("paid") & F.col("a_verdict").isNotNull(), "llm").when(F.col("effective") >= least, "fallback")
+        rows = rows.withColumn("paid", (F.coalesce(F.sum("cost").over(before), F.lit(0.0)) < budget) if budget > 0 else F.lit(True))
+    by = F.when(F.col("auto"), "auto").when(F.col("paid") & F.col("problem").isNull() & F.col("a_verdict").isNotNull(), "llm").when(F.col("effective") >= least, "fallback")
     rows = rows.withColumn("by", by)
     model, past = F.col("by") == "llm", F.col("by").isin("auto", "fallback")
     reason = F.when(F.col("by") == "auto", "Auto-applied high-confidence precedent.").when(model, F.col("a_reasoning")).when(past & ~F.col("paid"), "Budget exhausted; applied matching precedent.").when(past, "Applied matching precedent in place of a verdict.")
@@ -124,7 +178,7 @@ def judged(findings: DataFrame, precedents: DataFrame, answers: DataFrame | Call
         "rule", "pattern_hash", "items", "place", verdict.alias("verdict"), reason.alias("reasoning"),
         used("confidence", adjudication.effective(F.col("stored"))).alias("confidence"), used("precedent_decision", F.col("decision")).alias("precedent_decision"), used("precedent_rationale", F.col("rationale")).alias("precedent_rationale"),
         F.when(model, "llm").when(past, "precedent").alias("source"), "by", spent("a_tokens_in").alias("tokens_in"), spent("a_tokens_out").alias("tokens_out"), F.when(model, F.col("cost")).otherwise(0.0).alias("cost"),
-        F.col("effective").isNotNull().alias("matched"), (~F.col("paid") & ~F.col("auto")).alias("unpaid"),
+        F.col("effective").isNotNull().alias("matched"), (~F.col("paid") & ~F.col("auto")).alias("unpaid"), F.when(~F.col("auto"), F.col("problem")).alias("problem"), (F.col("a_cost").isNotNull() & ~F.col("auto")).alias("asked"),
     )
 
 
@@ -141,7 +195,7 @@ def verdict_counts(verdicts: DataFrame) -> DataFrame:
     is_ = lambda v: F.col("verdict") == v
     return verdicts.agg(
         F.sum("items").alias("total"), n(is_("guilty")).alias("guilty"), n(is_("not_guilty")).alias("not_guilty"), n(is_("advisory")).alias("advisory"), F.count("*").alias("batches"), n(F.col("matched")).alias("precedent_matches"),
-        F.count_if(F.col("by") == "auto").alias("auto_applied"), F.count_if(F.col("by") == "llm").alias("llm_calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.round(F.sum("cost"), 9).alias("cost"), F.coalesce(F.bool_or("unpaid"), F.lit(False)).alias("budget_exhausted"),
+        F.count_if(F.col("by") == "auto").alias("auto_applied"), F.count_if(F.col("by") == "llm").alias("llm_calls"), F.count_if(F.col("problem").isNotNull()).alias("failed_calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.round(F.sum("cost"), 9).alias("cost"), F.coalesce(F.bool_or("unpaid"), F.lit(False)).alias("budget_exhausted"),
     )
 
 

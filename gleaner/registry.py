@@ -106,7 +106,7 @@ def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def amended(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    action = F.element_at(F.array(*map(F.lit, ("set_severity", "disable", "enable"))), (F.col("event_id") % 3 + 1).cast("int"))
+    action = F.element_at(F.array(*map(F.lit, ("set_severity", "disable_rule", "enable_rule"))), (F.col("event_id") % 3 + 1).cast("int"))
     severity = F.when(F.col("event_id") % 3 == 0, F.when(F.col("event_id") % 2 == 0, "info").otherwise("error"))
     return adjudication.replayed_amendments(e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("rule_id"), action.alias("action"), severity.alias("severity"), F.col("event_id").alias("ord")))
 

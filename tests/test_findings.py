@@ -68,7 +68,7 @@ def test_verdicts_need_a_sure_precedent(spark):
 
 def test_amendments_apply_once(spark):
     schema = "verdict_id string, rule_id string, action string, severity string, exception string"
-    a = spark.createDataFrame([("v", "r", "disable", None, None), ("v", "r", "disable", None, None), ("w", "r", "enable", None, None)], schema)
+    a = spark.createDataFrame([("v", "r", "disable_rule", None, None), ("v", "r", "disable_rule", None, None), ("w", "r", "enable_rule", None, None)], schema)
     assert [r.verdict_id for r in adjudication.new_amendments(a, a.where("verdict_id = 'v'")).collect()] == ["w"]
 
 
