@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import storage
 from .functions import text as T
 from .operators import adjudication, catalogue, judging, reports
-from .sources import config, stores
+from .plans import memo
+from .plans.scan import all_findings
+from .sources import config, json_log, stores
 
 AT = "2024-01-02 03:04:05"
 
@@ -37,11 +40,11 @@ def key(rule: Column, n: Column) -> Column:
 
 
 def past(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decisions on patterns 1 to 6, from views and clicks."""
-    rows = events(spark, sf_dir).where(F.col("event_type").isin("view", "click") & (names() <= 6)).withColumn("rule_id", F.concat(F.lit("ev."), "event_type"))
+    """Decisions on patterns 1 to 6, one an event."""
+    rows = events(spark, sf_dir).withColumns({"rule_id": F.concat(F.lit("ev."), "event_type"), "n": F.col("user_id") % 6 + 1})
     return rows.select(
-        "rule_id", F.lit("v").alias("violation_hash"), key(F.col("rule_id"), names()).alias("pattern_hash"), F.when(names() % 2 == 0, "deny").otherwise("allow").alias("decision"), F.lit("before").alias("rationale"),
-        F.when(names() < 3, 0.95).otherwise(0.5).alias("confidence"), F.lit(1).alias("seen_count"), F.lit(AT).cast("timestamp").alias("created_at"), F.lit(AT).cast("timestamp").alias("last_seen"), F.col("event_id").alias("ord"),
+        "rule_id", F.lit("v").alias("violation_hash"), key(F.col("rule_id"), F.col("n")).alias("pattern_hash"), F.when(F.col("n") % 2 == 0, "deny").otherwise("allow").alias("decision"), F.lit("before").alias("rationale"),
+        F.when(F.col("n") < 3, 0.95).otherwise(0.5).alias("confidence"), F.lit(1).alias("seen_count"), F.lit(AT).cast("timestamp").alias("created_at"), F.lit(AT).cast("timestamp").alias("last_seen"), F.col("event_id").alias("ord"),
     )
 
 
@@ -98,9 +101,10 @@ def debt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decisions of purchases and carts over those of the first thousand events, by pattern."""
+    """Decisions of purchases and carts over those of all other events, by pattern."""
     rows = events(spark, sf_dir).select(F.lit("r").alias("rule_id"), (F.col("user_id") % 40).cast("string").alias("pattern_hash"), F.when(F.col("event_id") % 5 < 2, "deny").otherwise("allow").alias("decision"), (F.col("event_id") % 10 / 10).alias("confidence"), (F.col("event_id") % 4).cast("int").alias("seen_count"), F.col("event_id").alias("ord"), "event_type")
-    old, new = rows.where("ord < 1000").drop("event_type"), rows.where("ord >= 1000 and event_type in ('purchase', 'add_to_cart')").drop("event_type")
+    later = F.coalesce(F.col("event_type").isin("purchase", "add_to_cart"), F.lit(False))
+    old, new = rows.where(~later).drop("event_type"), rows.where(later).drop("event_type")
     return stores.with_judgments(old, new).select("pattern_hash", "ord", "decision", "confidence", "seen_count")
 
 
@@ -131,6 +135,34 @@ def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adjudication.replayed_amendments(fresh.withColumn("ord", F.struct(F.substring("verdict_id", 2, 20).cast("long"), "place")))
 
 
+def cost_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The costs of runs, one a user, appended to a log as lines and read back."""
+    e = events(spark, sf_dir)
+    cost = adjudication.token_cost(F.col("event_id") % 5000, F.col("event_id") % 700)
+    runs = e.groupBy("user_id").agg(F.count("*").alias("llm_calls"), F.sum(F.col("event_id") % 5000).alias("tokens_in"), F.sum(F.col("event_id") % 700).alias("tokens_out"), F.round(F.sum(cost), 6).alias("cost"), F.max("ts").alias("at"))
+    runs = runs.withColumn("budget_exhausted", F.col("cost") >= 0.1)
+    folder = storage.scratch(spark, "costs")
+    json_log.append_log(reports.cost_records(runs.where("at is not null"), F.col("at"), F.when(F.col("user_id") % 2 == 0, 0.1).otherwise(0.0)), folder)
+    return json_log.read_log(spark, folder, reports.COST)
+
+
+def memo_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second scan after some documents were written again: which are read, and whether findings are those of a full scan."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(F.lit("docs/requirements_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text", "lang")
+    edited = F.coalesce(F.col("lang") == "es", F.lit(False))
+    before = docs.select("path", F.lit(1).cast("long").alias("mtime_ns"), F.col("text").alias("content"))
+    after = docs.select("path", F.when(edited, 2).otherwise(1).cast("long").alias("mtime_ns"), F.when(edited, F.concat(F.lit("flask\n"), "text")).otherwise(F.col("text")).alias("content"))
+    folder = storage.scratch(spark, "memo")
+    contents = lambda files: lambda listing: listing.join(files, ["path", "mtime_ns"])
+    memo.remembered(before, folder, contents(before), extensions=(".txt",))
+    rows = memo.remembered(after, folder, contents(after), extensions=(".txt",))
+    whole = all_findings(after.select("path", "content"), (".txt",)).groupBy(F.col("file").alias("path")).agg(F.count("*").alias("n"), F.sum("line").alias("lines"))
+    lines = F.aggregate("findings", F.lit(0).cast("long"), lambda a, x: a + x["line"])
+    both = rows.join(whole, "path", "left")
+    same = (F.size("findings") == F.coalesce("n", F.lit(0))) & (lines == F.coalesce("lines", F.lit(0)))
+    return both.select("path", "mtime_ns", "fresh", same.alias("same"))
+
+
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
     body = F.concat(F.lit('{"verdict": "'), F.when(k % 4 == 0, "unsure").otherwise("guilty"), F.lit('", "reasoning": "a } in \\"a\\" string", "confidence": '), (k % 13 / 10).cast("string"), F.lit(', "precedent_decision": "deny", "precedent_rationale": "x"}'))
@@ -192,6 +224,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "senate_amendments": amendments,
     "senate_replay": replayed,
     "judge_calls_within_budget": calls,
+    "cost_log": cost_log,
+    "memo_scan": memo_rows,
     "path_cleaning": paths,
     "code_patterns": patterns,
 }
@@ -313,10 +347,11 @@ RULE_ROWS = "rules(id, severity, types) AS (VALUES " + ", ".join(f"({q(a)}, {q(b
 ROWS = """
 f AS (SELECT 'ev.' || event_type AS rule, CASE WHEN event_type = 'purchase' THEN 'error' ELSE 'info' END AS severity, 'u' || user_id AS file, (event_id % 50 + 1)::INT AS line, event_id AS seq, user_id % 12 + 1 AS n FROM events),
 b AS (SELECT rule, n, count(*) AS items, min((file, line, seq)) AS place FROM f GROUP BY 1, 2),
-j AS (
+k AS (
   SELECT *, sha256(rule || chr(10) || array_to_string(list_transform(range(n), lambda i: 'id'), ' ')) AS pattern_hash,
-         n <= 6 AND rule IN ('ev.view', 'ev.click') AS matched, n < 3 AND rule IN ('ev.view', 'ev.click') AS auto, n BETWEEN 2 AND 11 AND n <> 8 AS told
+         (rule, n) IN (SELECT 'ev.' || event_type, user_id % 6 + 1 FROM events) AS matched, n BETWEEN 2 AND 11 AND n <> 8 AS told
   FROM b),
+j AS (SELECT *, n < 3 AND matched AS auto FROM k),
 c AS (SELECT *, CASE WHEN told AND NOT auto THEN (n * 1000 * 0.8::DOUBLE + n * 100 * 4.0::DOUBLE) / 1e6::DOUBLE ELSE 0.0::DOUBLE END AS price FROM j),
 p AS (SELECT *, coalesce(sum(price) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < {budget} AS paid FROM c),
 v AS (SELECT *, CASE WHEN auto THEN 'auto' WHEN paid AND told THEN 'llm' WHEN matched THEN 'fallback' END AS "by" FROM p),
@@ -342,8 +377,8 @@ ORACLES: dict[str, str] = {
     "judge_answers": "SELECT event_id, CASE WHEN event_id % 6 = 0 THEN 'no json object' WHEN event_id % 4 = 0 THEN 'invalid verdict' WHEN event_id % 13 > 10 THEN 'confidence out of range' END AS problem, CASE WHEN event_id % 6 <> 0 AND event_id % 4 <> 0 AND event_id % 13 <= 10 THEN (event_id % 13) / 10.0::DOUBLE END AS confidence FROM events",
     "debt_rows": f"WITH {FREE} SELECT rule AS rule_id, file, count(*) AS n, min(line) AS first FROM f JOIN verdict USING (rule, n) WHERE verdict = 'advisory' GROUP BY 1, 2",
     "precedent_upsert": """WITH RECURSIVE e AS (SELECT (user_id % 40)::VARCHAR AS pattern_hash, event_id AS ord, CASE WHEN event_id % 5 < 2 THEN 'deny' ELSE 'allow' END AS decision, (event_id % 10) / 10.0::DOUBLE AS confidence, (event_id % 4)::INT AS seen, event_type FROM events),
-      o AS (SELECT pattern_hash, arg_max(decision, ord) AS decision, arg_max(confidence, ord) AS c, arg_max(seen, ord) AS seen FROM e WHERE ord < 1000 GROUP BY 1),
-      n AS (SELECT *, row_number() OVER (PARTITION BY pattern_hash ORDER BY ord) AS i FROM e WHERE ord >= 1000 AND event_type IN ('purchase', 'add_to_cart')),
+      o AS (SELECT pattern_hash, arg_max(decision, ord) AS decision, arg_max(confidence, ord) AS c, arg_max(seen, ord) AS seen FROM e WHERE NOT coalesce(event_type IN ('purchase', 'add_to_cart'), false) GROUP BY 1),
+      n AS (SELECT *, row_number() OVER (PARTITION BY pattern_hash ORDER BY ord) AS i FROM e WHERE event_type IN ('purchase', 'add_to_cart')),
       k AS (SELECT DISTINCT pattern_hash FROM n),
       s AS (SELECT pattern_hash, o.decision, CASE WHEN o.c > 0 THEN o.c ELSE 0.5::DOUBLE END AS c, greatest(o.seen, 1) AS seen, 0::BIGINT AS ord, 0::BIGINT AS i FROM k LEFT JOIN o USING (pattern_hash)
         UNION ALL
@@ -358,6 +393,9 @@ ORACLES: dict[str, str] = {
       b2 AS (SELECT *, CASE WHEN auto THEN 'auto' WHEN asked AND n <> 8 THEN 'llm' WHEN matched THEN 'fallback' END AS how FROM s)
       SELECT rule, pattern_hash, asked, how AS "by", CASE how WHEN 'llm' THEN (['guilty', 'not_guilty', 'advisory'])[(n % 3 + 1)::INT] WHEN 'auto' THEN CASE WHEN n % 2 = 0 THEN 'guilty' ELSE 'not_guilty' END WHEN 'fallback' THEN CASE WHEN n % 2 = 0 THEN 'guilty' ELSE 'not_guilty' END END AS verdict,
              CASE WHEN asked AND n = 8 THEN 'unavailable: no answer' END AS problem, round(CASE WHEN how = 'llm' THEN due ELSE 0 END, 9)::DOUBLE AS cost FROM b2""",
+    "cost_log": """WITH r AS (SELECT user_id, count(*) AS n, sum(event_id % 5000)::BIGINT AS i, sum(event_id % 700)::BIGINT AS o, round(sum(((event_id % 5000) * 0.8::DOUBLE + (event_id % 700) * 4.0::DOUBLE) / 1e6::DOUBLE), 6)::DOUBLE AS cost, max(ts) AS seen FROM events GROUP BY 1)
+      SELECT strftime(seen, '%Y-%m-%dT%H:%M:%SZ') AS recorded_at, n AS llm_calls, i AS input_tokens, o AS output_tokens, cost AS total_cost_usd, CASE WHEN user_id % 2 = 0 THEN 0.1::DOUBLE END AS budget_usd, CASE WHEN cost >= 0.1::DOUBLE THEN true END AS budget_exhausted FROM r WHERE seen IS NOT NULL""",
+    "memo_scan": "SELECT 'docs/requirements_' || doc_id || '.txt' AS path, CASE WHEN lang = 'es' THEN 2 ELSE 1 END::BIGINT AS mtime_ns, coalesce(lang = 'es', false) AS fresh, true AS same FROM documents",
     "path_cleaning": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'a/b/x.py' WHEN 1 THEN 'src/' || user_id WHEN 2 THEN '../' || user_id ELSE '/repository/' || user_id END AS path FROM events",
     "code_patterns": "SELECT * FROM (VALUES " + ", ".join(f"({q(a).replace(chr(9), '')} || {q(chr(9) if chr(9) in a else '')}, {q(b)})" for a, b in PATTERNS) + ") AS t(code, pattern)",
 }

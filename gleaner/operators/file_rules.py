@@ -73,6 +73,14 @@ def file_findings(texts: DataFrame) -> DataFrame:
     return described(found.unionByName(sibling_findings(texts)), RULES)
 
 
+#: Rules about a file and its neighbours, numbered after the others.
+SIBLING_RULES = RULES[7:]
+
+
+def about_siblings(found: DataFrame) -> DataFrame:
+    return described(found, RULES)
+
+
 def matches_test_dir(path: Column) -> Column:
     return T.matches(path, r"/(?:tests|test|testdata)/") | path.endswith(".bats")
 

@@ -34,8 +34,39 @@ def shortened(code: Column, most: int = MOST_CODE) -> Column:
 
 
 def rfc3339(at: Column) -> Column:
-    """A time in UTC, as the session's zone must be, to the second."""
-    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """A time in UTC to the second, whatever the session's zone: seconds since 1970 are counted, no local form is made.
+
+    A time without a zone is one of UTC.
+    """
+    seconds = F.unix_seconds(at.cast("timestamp"))
+    day, rest = F.floor(seconds / 86400).cast("int"), F.pmod(seconds, F.lit(86400))
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    own = F.concat(F.date_from_unix_date(day).cast("string"), F.lit("T"), two(F.floor(rest / 3600)), F.lit(":"), two(F.floor(rest / 60) % 60), F.lit(":"), two(rest % 60), F.lit("Z"))
+    bare = F.regexp_replace(at.cast("timestamp_ntz").cast("string"), r"^(\S+) (\d\d:\d\d:\d\d).*$", "$1T$2Z")
+    return F.when(F.typeof(at) == "timestamp_ntz", bare).otherwise(own)
+
+
+#: A run's cost as a log has it.
+COST = "recorded_at string, llm_calls long, input_tokens long, output_tokens long, total_cost_usd double, budget_usd double, budget_exhausted boolean"
+
+
+def cost_records(runs: DataFrame, at: Column, budget: Column | None = None) -> DataFrame:
+    """Rows of a cost log from runs' numbers (``judging.verdict_counts``, or any of its columns' names); without a budget none is told."""
+    budget = budget if budget is not None else F.lit(0.0)
+    spent = F.col("budget_exhausted") if "budget_exhausted" in runs.columns else F.lit(False)
+    return runs.select(
+        rfc3339(at).alias("recorded_at"), F.col("llm_calls").cast("long").alias("llm_calls"), F.col("tokens_in").cast("long").alias("input_tokens"), F.col("tokens_out").cast("long").alias("output_tokens"),
+        F.col("cost").cast("double").alias("total_cost_usd"), F.when(budget > 0, budget.cast("double")).alias("budget_usd"), F.when(spent, spent).alias("budget_exhausted"),
+    )
+
+
+#: A line of the audit of amendments.
+AUDIT = "verdict_id string, applied_at string, amendment struct<rule_id:string,action:string,severity:string,exception:string,rationale:string>"
+
+
+def audit_records(applied: DataFrame) -> DataFrame:
+    """Lines of the audit from applied amendments (verdict_id, applied_at, amendment)."""
+    return applied.select("verdict_id", rfc3339(F.col("applied_at")).alias("applied_at"), "amendment")
 
 
 def json_findings(findings: DataFrame) -> DataFrame:

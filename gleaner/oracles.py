@@ -227,7 +227,7 @@ ORACLES: dict[str, str] = {
         SELECT n.rule_id, n.pattern_hash, n.decision, CASE WHEN n.decision = f.decision THEN least(1.0, f.c + 0.1::DOUBLE) ELSE greatest(0.2, f.c * 0.5::DOUBLE) END, CASE WHEN n.decision = f.decision THEN f.seen + 1 ELSE 1 END, n.i, n.total
         FROM f JOIN n ON n.rule_id = f.rule_id AND n.pattern_hash = f.pattern_hash AND n.i = f.i + 1)
       SELECT rule_id, pattern_hash, decision, round(c, 9) AS confidence, seen AS seen_count FROM f WHERE i = total""",
-    "cost_running_budget": "WITH c AS (SELECT user_id AS run, event_id, ((event_id % 5000) * 0.80::DOUBLE + (event_id % 700) * 4.0::DOUBLE) / 1e6::DOUBLE AS cost FROM events WHERE event_type = 'purchase'), s AS (SELECT *, coalesce(sum(cost) OVER (PARTITION BY run ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS spent FROM c) SELECT run, event_id, round(spent, 9) AS spent, spent < 0.02 AS allowed FROM s",
+    "cost_running_budget": "WITH c AS (SELECT user_id AS run, event_id, ((event_id % 5000) * 0.80::DOUBLE + (event_id % 700) * 4.0::DOUBLE) / 1e6::DOUBLE AS cost FROM events), s AS (SELECT *, coalesce(sum(cost) OVER (PARTITION BY run ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS spent FROM c) SELECT run, event_id, round(spent, 9) AS spent, spent < 0.02 AS allowed FROM s",
     "amendment_replay": "SELECT 'u' || user_id AS rule_id, arg_max(CASE WHEN event_id % 2 = 0 THEN 'info' ELSE 'error' END, event_id) FILTER (event_id % 3 = 0) AS new_severity, coalesce(arg_max(event_id % 3 = 1, event_id) FILTER (event_id % 3 <> 0), false) AS disabled FROM events GROUP BY 1",
     "violation_hash": f"WITH {PROJ} SELECT seq, {VIOLATION} AS hash FROM proj",
     "pattern_hash": f"WITH {PROJ} SELECT seq, sha256(rule || chr(10) || {LEVELLED}) AS hash FROM proj",

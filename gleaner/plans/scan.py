@@ -30,11 +30,19 @@ def all_findings(files: DataFrame, extensions: tuple[str, ...] | None = None) ->
     return reduce(DataFrame.unionByName, (x.withColumn("seq", F.col("seq") + 1000 * k) for k, x in found))
 
 
-def scan(files: DataFrame, disabled: list[str] | None = None, overrides: DataFrame | None = None, precedents: DataFrame | None = None, changed: DataFrame | None = None, extensions: tuple[str, ...] | None = None) -> DataFrame:
-    """Deduplicated findings after overrides, suppression and the filter of changed lines, not yet ordered."""
-    out = findings.deduplicated(findings.enabled(all_findings(files, extensions), disabled or []))
+def finished(found: DataFrame, disabled: list[str] | None = None, overrides: DataFrame | None = None, precedents: DataFrame | None = None, changed: DataFrame | None = None, root: str = "") -> DataFrame:
+    """Deduplicated findings after overrides, suppression and the filter of changed lines, not yet ordered.
+
+    Stored decisions are on paths counted from ``root``, the tree's top, so those of one checkout hold in another.
+    """
+    out = findings.deduplicated(findings.enabled(found, disabled or []))
     if overrides is not None:
         out = findings.overridden(out, overrides)
     if precedents is not None:
-        out = findings.not_allowed(out, precedents)
+        out = findings.not_allowed(out, precedents, root)
     return findings.on_changed_lines(out, changed)
+
+
+def scan(files: DataFrame, disabled: list[str] | None = None, overrides: DataFrame | None = None, precedents: DataFrame | None = None, changed: DataFrame | None = None, extensions: tuple[str, ...] | None = None, root: str = "") -> DataFrame:
+    """All rules over ``files`` (path, content), then ``finished``."""
+    return finished(all_findings(files, extensions), disabled, overrides, precedents, changed, root)

@@ -68,9 +68,13 @@ def types_of(value: str) -> list[str]:
 
 
 def of_languages(files: DataFrame, switches: dict[str, bool]) -> DataFrame:
-    """Files without those of languages switched off; files of no language always pass."""
+    """Files without those of languages switched off; files of no language always pass.
+
+    On a table with ``ext``, as source trees have, the filter reaches the reader and such files are not opened.
+    """
     off = [e for name, on in switches.items() if not on for e in EXTENSIONS[name]]
-    return files.where(~T.extension(F.col("path")).isin(*off)) if off else files
+    ext = F.col("ext") if "ext" in files.columns else T.extension(F.col("path"))
+    return files.where(~ext.isin(*off)) if off else files
 
 
 def glob(pattern: str) -> str:

@@ -77,6 +77,37 @@ def test_changed_lines(before, after, want):
     assert watch.changed_lines(before.split(), after.split()) == want
 
 
+def plain_alignment(before, after):
+    """The textbook table, walked from its end."""
+    m, n = len(before), len(after)
+    t = [[0] * (n + 1) for _ in range(m + 1)]
+    for i in range(m):
+        for j in range(n):
+            t[i + 1][j + 1] = t[i][j] + 1 if before[i] == after[j] else max(t[i][j + 1], t[i + 1][j])
+    out, i, j = [], m, n
+    while j:
+        if i and before[i - 1] == after[j - 1]:
+            i, j = i - 1, j - 1
+        elif i and t[i - 1][j] >= t[i][j - 1]:
+            i -= 1
+        else:
+            out.append(j)
+            j -= 1
+    return out[::-1]
+
+
+@pytest.mark.parametrize("cells", [1, 8, 40, 1 << 26])
+def test_alignment_in_halves_is_that_of_the_whole_table(monkeypatch, cells):
+    import random
+
+    monkeypatch.setattr(watch, "CELLS", cells)
+    r = random.Random(cells)
+    for _ in range(1500):
+        letters = "abcdef"[: r.randint(1, 6)]
+        before, after = r.choices(letters + "xy", k=r.randint(0, 16)), r.choices(letters, k=r.randint(0, 16))
+        assert watch.changed_lines(before, after) == plain_alignment(before, after)
+
+
 def test_changed_lines_as_a_stream(spark, tmp_path):
     schema = "path string, ts timestamp, content string"
     source, out, t = tmp_path / "in", tmp_path / "out", dt.datetime(2024, 1, 1)

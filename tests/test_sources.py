@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from gleaner.operators import adjudication, catalogue, findings, judging, reports
 from gleaner.plans.scan import scan
 from gleaner.sources import changes, config, stores
-from gleaner.sources.files import read_tree
+from gleaner.sources.files import list_tree, read_events, read_tree, with_contents
 from gleaner.streaming.watch import debounced, watch
 
 AT = "2024-05-06 07:08:09"
@@ -168,24 +168,197 @@ def test_the_catalogue_has_every_rule_once(spark):
     assert len(rows) == len({r.id for r in rows}) == 104 and all(r.file_types for r in rows)
 
 
+def eventually(test, seconds=60):
+    import time
+
+    end = time.monotonic() + seconds
+    while time.monotonic() < end:
+        if test():
+            return True
+        time.sleep(0.2)
+    return False
+
+
 def test_watching_a_folder(spark, tmp_path):
     folder, seen = tmp_path / "src", []
     folder.mkdir()
-    from gleaner.sources.files import read_events
-
     (folder / "a.js").write_text("eval(x)\nok()\n")
     (folder / "a.py").write_text("eval(x)\n")
-    query, session = watch(read_events(spark, str(folder)), str(tmp_path / "ckpt"), lambda df: seen.append(sorted((r.rule.partition(".")[2], r.line) for r in df.collect())))
+    query, session = watch(read_events(spark, str(folder), str(tmp_path / "log")), str(tmp_path / "ckpt"), lambda df: seen.append(sorted((r.file[-4:], r.rule.partition(".")[2], r.line) for r in df.collect())), quiet_ms=1500)
     try:
-        query.processAllAvailable()
-        assert seen[-1] == [("eval-usage", 1)] and session.exit_code == 1
-        (folder / "a.js").write_text("eval(x)\nok()\nconsole.log(1)\n")
-        query.processAllAvailable()
-        assert seen[-1] == [("console-log-in-production", 3)] and session.exit_code == 1
+        assert eventually(lambda: query.lastProgress is not None)
+        assert seen == [] and session.exit_code == 0  # what was there before is no event
+        for k in range(4):  # a burst: the last content counts, once
+            (folder / "b.js").write_text("eval(x)\n" * k + "ok()\n")
+        assert eventually(lambda: seen) and seen == [[("b.js", "eval-usage", k) for k in (1, 2, 3)]] and session.exit_code == 1
+        (folder / "b.js").write_text("eval(x)\n" * 3 + "ok()\nconsole.log(1)\n")
+        assert eventually(lambda: len(seen) == 2) and seen[-1] == [("b.js", "console-log-in-production", 5)]
     finally:
         query.stop()
 
 
+def test_events_go_on_where_the_stream_ended(spark, tmp_path):
+    folder, out = tmp_path / "src", tmp_path / "out"
+    folder.mkdir()
+    for k in range(3):
+        (folder / f"old{k}.js").write_text("old")
+
+    def run():
+        events = read_events(spark, str(folder), str(tmp_path / "log"))
+        events.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ckpt")).trigger(once=True).start(str(out)).awaitTermination(60)
+        return sorted((r.path.rpartition("/")[2], r.content) for r in spark.read.schema("path string, ts timestamp, content string").parquet(str(out)).collect()) if out.exists() else []
+
+    assert run() == []
+    (folder / "a.js").write_text("1")
+    (folder / "skip.txt").write_text("x")
+    assert run() == [("a.js", "1")]
+    (folder / "old1.js").write_text("again")  # written while the stream is off
+    (folder / "old2.js").unlink()
+    assert run() == [("a.js", "1"), ("old1.js", "again")]
+    (folder / "old2.js").write_text("back")
+    assert run() == [("a.js", "1"), ("old1.js", "again"), ("old2.js", "back")]
+    assert run() == [("a.js", "1"), ("old1.js", "again"), ("old2.js", "back")]
+
+
+def test_the_event_log_becomes_one_file_and_keeps_open_entries(tmp_path, monkeypatch):
+    from gleaner.sources import files
+
+    monkeypatch.setattr(files, "KEPT_LOGS", 3)
+    folder = tmp_path / "src"
+    folder.mkdir()
+    options = {"path": str(folder), "log": str(tmp_path / "log"), "files_per_partition": "2"}
+    reader = files.EventReader(options)
+    start = reader.initialOffset()
+    for k in range(5):
+        (folder / f"f{k}.js").write_text(str(k))
+        end = reader.latestOffset()
+    assert len(reader.partitions(start, end)) == 3
+    reader.commit({"at": 3})
+    again = files.EventReader(options)
+    assert len(list((tmp_path / "log").iterdir())) == 1 and again.latestOffset() == end
+    assert [c for p in again.partitions({"at": 3}, end) for _, _, c in again.read(p)] == ["3", "4"]
+
+
+def test_filters_keep_files_closed(spark, tmp_path):
+    for name in ("a.py", "b.py", "c.go", ".env"):
+        (tmp_path / name).write_text("x\n")
+    (tmp_path / "bad.js").symlink_to(tmp_path / "nowhere")  # opening it fails
+    read = lambda: read_tree(spark, str(tmp_path))
+    name = lambda df: sorted(r.path.rpartition("/")[2] for r in df.collect())
+    with pytest.raises(Exception, match="nowhere|bad.js"):
+        read().collect()
+    assert name(read().where("ext = '.py'")) == ["a.py", "b.py"]
+    assert name(read().where(F.col("ext").isin(".go", ".env"))) == [".env", "c.go"]
+    assert name(read().where("ext <> '.js' and not endswith(path, 'a.py')")) == [".env", "b.py", "c.go"]
+    assert name(config.of_languages(read(), {"javascript": False})) == [".env", "a.py", "b.py", "c.go"]
+    assert name(list_tree(spark, str(tmp_path)).where("size < 1000 and mtime_ns > 0")) == [".env", "a.py", "b.py", "bad.js", "c.go"]
+    assert {r.content for r in with_contents(list_tree(spark, str(tmp_path))).collect()} == {"x\n", None}
+
+
+def test_a_second_scan_reads_only_what_was_written_since(spark, tmp_path):
+    from gleaner.plans import memo
+
+    root, folder = tmp_path / "src", str(tmp_path / "memo")
+    root.mkdir()
+    for k in range(5):
+        (root / f"m{k}.py").write_text(f"print({k})\n")
+    (root / "plain.py").write_text("x = 1\n")
+    (root / ".env").write_text("A=1\n")
+
+    def run(**how):
+        read = []
+
+        def contents(listing):
+            read.extend(r.path.rpartition("/")[2] for r in listing.collect())
+            return with_contents(listing)
+
+        out = memo.memo_scan(list_tree(spark, str(root)), folder, contents, **how)
+        found = sorted((r.file.rpartition("/")[2], r.rule.partition(".")[2], r.line) for r in out.collect())
+        return [x for x in read if x != ".env"], found
+
+    whole = lambda: sorted((r.file.rpartition("/")[2], r.rule.partition(".")[2], r.line) for r in scan(read_tree(spark, str(root))).collect())
+    read, found = run()
+    assert sorted(read) == [f"m{k}.py" for k in range(5)] + ["plain.py"] and found == whole() and ("m1.py", "print-debug", 1) in found
+    assert run() == ([], found)
+    (root / "m1.py").write_text("y = 1\nprint(2)\n")
+    (root / "m2.py").unlink()
+    (root / ".env.example").write_text("A=\n")
+    read, found = run()
+    assert sorted(set(read)) == [".env.example", "m1.py"] and found == whole() and ("m1.py", "print-debug", 2) in found
+    assert len(run(rules="another rule set")[0]) >= 5
+
+
+def test_logs_have_whole_lines_only(spark, tmp_path):
+    from gleaner.sources import json_log
+
+    folder = str(tmp_path / "log")
+    schema = "k int, name string, at timestamp, inner struct<a:int,b:string>"
+    rows = spark.createDataFrame([(1, "é\n\"", None, (1, "x")), (2, None, None, None)], schema).withColumn("at", F.lit(AT).cast("timestamp"))
+    assert json_log.read_log(spark, folder, schema).count() == 0
+    json_log.append_log(rows, folder)
+    json_log.append_log(rows.where("k = 2"), folder)
+    json_log.append_log(rows.where("k = 3"), folder)
+    got = json_log.read_log(spark, folder, schema).collect()
+    assert sorted((r.k, r.name, r.inner and r.inner.b) for r in got) == [(1, "é\n\"", "x"), (2, None, None), (2, None, None)] and {str(r["at"]) for r in got} == {AT}
+    fails = rows.repartition(2).withColumn("k", F.when(F.col("k") == 2, F.raise_error(F.lit("a lost task")).cast("int")).otherwise(F.col("k")))
+    with pytest.raises(Exception, match="a lost task"):
+        json_log.append_log(fails, folder)
+    assert json_log.read_log(spark, folder, schema).count() == 3
+    with pytest.raises(Exception, match="only ever appended"):
+        rows.write.format("jsonl_log").mode("overwrite").save(folder)
+
+
+def test_a_batch_of_a_stream_is_logged_once(tmp_path):
+    from pyspark.sql import Row
+
+    from gleaner import storage
+    from gleaner.sources import json_log
+
+    folder = str(tmp_path / "log")
+    writer = json_log.LogStreamWriter(folder)
+    batch = lambda *ks: [writer.write(iter([Row(k=k)])) for k in ks]
+    lines = lambda: sorted(x for n in storage.names(folder) for x in storage.read_bytes(f"{folder}/{n}").decode().split())
+    writer.commit(batch(1, 2), 0)
+    writer.commit(batch(1, 2), 0)  # the query was restarted before it noted the commit
+    assert len(storage.names(folder)) == 2 and storage.names(f"{folder}/_aside") == []
+    writer.moved(batch(3, 4, 5), "batch-000000000001")  # a commit that was interrupted
+    writer.commit([*batch(3, 4), writer.write(iter([]))], 1)
+    assert len(lines()) == 8 and storage.names(f"{folder}/_commits") == ["batch-000000000000", "batch-000000000001"]
+    writer.abort([*batch(9), None], 2)
+    assert len(storage.names(folder)) == 4 and storage.names(f"{folder}/_aside") == []
+
+
+def test_a_stream_appends_to_a_log(spark, tmp_path):
+    from gleaner.sources import json_log
+
+    source, folder = tmp_path / "in", str(tmp_path / "log")
+    spark.dataSource.register(json_log.JsonLog)
+    for k in range(2):
+        spark.range(10 * k, 10 * k + 5).coalesce(1).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema("id long").parquet(str(source)).writeStream.format("jsonl_log").option("path", folder).option("checkpointLocation", str(tmp_path / "ckpt"))
+        stream.trigger(availableNow=True).start().awaitTermination(60)
+    assert sorted(r.id for r in json_log.read_log(spark, folder, "id long").collect()) == [0, 1, 2, 3, 4, 10, 11, 12, 13, 14]
+
+
+def test_times_do_not_depend_on_the_session_s_zone(spark):
+    rows = spark.createDataFrame([(1_700_000_000_123_456,), (-1,), (4_102_444_800_000_000,)], "us long").select(F.timestamp_micros("us").alias("at"))
+    try:
+        for zone in ("UTC", "Asia/Kolkata", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert [r[0] for r in rows.select(reports.rfc3339(F.col("at"))).collect()] == ["2023-11-14T22:13:20Z", "1969-12-31T23:59:59Z", "2100-01-01T00:00:00Z"]
+            bare = spark.sql("select timestamp_ntz '2024-03-10 02:30:59.9' as at")  # no local time of New York
+            assert bare.select(reports.rfc3339(F.col("at"))).first()[0] == "2024-03-10T02:30:59Z"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_decisions_hold_in_another_checkout(spark):
+    files = spark.createDataFrame([("/w/x/a.py", "print(1)\n")], "path string, content string")
+    here = scan(spark.createDataFrame([("a.py", "print(1)\n")], "path string, content string"))
+    kept = judging.decisions(here.withColumns({"pattern_hash": F.lit("p"), "precedent_decision": F.lit("allow"), "precedent_rationale": F.lit("w"), "confidence": F.lit(0.9)}), F.lit(AT).cast("timestamp"))
+    assert scan(files, precedents=kept).count() == 1 and scan(files, precedents=kept, root="/w/x").count() == 0
+
+
 def test_bursts_of_a_stream(spark, tmp_path):
     rows = [("a", "2024-01-01 00:00:00.000", "1"), ("a", "2024-01-01 00:00:00.060", "2"), ("a", "2024-01-01 00:00:00.400", "3"), ("b", "2024-01-01 00:00:00.010", "x"), ("b", "2024-01-01 00:00:00.010", "y"), ("z", "2024-01-01 00:10:00", "late")]
     table = spark.createDataFrame(rows, "path string, ts string, content string").withColumn("ts", F.col("ts").cast("timestamp"))
