@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import filesystem
+
 #: Words as the contracts define them: runs of anything but blank and the five ASCII line and tab controls.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -35,7 +37,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table in the scratch folder and read again: cuts lineage, survives lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``saved`` (or parts of them) that no later job reads: whatever came of them is saved itself."""
+    for df in tables:
+        store, path = filesystem(df.saved_at)
+        store.delete_dir(path)
 
 
 def within(rows: DataFrame, key: str, n: int) -> DataFrame:

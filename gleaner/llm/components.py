@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import discard, saved
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,11 +22,13 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = saved(large, "large-star")
+        discard(edges)
         # Small star: u and its smaller neighbours go to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         small = saved(small, "small-star")
+        discard(large)
         # Done when each vertex hangs on one root and no root hangs on another.
         forked = small.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
         chained = small.select(F.col("v").alias("u")).join(small.select("u"), "u", "left_semi")

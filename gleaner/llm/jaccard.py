@@ -31,8 +31,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import BLOCKS, batch_of, block_batch, merged_blocks
-from .common import bounded_batches, saved, table
+from .common import bounded_batches, discard, saved, scratch, table
 from .components import components
+from .files import filesystem
 from .shingles import differing_bits, mixed, parity_bitmap, set_key, shingle_sets, sized_bitmap
 
 SKETCH = 1 << 20
@@ -47,7 +48,7 @@ FILTER_BITS = 1 << 23
 
 
 def hashed(docs: DataFrame, n: int) -> DataFrame:
-    """Rows of two kinds: a document's id, set size and set key; or a block of the task's shingle counts."""
+    """Rows of two kinds: a document's id, hash of its row, set size and set key; or a block of the task's shingle counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, none = np.zeros(SKETCH, np.int64), pa.nulls
@@ -57,12 +58,13 @@ def hashed(docs: DataFrame, n: int) -> DataFrame:
                 size[i], keys[i] = len(tokens), set_key(tokens)
                 np.add.at(counts, (tokens & np.uint64(SKETCH - 1)).astype(np.int64), 1)
             k = len(batch)
-            yield batch_of({"doc_id": batch.column(0).cast(pa.int64()), "n": pa.array(size), "s1": pa.array(keys[:, 0]), "s2": pa.array(keys[:, 1]), "block": none(k, pa.int32()), "counts": none(k, pa.binary())})
+            yield batch_of({"doc_id": batch.column(0).cast(pa.int64()), "row": batch.column(2), "n": pa.array(size), "s1": pa.array(keys[:, 0]), "s2": pa.array(keys[:, 1]), "block": none(k, pa.int32()), "counts": none(k, pa.binary())})
         blocks = [x.astype("<u4").tobytes() for x in np.split(counts, BLOCKS)] if counts.any() else []
         k = len(blocks)
-        yield batch_of({"doc_id": none(k, pa.int64()), "n": none(k, pa.int64()), "s1": none(k, pa.int64()), "s2": none(k, pa.int64()), "block": pa.array(range(k), pa.int32()), "counts": pa.array(blocks, pa.binary())})
+        yield batch_of({"doc_id": none(k, pa.int64()), "row": none(k, pa.int64()), "n": none(k, pa.int64()), "s1": none(k, pa.int64()), "s2": none(k, pa.int64()), "block": pa.array(range(k), pa.int32()), "counts": pa.array(blocks, pa.binary())})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, block int, counts binary")
+    row = F.col("row") if "row" in docs.columns else F.lit(None).cast("long")
+    return docs.select("doc_id", "text", row.alias("row")).mapInArrow(run, "doc_id long, row long, n long, s1 long, s2 long, block int, counts binary")
 
 
 def index_entries(tokens: np.ndarray, rare: np.ndarray, percent: int) -> np.ndarray:
@@ -97,8 +99,8 @@ def index_entries(tokens: np.ndarray, rare: np.ndarray, percent: int) -> np.ndar
     return np.unique(np.concatenate(entries))
 
 
-def nodes(docs: DataFrame, n: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """One row a distinct set: its key, size, bitmap and index entries."""
+def nodes(docs: DataFrame, n: int, percent: int, sketch: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """Saved tables of a row a distinct set: its key, size and bitmaps; and its key and index entries."""
     frequent = docs.sparkSession.sparkContext.broadcast(np.packbits(sketch > sketch.mean() + FREQUENT))
     schema = "s1 long, s2 long, n long, b0 long, b1 long, b2 long, b3 long, entries array<long>, bits binary"
 
@@ -120,7 +122,20 @@ def nodes(docs: DataFrame, n: int, percent: int, sketch: np.ndarray) -> DataFram
                 yield batch_of({k: pa.array(table[:, i]) for i, k in enumerate(names)} | {"entries": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(entries))), "bits": pa.array(bits, pa.binary())})
 
     rows = docs.select("text").mapInArrow(run, schema)
-    return rows.groupBy("s1", "s2").agg(*(F.first(c).alias(c) for c in rows.columns[2:]))
+    once = rows.groupBy("s1", "s2").agg(*(F.first(c).alias(c) for c in rows.columns[2:]))
+    # A node's index entries are of use until those that others share are known: they are a part of their own.
+    none = lambda c: F.lit(None).cast(rows.schema[c].dataType).alias(c)
+    own = [c for c in rows.columns[2:] if c != "entries"]
+    parts = F.array(F.struct(F.lit("entries").alias("part"), *map(none, own), F.col("entries")), F.struct(F.lit("node").alias("part"), *own, none("entries")))
+    path = scratch(docs.sparkSession, "nodes")
+    once.select("s1", "s2", F.explode(parts).alias("x")).select("s1", "s2", "x.*").write.partitionBy("part").option("compression", "zstd").parquet(path)
+    store, folder = filesystem(path)
+    for part in ("node", "entries"):  # where no set can be near another there are none
+        store.create_dir(f"{folder}/part={part}", recursive=True)
+    read = lambda part, columns: docs.sparkSession.read.schema(rows.select(*columns).schema).parquet(f"{path}/part={part}")
+    node, entries = read("node", ["s1", "s2", *own]), read("entries", ["s1", "s2", "entries"])
+    node.saved_at, entries.saved_at = f"{path}/part=node", f"{path}/part=entries"
+    return node, entries
 
 
 def close(n1: np.ndarray, n2: np.ndarray, b1: np.ndarray, b2: np.ndarray, percent: int) -> np.ndarray:
@@ -297,29 +312,53 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
     return joined.mapInArrow(run, "a1 long, a2 long, b1 long, b2 long")
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles and component_id.
-
-    Documents link when ``100 * intersection >= percent * union`` of their shingle sets; component_id is
-    the smallest doc_id that links reach. Null and empty texts have size 0 and their own doc_id; rows
-    with equal doc_id count as one document for links; a row without a doc_id links like any other, but
-    names no component (one of such rows alone has a null name); texts of any length are read whole; an empty
-    table gives no rows; further columns of ``docs`` are not read.
-    """
+def groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """``jaccard_components`` with the row's ``row`` (if ``docs`` has one) and ``part``, a number that each component has of its own."""
     both = saved(hashed(bounded_batches(docs), n), "hashed")
-    own = both.where("block is null").select("doc_id", "n", "s1", "s2")
+    own = both.where("block is null").select("doc_id", "row", "n", "s1", "s2")
     sketch = merged_blocks(both.where("block is not null"), np.add, "<u4")
     # A class of equal sets is known by a number of its own, ``rep``; its smallest doc_id is its ``name``.
     named = own.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("name"))
     classes = saved(named.withColumn("rep", F.monotonically_increasing_id()), "classes")
-    label = classes.select("s1", "s2", F.col("name").alias("label"))
+    label = classes.select("s1", "s2", F.col("name").alias("label"), F.col("rep").alias("part"))
     if len(sketch):
         roots = all_links(docs, n, percent, sketch, classes, same_documents(own, classes))
         found = roots.join(classes.select(F.col("rep").alias("v"), "name"), "v")
-        tops = found.join(found.groupBy("root").agg(F.min("name").alias("top")), "root").select(F.col("v").alias("rep"), "top")
-        label = classes.join(tops, "rep", "left").select("s1", "s2", F.coalesce("top", "name").alias("label"))
+        tops = found.join(found.groupBy("root").agg(F.min("name").alias("top")), "root").select(F.col("v").alias("rep"), "top", "root")
+        label = classes.join(tops, "rep", "left").select("s1", "s2", F.coalesce("top", "name").alias("label"), F.coalesce("root", "rep").alias("part"))
     rows = own.join(label, ["s1", "s2"], "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("doc_id")).alias("component_id"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("doc_id")).alias("component_id"), "row", F.when(F.col("n") > 0, F.col("part")).alias("part"))
+
+
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles and component_id.
+
+    Documents link when ``100 * intersection >= percent * union`` of their shingle sets; component_id is
+    the smallest doc_id that links reach. Null and empty texts have size 0 and their own doc_id; rows
+    with equal doc_id count as one document for links; a row without a doc_id links like any other, but
+    names no component (one of such rows alone has a null name); texts of any length are read whole; an empty
+    table gives no rows; further columns of ``docs`` are not read.
+    """
+    return groups(docs.select("doc_id", "text"), n, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each component of ``docs`` (doc_id, text and any more columns), and all rows without words.
+
+    The row of smallest doc_id stays, one without a doc_id only where all are; of several such rows (a doc_id repeated, or
+    none) one of them stays, the same on every run, and of rows alike in all columns one. A component is known by a number
+    of its own, so it does not matter whether its rows have doc_ids, or whether others lack them.
+    """
+    columns = docs.columns
+    # Two rows of a component and doc_id that differ have different hashes but for one chance in 2^64.
+    rows = docs.withColumn("row", F.xxhash64(*columns))
+    found = groups(rows.select("doc_id", "text", "row"), n, percent).where("part is not null").groupBy("part", "doc_id", "row").agg(F.count("*").alias("copies"))
+    first = F.min_by(F.struct("doc_id", "row", "copies"), F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
+    chosen = saved(found.groupBy("part").agg(first.alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.row").alias("_row"), (F.col("x.copies") > 1).alias("_copied")), "chosen")
+    kept = rows.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")))
+    copied = kept.where("_copied").select(*columns).dropDuplicates()
+    wordless = docs.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    return kept.where("not _copied").select(*columns).union(copied).union(wordless)
 
 
 def same_documents(own: DataFrame, classes: DataFrame) -> DataFrame:
@@ -344,11 +383,12 @@ def class_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def all_links(docs: DataFrame, n: int, percent: int, sketch: np.ndarray, classes: DataFrame, links: DataFrame) -> DataFrame:
     """Components (v, root) over the classes' ``rep``, of ``links`` known before and all others."""
-    node = saved(nodes(docs, n, percent, sketch), "nodes")
-    single = node.select(F.explode("entries").alias("entry"))
+    node, entries = nodes(docs, n, percent, sketch)
+    single = entries.select(F.explode("entries").alias("entry"))
     shared = saved(single.groupBy("entry").agg(F.count("*").alias("members")).where("members > 1"), "shared")
-    member = saved(shared_members(node, shared), "members")
-    sized = node.drop("entries", "bits").join(classes.select("s1", "s2", "rep"), ["s1", "s2"])
+    member = saved(shared_members(entries, shared), "members")
+    discard(entries, shared)
+    sized = node.drop("bits").join(classes.select("s1", "s2", "rep"), ["s1", "s2"])
     split = F.ceil(F.col("members") / CHUNK).cast("long")
     chunk = F.pmod(F.col("s1"), split)
     placed = member.join(sized, ["s1", "s2"]).withColumn("c", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), split - 1)))
@@ -357,29 +397,35 @@ def all_links(docs: DataFrame, n: int, percent: int, sketch: np.ndarray, classes
 
     def settled(pairs: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Links found so far and their components, after verification of ``pairs``."""
-        good = verified(saved(likely(pairs, node, percent), "likely"), texts, n, percent)
-        links = links.union(saved(class_pairs(good, classes), "links"))
+        near = saved(likely(pairs, node, percent), "likely")
+        links = links.union(saved(class_pairs(verified(near, texts, n, percent), classes), "links"))
+        discard(near)
         return links, saved(components(links), "roots")
 
     # First round: of the first candidates in all its entries, each set's most frequent one.
     found = saved(proposed(placed.withColumn("root", F.xxhash64("s1", "s2")).select(*columns), percent, 0, 1), "proposed")
     pairs = found.where(F.col("kind") == PAIR)
     needed = found.where(F.col("kind") != OPEN).select(F.col("a1").alias("s1"), F.col("a2").alias("s2")).union(pairs.select("b1", "b2")).distinct()
-    texts = saved(texts_of(docs, n, saved(needed.join(classes.select("s1", "s2", "name"), ["s1", "s2"]), "needed")), "texts")
+    needed = saved(needed.join(classes.select("s1", "s2", "name"), ["s1", "s2"]), "needed")
+    texts = saved(texts_of(docs, n, needed), "texts")
+    discard(needed)
     votes = pairs.groupBy("b1", "b2", "a1", "a2").agg(F.count("*").alias("votes"))
     choice = votes.groupBy("b1", "b2").agg(F.max_by(F.struct("a1", "a2"), F.struct("votes", "a1", "a2")).alias("a"))
     links, roots = settled(choice.select("a.a1", "a.a2", "b1", "b2"), links)
     skip = 0
     for most in ROUNDS:
-        open_entries = found.where(F.col("kind") != NODE).select("entry").distinct()
+        # In the rounds after the first, entries with a member that has further candidates.
+        still = F.col("kind") == OPEN if skip else F.col("kind") != NODE
+        open_entries = found.where(still).select("entry").distinct()
         rows = placed.join(open_entries, "entry", "left_semi").join(roots.withColumnRenamed("v", "rep"), "rep", "left")
         rows = rows.withColumn("root", F.coalesce("root", "rep")).select(*columns)
-        found = saved(proposed(rows, percent, skip, most), "proposed")
+        before, found = found, saved(proposed(rows, percent, skip, most), "proposed")
+        discard(before)
         links, roots = settled(found.where(F.col("kind") == PAIR).select("a1", "a2", "b1", "b2").distinct(), links)
-        found = found.where(F.col("kind") == OPEN)
-        if not most or not found.take(1):
+        if not most or not found.where(F.col("kind") == OPEN).take(1):
             break
         skip = most
+    discard(found, member, texts, node)
     return roots
 
 

@@ -60,11 +60,11 @@ def mix(df: DataFrame, size: Column, source: str = "source", key: str = "doc_id"
     is taken in part, so a source's taken words are its target rounded down.
 
     Null sizes count 0; a null source is a source of its own; rows with equal keys (repeated rows) are
-    taken in order of size. A source of size 0 has target 0. An empty table gives no rows. Columns of
+    taken in order of size, then of a hash of the whole row, so reruns agree. A source of size 0 has target 0. An empty table gives no rows. Columns of
     ``df`` stay inside ``row``, so their names cannot clash.
     """
     rank = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f"/{seed}")))
-    sized = df.select(F.struct("*").alias("row"), F.col(source).alias("_s"), F.coalesce(size, F.lit(0)).cast("long").alias("_size"), rank.alias("_key"))
+    sized = df.select(F.struct("*").alias("row"), F.col(source).alias("_s"), F.coalesce(size, F.lit(0)).cast("long").alias("_size"), rank.alias("_key"), F.xxhash64("*").alias("_tie"))
     sized = saved(sized, "mix-sized")
     targets = saved(source_targets(sized, **how).withColumnRenamed("_s", "_t"), "mix-targets")
     # The number of buckets follows the source's rows; the join broadcasts only if the saved table is below Spark's threshold.
@@ -76,7 +76,7 @@ def mix(df: DataFrame, size: Column, source: str = "source", key: str = "doc_id"
     sums = dealt.groupBy(*group).agg(F.sum("_size").alias("_sum"))
     before = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = saved(sums.select(*group, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset")), "mix-offsets")
-    inside = Window.partitionBy(*group).orderBy("_key", f"row.{key}", "_size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*group).orderBy("_key", f"row.{key}", "_size", "_tie").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("_offset") + F.coalesce(F.sum("_size").over(inside), F.lit(0))
     budget = F.floor("_target").cast("long")
     epochs = F.when(F.col("_total") > 0, F.expr("cast(floor(_target) as bigint) div _total")).otherwise(0)
