@@ -47,20 +47,11 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that shares 80 % of five-word shingles: that of smallest doc_id.
 
-    A group's row stays if its doc_id names the group, and so do rows of groups without any doc_id. Of rows with
-    equal doc_id and text one stays, that of smallest further columns. Null and empty texts are near no other; an
-    empty table gives no rows.
+    Rows without a doc_id are in groups like all others and stay only where a group has no row with one; of several rows
+    that could stay (a doc_id repeated, or missing) one does. Null and empty texts are near no other and stay; an empty
+    table gives no rows.
     """
-    groups = jaccard.jaccard_components(docs, 5, 80)
-    named = groups.where(F.col("component_id").isNull() | (F.col("component_id") == F.col("doc_id"))).select("doc_id").distinct()
-    kept = docs.join(named.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*COLUMNS)
-    repeated = saved(docs.groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id"), "repeated-ids")
-    if not repeated.take(1):
-        return kept
-    again = F.col("doc_id").eqNullSafe(F.col("_id"))
-    rest = F.struct(*(c for c in COLUMNS if c not in ("doc_id", "text")))
-    once = kept.join(repeated, again, "left_semi").groupBy("doc_id", "text").agg(F.min(rest).alias("_rest")).select("doc_id", "text", "_rest.*")
-    return kept.join(repeated, again, "left_anti").union(once.select(*COLUMNS))
+    return jaccard.one_of_each(docs.select(*COLUMNS), 5, 80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
