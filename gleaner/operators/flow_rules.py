@@ -116,23 +116,53 @@ def unused(texts: DataFrame) -> DataFrame:
     return found.select("path", "d.line", "d.code", F.lit(2).alias("seq")).distinct()
 
 
+def bracket_sums(rows: DataFrame, opens: tuple[str, ...]) -> DataFrame:
+    """``rows`` (path, line, code) with the brackets open before (``b0``, ...) and after (``s0``, ...) each line, and the file's last line ``n``."""
+    for k, pair in enumerate(opens):
+        step = count(F.col("code"), pair[0]) - count(F.col("code"), pair[1])
+        rows = rows.withColumn(f"s{k}", F.sum(step).over(so_far())).withColumn(f"b{k}", F.col(f"s{k}") - step)
+    return rows.withColumn("n", F.max("line").over(Window.partitionBy("path")))
+
+
+def next_close(starts: DataFrame, sums: DataFrame, k: int, at: str, opens: tuple[str, ...]) -> DataFrame:
+    """``starts`` with ``close``: of the lines after ``at`` the first with no more than ``b<k>`` brackets of kind k open, and its sums.
+
+    A line that closes brackets passes every depth down to its own, so it stands once under each; what a start looks for is
+    then the next row of its file and depth. The rows are as many as there are brackets: no line meets all others.
+    """
+    own = F.struct(F.col("line"), *(F.col(f"s{i}") for i in range(len(opens))))
+    passed = sums.where(F.col(f"s{k}") < F.col(f"b{k}")).select("path", F.explode(F.sequence(F.col(f"s{k}"), F.col(f"b{k}") - 1)).alias("_depth"), F.col("line").alias("_at"), F.lit(0).alias("_start"), own.alias("_close"))
+    asked = starts.withColumns({"_depth": F.col(f"b{k}"), "_at": F.col(at), "_start": F.lit(1)})
+    later = Window.partitionBy("path", "_depth").orderBy(F.desc("_at"), F.desc("_start")).rowsBetween(Window.unboundedPreceding, 0)
+    both = asked.unionByName(passed, allowMissingColumns=True).withColumn("close", F.last("_close", ignorenulls=True).over(later))
+    return both.where("_start = 1").drop("_depth", "_at", "_start", "_close")
+
+
 def spans(rows: DataFrame, starts: DataFrame, opens: tuple[str, ...]) -> DataFrame:
     """First and last line of the brackets that open on the lines of ``starts`` (path, line, ...).
 
-    A span ends with the first line on which no bracket of ``opens`` (pairs) is open any more.
+    A span ends with the first line on which no bracket of ``opens`` (pairs, one or two) is open any more, or with the file.
+    Where one kind closes while the other is open, the other's next closing line is looked up; only starts for which
+    the first kind is open again by then, which takes brackets that do not nest, are compared with the lines after it.
     """
-    sums = rows
-    for k, pair in enumerate(opens):
-        step = count(F.col("code"), pair[0]) - count(F.col("code"), pair[1])
-        sums = sums.withColumn(f"s{k}", F.sum(step).over(so_far())).withColumn(f"b{k}", F.coalesce(F.sum(step).over(earlier()), F.lit(0)))
-    keys = [f"s{k}" for k in range(len(opens))]
-    ends = sums.select("path", F.col("line").alias("j"), *keys, F.max("line").over(Window.partitionBy("path")).alias("n"))
-    begin = starts.join(sums.select("path", "line", *(f"b{k}" for k in range(len(opens)))), ["path", "line"])
-    closed = F.lit(True)
-    for k in range(len(opens)):
-        closed = closed & (F.col(f"s{k}") <= F.col(f"b{k}"))
-    pairs = begin.join(ends, "path").where("j >= line")
-    return pairs.groupBy(*starts.columns).agg(F.coalesce(F.min(F.when(closed, F.col("j"))), F.max("n")).alias("last"))
+    sums = bracket_sums(rows, opens)
+    keys = [f"{x}{k}" for k in range(len(opens)) for x in "sb"]
+    begin = starts.join(sums.select("path", "line", "n", *keys), ["path", "line"])
+    done = lambda at, k: F.col(f"{at}s{k}") <= F.col(f"b{k}")
+    here = F.struct("line", *(F.col(f"s{k}") for k in range(len(opens))))
+    first = next_close(begin, sums, 0, "line", opens).withColumn("close", F.when(done("", 0), here).otherwise(F.col("close")))
+    if len(opens) == 1:
+        return first.select(*starts.columns, F.coalesce("close.line", "n").alias("last"))
+    first = first.withColumn("_first", F.col("close")).withColumn("_from", F.coalesce("close.line", "n")).drop("close")
+    second = next_close(first, sums, 1, "_from", opens)
+    last = F.when(F.col("_first").isNull(), F.col("n")).when(done("_first.", 1), F.col("_from")).when(F.col("close").isNull(), F.col("n")).when(done("close.", 0), F.col("close.line"))
+    second = second.withColumn("last", last)
+    odd = second.where("last is null").withColumn("_from", F.col("close.line")).drop("close", "last")
+    after = sums.select("path", F.col("line").alias("_j"), F.col("s0").alias("_s0"), F.col("s1").alias("_s1"))
+    closed = (F.col("_s0") <= F.col("b0")) & (F.col("_s1") <= F.col("b1"))
+    slow = odd.join(after, "path").where("_j > _from").groupBy(*starts.columns).agg(F.coalesce(F.min(F.when(closed, F.col("_j"))), F.max("n")).alias("last"))
+    ended = odd.where("_from >= n").select(*starts.columns, F.col("n").alias("last"))
+    return second.where("last is not null").select(*starts.columns, "last").unionByName(slow).unionByName(ended)
 
 
 def hidden_failures(texts: DataFrame) -> DataFrame:
@@ -141,7 +171,8 @@ def hidden_failures(texts: DataFrame) -> DataFrame:
     code, t = F.col("code"), T.trimmed(F.col("code"))
     starts = rows.where(T.matches(code, FUNCTION)).select("path", "line", F.regexp_extract("code", T.java(FUNCTION), 1).alias("name"), (code.contains(ANNOTATION) | F.coalesce(F.col("before"), F.lit("")).contains(ANNOTATION)).alias("noted"))
     function = spans(rows, starts, ("{}",))
-    outer = function.alias("f").join(function.select("path", F.col("line").alias("a"), F.col("last").alias("z")).alias("o"), (F.col("f.path") == F.col("o.path")) & (F.col("a") < F.col("line")) & (F.col("line") <= F.col("z")), "left_anti")
+    # A function that starts within another one is none of its own.
+    outer = function.withColumn("_z", F.max("last").over(earlier())).where("_z is null or _z < line").drop("_z")
     quoted = F.concat(*(F.regexp_extract_all("code", F.lit(T.java(rf"\btrap\s+{q}([^{q}]*){q}")), 1) for q in "'\""))
     commands = F.flatten(F.transform(quoted, lambda x: F.split(x, ";")))
     names = F.transform(commands, lambda x: F.regexp_extract(x, r"^[\t\n\f\r ]*[(){}]*([^(){}\t\n\f\r ]*)", 1))
@@ -164,13 +195,18 @@ def leaks(texts: DataFrame) -> DataFrame:
     rows = rows_of(texts.where(name.contains("test") | name.contains("spec")), *T.JS)
     code = F.col("code")
     hook = spans(rows, rows.where(T.matches(code, AFTER) | T.matches(code, CLEANUP)).select("path", "line"), ("()", "{}"))
-    inside = lambda spans_, pattern: spans_.join(rows.select("path", F.col("line").alias("j"), "code"), "path").where(F.col("j").between(F.col("line"), F.col("last")) & T.matches(F.col("code"), pattern))
+    # Lines within any hook: spans that have begun less those that have ended before the line.
+    edges = hook.select("path", "line", F.lit(1).alias("step")).union(hook.select("path", F.col("last") + 1, F.lit(-1))).groupBy("path", "line").agg(F.sum("step").alias("step"))
+    within = rows.join(edges, ["path", "line"], "left").withColumn("open", F.sum(F.coalesce("step", F.lit(0))).over(so_far())).where("open > 0")
     out = []
     for seq, start, release in ((4, LISTEN, CLOSE), (5, EVENTS, f"{CLOSE}|{ABORT}")):
-        released = inside(hook, release).select("path").distinct()
+        released = within.where(T.matches(code, release)).select("path").distinct()
         out.append(rows.where(T.matches(code, start)).join(released, "path", "left_anti").select("path", "line", "code", F.lit(seq).alias("seq")))
     before = rows.where(T.matches(code, BEFORE)).join(rows.where(T.matches(code, AFTER)).select("path").distinct(), "path", "left_anti")
-    held = inside(spans(rows, before.select("path", "line"), ("()", "{}")), RESOURCE).select("path", "line").distinct()
+    # A span holds a resource if more of them stand up to its last line than before its first.
+    so_many = rows.withColumn("upto", F.sum(T.matches(code, RESOURCE).cast("int")).over(so_far())).select("path", "line", "upto", (F.col("upto") - T.matches(code, RESOURCE).cast("int")).alias("ahead"))
+    begun = spans(rows, before.select("path", "line"), ("()", "{}")).join(so_many.select("path", "line", "ahead"), ["path", "line"])
+    held = begun.join(so_many.select("path", F.col("line").alias("last"), "upto"), ["path", "last"]).where("upto > ahead").select("path", "line").distinct()
     out.append(before.join(held, ["path", "line"], "left_semi").select("path", "line", "code", F.lit(6).alias("seq")))
     return out[0].unionByName(out[1]).unionByName(out[2])
 
