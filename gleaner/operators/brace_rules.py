@@ -17,12 +17,14 @@ from ..functions import text as T
 from .line_rules import JS, LineRule, described, line_findings, of_extensions
 from .python_rules import NOWHERE, numbered, place, some
 
-#: A statement: its text, line, that line of the source and the one above it.
-STATEMENT = "struct<text:string,line:int,code:string,above:string>"
+#: A statement: its text, its outline (without what stands in blocks, which have statements of their own; object literals belong to
+#: the statement), line, that line of the source and the one above it. A header with its condition is a statement, too.
+STATEMENT = "struct<text:string,outline:string,line:int,code:string,above:string>"
 BLOCKS = f"path string, line int, code string, last int, header string, kids array<{STATEMENT}>, deep array<{STATEMENT}>, body string, function string, in_loop boolean, later array<{STATEMENT}>"
 HIDDEN = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?|`(?:[^`\\]|\\.)*`?", re.S)
 LOOP = re.compile(r"^(?:for|while|do)\b")
 CONTINUED = re.compile(r"\s*(?:else|catch|finally)\b")
+LITERAL = re.compile(r"(?:[(,=:\[?&|]|\breturn)$")
 CALLABLE = re.compile(r"\bfunc\b|\bfunction\b|=>\s*$")
 
 
@@ -38,20 +40,26 @@ def blocks_of(path: str, source: str) -> Iterator[tuple]:
     for c in source:
         line_of.append(line)
         line += c == "\n"
-    root = {"from": 0, "start": 0, "header": "", "kids": [], "deep": [], "function": "", "loop": False, "parent": None, "place": 0}
+    root = {"from": 0, "start": 0, "header": "", "kids": [], "deep": [], "function": "", "loop": False, "parent": None, "place": 0, "parts": []}
     done, block, begin, round_, nested = [], root, 0, [0], []
     line_of.append(line)
 
+    def spliced(start: int, end: int, parts: list[tuple[int, int, str]]) -> str:
+        """The source from ``start`` to ``end`` with each of ``parts`` (from, to, in its place) exchanged."""
+        out = []
+        for a, z, other in parts:
+            if a >= start:
+                out += [source[start:a], other]
+                start = z
+        return "".join(out) + source[start:end]
+
     def statement(end: int) -> None:
         nonlocal begin
-        text, at = "", begin
-        for a, z in nested:  # blocks of several lines stand for themselves
-            if a >= at and "\n" in source[a:z]:
-                text, at = f"{text}{source[at:a]}{{}}", z
-        text = (text + source[at:end]).strip()
         if plain[begin:end].strip():
+            # Blocks of several lines stand for themselves in the text, all of them in the outline.
+            text = spliced(begin, end, [x for x in nested if "\n" in source[x[0] : x[1]]]).strip()
             lead = len(source[begin:end]) - len(source[begin:end].lstrip())
-            block["kids"].append((text, line_of[begin + lead]))
+            block["kids"].append((text, spliced(begin, end, nested).strip(), line_of[begin + lead]))
             block["deep"].append(block["kids"][-1])
         begin = end
         nested.clear()
@@ -67,7 +75,7 @@ def blocks_of(path: str, source: str) -> Iterator[tuple]:
             header = source[top:i].strip()
             lead = top - begin + len(source[top:i]) - len(source[top:i].lstrip())
             called = bool(CALLABLE.search(header)) or bool(re.search(r"\)\s*(?::\s*[\w<>\[\]., ]+)?$", header)) and not re.match(r"(?:\}?\s*else\s+)?(?:if|for|while|switch|catch|with)\b|\}?\s*catch\b", header)
-            inner = {"from": line_of[begin + lead], "start": i, "header": header, "kids": [], "deep": [], "parent": block, "place": len(block["kids"]), "begin": begin, "nested": nested}
+            inner = {"from": line_of[begin + lead], "start": i, "header": header, "kids": [], "deep": [], "parent": block, "place": len(block["kids"]), "begin": begin, "nested": nested, "parts": []}
             inner["function"] = header if called else block["function"]
             inner["loop"] = not called and (block["loop"] or bool(LOOP.match(header)))
             block, begin, nested = inner, i + 1, []
@@ -75,7 +83,10 @@ def blocks_of(path: str, source: str) -> Iterator[tuple]:
         elif c == "}" and block is not root:
             statement(i)
             done.append((block, i))
-            begin, nested = block["begin"], [*block["nested"], (block["start"], i + 1)]
+            literal = LITERAL.search(block["header"]) and not re.match(r"(?:case|default)\b", block["header"])
+            own = (block["start"], i + 1, spliced(block["start"], i + 1, block["parts"]) if literal else "{}")
+            block["parent"]["parts"].append(own)
+            begin, nested = block["begin"], [*block["nested"], own]
             block["parent"]["deep"] += block["deep"]
             block = block["parent"]
             round_.pop()
@@ -90,7 +101,7 @@ def blocks_of(path: str, source: str) -> Iterator[tuple]:
     for b, end in done:
         up = b["parent"]
         later = up["kids"][b["place"] + 1 :] if up else []
-        rows = lambda found: [{"text": t, "line": n, "code": lines[n], "above": lines[n - 1]} for t, n in found]
+        rows = lambda found: [{"text": t, "outline": o, "line": n, "code": lines[n], "above": lines[n - 1]} for t, o, n in found]
         at = b["from"] or 1
         yield path, at, lines[at], line_of[end], b["header"], rows(b["kids"]), rows(b["deep"]), source[b["start"] : end], b["function"], b["loop"], rows(later)
 
@@ -114,6 +125,8 @@ GENERIC_JS = ("error", "failed", "failure", "something went wrong", "an error oc
 CORRELATION = "correlation-id correlationId correlation_id request-id requestId request_id x-request-id X-Request-Id X-Request-ID x-correlation-id X-Correlation-Id X-Correlation-ID trace-id traceId trace_id express-request-id cls-hooked express-correlation-id uuid nanoid crypto.randomUUID".split()
 LOG_CALL = rf"\.(?:{'|'.join(LOG_CALLS)})\("
 ERR = r"^(?:\}?\s*else\s+)?if\s+(?:.*;\s*)?err\s*!=\s*nil$"
+#: A result before the next comma: brackets in it may hold brackets.
+RESULT = r"(?:[^(),]|\((?:[^()]|\([^()]*\))*\))*"
 ROUTE = r"\b\w+\.(?:get|post|put|delete|patch|all)\s*\(\s*['\"`/]"
 IMPORTED = r"(?:\bfrom\s+|\brequire\s*\(\s*|^\s*import\s+)['\"]"
 
@@ -138,13 +151,13 @@ LINE_RULES = (
 REASON = r"// reason:|//nolint:"
 
 
-def statements(pattern: str | Column, column: str = "kids", but: str | None = None, reasoned: bool = False) -> Column:
-    """Places of statements that match ``pattern`` and not ``but``; of those with a reason if ``reasoned`` none."""
+def statements(pattern: str | Column, column: str = "kids", but: str | None = None, reasoned: bool = False, on: str = "text") -> Column:
+    """Places of statements that match ``pattern`` and not ``but`` in their text or outline; of those with a reason if ``reasoned`` none."""
 
     def hit(x: Column) -> Column:
-        test = T.matches(x["text"], pattern) if isinstance(pattern, str) else F.rlike(x["text"], pattern)
+        test = T.matches(x[on], pattern) if isinstance(pattern, str) else F.rlike(x[on], pattern)
         if but:
-            test = test & ~T.matches(x["text"], but)
+            test = test & ~T.matches(x[on], but)
         if reasoned:
             test = test & ~T.matches(F.lower(F.concat_ws("\n", x["above"], x["code"])), REASON)
         return test
@@ -186,31 +199,36 @@ def conditions() -> list[tuple[str, str, str, str, Column, Column | None]]:
     success = r"\b\w+\.Write\(|\.WriteHeader\((?:200|http\.StatusOK)\)|json\.NewEncoder\(\w+\)\.Encode"
     top = head == ""
     app = js_src & top & body_has(r"=\s*(?:express|(?:new\s+)?Koa)\s*\(") & body_has(ROUTE)
-    first = F.regexp_extract(head, T.java(r"(?:\(|function\s*\w*\s*\(|=\s*)\(?\s*(err|error|e)\s*,"), 1)
+    # A function that is an argument: it follows a bracket or comma.
+    first = F.regexp_extract(head, T.java(r"[(,]\s*(?:async\s*)?(?:function\s*[\w$]*\s*)?\(\s*(err|error|e)\s*,[^()]*\)\s*(?:=>)?$"), 1)
+    bare_arrow = F.lit(r"(?s)[(,]\s*(?:async\s*)?\(\s*(err|error|e)\s*,[^()]*\)\s*=>\s*(?![\s{])(?!.*(?<![\w$])\1(?![\w$]))")
+    catch_handler = js_src & T.matches(head, r"\.catch\(\s*(?:async\s*)?(?:function\s*[\w$]*\s*\([^()]*\)|(?:\([^()]*\)|[\w$]+)\s*=>)$")
     rest = F.substring("body", F.lit(2), F.length("body"))
     named = lambda x, a, z: F.concat(F.lit(a), F.replace(x, F.lit("$"), F.lit("\\$")), F.lit(z))
     return [
         ("silent-fallback.empty-error-check", "error", "The error becomes nil", "Return the error", err & one & kid(r"^return\s+nil(?:\s*,\s*nil)*$"), None),
         ("silent-fallback.bare-return-on-error", "warning", "The error is lost in a bare return", "Return the error", err & T.matches(F.col("function"), r"\)\s*\(\s*\w+\s+[\w.*\[\]]+"), statements(r"^return(?:\s+(?:nil|false|\"\"|[-+]?0[0._xX]*)(?:\s*,\s*(?:nil|false|\"\"|[-+]?0[0._xX]*))*)?$", "deep", reasoned=True)),
-        ("error-context.unwrapped-error", "warning", "The error is returned without context", "Wrap it", err, statements(r"^return\b.*\berr\s*(?:,|$)", but=r"Errorf|Wrap")),
+        ("error-context.unwrapped-error", "warning", "The error is returned without context", "Wrap it", err, statements(rf"^return\s+(?:{RESULT},\s*)*err\s*(?:,|$)", but=r"Errorf|Wrap")),
         ("error-context.http-200-on-error", "error", "An error is answered with success", "Return after the error", err & ~g["go_test"] & T.matches(F.col("function"), r"http\.ResponseWriter") & ~body_has(r"\breturn\b"), F.slice(statements(success, "later"), 1, 1)),
         ("error-context.nil-on-error", "error", "The error is replaced by nil", "Return the error", err, statements(r"^return\s+(?:nil|\"\")\s*,\s*nil$", "deep")),
         ("bad-defaults.no-timeout", "error", "The client waits for ever", "Set Timeout", go & T.matches(head, r"\bhttp\.Client$") & ~body_has(r"\bTimeout\s*:"), None),
-        ("bad-defaults.no-timeout", "error", "The default client waits for ever", "Use a client with Timeout", go, statements(r"\bhttp\.(?:Get|Post|PostForm|Head)\(", but=r"\{")),
+        ("bad-defaults.no-timeout", "error", "The default client waits for ever", "Use a client with Timeout", go, statements(r"\bhttp\.(?:Get|Post|PostForm|Head)\(", on="outline")),
         ("bad-defaults.magic-number", "info", "A number stands without a name", "Name it", go_src & (F.col("function") != ""), statements(r"[=(,+*/<>]\s*(?:[2-9]|[1-9][0-9]+)(?:\.[0-9]+)?\s*(?:[),+*/;]|$)", but=r"^const\b|time\.|make\(|\[[^\]]*[0-9]|SplitN|ParseInt|ParseFloat|FormatInt|len\(|\"[^\"]*[0-9]|\{|//")),
         ("bad-defaults.unvalidated-env-go", "warning", "The variable may be unset", "Check it for an empty value", go & (F.col("function") != ""), F.when(~T.matches(F.col("body"), r"[!=]=\s*\"\"|LookupEnv"), statements(r"\bos\.Getenv\(", but=r"^if\b|\{")).otherwise(F.array().cast(NOWHERE))),
         ("trace-gaps.long-function-no-log", "info", "A long function logs nothing", "Log what it does", function & ~g["go_test"] & (F.col("last") - F.col("line") > 30) & ~body_has(LOG_CALL) & T.matches(name, r"^[A-Z]") & ~T.matches(F.lower(name), f"^(?:{'|'.join(PURE)})"), None),
         ("trace-gaps.error-path-no-log", "warning", "The error's path logs nothing", "Log it", err & ~g["go_test"] & (F.size("kids") > 1) & ~body_has(LOG_CALL), None),
         ("trace-gaps.no-request-id", "warning", "The handler reads no request id", "Take it from the header", handler & ~g["go_test"] & ~body_has(r"(?i)\.Header\.Get\(\"[^\"]*request[-_ ]?id|\.Context\(\)\.Value\(|req(?:uest)?_?id\w*\([^)]*\.Context\(\)"), None),
         ("mock-leakage.debug-guard", "warning", "Code depends on a debug flag", "Use a setting", go_src & T.matches(head, r"(?i)^(?:\}?\s*else\s+)?if\b.*\b(?:debug|testing|istest|istesting)\b"), None),
-        ("silent-fallback.unchecked-type-assert", "warning", "The assertion may panic", "Use the two-value form", go_src & (F.col("function") != ""), statements(r"\.\(\*?[\w.\[\]{}]+\)", but=r"\.\(type\)|,\s*\w+\s*:?=.*\.\(|\{")),
+        ("silent-fallback.unchecked-type-assert", "warning", "The assertion may panic", "Use the two-value form", go_src & (F.col("function") != ""), statements(r"\.\(\*?[\w.\[\]{}]+\)", but=r"\.\(type\)|,\s*\w+\s*:?=.*\.\(", on="outline")),
         ("bad-defaults.defer-in-loop", "warning", "Deferred calls pile up", "Move the body to a function", go_src & F.col("in_loop"), statements(r"^defer\b")),
         ("bad-defaults.goroutine-no-context", "warning", "The goroutine cannot be stopped", "Pass a context", go_src, statements(r"^go\s+[\w.]+\(", but=r"\bctx\b|\bcontext\b|(?i)//\s*reason:|//\s*nolint")),
         ("bad-defaults.goroutine-no-context", "warning", "The goroutine cannot be stopped", "Pass a context", go_src & T.matches(head, r"^go\s+func\b") & ~T.matches(head, r"context\.Context") & ~body_has(r"\bctx\b|\bcontext\b|\bdone\b|\bchan\b"), None),
         ("error-context.swallowed-error", "warning", "The error is logged and dropped", "Return it", err & ~g["go_test"] & body_has(LOG_CALL) & ~kid(r"^(?:return|break|continue|goto)\b") & ~body_has(r"(?i)//[^\n]*(?:intentional|expected|nolint|not propagated)"), None),
-        ("bad-defaults.context-todo", "warning", "The context is a placeholder", "Pass the caller's", go_src & (F.col("function") != "") & ~T.matches(F.col("function"), r"^func\s+(?:main|init)\b"), statements(r"\bcontext\.(?:TODO|Background)\(\)", but=r"\{", reasoned=True)),
+        ("bad-defaults.context-todo", "warning", "The context is a placeholder", "Pass the caller's", go_src & (F.col("function") != "") & ~T.matches(F.col("function"), r"^func\s+(?:main|init)\b"), statements(r"\bcontext\.(?:TODO|Background)\(\)", reasoned=True, on="outline")),
         ("silent-fallback.js-empty-catch", "warning", "The handler is empty", "Handle the error", catch & (F.size("kids") == 0) & ~body_has(r"//|/\*"), None),
         ("silent-fallback.js-catch-return-null", "warning", "The error becomes null", "Handle it", js_src, statements(r"\.catch\(\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>\s*(?:null|undefined|\{\s*return\s+(?:null|undefined)\s*;?\s*\})")),
+        ("silent-fallback.js-catch-return-null", "warning", "The error becomes null", "Handle it", catch_handler & kid(r"^return\s+(?:null|undefined)\s*;?$"), None),
+        ("silent-fallback.js-callback-err-ignored", "warning", "The callback ignores its error", "Handle it", js_src, statements(bare_arrow, on="outline")),
         ("silent-fallback.js-floating-promise", "warning", "The promise is not awaited", "Await it", js_src, statements(r"^(?:[\w$]+\.)?fetch\s*\(", but=r"\)\s*\.(?:then|catch)\s*\(")),
         ("silent-fallback.js-callback-err-ignored", "warning", "The callback ignores its error", "Handle it", js_src & (first != "") & ~F.rlike(rest, F.concat(F.lit(r"(?<![\w$])"), first, F.lit(r"(?![\w$])"))), None),
         ("error-context.js-rethrow-no-wrap", "warning", "The error is thrown again as it is", "Add context", catch & (caught != ""), statements(named(caught, r"^throw\s+", r"\s*;?$"), "deep")),
@@ -218,7 +236,7 @@ def conditions() -> list[tuple[str, str, str, str, Column, Column | None]]:
         ("error-context.js-http-200-on-error", "error", "An error is answered with success", "Send an error status", catch, statements(r"\.status\(\s*(?:200|201|202|204)\s*\)|\b(?:res|ctx|response)\.json\(", "deep")),
         ("trace-gaps.js-no-error-handler-express", "warning", "The app has no error handler", "Add one with four parameters", app & ~body_has(r"\.use\s*\(\s*(?:async\s*)?(?:function\s*\w*\s*)?\(\s*(?:err|error)\s*,[^,)]*,[^,)]*,[^,)]*\)"), body_line(ROUTE)),
         ("trace-gaps.js-missing-correlation-id", "info", "Requests carry no id", "Add one", app & ~body_has("|".join(re.escape(x) for x in CORRELATION)), body_line(ROUTE)),
-        ("bad-defaults.no-timeout-fetch", "error", "The request may wait for ever", "Pass a signal", js_src, statements(r"(?:^|[^\w.$])fetch\s*\(", but=r"\bsignal\b|\.\.\.")),
+        ("bad-defaults.no-timeout-fetch", "error", "The request may wait for ever", "Pass a signal", js_src, statements(r"(?:^|[^\w.$])fetch\s*\(", but=r"\bsignal\b|\.\.\.", on="outline")),
         ("test-isolation.no-afterall-cleanup", "warning", "Setup is not undone", "Add the matching after hook", js & g["js_test"] & (kid(r"^beforeAll\s*\(") & ~kid(r"^afterAll\s*\(") | kid(r"^beforeEach\s*\(") & ~kid(r"^afterEach\s*\(")), F.concat(F.when(~kid(r"^afterAll\s*\("), statements(r"^beforeAll\s*\(")).otherwise(F.array().cast(NOWHERE)), F.when(~kid(r"^afterEach\s*\("), statements(r"^beforeEach\s*\(")).otherwise(F.array().cast(NOWHERE)))),
     ]
 

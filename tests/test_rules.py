@@ -150,3 +150,69 @@ def test_blocks_that_continue_a_statement(spark):
     found = brace_rules.brace_findings(files, split_lines(files))
     assert places(found, "s.js") == {(4, "js-empty-catch")}
     assert places(found, "m.go") == {(5, "empty-error-check"), (6, "nil-on-error"), (12, "unwrapped-error")}
+
+
+GO_CALLS = """package a
+
+func f(u string) error {
+	if r, err := http.Get(u); err != nil {
+		return wrap(err, "x")
+	}
+	for r, err := http.Head(u); err == nil; {
+		use(r)
+	}
+	if err := g(); err != nil {
+		return pair(1, two(err)), err
+	}
+	if v.(string) == "x" {
+		h(v)
+	}
+	if s, ok := v.(string); ok {
+		h(s)
+	}
+	if ok := run(context.Background()); ok {
+		return nil
+	}
+	return nil
+}
+"""
+JS_CALLS = """p.catch((e) => {
+  return null;
+});
+p.catch(e => {
+  log(e);
+  return null
+});
+p.catch((e) => {
+  throw e;
+});
+fetch(u, {
+  method: 'GET',
+  signal: s,
+});
+fetch(u, {
+  method: 'GET',
+}).then(x => {
+  fetch(v, { signal: s });
+});
+read(p, (err, d) => use(d));
+read(p, (err, d) => err || use(d));
+read(p, function (err, d) {
+  use(d);
+});
+const g = function (err, cb) {};
+const h = (err, cb) => cb(1);
+"""
+
+
+def test_statements_run_over_lines_and_headers(spark):
+    from gleaner.operators import brace_rules
+    from gleaner.operators.lines import split_lines
+
+    files = spark.createDataFrame([("a.go", GO_CALLS), ("b.js", JS_CALLS)], "path string, content string")
+    wanted = ("unwrapped-error", "no-timeout", "unchecked-type-assert", "context-todo", "js-catch-return-null", "no-timeout-fetch", "js-callback-err-ignored")
+    found = {(r.rule.partition(".")[2], r.line) for r in brace_rules.brace_findings(files, split_lines(files)).collect()}
+    assert {x for x in found if x[0] in wanted} == {
+        ("no-timeout", 4), ("no-timeout", 7), ("unwrapped-error", 11), ("unchecked-type-assert", 13), ("context-todo", 19),
+        ("js-catch-return-null", 1), ("js-catch-return-null", 4), ("no-timeout-fetch", 15), ("js-callback-err-ignored", 20), ("js-callback-err-ignored", 22),
+    }
