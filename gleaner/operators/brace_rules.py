@@ -221,7 +221,7 @@ def conditions() -> list[tuple[str, str, str, str, Column, Column | None]]:
         ("mock-leakage.debug-guard", "warning", "Code depends on a debug flag", "Use a setting", go_src & T.matches(head, r"(?i)^(?:\}?\s*else\s+)?if\b.*\b(?:debug|testing|istest|istesting)\b"), None),
         ("silent-fallback.unchecked-type-assert", "warning", "The assertion may panic", "Use the two-value form", go_src & (F.col("function") != ""), statements(r"\.\(\*?[\w.\[\]{}]+\)", but=r"\.\(type\)|,\s*\w+\s*:?=.*\.\(", on="outline")),
         ("bad-defaults.defer-in-loop", "warning", "Deferred calls pile up", "Move the body to a function", go_src & F.col("in_loop"), statements(r"^defer\b")),
-        ("bad-defaults.goroutine-no-context", "warning", "The goroutine cannot be stopped", "Pass a context", go_src, statements(r"^go\s+[\w.]+\(", but=r"\bctx\b|\bcontext\b|(?i)//\s*reason:|//\s*nolint")),
+        ("bad-defaults.goroutine-no-context", "warning", "The goroutine cannot be stopped", "Pass a context", go_src, statements(r"^go\s+[\w.]+\(", but=r"^go\s+func\b|\bctx\b|\bcontext\b|(?i)//\s*reason:|//\s*nolint")),
         ("bad-defaults.goroutine-no-context", "warning", "The goroutine cannot be stopped", "Pass a context", go_src & T.matches(head, r"^go\s+func\b") & ~T.matches(head, r"context\.Context") & ~body_has(r"\bctx\b|\bcontext\b|\bdone\b|\bchan\b"), None),
         ("error-context.swallowed-error", "warning", "The error is logged and dropped", "Return it", err & ~g["go_test"] & body_has(LOG_CALL) & ~kid(r"^(?:return|break|continue|goto)\b") & ~body_has(r"(?i)//[^\n]*(?:intentional|expected|nolint|not propagated)"), None),
         ("bad-defaults.context-todo", "warning", "The context is a placeholder", "Pass the caller's", go_src & (F.col("function") != "") & ~T.matches(F.col("function"), r"^func\s+(?:main|init)\b"), statements(r"\bcontext\.(?:TODO|Background)\(\)", reasoned=True, on="outline")),

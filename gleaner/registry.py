@@ -180,9 +180,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "debounce_sessions": sessions,
 }
 
-from . import cases, oracles  # noqa: E402
+from . import cases, oracles, samples  # noqa: E402
 
-QUERIES |= cases.QUERIES
-ORACLES = oracles.ORACLES | cases.ORACLES
+QUERIES |= cases.QUERIES | {"rules_over_documents": samples.found}
+ORACLES = oracles.ORACLES | cases.ORACLES | {"rules_over_documents": samples.oracle()}
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
