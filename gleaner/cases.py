@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import storage
 from .functions import text as T
-from .operators import adjudication, catalogue, judging, reports
+from .operators import adjudication, brace_rules, catalogue, intervals, judging, reports
 from .plans import memo
 from .plans.scan import all_findings
 from .sources import config, json_log, stores
@@ -135,6 +135,21 @@ def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adjudication.replayed_amendments(fresh.withColumn("ord", F.struct(F.substring("verdict_id", 2, 20).cast("long"), "place")))
 
 
+def enclosing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of as many nested loops as the document's id says, a function literal about the inner half: what lies around each call."""
+    n = F.pmod("doc_id", F.lit(9)).cast("int")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id is not null")
+    opened = lambda a, z: F.array_join(F.when(a <= z, F.transform(F.sequence(a, z), lambda k: F.concat(F.lit("for {\ncall("), k.cast("string"), F.lit(")\n")))).otherwise(F.array().cast("array<string>")), "")
+    half = F.floor(n / 2).cast("int")
+    text = F.concat(F.lit("package a\n// "), F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-z]+", " "), F.lit("\nfunc run() {\n"), opened(F.lit(1), half), F.lit("work(func() {\n"), opened(half + 1, n), F.repeat(F.lit("}\n"), n - half), F.lit("})\n"), F.repeat(F.lit("}\n"), half), F.lit("}\n"))
+    nodes = storage.saved(brace_rules.brace_nodes(docs.select(F.concat(F.col("doc_id").cast("string"), F.lit(".go")).alias("path"), text.alias("content"))), "nodes")
+    call = (F.col("kind") == "statement") & F.col("text").startswith("call(")
+    kinds = ("function", "loop")
+    counts = intervals.ancestors(nodes, call, kinds).groupBy("path", "text").agg(F.count_if(F.col("o_kind") == "loop").alias("loops"), F.count_if(F.col("o_kind") == "function").alias("functions"))
+    near = intervals.nearest(nodes, call, kinds).select("path", "text", F.col("o_kind").alias("nearest"))
+    return counts.join(near, ["path", "text"])
+
+
 def cost_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The costs of runs, one a user, appended to a log as lines and read back."""
     e = events(spark, sf_dir)
@@ -225,6 +240,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "senate_replay": replayed,
     "judge_calls_within_budget": calls,
     "cost_log": cost_log,
+    "enclosing_nodes": enclosing,
     "memo_scan": memo_rows,
     "path_cleaning": paths,
     "code_patterns": patterns,
@@ -393,6 +409,8 @@ ORACLES: dict[str, str] = {
       b2 AS (SELECT *, CASE WHEN auto THEN 'auto' WHEN asked AND n <> 8 THEN 'llm' WHEN matched THEN 'fallback' END AS how FROM s)
       SELECT rule, pattern_hash, asked, how AS "by", CASE how WHEN 'llm' THEN (['guilty', 'not_guilty', 'advisory'])[(n % 3 + 1)::INT] WHEN 'auto' THEN CASE WHEN n % 2 = 0 THEN 'guilty' ELSE 'not_guilty' END WHEN 'fallback' THEN CASE WHEN n % 2 = 0 THEN 'guilty' ELSE 'not_guilty' END END AS verdict,
              CASE WHEN asked AND n = 8 THEN 'unavailable: no answer' END AS problem, round(CASE WHEN how = 'llm' THEN due ELSE 0 END, 9)::DOUBLE AS cost FROM b2""",
+    "enclosing_nodes": """WITH d AS (SELECT doc_id, (doc_id % 9)::INT AS n, (doc_id % 9)::INT // 2 AS half FROM documents), c AS (SELECT *, unnest(range(1, n + 1))::INT AS k FROM d)
+      SELECT doc_id || '.go' AS path, 'call(' || k || ')' AS text, k::BIGINT AS loops, CASE WHEN k > half THEN 2 ELSE 1 END::BIGINT AS functions, 'loop' AS nearest FROM c""",
     "cost_log": """WITH r AS (SELECT user_id, count(*) AS n, sum(event_id % 5000)::BIGINT AS i, sum(event_id % 700)::BIGINT AS o, round(sum(((event_id % 5000) * 0.8::DOUBLE + (event_id % 700) * 4.0::DOUBLE) / 1e6::DOUBLE), 6)::DOUBLE AS cost, max(ts) AS seen FROM events GROUP BY 1)
       SELECT strftime(seen, '%Y-%m-%dT%H:%M:%SZ') AS recorded_at, n AS llm_calls, i AS input_tokens, o AS output_tokens, cost AS total_cost_usd, CASE WHEN user_id % 2 = 0 THEN 0.1::DOUBLE END AS budget_usd, CASE WHEN cost >= 0.1::DOUBLE THEN true END AS budget_exhausted FROM r WHERE seen IS NOT NULL""",
     "memo_scan": "SELECT 'docs/requirements_' || doc_id || '.txt' AS path, CASE WHEN lang = 'es' THEN 2 ELSE 1 END::BIGINT AS mtime_ns, coalesce(lang = 'es', false) AS fresh, true AS same FROM documents",

@@ -33,14 +33,13 @@ def masked(source: str) -> str:
     return HIDDEN.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
 
 
-def blocks_of(path: str, source: str) -> Iterator[tuple]:
-    """The file itself and every brace block in it, with its own statements, those of blocks in it too, and the parent's later ones."""
-    lines = ["", *(x.removesuffix("\r") for x in source.split("\n"))]
+def brace_tree(source: str) -> tuple[list[tuple[dict, int]], list[int]]:
+    """Every brace block and the file itself, inner ones first, each with the offset of its end; and the line of every offset."""
     plain, line_of, line = masked(source), [], 1
     for c in source:
         line_of.append(line)
         line += c == "\n"
-    root = {"from": 0, "start": 0, "header": "", "kids": [], "deep": [], "function": "", "loop": False, "parent": None, "place": 0, "parts": []}
+    root = {"from": 0, "start": 0, "header": "", "kids": [], "deep": [], "function": "", "kind": "file", "loop": False, "parent": None, "place": 0, "parts": []}
     done, block, begin, round_, nested = [], root, 0, [0], []
     line_of.append(line)
 
@@ -59,7 +58,7 @@ def blocks_of(path: str, source: str) -> Iterator[tuple]:
             # Blocks of several lines stand for themselves in the text, all of them in the outline.
             text = spliced(begin, end, [x for x in nested if "\n" in source[x[0] : x[1]]]).strip()
             lead = len(source[begin:end]) - len(source[begin:end].lstrip())
-            block["kids"].append((text, spliced(begin, end, nested).strip(), line_of[begin + lead]))
+            block["kids"].append((text, spliced(begin, end, nested).strip(), line_of[begin + lead], begin + lead, end - 1))
             block["deep"].append(block["kids"][-1])
         begin = end
         nested.clear()
@@ -76,6 +75,7 @@ def blocks_of(path: str, source: str) -> Iterator[tuple]:
             lead = top - begin + len(source[top:i]) - len(source[top:i].lstrip())
             called = bool(CALLABLE.search(header)) or bool(re.search(r"\)\s*(?::\s*[\w<>\[\]., ]+)?$", header)) and not re.match(r"(?:\}?\s*else\s+)?(?:if|for|while|switch|catch|with)\b|\}?\s*catch\b", header)
             inner = {"from": line_of[begin + lead], "start": i, "header": header, "kids": [], "deep": [], "parent": block, "place": len(block["kids"]), "begin": begin, "nested": nested, "parts": []}
+            inner["kind"] = "function" if called else "loop" if LOOP.match(header) else "block"
             inner["function"] = header if called else block["function"]
             inner["loop"] = not called and (block["loop"] or bool(LOOP.match(header)))
             block, begin, nested = inner, i + 1, []
@@ -98,14 +98,49 @@ def blocks_of(path: str, source: str) -> Iterator[tuple]:
             begin = i + 1
     statement(len(plain))
     done.append((root, len(plain)))
+    return done, line_of
+
+
+def blocks_of(path: str, source: str) -> Iterator[tuple]:
+    """The file itself and every brace block in it, with its own statements, those of blocks in it too, and the parent's later ones."""
+    lines = ["", *(x.removesuffix("\r") for x in source.split("\n"))]
+    done, line_of = brace_tree(source)
     for b, end in done:
         up = b["parent"]
         later = up["kids"][b["place"] + 1 :] if up else []
-        rows = lambda found: [{"text": t, "outline": o, "line": n, "code": lines[n], "above": lines[n - 1]} for t, o, n in found]
+        rows = lambda found: [{"text": t, "outline": o, "line": n, "code": lines[n], "above": lines[n - 1]} for t, o, n, *_ in found]
         at = b["from"] or 1
         yield path, at, lines[at], line_of[end], b["header"], rows(b["kids"]), rows(b["deep"]), source[b["start"] : end], b["function"], b["loop"], rows(later)
 
 
+#: A node: offsets of its begin and end, the file's end, how many blocks are around it, its kind and header or outline.
+NODES = "path string, pre long, post long, end long, depth int, kind string, text string, line int"
+
+
+def nodes_of(path: str, source: str) -> Iterator[tuple]:
+    """The file, its functions, loops, other blocks and statements as intervals: a node lies within those around it."""
+    done, line_of = brace_tree(source)
+    for b, end in done:
+        depth, up = 0, b["parent"]
+        while up:
+            depth, up = depth + 1, up["parent"]
+        yield path, b["start"], end, len(source), depth, b["kind"], b["header"], line_of[b["start"]]
+        for _, outline, line, pre, post in b["kids"]:
+            yield path, pre, post, len(source), depth + 1, "statement", outline, line
+
+
+def brace_nodes(files: DataFrame) -> DataFrame:
+    """The node table of Go and JavaScript files (path, content), for joins over ancestors (``intervals``)."""
+    names = [x.split()[0] for x in NODES.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, source in zip(batch["path"], batch["content"], strict=True):
+                yield pd.DataFrame([*nodes_of(path, source)], columns=names)
+
+    return files.where(T.extension(F.col("path")).isin(".go", *JS) & F.col("content").isNotNull()).select("path", "content").mapInPandas(run, NODES)
+
+
 def brace_blocks(files: DataFrame) -> DataFrame:
     names = "path line code last header kids deep body function in_loop later".split()
 
