@@ -401,7 +401,7 @@ ORACLES: dict[str, str] = {
         SELECT n.pattern_hash, n.decision, CASE WHEN s.decision IS NULL THEN CASE WHEN n.confidence > 0 THEN least(n.confidence, 1.0) ELSE 0.6::DOUBLE END WHEN n.decision = s.decision THEN least(1.0, s.c + 0.1::DOUBLE) ELSE greatest(0.2, s.c * 0.5::DOUBLE) END, CASE WHEN n.decision = s.decision THEN s.seen + 1 ELSE 1 END, n.ord, n.i
         FROM s JOIN n ON n.pattern_hash = s.pattern_hash AND n.i = s.i + 1)
       SELECT pattern_hash, ord, decision, round(c, 9)::DOUBLE AS confidence, seen AS seen_count FROM s WHERE i > 0""",
-    "law_proposals": "WITH c AS (SELECT CASE WHEN event_type = 'view' THEN 'rust.panic-in-lib' ELSE 'own.rule' END AS rule_id, 'u' || (user_id % 30) AS pattern_hash, CASE WHEN event_id % 2 = 0 THEN 'allow' ELSE 'deny' END AS decision, count(*) AS n, min(ts) AS a, max(ts) AS z FROM events WHERE ts IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 7), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, rule_id, decision, pattern_hash)::INT AS place FROM c) SELECT place, rule_id, pattern_hash, decision, '## Proposal ' || place || ': `' || rule_id || '`' || chr(10) || chr(10) || '- Rule: ' || CASE WHEN rule_id = 'own.rule' THEN '(no description)' ELSE 'A library panics' END || chr(10) || '- Pattern: `' || pattern_hash || '`' || chr(10) || '- Decision: `' || decision || '`' || chr(10) || '- Evidence: ' || n || ' (threshold 7)' || chr(10) || '- First seen: ' || strftime(a, '%Y-%m-%dT%H:%M:%SZ') || chr(10) || '- Last seen: ' || strftime(z, '%Y-%m-%dT%H:%M:%SZ') || chr(10) || '- Amendment: ' || CASE WHEN decision = 'allow' THEN 'Add a targeted exception for this pattern (always judged not guilty).' ELSE 'Enforce more strictly for this pattern (always judged guilty).' END || chr(10) AS text FROM r",
+    "law_proposals": "WITH c AS (SELECT CASE WHEN event_type = 'view' THEN 'rust.panic-in-lib' ELSE 'own.rule' END AS rule_id, 'u' || (user_id % 30) AS pattern_hash, CASE WHEN event_id % 2 = 0 THEN 'allow' ELSE 'deny' END AS decision, count(*) AS n, min(ts) AS a, max(ts) AS z FROM events WHERE ts IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 7), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, rule_id, decision, pattern_hash)::INT AS place FROM c) SELECT place, rule_id, pattern_hash, decision, '## Proposal ' || place || ': `' || rule_id || '`' || chr(10) || chr(10) || '- Current rule: ' || CASE WHEN rule_id = 'own.rule' THEN '(rule description unavailable)' ELSE 'A library panics' END || chr(10) || '- Pattern hash: `' || pattern_hash || '`' || chr(10) || '- Consistent decision: `' || decision || '`' || chr(10) || '- Evidence count: ' || n || ' (threshold 7)' || chr(10) || '- First seen: ' || strftime(a, '%Y-%m-%dT%H:%M:%SZ') || chr(10) || '- Last seen: ' || strftime(z, '%Y-%m-%dT%H:%M:%SZ') || chr(10) || '- Suggested amendment: ' || CASE WHEN decision = 'allow' THEN 'Add a targeted exception for this pattern (pattern consistently judged not-guilty).' ELSE 'Tighten enforcement for this pattern (pattern consistently judged guilty).' END || chr(10) AS text FROM r",
     "senate_amendments": "SELECT 'v' || event_id AS verdict_id, 'r' || user_id AS rule_id, (['disable_rule', 'enable_rule', 'set_severity'])[(event_id % 4 + 1)::INT] AS action FROM events WHERE event_id % 7 <> 0 AND event_id % 5 <> 0 AND event_id % 4 <> 3",
     "senate_replay": "WITH e AS (SELECT 'r' || user_id AS rule_id, event_id AS k, event_id % 4 AS a FROM events WHERE event_id % 7 <> 0 AND event_id % 5 <> 0 AND event_id % 4 <> 3) SELECT rule_id, max(CASE WHEN a = 2 THEN 'info' END) AS new_severity, coalesce(arg_max(a = 0, k) FILTER (a < 2), false) AS disabled FROM e GROUP BY 1",
     "judge_calls_within_budget": f"""WITH {FREE}, o AS (SELECT *, CASE WHEN auto OR n = 8 THEN 0.0::DOUBLE ELSE (n * 1000 * 0.8::DOUBLE + n * 100 * 4.0::DOUBLE) / 1e6::DOUBLE END AS due FROM j),

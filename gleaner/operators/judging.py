@@ -20,6 +20,8 @@ from ..functions import text as T
 from . import adjudication
 from .reports import rfc3339
 
+# What is said of verdicts that no model gave.
+AUTO, EXHAUSTED = "Auto-applied high-confidence precedent.", "Budget exhausted; applied matching precedent."
 ANSWERS = "rule string, pattern_hash string, verdict string, reasoning string, confidence double, precedent_decision string, precedent_rationale string, tokens_in int, tokens_out int"
 ANSWER = "verdict string, reasoning string, confidence double, precedent_decision string, precedent_rationale string"
 AMENDMENT = "rule_id:string,action:string,severity:string,exception:string,rationale:string"
@@ -168,7 +170,7 @@ def judged(findings: DataFrame, precedents: DataFrame, answers: DataFrame | Call
     by = F.when(F.col("auto"), "auto").when(F.col("paid") & F.col("problem").isNull() & F.col("a_verdict").isNotNull(), "llm").when(F.col("effective") >= least, "fallback")
     rows = rows.withColumn("by", by)
     model, past = F.col("by") == "llm", F.col("by").isin("auto", "fallback")
-    reason = F.when(F.col("by") == "auto", "Auto-applied high-confidence precedent.").when(model, F.col("a_reasoning")).when(past & ~F.col("paid"), "Budget exhausted; applied matching precedent.").when(past, "Applied matching precedent in place of a verdict.")
+    reason = F.when(F.col("by") == "auto", AUTO).when(model, F.col("a_reasoning")).when(past & ~F.col("paid"), EXHAUSTED).when(past, "Applied matching precedent in place of a verdict.")
     verdict = F.when(model, F.col("a_verdict")).when(past, F.when(F.col("decision") == "allow", "not_guilty").otherwise("guilty"))
     if strict:
         verdict = F.when(F.col("by").isNull(), F.raise_error(F.concat(F.lit("no verdict and no precedent for "), "rule"))).otherwise(verdict)
@@ -214,19 +216,32 @@ def decisions(verdicts: DataFrame, at: Column, root: str = "") -> DataFrame:
 def proposals(candidates: DataFrame, catalogue: DataFrame, threshold: int) -> DataFrame:
     """A Markdown section (``text``) for each law candidate, numbered by ``place``: most frequent first.
 
+    Labels and the two suggestions are fixed values: the format that reviews of proposals read.
+
     Candidates are patterns decided often; their numbering passes one task.
     """
     known = F.broadcast(catalogue.select(F.col("id").alias("rule_id"), F.col("message").alias("description")))  # about a hundred rows
     order = Window.orderBy(F.desc("n"), "rule_id", "decision", "pattern_hash")
     rows = candidates.join(known, "rule_id", "left").withColumn("place", F.row_number().over(order))
-    hint = F.when(F.col("decision") == "allow", "Add a targeted exception for this pattern (always judged not guilty).").otherwise("Enforce more strictly for this pattern (always judged guilty).")
+    hint = F.when(F.col("decision") == "allow", "Add a targeted exception for this pattern (pattern consistently judged not-guilty).").otherwise("Tighten enforcement for this pattern (pattern consistently judged guilty).")
     text = F.concat(
-        F.lit("## Proposal "), F.col("place").cast("string"), F.lit(": `"), "rule_id", F.lit("`\n\n- Rule: "), F.coalesce("description", F.lit("(no description)")), F.lit("\n- Pattern: `"), "pattern_hash", F.lit("`\n- Decision: `"), "decision",
-        F.lit("`\n- Evidence: "), F.col("n").cast("string"), F.lit(f" (threshold {threshold})\n- First seen: "), rfc3339(F.col("first_seen")), F.lit("\n- Last seen: "), rfc3339(F.col("last_seen")), F.lit("\n- Amendment: "), hint, F.lit("\n"),
+        F.lit("## Proposal "), F.col("place").cast("string"), F.lit(": `"), "rule_id", F.lit("`\n\n- Current rule: "), F.coalesce("description", F.lit("(rule description unavailable)")), F.lit("\n- Pattern hash: `"), "pattern_hash", F.lit("`\n- Consistent decision: `"), "decision",
+        F.lit("`\n- Evidence count: "), F.col("n").cast("string"), F.lit(f" (threshold {threshold})\n- First seen: "), rfc3339(F.col("first_seen")), F.lit("\n- Last seen: "), rfc3339(F.col("last_seen")), F.lit("\n- Suggested amendment: "), hint, F.lit("\n"),
     )
     return rows.select("place", "rule_id", "pattern_hash", "decision", text.alias("text"))
 
 
+def write_proposals(sections: DataFrame, out, at: str) -> int:
+    """Writes the document of ``proposals`` to a text stream: its head with the time ``at``, then the sections in order, or that there are none."""
+    out.write(f"# Law Update Proposals\n\n_Generated: {at}_\n\n")
+    n = 0
+    for n, row in enumerate(sections.orderBy("place").select("text").toLocalIterator(), 1):
+        out.write(row["text"] + "\n")
+    if not n:
+        out.write("No proposal candidates.\n")
+    return n
+
+
 def senate_verdicts(documents: DataFrame, column: str = "text") -> DataFrame:
     """Verdicts (``SENATE``) in documents: a JSON object, or the first fenced one; ``problem`` says why a document holds none."""
     from ..sources.stores import amendment_problem, blank

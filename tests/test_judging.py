@@ -197,3 +197,17 @@ def test_laws_are_overwritten_only_by_laws(spark, tmp_path):
     assert [r.pattern_hash for r in stores.read(spark, path, "laws").collect()] == ["p"]
     assert stores.replace(law("q"), path, "laws")
     assert [r.pattern_hash for r in stores.read(spark, path, "laws").collect()] == ["q"]
+
+
+def test_proposals_as_a_document(spark):
+    import io
+
+    from gleaner.operators import catalogue
+
+    rows = spark.createDataFrame([("rust.panic-in-lib", "p", "allow", 9, AT, AT), ("own", "q", "deny", 12, AT, AT)], "rule_id string, pattern_hash string, decision string, n long, first_seen string, last_seen string").withColumns({c: F.col(c).cast("timestamp") for c in ("first_seen", "last_seen")})
+    sections = judging.proposals(rows, catalogue.rules(spark), 5)
+    out, none = io.StringIO(), io.StringIO()
+    assert judging.write_proposals(sections, out, "2024-01-01T00:00:00Z") == 2 and judging.write_proposals(sections.limit(0), none, "2024-01-01T00:00:00Z") == 0
+    text = out.getvalue()
+    assert text.startswith("# Law Update Proposals\n\n_Generated: 2024-01-01T00:00:00Z_\n\n## Proposal 1: `own`\n\n- Current rule: (rule description unavailable)\n- Pattern hash: `q`\n") and "## Proposal 2: `rust.panic-in-lib`" in text
+    assert none.getvalue().endswith("No proposal candidates.\n")
