@@ -32,8 +32,9 @@ VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: A file is closed at this size; files never hold more than one record beyond it.
 FILE_BYTES = 8 << 20
-#: Payloads with more than one row in so many are told to all tasks: there are fewer of them than this.
-HOT = 1000
+#: Payloads with more than one row in so many are told to all tasks: there are fewer of them than this, some 10 MB.
+#: Of any other, no more than this part of the rows meets in one task, which streams them.
+HOT = 1 << 16
 #: The longest header that is looked for behind a version line outside of a gzip member.
 HEADER = 1 << 20
 #: Bytes of a member that are unpacked at a time.
