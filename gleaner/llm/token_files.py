@@ -37,6 +37,10 @@ SKIPPABLE_TABLE = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
 CHECKSUMS = 0x80
 
+#: Text and rows that a task sorts and encodes, about.
+TASK_BYTES = 1 << 28
+TASK_DOCS = 1 << 20
+
 SHARDS = "shard long, name string, docs long, tokens long, bytes long"
 
 
@@ -122,11 +126,17 @@ class ShardReader:
             yield None if self.null[i] else int(self.doc_ids[i]), int(before[i]), raw[a : a + 4 * int(self.counts[i])]
 
 
+def needed_tasks(docs: int, size: int) -> int:
+    """Tasks that so many documents of so many bytes of text ask for."""
+    return max(1, -(-docs // TASK_DOCS), -(-size // TASK_BYTES))
+
+
 def write_tokens(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end: int = END) -> DataFrame:
     """Writes every document's ids to shards in ``folder``; returns the saved table of shards.
 
     Documents are range-partitioned by doc_id and row, so shards ascend and neither a hot source nor one doc_id
-    repeated goes to one task; shards are numbered by task and place in it. Null texts are empty; very long texts are
+    repeated goes to one task; the number of tasks follows the bytes and rows of the table where they ask for more than
+    the session's; shards are numbered by task and place in it. Null texts are empty; very long texts are
     one frame; null ids come first; documents with equal ids follow in the order of the table's rows; an empty table
     writes no shard; further columns are not read.
     """
@@ -152,7 +162,11 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end
             yield row()
 
     numbered = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"))
-    ordered = numbered.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "text")
+    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    tasks = needed_tasks(n, size)
+    usual = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = numbered.repartitionByRange(tasks, "doc_id", "row") if tasks > usual else numbered.repartitionByRange("doc_id", "row")
+    ordered = spread.sortWithinPartitions("doc_id", "row").select("doc_id", "text")
     return saved(ordered.mapInArrow(write, SHARDS), "token-shards")
 
 

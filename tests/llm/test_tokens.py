@@ -119,3 +119,21 @@ def test_a_reader_opens_only_the_frames_it_needs(tmp_path):
 
 def test_vocabularies_are_a_parameter(tmp_path):
     assert vocabulary(str(tmp_path / "own.json")) == str(tmp_path / "own.json")
+
+
+def test_tasks_follow_bytes_and_rows():
+    assert token_files.needed_tasks(0, 0) == 1
+    assert token_files.needed_tasks(token_files.TASK_DOCS + 1, 0) == 2
+    assert token_files.needed_tasks(5, 10 * token_files.TASK_BYTES) == 10
+
+
+def test_many_tasks_give_the_same_files_content(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i % 37, f"some words {i} of it" * (i % 5)) for i in range(300)] + [(None, None)], "doc_id long, text string")
+    rows = []
+    for size in (1 << 28, 512):
+        monkeypatch.setattr(token_files, "TASK_BYTES", size)
+        folder = str(tmp_path / f"t{size}")
+        shards = token_files.write_tokens(docs, folder)
+        rows.append((shards.count(), sorted((r.start, r.n_tokens) for r in token_files.read_tokens(shards, folder, keep_ids=False).collect())))
+        assert rows[-1][1][-1][0] + rows[-1][1][-1][1] == sum(n for _, n in rows[-1][1])
+    assert rows[1][0] > rows[0][0] and sum(n for _, n in rows[0][1]) == sum(n for _, n in rows[1][1])
