@@ -39,7 +39,7 @@ BLOCK = set(
     "thead tr ul".split()
 )
 #: What elements and words of class, id and role say before any page is seen: below zero of boilerplate, above of content.
-TAG_PRIORS = dict.fromkeys("aside button canvas datalist dialog footer form head iframe menu nav noscript object script select style svg template textarea title".split(), -6.0)
+TAG_PRIORS = dict.fromkeys("aside button canvas datalist dialog footer form head iframe label legend menu nav noscript object script select style svg template textarea title".split(), -6.0)
 STRONG = dict.fromkeys(
     "advert advertisement adverts breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer "
     "login masthead menu menubar modal nav navbar navigation newsletter pager pagination popup promo promoted related respond search sidebar "
@@ -58,6 +58,11 @@ GENERIC = set("article blockquote body center dd details div dl dt fieldset figc
 HOLE, EMBEDDED = -20.0, -0.3
 #: A page whose words stand in elements of weak evidence alone, so many times more than elsewhere, is read without it.
 OVERRULED = 10
+#: What counts as evidence of boilerplate, from all to least: words of class, id and role, only the strong ones, tags
+#: alone, and tags but for a form around the page.
+ALL, STRONG_ONLY, TAGS, NO_FORMS = range(4)
+#: A page of nothing but boilerplate by its names has a main text where so many blocks of it hold words.
+BLOCKS_OF_TEXT = 2
 WORDS = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
 
 
@@ -189,14 +194,16 @@ class Weights:
     known: dict[str, float] = field(default_factory=dict)
     tokens: dict[str, float] = field(default_factory=lambda: dict(PRIORS))
 
-    def evidence(self, x: Element, weak: bool) -> float:
-        """Of an element: below zero of boilerplate, above of content; ``weak`` words count or not."""
+    def evidence(self, x: Element, level: int) -> float:
+        """Of an element: below zero of boilerplate, above of content; ``level`` says what counts."""
         if x.hidden:
             return -6.0
         if x.name in ("html", "body", "article", "main"):
             return 2.0 if x.name in ("article", "main") else 0.0
         tag = -6.0 if x.name == "header" and not (x.above and x.above.article) else TAG_PRIORS.get(x.name, 0.0)
-        said = [self.tokens.get(t, 0.0) for t in x.tokens if weak or t not in WEAK]
+        if level == NO_FORMS:
+            return 0.0 if x.name == "form" else tag
+        said = [self.tokens.get(t, 0.0) for t in x.tokens if level == ALL or level == STRONG_ONLY and t not in WEAK]
         return max(-6.0, min(6.0, tag + sum(said)))
 
     def word(self, key: str) -> float:
@@ -205,8 +212,8 @@ class Weights:
             return self.known.get(key, -0.5)
         return self.known.get(key, 1.0 if key[5:] in GENERIC else 0.3)
 
-    def scores(self, found: list[Item], weak: bool = True) -> tuple[list[float], list[bool]]:
-        """Every item's score, and whether it is part of boilerplate.
+    def scores(self, found: list[Item], level: int = ALL, around: frozenset[int] = frozenset()) -> tuple[list[float], list[bool]]:
+        """Every item's score, and whether it is part of boilerplate; elements ``around`` the content are not, unless hidden.
 
         An element of boilerplate costs no more than ``HOLE``, or ``EMBEDDED`` within content, however long it is,
         so that it does not part the text around it.
@@ -218,7 +225,9 @@ class Weights:
                 return None, False
             if id(x) not in seen:
                 outer, content = of(x.above)
-                said = self.evidence(x, weak) if outer is None else 0.0
+                said = self.evidence(x, level) if outer is None else 0.0
+                if id(x) in around and not x.hidden:
+                    said = max(said, 0.0)
                 seen[id(x)] = (outer or (x if said < 0 else None), content or outer is None and said >= 2)
             return seen[id(x)]
 
@@ -281,26 +290,76 @@ def holes(skips: list[bool], words: list[int], a: int, b: int) -> list[bool]:
     return [skips[i] and kept[0] < i < kept[-1] for i in range(a, b)]
 
 
+def around_marked(found: list[Item]) -> tuple[frozenset[int], int]:
+    """Elements around the page's one ``main``, or else its one ``article``, and the words in it; none where there is no such one."""
+    for name in ("main", "article"):
+        marked = [x.place for x in found if x.text is None and x.key == name]
+        if len(marked) == 1:
+            own, inner = marked[0], {}
+
+            def within_it(x: Element | None) -> bool:
+                path = []
+                while x is not None and id(x) not in inner and x is not own:
+                    path.append(x)
+                    x = x.above
+                answer = x is own or x is not None and inner[id(x)]
+                inner.update((id(y), answer) for y in path)
+                return answer
+
+            outer, x = set(), own.above
+            while x is not None:
+                outer.add(id(x))
+                x = x.above
+            return frozenset(outer), sum(x.words for x in found if x.words and within_it(x.place))
+    return frozenset(), 0
+
+
 def main_text(page: str | None, weights: Weights) -> str:
-    """The text of the best region: blocks in page order, white space as one blank, one newline between."""
+    """The text of the best region: blocks in page order, white space as one blank, one newline between.
+
+    Where that is less than the one element that the author marked, names and tags of the elements around it say
+    nothing. Where it is nothing at all, the best region by tags alone counts, and then that within a form around
+    the page, if it has text in more than one block; navigation, footers and what is hidden never do.
+    """
     found = items(page or "")
     words = [x.words for x in found]
-    scores, skips = weights.scores(found)
-    a, b = best_region(scores)
-    plain, plain_skips = weights.scores(found, weak=False)
-    doubtful = sum(n for n, x, y in zip(words, skips, plain_skips, strict=True) if x and not y)
-    if doubtful > OVERRULED * sum(n for n, x in zip(words[a:b], skips[a:b], strict=True) if not x):
-        scores, skips = plain, plain_skips
+
+    def best(level: int, around: frozenset[int] = frozenset()) -> tuple[int, int, list[bool], int]:
+        scores, skips = weights.scores(found, level, around)
         a, b = best_region(scores)
+        return a, b, skips, sum(n for n, skip in zip(words[a:b], skips[a:b], strict=True) if not skip)
+
+    level = ALL
+    a, b, skips, kept = best(level)
+    doubtful = sum(n for n, x, y in zip(words, skips, weights.scores(found, STRONG_ONLY)[1], strict=True) if x and not y)
+    if doubtful > OVERRULED * kept:
+        level = STRONG_ONLY
+        a, b, skips, kept = best(level)
+    around, marked = around_marked(found)
+    if marked > kept and any(x.place is not None and id(x.place) in around and skip for x, skip in zip(found, skips, strict=True)):
+        other = best(level, around)
+        if other[3] > kept:
+            a, b, skips, kept = other
+    texts = blocks_of(found[a:b], holes(skips, words, a, b)) if kept else []
+    for level in (TAGS, NO_FORMS):
+        if not texts and any(words):
+            a, b, skips, kept = best(level)
+            texts = blocks_of(found[a:b], holes(skips, words, a, b)) if kept else []
+            texts = texts if len(texts) >= BLOCKS_OF_TEXT else []
+    return "\n".join(texts)
+
+
+def blocks_of(region: list[Item], skipped: list[bool]) -> list[str]:
+    """Texts of the region's blocks, without the items that are ``skipped``."""
     blocks, current = [], []
-    for x, hole in zip(found[a:b], holes(skips, words, a, b), strict=True):
+    for x, hole in zip(region, skipped, strict=True):
         if x.breaks:
             blocks.append("".join(current))
             current = []
         elif x.text is not None and not hole:
             current.append(x.text)
     blocks.append("".join(current))
-    return "\n".join(y for y in (" ".join(x.split()) for x in blocks) if y)
+    return [y for y in (" ".join(x.split()) for x in blocks) if y]
 
 
 def fit(pages: DataFrame, fit_pages: int = FIT_PAGES) -> Weights:

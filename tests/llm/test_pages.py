@@ -99,6 +99,42 @@ def test_embedded_boilerplate_and_telling_names():
     assert text("<nav><a>Menu a b c</a></nav><footer>foot note text</footer>") == {}
 
 
+WHOLE = "<h1>Head line</h1><p>First words of it.</p><p>Last words of it.</p>"
+
+
+@pytest.mark.parametrize(
+    "page, expected",
+    [
+        # Names of the elements around the one marked article say nothing, nor does a form around it.
+        (f"<nav>Menu</nav><div id=search-engines-article><article>{WHOLE}</article></div><footer>f</footer>", WHOLE),
+        (f"<nav>Menu</nav><div class='comments nav'><main>{WHOLE}<aside>Side words</aside></main></div>", WHOLE),
+        (f"<body><form action=/><nav>Menu here</nav><article>{WHOLE}</article><label>Your email</label></form></body>", WHOLE),
+        # Without a marked element: what is left is read by tags, and within a form around the page without its labels.
+        (f"<nav>Menu</nav><div id=search-engines>{WHOLE}</div><footer>f</footer>", WHOLE),
+        (f"<body><form><nav>Menu here</nav><div>{WHOLE}</div><label>Your email</label><button>Go</button></form></body>", WHOLE),
+        # What is hidden stays so, a teaser in a sidebar is none, and a notice alone is no main text.
+        (f"<div hidden><article>{WHOLE}</article></div><footer>f</footer>", ""),
+        (f"<aside class=related><article>One teaser</article></aside><div class=post>{WHOLE}</div>", WHOLE),
+        ("<nav>Menu</nav><div class=cookie-notice>We use cookies here</div><footer>f</footer>", ""),
+        ("<form><label>Your name</label><input><label>Your email</label><input><button>Send</button></form>", ""),
+        # Tables, lists, nested divisions and text without any block.
+        (f"<table><tr><td class=menu>Menu</td><td>{WHOLE}</td></tr></table>", WHOLE),
+        ("Plain words<br>of a page", "<p>Plain words of a page</p>"),
+        (f"<div class=wrapper><div class=inner><div class=sidebar><ul><li><a>x</a></li></ul></div>{WHOLE}</div></div>", WHOLE),
+    ],
+)
+def test_pages_of_other_layouts(page, expected):
+    blocks = [re.sub("<[^>]*>", "", x) for x in re.split(r"</(?:h1|p)>", expected) if x]
+    assert extraction.main_text(page, extraction.Weights()).split("\n") == (blocks or [""])
+
+
+def test_words_in_the_marked_element_are_counted_once():
+    found = extraction.items(f"<div><section><article><div>{WHOLE}</div><p>a b</p></article></section><p>out</p></div>")
+    around, words = extraction.around_marked(found)
+    assert (len(around), words) == (2, 12)
+    assert extraction.around_marked(extraction.items("<article>a</article><article>b</article>")) == (frozenset(), 0)
+
+
 def test_archives_round_trip(spark, tmp_path):
     rows = [(5, "http://a/", "same", None), (2, "http://b/", "same", None), (9, "http://c/ü\n", "ünï\r\n\r\nWARC/1.1\r\n", None), (1, None, None, None), (4, "e", "", None), (7, "l", "x" * 300000, None), (7, "l", "x" * 300000, None), (None, "n", "same", None)]
     folder = str(tmp_path / "warc")
