@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import storage
 from .functions import text as T
 from .operators import adjudication, brace_rules, catalogue, intervals, judging, reports
-from .plans import memo
+from .plans import gate, memo
 from .plans.scan import all_findings
 from .sources import config, json_log, stores
 
@@ -108,6 +108,24 @@ def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stores.with_judgments(old, new).select("pattern_hash", "ord", "decision", "confidence", "seen_count")
 
 
+def gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each of forty repositories, one a remainder of users, may commit its findings."""
+    rows = found(spark, sf_dir).withColumn("repository", F.pmod(F.substring("file", 2, 20).cast("long"), F.lit(40)))
+    return gate.gated(rows, verdicts(spark, sf_dir, BUDGET), "repository")
+
+
+def warmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two warm-ups over the same findings, whose rules are one a user: what the second says by what the first stored."""
+    rows = found(spark, sf_dir).where("rule is not null").withColumn("rule", F.concat_ws(".", "rule", "file")).where(F.size(F.split("code", " ")) != 8)
+    folder, at = storage.scratch(spark, "warm-up"), F.lit(AT).cast("timestamp")
+    first = gate.warm_up(rows, folder, judging.asked(answered), at, batch="one")
+    second = gate.warm_up(rows, folder, judging.asked(answered), at, batch="two")
+    stored = stores.read(spark, f"{folder}/precedents", "precedents").groupBy(F.col("rule_id").alias("rule"), "pattern_hash").agg(F.count("*").alias("stored"), F.round(F.max("confidence"), 6).alias("surest"))
+    debts = stores.read(spark, f"{folder}/debt", "debt").groupBy(F.col("rule_id").alias("rule")).agg(F.count("*").alias("debts"))
+    both = second.join(first.select("rule", "pattern_hash", F.col("by").alias("first_by")), ["rule", "pattern_hash"]).join(stored, ["rule", "pattern_hash"]).join(debts, "rule", "left")
+    return both.select("rule", "pattern_hash", "items", "first_by", "by", "verdict", "stored", "surest", F.coalesce("debts", F.lit(0)).cast("long").alias("debts"))
+
+
 def proposal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir).where("ts is not null")
     rows = e.select(F.when(F.col("event_type") == "view", "rust.panic-in-lib").otherwise("own.rule").alias("rule_id"), F.concat(F.lit("u"), (F.col("user_id") % 30).cast("string")).alias("pattern_hash"), F.when(F.col("event_id") % 2 == 0, "allow").otherwise("deny").alias("decision"), F.col("ts").alias("created_at"))
@@ -239,6 +257,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "senate_amendments": amendments,
     "senate_replay": replayed,
     "judge_calls_within_budget": calls,
+    "hook_gate": gates,
+    "warm_up": warmed,
     "cost_log": cost_log,
     "enclosing_nodes": enclosing,
     "memo_scan": memo_rows,
@@ -409,6 +429,12 @@ ORACLES: dict[str, str] = {
       b2 AS (SELECT *, CASE WHEN auto THEN 'auto' WHEN asked AND n <> 8 THEN 'llm' WHEN matched THEN 'fallback' END AS how FROM s)
       SELECT rule, pattern_hash, asked, how AS "by", CASE how WHEN 'llm' THEN (['guilty', 'not_guilty', 'advisory'])[(n % 3 + 1)::INT] WHEN 'auto' THEN CASE WHEN n % 2 = 0 THEN 'guilty' ELSE 'not_guilty' END WHEN 'fallback' THEN CASE WHEN n % 2 = 0 THEN 'guilty' ELSE 'not_guilty' END END AS verdict,
              CASE WHEN asked AND n = 8 THEN 'unavailable: no answer' END AS problem, round(CASE WHEN how = 'llm' THEN due ELSE 0 END, 9)::DOUBLE AS cost FROM b2""",
+    "hook_gate": f"""WITH {PAID}, g AS (SELECT substr(file, 2)::BIGINT % 40 AS repository, count(*) AS findings, count_if(severity = 'error')::BIGINT AS errors, count_if(verdict = 'guilty')::BIGINT AS guilty, count_if(verdict IS NULL)::BIGINT AS unjudged FROM f LEFT JOIN verdict USING (rule, n) GROUP BY 1)
+      SELECT *, CASE WHEN unjudged > 0 THEN 'scan' ELSE 'judge' END AS "by", CASE WHEN CASE WHEN unjudged > 0 THEN errors ELSE guilty END > 0 THEN 1 ELSE 0 END::INT AS code FROM g""",
+    "warm_up": """WITH b AS (SELECT 'ev.' || event_type || '.u' || user_id AS rule, user_id % 12 + 1 AS n, count(*) AS items FROM events WHERE event_type IS NOT NULL AND user_id % 12 <> 7 GROUP BY 1, 2)
+      SELECT rule, sha256(rule || chr(10) || array_to_string(list_transform(range(n), lambda i: 'id'), ' ')) AS pattern_hash, items, 'llm' AS first_by, CASE WHEN items > 3 THEN 'auto' ELSE 'llm' END AS "by",
+        CASE WHEN items > 3 THEN 'not_guilty' ELSE (['guilty', 'not_guilty', 'advisory'])[(n % 3 + 1)::INT] END AS verdict, 2 * items AS stored, least(1.0, round(0.7 + 0.1 * (2 * items - 1), 6))::DOUBLE AS surest,
+        CASE WHEN n % 3 = 2 THEN CASE WHEN items > 3 THEN items ELSE 2 * items END ELSE 0 END::BIGINT AS debts FROM b""",
     "enclosing_nodes": """WITH d AS (SELECT doc_id, (doc_id % 9)::INT AS n, (doc_id % 9)::INT // 2 AS half FROM documents), c AS (SELECT *, unnest(range(1, n + 1))::INT AS k FROM d)
       SELECT doc_id || '.go' AS path, 'call(' || k || ')' AS text, k::BIGINT AS loops, CASE WHEN k > half THEN 2 ELSE 1 END::BIGINT AS functions, 'loop' AS nearest FROM c""",
     "cost_log": """WITH r AS (SELECT user_id, count(*) AS n, sum(event_id % 5000)::BIGINT AS i, sum(event_id % 700)::BIGINT AS o, round(sum(((event_id % 5000) * 0.8::DOUBLE + (event_id % 700) * 4.0::DOUBLE) / 1e6::DOUBLE), 6)::DOUBLE AS cost, max(ts) AS seen FROM events GROUP BY 1)
