@@ -194,7 +194,10 @@ def leaks(texts: DataFrame) -> DataFrame:
     name = F.lower(T.base(F.col("path")))
     rows = rows_of(texts.where(name.contains("test") | name.contains("spec")), *T.JS)
     code = F.col("code")
-    hook = spans(rows, rows.where(T.matches(code, AFTER) | T.matches(code, CLEANUP)).select("path", "line"), ("()", "{}"))
+    # Hooks of both kinds are looked up together: ``opening`` if a before hook stands on the line, ``ending`` if what releases does.
+    opening, ending = T.matches(code, BEFORE), T.matches(code, AFTER) | T.matches(code, CLEANUP)
+    begun = spans(rows, rows.where(opening | ending).select("path", "line", opening.alias("opening"), ending.alias("ending")), ("()", "{}"))
+    hook = begun.where("ending")
     # Lines within any hook: spans that have begun less those that have ended before the line.
     edges = hook.select("path", "line", F.lit(1).alias("step")).union(hook.select("path", F.col("last") + 1, F.lit(-1))).groupBy("path", "line").agg(F.sum("step").alias("step"))
     within = rows.join(edges, ["path", "line"], "left").withColumn("open", F.sum(F.coalesce("step", F.lit(0))).over(so_far())).where("open > 0")
@@ -202,11 +205,11 @@ def leaks(texts: DataFrame) -> DataFrame:
     for seq, start, release in ((4, LISTEN, CLOSE), (5, EVENTS, f"{CLOSE}|{ABORT}")):
         released = within.where(T.matches(code, release)).select("path").distinct()
         out.append(rows.where(T.matches(code, start)).join(released, "path", "left_anti").select("path", "line", "code", F.lit(seq).alias("seq")))
-    before = rows.where(T.matches(code, BEFORE)).join(rows.where(T.matches(code, AFTER)).select("path").distinct(), "path", "left_anti")
+    before = rows.where(opening).join(rows.where(T.matches(code, AFTER)).select("path").distinct(), "path", "left_anti")
     # A span holds a resource if more of them stand up to its last line than before its first.
     so_many = rows.withColumn("upto", F.sum(T.matches(code, RESOURCE).cast("int")).over(so_far())).select("path", "line", "upto", (F.col("upto") - T.matches(code, RESOURCE).cast("int")).alias("ahead"))
-    begun = spans(rows, before.select("path", "line"), ("()", "{}")).join(so_many.select("path", "line", "ahead"), ["path", "line"])
-    held = begun.join(so_many.select("path", F.col("line").alias("last"), "upto"), ["path", "last"]).where("upto > ahead").select("path", "line").distinct()
+    inner = begun.where("opening").join(so_many.select("path", "line", "ahead"), ["path", "line"])
+    held = inner.join(so_many.select("path", F.col("line").alias("last"), "upto"), ["path", "last"]).where("upto > ahead").select("path", "line").distinct()
     out.append(before.join(held, ["path", "line"], "left_semi").select("path", "line", "code", F.lit(6).alias("seq")))
     return out[0].unionByName(out[1]).unionByName(out[2])
 
