@@ -17,7 +17,7 @@ from pyspark.sql.types import StringType
 
 from .. import storage
 from ..functions import text as T
-from . import adjudication
+from . import adjudication, running
 from .reports import rfc3339
 
 # What is said of verdicts that no model gave.
@@ -26,7 +26,8 @@ ANSWERS = "rule string, pattern_hash string, verdict string, reasoning string, c
 ANSWER = "verdict string, reasoning string, confidence double, precedent_decision string, precedent_rationale string"
 AMENDMENT = "rule_id:string,action:string,severity:string,exception:string,rationale:string"
 SENATE = f"id string, status string, decided_at timestamp, amendments array<struct<{AMENDMENT}>>"
-
+#: Recorded costs in USD, exact to a millionth of a millionth: their sum is the same in whatever parts it is taken.
+MONEY = "decimal(38,12)"
 
 #: A brace, or a whole string (one that never ends takes the rest).
 MARKS = re.compile(r'[{}]|"(?:[^"\\]|\\.|\\\Z)*(?:"|\Z)', re.S)
@@ -163,10 +164,12 @@ def judged(findings: DataFrame, precedents: DataFrame, answers: DataFrame | Call
         rows = rows.withColumn("cost", F.when(~F.col("auto"), F.coalesce("a_cost", F.lit(0.0))).otherwise(0.0))
     else:
         rows = rows.join(told(answers), ["rule", "pattern_hash"], "left").withColumn("cost", F.when(~F.col("auto"), F.coalesce("a_cost", F.lit(0.0))).otherwise(0.0))
-        # What is spent only grows, so after the first batch that is not paid for none is: a running sum tells. Rows
-        # are batches, one a pattern, and pass one task.
-        before = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-        rows = rows.withColumn("paid", (F.coalesce(F.sum("cost").over(before), F.lit(0.0)) < budget) if budget > 0 else F.lit(True))
+        # What is spent only grows, so after the first batch that is not paid for none is: a running sum tells.
+        if budget > 0:
+            order = [F.col(c) for c in ("place", "rule", "pattern_hash")]
+            rows = running.sums_before(rows, F.col("cost").cast(MONEY), order, "_spent").withColumn("paid", F.col("_spent") < F.lit(budget).cast(MONEY))
+        else:
+            rows = rows.withColumn("paid", F.lit(True))
     by = F.when(F.col("auto"), "auto").when(F.col("paid") & F.col("problem").isNull() & F.col("a_verdict").isNotNull(), "llm").when(F.col("effective") >= least, "fallback")
     rows = rows.withColumn("by", by)
     model, past = F.col("by") == "llm", F.col("by").isin("auto", "fallback")
@@ -217,12 +220,10 @@ def proposals(candidates: DataFrame, catalogue: DataFrame, threshold: int) -> Da
     """A Markdown section (``text``) for each law candidate, numbered by ``place``: most frequent first.
 
     Labels and the two suggestions are fixed values: the format that reviews of proposals read.
-
-    Candidates are patterns decided often; their numbering passes one task.
     """
     known = F.broadcast(catalogue.select(F.col("id").alias("rule_id"), F.col("message").alias("description")))  # about a hundred rows
-    order = Window.orderBy(F.desc("n"), "rule_id", "decision", "pattern_hash")
-    rows = candidates.join(known, "rule_id", "left").withColumn("place", F.row_number().over(order))
+    order = [F.desc("n"), *map(F.col, ("rule_id", "decision", "pattern_hash"))]
+    rows = running.numbered(candidates.join(known, "rule_id", "left"), order)
     hint = F.when(F.col("decision") == "allow", "Add a targeted exception for this pattern (pattern consistently judged not-guilty).").otherwise("Tighten enforcement for this pattern (pattern consistently judged guilty).")
     text = F.concat(
         F.lit("## Proposal "), F.col("place").cast("string"), F.lit(": `"), "rule_id", F.lit("`\n\n- Current rule: "), F.coalesce("description", F.lit("(rule description unavailable)")), F.lit("\n- Pattern hash: `"), "pattern_hash", F.lit("`\n- Consistent decision: `"), "decision",
