@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import JS
+from ..functions.text import JS, extension
 from ..model import category
 from . import brace_rules, file_rules, flow_rules, line_rules, python_rules
 
@@ -50,6 +50,19 @@ def of_types(catalogue: DataFrame, types: list[str]) -> DataFrame:
     return catalogue.where(F.arrays_overlap("file_types", F.array(*map(F.lit, types))))
 
 
+def applicable(files: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """``files`` (path, any more) with the rules about them: ``rules`` by id, those of any file (``*``) included, and the file's language group.
+
+    Rules are gathered by file type first, so that a file meets one row; a type that no rule names meets those of any file.
+    """
+    typed = catalogue.select("id", F.explode("file_types").alias("type"))
+    everywhere = F.array(*(F.lit(r["id"]) for r in typed.where("type = '*'").distinct().collect())).cast("array<string>")  # of about a hundred rows
+    own = typed.where("type <> '*'").groupBy(F.col("type").alias("_type")).agg(F.collect_set("id").alias("_own"))  # a row a type
+    rows = files.withColumn("_type", extension(F.col("path"))).join(F.broadcast(own), "_type", "left")
+    ids = F.array_sort(F.array_union(F.coalesce("_own", F.array().cast("array<string>")), everywhere))
+    return rows.select(*files.columns, ids.alias("rules"), group_of(F.col("_type")).alias("language"))
+
+
 def listing(catalogue: DataFrame) -> DataFrame:
     """Rules by id with their severities in capitals and their types in a row."""
     return catalogue.select("id", category(F.col("id")).alias("category"), F.upper("severity").alias("severity"), F.array_join("file_types", ",").alias("files")).orderBy("id")

@@ -8,7 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions import text as T
+from ..model import severity_rank
+from . import running
 from .findings import category_counts, ordered, severity_summary
 
 FINDING = "rule string, severity string, file string, line int, code string, context string, message string, suggestion string"
@@ -90,6 +93,34 @@ def write_json(findings: DataFrame, out, path: str, files_scanned: int, scan_tim
     return total
 
 
+def in_report(*further: str) -> list[Column]:
+    return [severity_rank(F.col("severity")), *map(F.col, ("file", "line", "rule", *further))]
+
+
+def write_report(findings: DataFrame, folder: str, path: str, files_scanned: int, scan_time: str, duration_ms: int) -> dict:
+    """Writes the report of ``write_json`` into an empty ``folder`` by as many tasks as the findings need; returns its summary.
+
+    The files, one after the other by name, are one JSON document: a head, a line a finding in the order of findings, the
+    summary. Findings are worked out once; the summary counts what was written.
+    """
+    rows = running.numbered(json_findings(findings), in_report("seq", "finding"))
+    line = F.concat(F.when(F.col("place") == 1, "").otherwise(","), "finding")
+    rows.repartitionByRange("place").sortWithinPartitions("place").select(line.alias("value")).write.mode("append").text(folder)
+    total = summary(rows, files_scanned, duration_ms).first().asDict()
+    head = json.dumps({"version": "1", "scan_time": scan_time, "path": path, "duration_ms": duration_ms})[:-1] + ', "findings": [\n'
+    storage.write_bytes(f"{folder}/head.json", head.encode())
+    storage.write_bytes(f"{folder}/summary.json", ('], "summary": ' + json.dumps(total) + "}\n").encode())
+    return total
+
+
+def read_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Findings of a report written by ``write_report``, split over tasks, with their ``place``; a broken line fails the job."""
+    raw = spark.read.text(f"{folder}/part-*")
+    texts = raw.where("value <> ''").select(F.regexp_replace("value", "^,", "").alias("_text"))
+    rows = texts.select(F.from_json("_text", FINDING, {"mode": "FAILFAST"}).alias("f"), "_text").select("f.*", "_text")
+    return running.numbered(rows, in_report("_text")).drop("_text")
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """Findings of a JSON report, in its order as ``seq``; a report without findings has none."""
     report = spark.read.schema(REPORT).option("multiLine", True).option("mode", "FAILFAST").json(path)

@@ -180,9 +180,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "debounce_sessions": sessions,
 }
 
-from . import cases, oracles, samples  # noqa: E402
+from . import cases, oracles, samples, tables  # noqa: E402
 
-QUERIES |= cases.QUERIES | {"rules_over_documents": samples.found}
-ORACLES = oracles.ORACLES | cases.ORACLES | {"rules_over_documents": samples.oracle()}
+QUERIES |= cases.QUERIES | tables.QUERIES | {"rules_over_documents": samples.found}
+ORACLES = oracles.ORACLES | cases.ORACLES | tables.ORACLES | {"rules_over_documents": samples.oracle()}
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

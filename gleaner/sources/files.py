@@ -11,6 +11,7 @@ from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceReader,
@@ -172,11 +173,88 @@ def read_tree(spark: SparkSession, root: str, exclude: str = "", patterns: str =
     return tree(spark, root, exclude, patterns, True)
 
 
+def write_tree(files: DataFrame, root: str) -> int:
+    """Writes ``files`` (path below ``root``, content) as a source tree in the tasks; the number of files written.
+
+    Null contents are empty files. A path that leaves ``root`` fails the job; of rows with one path the least content stays, so
+    a task that runs again writes the same. ``root`` is a path or URI that driver and executors share.
+    """
+    one = files.where("path is not null").groupBy("path").agg(F.min(F.coalesce("content", F.lit(""))).alias("content"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True):
+                if os.path.isabs(path) or os.path.normpath(path).split(os.sep)[0] == "..":
+                    raise ValueError(f"{path} lies outside of the tree")
+                storage.write_bytes(f"{root.rstrip('/')}/{os.path.normpath(path)}", content.encode())
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    return one.select("path", "content").mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def list_tree(spark: SparkSession, root: str, exclude: str = "", patterns: str = "") -> DataFrame:
     """``read_tree`` without contents: no file is opened."""
     return tree(spark, root, exclude, patterns, False)
 
 
+#: Entries that a task lists before it hands the folders that are left back to be dealt out anew.
+PER_LISTING = 100_000
+
+
+def walked(spark: SparkSession, root: str, exclude: str = "", patterns: str = "", most: int = PER_LISTING) -> DataFrame:
+    """``list_tree`` for large trees: the tasks list the folders, in rounds.
+
+    A task lists its folders and those within them until it has seen ``most`` entries; folders that are left are dealt out
+    over all tasks in the next round, so a deep or lopsided tree does not stay with one of them, and a small one takes one job.
+    What a round found is written. One folder's entries are always listed by one task, as a stream. Folders that cannot be
+    read are passed over, as ``list_tree`` does.
+    """
+    folders, names = (*FOLDERS, *filter(None, exclude.split(","))), [*NAMES, *filter(None, patterns.split(","))]
+    if not os.path.isdir(root):
+        return list_tree(spark, root, exclude, patterns)
+    fits("", names)
+    top = os.path.basename(os.path.normpath(root))
+    schema = pa.schema([("folder", pa.string()), ("path", pa.string()), ("ext", pa.string()), ("mtime_ns", pa.int64()), ("size", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, seen, rows = [f for b in batches for f in b["folder"].to_pylist()], 0, []
+        while left and seen < most:
+            here = left.pop()
+            try:
+                entries = os.scandir(here)
+            except OSError:
+                continue
+            with entries:
+                for e in entries:
+                    seen += 1
+                    if e.is_dir():
+                        if e.name not in folders and not e.name.startswith(".") and not e.is_symlink():
+                            left.append(e.path)
+                    elif (suffix(e.name) in EXTENSIONS or e.name in NEIGHBOURS) and not fits(e.name, names):
+                        try:
+                            at = e.stat()
+                        except FileNotFoundError:
+                            at = e.stat(follow_symlinks=False)
+                        rows.append((None, e.path, suffix(e.name), at.st_mtime_ns, at.st_size))
+                    if len(rows) >= 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                        rows = []
+        rows += [(f, None, None, None, None) for f in left]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    kind = "folder string, path string, ext string, mtime_ns long, size long"
+    start = [] if root != "." and (top in folders or top.startswith(".")) else [(root,)]
+    level, found = spark.createDataFrame(start, "folder string"), None
+    tasks = spark.sparkContext.defaultParallelism
+    while found is None or not level.isEmpty():
+        dealt = level.repartition(tasks, F.xxhash64("folder")) if found is not None else level.coalesce(1)
+        out = storage.saved(dealt.mapInArrow(run, kind), "listing")
+        files = out.where("folder is null").drop("folder")
+        level, found = out.where("folder is not null").select("folder"), files if found is None else found.unionByName(files)
+    return found
+
+
 def with_contents(files: DataFrame, tasks: int | None = None) -> DataFrame:
     """``files`` (path, ...) with their contents, read by the executors; a file that is gone by then has a null content."""
 
