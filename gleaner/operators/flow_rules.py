@@ -192,26 +192,26 @@ def hidden_failures(texts: DataFrame) -> DataFrame:
 def leaks(texts: DataFrame) -> DataFrame:
     """Servers, event sources and resources of JavaScript tests that no hook releases."""
     name = F.lower(T.base(F.col("path")))
-    rows = rows_of(texts.where(name.contains("test") | name.contains("spec")), *T.JS)
-    code = F.col("code")
-    # Hooks of both kinds are looked up together: ``opening`` if a before hook stands on the line, ``ending`` if what releases does.
-    opening, ending = T.matches(code, BEFORE), T.matches(code, AFTER) | T.matches(code, CLEANUP)
-    begun = spans(rows, rows.where(opening | ending).select("path", "line", opening.alias("opening"), ending.alias("ending")), ("()", "{}"))
+    hit = lambda pattern: T.matches(F.col("code"), pattern)
+    after = F.max(hit(AFTER)).over(Window.partitionBy("path"))
+    rows = rows_of(texts.where(name.contains("test") | name.contains("spec")), *T.JS).select("path", "line", "code", hit(BEFORE).alias("opening"), (hit(AFTER) | hit(CLEANUP)).alias("ending"), after.alias("after"), hit(RESOURCE).cast("int").alias("resource"))
+    rows = rows.withColumn("upto", F.sum("resource").over(so_far()))
+    # Hooks of both kinds are looked up together.
+    begun = spans(rows, rows.where("opening or ending").select("path", "line", "opening", "ending", (F.col("upto") - F.col("resource")).alias("ahead")), ("()", "{}"))
     hook = begun.where("ending")
     # Lines within any hook: spans that have begun less those that have ended before the line.
     edges = hook.select("path", "line", F.lit(1).alias("step")).union(hook.select("path", F.col("last") + 1, F.lit(-1))).groupBy("path", "line").agg(F.sum("step").alias("step"))
     within = rows.join(edges, ["path", "line"], "left").withColumn("open", F.sum(F.coalesce("step", F.lit(0))).over(so_far())).where("open > 0")
-    out = []
-    for seq, start, release in ((4, LISTEN, CLOSE), (5, EVENTS, f"{CLOSE}|{ABORT}")):
-        released = within.where(T.matches(code, release)).select("path").distinct()
-        out.append(rows.where(T.matches(code, start)).join(released, "path", "left_anti").select("path", "line", "code", F.lit(seq).alias("seq")))
-    before = rows.where(opening).join(rows.where(T.matches(code, AFTER)).select("path").distinct(), "path", "left_anti")
+    released = within.groupBy("path").agg(F.max(hit(CLOSE)).alias("closed"), F.max(hit(CLOSE) | hit(ABORT)).alias("aborted"))
     # A span holds a resource if more of them stand up to its last line than before its first.
-    so_many = rows.withColumn("upto", F.sum(T.matches(code, RESOURCE).cast("int")).over(so_far())).select("path", "line", "upto", (F.col("upto") - T.matches(code, RESOURCE).cast("int")).alias("ahead"))
-    inner = begun.where("opening").join(so_many.select("path", "line", "ahead"), ["path", "line"])
-    held = inner.join(so_many.select("path", F.col("line").alias("last"), "upto"), ["path", "last"]).where("upto > ahead").select("path", "line").distinct()
-    out.append(before.join(held, ["path", "line"], "left_semi").select("path", "line", "code", F.lit(6).alias("seq")))
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    upto = rows.select("path", F.col("line").alias("last"), "upto")
+    held = begun.where("opening").join(upto, ["path", "last"]).where("upto > ahead").select("path", "line", F.lit(True).alias("held")).distinct()
+    none = F.lit(False)
+    leak = F.array(
+        F.when(hit(LISTEN) & ~F.coalesce("closed", none), 4), F.when(hit(EVENTS) & ~F.coalesce("aborted", none), 5),
+        F.when(F.col("opening") & ~F.col("after") & F.coalesce("held", none), 6),
+    )
+    return rows.join(released, "path", "left").join(held, ["path", "line"], "left").select("path", "line", "code", F.explode(F.array_compact(leak)).alias("seq"))
 
 
 def flow_findings(texts: DataFrame, extensions: tuple[str, ...] | None = None) -> DataFrame:
