@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ REJECTION, ENTRY = r"process\.on\s*\(\s*['\"]unhandledRejection['\"]", r"(?:\.li
 LOGGING, PY_MAIN = r"logging\.(basicConfig|getLogger)\s*\(", r"if\s+__name__\s*==\s*['\"]__main__['\"]"
 UNWRAP, CFG_TEST = r"\.unwrap\(\)", r"#\[cfg\(test\)\]"
 EXEC, CAPTURE = r"\bexec\.(?:Command|CommandContext)\s*\(", r"\.StderrPipe\s*\(|\.CombinedOutput\s*\(|\.Stderr\s*="
+SHELL = (".sh", ".bash")
 RULES = [
     ("bad-defaults.missing-pipefail", "error", "The script goes on after failures in pipes", "Put set -euo pipefail at the top"),
     ("silent-fallback.no-err-trap", "info", "Errors end the script without a trace", "Add a trap for ERR"),
@@ -48,29 +51,32 @@ def captured(i: Column) -> Column:
     return F.exists(own, lambda x: T.matches(x, CAPTURE))
 
 
-def file_findings(texts: DataFrame) -> DataFrame:
-    """Findings of all rules here over files split into lines."""
+def file_findings(texts: DataFrame, extensions: tuple[str, ...] | None = None) -> DataFrame | None:
+    """Findings of all rules here over files split into lines; with ``extensions`` of those about such files, none if there are none."""
     path, ext = F.col("path"), T.extension(F.col("path"))
     guard, none = T.test_guards(path), F.array().cast("array<struct<line:int,code:string,seq:int>>")
     one = lambda k, test: F.when(test, F.array(F.struct(F.lit(1).alias("line"), F.get("text", F.lit(0)).alias("code"), F.lit(k).alias("seq")))).otherwise(none)
-    shell = ext.isin(".sh", ".bash")
+    shell = ext.isin(*SHELL)
     top = F.coalesce(F.get("text", F.lit(0)), F.lit(""))
     set_e = first_line(lambda x: T.matches(x, SET_E) & ~T.trimmed(x).startswith("#"))
     code = first_line(lambda x: (T.trimmed(x) != "") & ~T.trimmed(x).startswith("//") & ~T.trimmed(x).startswith("/*"))
     trap_free = shell & ~matches_test_dir(path) & ~any_line(TRAP_ERR, "#") & set_e.isNotNull()
     each = lambda k, test: F.transform(F.filter(F.transform("text", lambda x, i: F.struct((i + 1).cast("int").alias("line"), x.alias("code"), test(x, i).alias("ok"))), lambda s: s["ok"]), lambda s: F.struct(s["line"], s["code"], F.lit(k).alias("seq")))
     parts = [
-        one(0, shell & top.startswith("#!/") & top.contains("bash") & ~any_line(PIPEFAIL, "#")),
-        F.when(trap_free, F.array(F.struct(set_e["line"].alias("line"), set_e["code"].alias("code"), F.lit(1).alias("seq")))).otherwise(none),
-        one(2, (ext == ".cjs") & code.isNotNull() & ~T.matches(code["code"], USE_STRICT)),
-        one(3, ext.isin(".js", ".ts", ".mjs") & ~guard["js_test"] & any_line(ENTRY) & ~any_line(REJECTION)),
-        one(4, (ext == ".py") & ~guard["py_test"] & any_line(PY_MAIN) & ~any_line(LOGGING)),
-        F.when((ext == ".rs") & ~guard["rs_test"] & ~any_line(CFG_TEST), each(5, lambda x, i: T.matches(x, UNWRAP) & ~T.trimmed(x).startswith("//"))).otherwise(none),
-        F.when((ext == ".go") & ~guard["go_test"], each(6, lambda x, i: T.matches(x, EXEC) & ~T.trimmed(x).startswith("//") & ~captured(i))).otherwise(none),
+        (SHELL, one(0, shell & top.startswith("#!/") & top.contains("bash") & ~any_line(PIPEFAIL, "#"))),
+        (SHELL, F.when(trap_free, F.array(F.struct(set_e["line"].alias("line"), set_e["code"].alias("code"), F.lit(1).alias("seq")))).otherwise(none)),
+        ((".cjs",), one(2, (ext == ".cjs") & code.isNotNull() & ~T.matches(code["code"], USE_STRICT))),
+        ((".js", ".ts", ".mjs"), one(3, ext.isin(".js", ".ts", ".mjs") & ~guard["js_test"] & any_line(ENTRY) & ~any_line(REJECTION))),
+        ((".py",), one(4, (ext == ".py") & ~guard["py_test"] & any_line(PY_MAIN) & ~any_line(LOGGING))),
+        ((".rs",), F.when((ext == ".rs") & ~guard["rs_test"] & ~any_line(CFG_TEST), each(5, lambda x, i: T.matches(x, UNWRAP) & ~T.trimmed(x).startswith("//"))).otherwise(none)),
+        ((".go",), F.when((ext == ".go") & ~guard["go_test"], each(6, lambda x, i: T.matches(x, EXEC) & ~T.trimmed(x).startswith("//") & ~captured(i))).otherwise(none)),
     ]
-    rows = texts.where(ext.isin(".sh", ".bash", ".cjs", ".js", ".ts", ".mjs", ".py", ".rs", ".go"))
-    found = rows.select("path", F.explode(F.concat(*parts)).alias("x")).select("path", "x.line", "x.code", "x.seq")
-    return described(found.unionByName(sibling_findings(texts)), RULES)
+    kept = [(own, part) for own, part in parts if extensions is None or set(own) & set(extensions)]
+    found = [sibling_findings(texts)] if extensions is None or ".env" in extensions else []
+    if kept:
+        rows = texts.where(ext.isin(*(x for own, _ in kept for x in own)))
+        found.append(rows.select("path", F.explode(F.concat(*(part for _, part in kept))).alias("x")).select("path", "x.line", "x.code", "x.seq"))
+    return described(reduce(DataFrame.unionByName, found), RULES) if found else None
 
 
 #: Rules about a file and its neighbours, numbered after the others.

@@ -21,7 +21,7 @@ def all_findings(files: DataFrame, extensions: tuple[str, ...] | None = None) ->
     families = [
         lambda: python_rules.python_findings(files) if extensions is None or {".py", ".pyi"} & set(extensions) else None,
         lambda: brace_rules.brace_findings(files, texts, extensions),
-        lambda: file_rules.file_findings(texts),
+        lambda: file_rules.file_findings(texts, extensions),
         lambda: line_rules.line_findings(texts, line_rules.of_extensions(line_rules.RULES, extensions)),
         lambda: flow_rules.flow_findings(texts, extensions),
     ]
