@@ -429,7 +429,7 @@ ORACLES: dict[str, str] = {
       b2 AS (SELECT *, CASE WHEN auto THEN 'auto' WHEN asked AND n <> 8 THEN 'llm' WHEN matched THEN 'fallback' END AS how FROM s)
       SELECT rule, pattern_hash, asked, how AS "by", CASE how WHEN 'llm' THEN (['guilty', 'not_guilty', 'advisory'])[(n % 3 + 1)::INT] WHEN 'auto' THEN CASE WHEN n % 2 = 0 THEN 'guilty' ELSE 'not_guilty' END WHEN 'fallback' THEN CASE WHEN n % 2 = 0 THEN 'guilty' ELSE 'not_guilty' END END AS verdict,
              CASE WHEN asked AND n = 8 THEN 'unavailable: no answer' END AS problem, round(CASE WHEN how = 'llm' THEN due ELSE 0 END, 9)::DOUBLE AS cost FROM b2""",
-    "hook_gate": f"""WITH {PAID}, g AS (SELECT substr(file, 2)::BIGINT % 40 AS repository, count(*) AS findings, count_if(severity = 'error')::BIGINT AS errors, count_if(verdict = 'guilty')::BIGINT AS guilty, count_if(verdict IS NULL)::BIGINT AS unjudged FROM f LEFT JOIN verdict USING (rule, n) GROUP BY 1)
+    "hook_gate": f"""WITH {PAID}, g AS (SELECT substr(file, 2)::BIGINT % 40 AS repository, count(*) AS findings, count_if(severity = 'error')::BIGINT AS errors, count_if(coalesce(verdict = 'guilty', false))::BIGINT AS guilty, count_if(verdict IS NULL)::BIGINT AS unjudged FROM f LEFT JOIN verdict USING (rule, n) GROUP BY 1)
       SELECT *, CASE WHEN unjudged > 0 THEN 'scan' ELSE 'judge' END AS "by", CASE WHEN CASE WHEN unjudged > 0 THEN errors ELSE guilty END > 0 THEN 1 ELSE 0 END::INT AS code FROM g""",
     "warm_up": """WITH b AS (SELECT 'ev.' || event_type || '.u' || user_id AS rule, user_id % 12 + 1 AS n, count(*) AS items FROM events WHERE event_type IS NOT NULL AND user_id % 12 <> 7 GROUP BY 1, 2)
       SELECT rule, sha256(rule || chr(10) || array_to_string(list_transform(range(n), lambda i: 'id'), ' ')) AS pattern_hash, items, 'llm' AS first_by, CASE WHEN items > 3 THEN 'auto' ELSE 'llm' END AS "by",
