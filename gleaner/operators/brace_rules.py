@@ -7,13 +7,14 @@ parse expressions: rules that would need types or full syntax trees look at stat
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .helpers import tabled
 from .line_rules import JS, LineRule, described, line_findings, of_extensions
 from .python_rules import NOWHERE, numbered, place, some
 
@@ -26,6 +27,10 @@ LOOP = re.compile(r"^(?:for|while|do)\b")
 CONTINUED = re.compile(r"\s*(?:else|catch|finally)\b")
 LITERAL = re.compile(r"(?:[(,=:\[?&|]|\breturn)$")
 CALLABLE = re.compile(r"\bfunc\b|\bfunction\b|=>\s*$")
+PLACES = re.compile(r"[()\[\]{};\n]")
+#: What stands before a semicolon in a header, and what carries a statement on: signs before the line's end, beginnings after it.
+CLAUSES = re.compile(r"\s*(?:else\s+)?(?:if|for|switch)\b")
+OPEN_ENDS, GOES_ON = frozenset("+-*/%=&|,.<>?:("), re.compile(r"[.?:}]|else\b|catch\b")
 
 
 def masked(source: str) -> str:
@@ -33,15 +38,15 @@ def masked(source: str) -> str:
     return HIDDEN.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
 
 
-def brace_tree(source: str) -> tuple[list[tuple[dict, int]], list[int]]:
-    """Every brace block and the file itself, inner ones first, each with the offset of its end; and the line of every offset."""
-    plain, line_of, line = masked(source), [], 1
-    for c in source:
-        line_of.append(line)
-        line += c == "\n"
+def brace_tree(source: str) -> tuple[list[tuple[dict, int]], Callable[[int], int]]:
+    """Every brace block and the file itself, inner ones first, each with the offset of its end; and what tells the line of an offset.
+
+    Only brackets, semicolons and line breaks are looked at one by one.
+    """
+    plain, breaks = masked(source), [m.start() for m in re.finditer("\n", source)]
+    line_of = lambda i: bisect_left(breaks, i) + 1
     root = {"from": 0, "start": 0, "header": "", "kids": [], "deep": [], "function": "", "kind": "file", "loop": False, "parent": None, "place": 0, "parts": []}
     done, block, begin, round_, nested = [], root, 0, [0], []
-    line_of.append(line)
 
     def spliced(start: int, end: int, parts: list[tuple[int, int, str]]) -> str:
         """The source from ``start`` to ``end`` with each of ``parts`` (from, to, in its place) exchanged."""
@@ -52,18 +57,34 @@ def brace_tree(source: str) -> tuple[list[tuple[dict, int]], list[int]]:
                 start = z
         return "".join(out) + source[start:end]
 
+    # The last mark before the line break looked at last, and the first one after it: blanks are passed once.
+    looked, mark, ahead = 0, -1, 0
+
+    def goes_on(end: int) -> bool:
+        """Whether the statement up to the line break at ``end`` has more lines."""
+        nonlocal looked, mark, ahead
+        if line := plain[looked:end].rstrip():
+            mark = looked + len(line) - 1
+        looked = end
+        if ahead <= end:
+            following = re.compile(r"\S").search(plain, end)
+            ahead = following.start() if following else len(plain)
+        return mark >= begin and plain[mark] in OPEN_ENDS or bool(GOES_ON.match(plain, ahead))
+
     def statement(end: int) -> None:
         nonlocal begin
         if plain[begin:end].strip():
             # Blocks of several lines stand for themselves in the text, all of them in the outline.
             text = spliced(begin, end, [x for x in nested if "\n" in source[x[0] : x[1]]]).strip()
             lead = len(source[begin:end]) - len(source[begin:end].lstrip())
-            block["kids"].append((text, spliced(begin, end, nested).strip(), line_of[begin + lead], begin + lead, end - 1))
-            block["deep"].append(block["kids"][-1])
+            block["kids"].append((text, spliced(begin, end, nested).strip(), line_of(begin + lead), begin + lead, end - 1))
+            if block is not root:
+                block["deep"].append(block["kids"][-1])
         begin = end
         nested.clear()
 
-    for i, c in enumerate(plain):
+    for m in PLACES.finditer(plain):
+        i, c = m.start(), m[0]
         if c in "([":
             round_[-1] += 1
         elif c in ")]":
@@ -74,7 +95,7 @@ def brace_tree(source: str) -> tuple[list[tuple[dict, int]], list[int]]:
             header = source[top:i].strip()
             lead = top - begin + len(source[top:i]) - len(source[top:i].lstrip())
             called = bool(CALLABLE.search(header)) or bool(re.search(r"\)\s*(?::\s*[\w<>\[\]., ]+)?$", header)) and not re.match(r"(?:\}?\s*else\s+)?(?:if|for|while|switch|catch|with)\b|\}?\s*catch\b", header)
-            inner = {"from": line_of[begin + lead], "start": i, "header": header, "kids": [], "deep": [], "parent": block, "place": len(block["kids"]), "begin": begin, "nested": nested, "parts": []}
+            inner = {"from": line_of(begin + lead), "start": i, "header": header, "kids": [], "deep": [], "parent": block, "place": len(block["kids"]), "begin": begin, "nested": nested, "parts": []}
             inner["kind"] = "function" if called else "loop" if LOOP.match(header) else "block"
             inner["function"] = header if called else block["function"]
             inner["loop"] = not called and (block["loop"] or bool(LOOP.match(header)))
@@ -87,13 +108,14 @@ def brace_tree(source: str) -> tuple[list[tuple[dict, int]], list[int]]:
             own = (block["start"], i + 1, spliced(block["start"], i + 1, block["parts"]) if literal else "{}")
             block["parent"]["parts"].append(own)
             begin, nested = block["begin"], [*block["nested"], own]
-            block["parent"]["deep"] += block["deep"]
+            if block["parent"] is not root:
+                block["parent"]["deep"] += block["deep"]
             block = block["parent"]
             round_.pop()
-        elif c == ";" and not round_[-1] and not re.match(r"\s*(?:else\s+)?(?:if|for|switch)\b", plain[begin:i]):
+        elif c == ";" and not round_[-1] and not CLAUSES.match(plain, begin, i):
             statement(i)
             begin = i + 1
-        elif c == "\n" and not round_[-1] and not re.search(r"[+\-*/%=&|,.<>?:(]\s*$", plain[begin:i]) and not re.match(r"\s*(?:[.?:}]|else\b|catch\b)", plain[i:]):
+        elif c == "\n" and not round_[-1] and not goes_on(i):
             statement(i)
             begin = i + 1
     statement(len(plain))
@@ -102,7 +124,7 @@ def brace_tree(source: str) -> tuple[list[tuple[dict, int]], list[int]]:
 
 
 def blocks_of(path: str, source: str) -> Iterator[tuple]:
-    """The file itself and every brace block in it, with its own statements, those of blocks in it too, and the parent's later ones."""
+    """The file itself and every brace block in it, with its own statements, those of blocks in it too (not for the file), and the parent's later ones."""
     lines = ["", *(x.removesuffix("\r") for x in source.split("\n"))]
     done, line_of = brace_tree(source)
     for b, end in done:
@@ -110,7 +132,7 @@ def blocks_of(path: str, source: str) -> Iterator[tuple]:
         later = up["kids"][b["place"] + 1 :] if up else []
         rows = lambda found: [{"text": t, "outline": o, "line": n, "code": lines[n], "above": lines[n - 1]} for t, o, n, *_ in found]
         at = b["from"] or 1
-        yield path, at, lines[at], line_of[end], b["header"], rows(b["kids"]), rows(b["deep"]), source[b["start"] : end], b["function"], b["loop"], rows(later)
+        yield path, at, lines[at], line_of(end), b["header"], rows(b["kids"]), rows(b["deep"]), source[b["start"] : end], b["function"], b["loop"], rows(later)
 
 
 #: A node: offsets of its begin and end, the file's end, how many blocks are around it, its kind and header or outline.
@@ -124,32 +146,18 @@ def nodes_of(path: str, source: str) -> Iterator[tuple]:
         depth, up = 0, b["parent"]
         while up:
             depth, up = depth + 1, up["parent"]
-        yield path, b["start"], end, len(source), depth, b["kind"], b["header"], line_of[b["start"]]
+        yield path, b["start"], end, len(source), depth, b["kind"], b["header"], line_of(b["start"])
         for _, outline, line, pre, post in b["kids"]:
             yield path, pre, post, len(source), depth + 1, "statement", outline, line
 
 
 def brace_nodes(files: DataFrame) -> DataFrame:
     """The node table of Go and JavaScript files (path, content), for joins over ancestors (``intervals``)."""
-    names = [x.split()[0] for x in NODES.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, source in zip(batch["path"], batch["content"], strict=True):
-                yield pd.DataFrame([*nodes_of(path, source)], columns=names)
-
-    return files.where(T.extension(F.col("path")).isin(".go", *JS) & F.col("content").isNotNull()).select("path", "content").mapInPandas(run, NODES)
+    return tabled(files.where(T.extension(F.col("path")).isin(".go", *JS)), nodes_of, NODES)
 
 
 def brace_blocks(files: DataFrame) -> DataFrame:
-    names = "path line code last header kids deep body function in_loop later".split()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, source in zip(batch["path"], batch["content"], strict=True):
-                yield pd.DataFrame([*blocks_of(path, source)], columns=names)
-
-    return files.where(T.extension(F.col("path")).isin(".go", *JS) & F.col("content").isNotNull()).select("path", "content").mapInPandas(run, BLOCKS)
+    return tabled(files.where(T.extension(F.col("path")).isin(".go", *JS)), blocks_of, BLOCKS)
 
 
 # Names, words and patterns that the rules look for.
@@ -166,19 +174,19 @@ ROUTE = r"\b\w+\.(?:get|post|put|delete|patch|all)\s*\(\s*['\"`/]"
 IMPORTED = r"(?:\bfrom\s+|\brequire\s*\(\s*|^\s*import\s+)['\"]"
 
 LINE_RULES = (
-    LineRule("error-context.generic-message", "warning", (".go",), rf"\b(?:errors\.New|fmt\.Errorf)\(\"(?:{'|'.join(GENERIC_GO)})\"", "The message says nothing", "Say what failed", guards=("slash",)),
+    LineRule("error-context.generic-message", "warning", (".go",), rf"\b(?:errors\.New|fmt\.Errorf)\(\"(?:{'|'.join(GENERIC_GO)})\"", "The message says nothing", "Say what failed", guards=("slash",), needs=("errors.new(", "fmt.errorf(")),
     LineRule("silent-fallback.ignored-error", "error", (".go",), r"^\s*(?:[\w.\[\]]+\s*,\s*)+_\s*:?=\s*[\w.]+(?:\[[^\]]*\])?\(", "The error is dropped", "Handle it", guards=("slash", "go_test")),
-    LineRule("error-context.error-string-compare", "warning", (".go",), r"\.Error\(\)\s*[!=]=|[!=]=\s*[\w.]+\.Error\(\)", "Errors are compared by text", "Use errors.Is", guards=("slash", "go_test")),
-    LineRule("mock-leakage.mock-import-non-test", "error", (".go",), r"^\s*(?:import\s+)?(?:[\w.]+\s+)?\"[^\"]*(?:testify|mock|gomock|httptest|testing)[^\"]*\"\s*(?://.*)?$", "A test library is imported outside tests", "Move it to the tests", guards=("slash", "go_test")),
-    LineRule("silent-fallback.js-optional-chain-silence", "info", JS, r"\w(?:\?\.[\w$\[\]()]+(?:\.[\w$]+)*){4}", "A long optional chain hides what is missing", "Check the parts", guards=("slash", "block", "js_test")),
-    LineRule("error-context.js-generic-error-message", "warning", JS, rf"(?i)\bthrow\s+new\s+(?:Error|TypeError|RangeError|ReferenceError|SyntaxError|URIError|EvalError)\(\s*(?:\"\s*(?:{'|'.join(GENERIC_JS)})\s*\"|'\s*(?:{'|'.join(GENERIC_JS)})\s*')", "The message says nothing", "Say what failed", guards=("slash", "block", "js_test")),
-    LineRule("error-context.js-promise-reject-non-error", "warning", JS, r"(?:\bPromise\.|(?:^|[^\w.]))reject\(\s*(?:['\"`]|[0-9]|null\s*\)|undefined\s*\)|true\s*\)|false\s*\))", "A promise is rejected without an error", "Reject with an Error", guards=("slash", "block", "js_test")),
-    LineRule("mock-leakage.js-test-import-in-src", "error", JS, IMPORTED + r"(?:@testing-library|vitest|jest|@jest|@vitest)(?:/[^'\"]*)?['\"]", "A test library is imported outside tests", "Move it to the tests", guards=("slash", "block", "js_test")),
-    LineRule("mock-leakage.js-env-test-check", "warning", JS, r"process\.env\.NODE_ENV\s*[!=]==?\s*['\"]test['\"]|['\"]test['\"]\s*[!=]==?\s*process\.env\.NODE_ENV", "Code behaves otherwise under test", "Inject what differs", guards=("slash", "block", "js_test")),
-    LineRule("bad-defaults.any-type-assertion", "warning", (".ts", ".tsx"), r"\bas\s+any\b", "The type is given up", "Assert the real type", guards=("slash", "block", "js_test")),
+    LineRule("error-context.error-string-compare", "warning", (".go",), r"\.Error\(\)\s*[!=]=|[!=]=\s*[\w.]+\.Error\(\)", "Errors are compared by text", "Use errors.Is", guards=("slash", "go_test"), needs=(".error()",)),
+    LineRule("mock-leakage.mock-import-non-test", "error", (".go",), r"^\s*(?:import\s+)?(?:[\w.]+\s+)?\"[^\"]*(?:testify|mock|gomock|httptest|testing)[^\"]*\"\s*(?://.*)?$", "A test library is imported outside tests", "Move it to the tests", guards=("slash", "go_test"), needs=("test", "mock")),
+    LineRule("silent-fallback.js-optional-chain-silence", "info", JS, r"\w(?:\?\.[\w$\[\]()]+(?:\.[\w$]+)*){4}", "A long optional chain hides what is missing", "Check the parts", guards=("slash", "block", "js_test"), needs=("?.",)),
+    LineRule("error-context.js-generic-error-message", "warning", JS, rf"(?i)\bthrow\s+new\s+(?:Error|TypeError|RangeError|ReferenceError|SyntaxError|URIError|EvalError)\(\s*(?:\"\s*(?:{'|'.join(GENERIC_JS)})\s*\"|'\s*(?:{'|'.join(GENERIC_JS)})\s*')", "The message says nothing", "Say what failed", guards=("slash", "block", "js_test"), needs=("throw",)),
+    LineRule("error-context.js-promise-reject-non-error", "warning", JS, r"(?:\bPromise\.|(?:^|[^\w.]))reject\(\s*(?:['\"`]|[0-9]|null\s*\)|undefined\s*\)|true\s*\)|false\s*\))", "A promise is rejected without an error", "Reject with an Error", guards=("slash", "block", "js_test"), needs=("reject(",)),
+    LineRule("mock-leakage.js-test-import-in-src", "error", JS, IMPORTED + r"(?:@testing-library|vitest|jest|@jest|@vitest)(?:/[^'\"]*)?['\"]", "A test library is imported outside tests", "Move it to the tests", guards=("slash", "block", "js_test"), needs=("testing-library", "vitest", "jest")),
+    LineRule("mock-leakage.js-env-test-check", "warning", JS, r"process\.env\.NODE_ENV\s*[!=]==?\s*['\"]test['\"]|['\"]test['\"]\s*[!=]==?\s*process\.env\.NODE_ENV", "Code behaves otherwise under test", "Inject what differs", guards=("slash", "block", "js_test"), needs=("process.env.node_env",)),
+    LineRule("bad-defaults.any-type-assertion", "warning", (".ts", ".tsx"), r"\bas\s+any\b", "The type is given up", "Assert the real type", guards=("slash", "block", "js_test"), needs=("any",)),
     LineRule("bad-defaults.non-null-assertion", "info", (".ts", ".tsx"), r"[\w$\])]!(?:[.;,)\[\]]|\s*$)", "null is ruled out by assertion", "Check it", guards=("slash", "block", "js_test")),
-    LineRule("bad-defaults.eval-usage", "error", JS, r"(?:^|[^\w.$])eval\s*\(|\bnew\s+Function\s*\(", "Text is run as code", "Parse it", guards=("slash", "block", "js_test")),
-    LineRule("test-isolation.test-only-import", "info", JS, r"(?:\bfrom\s+|\brequire\s*\(\s*|^\s*import\s+)['\"](?i:(?:[^'\"]*/)?(?:(?:__tests__|__mocks__|__fixtures__|testutils|test-utils)(?:/[^'\"]*)?['\"]|(?:test[-_]?helper|mock-|mock_|fake-|fake_|stub-|stub_)[^'\"/]*['\"]|(?:test[-_]?helpers|test[-_]?utils|test[-_]?setup|mocks|fixtures|stubs|fakes)(?:\.[^.'\"/]*)?['\"]|[^'\"/]*[._-](?:test|spec)(?:\.[^.'\"/]*)?['\"]))", "A test module is imported outside tests", "Move it to the tests", guards=("slash", "block", "js_test")),
+    LineRule("bad-defaults.eval-usage", "error", JS, r"(?:^|[^\w.$])eval\s*\(|\bnew\s+Function\s*\(", "Text is run as code", "Parse it", guards=("slash", "block", "js_test"), needs=("eval", "function")),
+    LineRule("test-isolation.test-only-import", "info", JS, r"(?:\bfrom\s+|\brequire\s*\(\s*|^\s*import\s+)['\"](?i:(?:[^'\"]*/)?(?:(?:__tests__|__mocks__|__fixtures__|testutils|test-utils)(?:/[^'\"]*)?['\"]|(?:test[-_]?helper|mock-|mock_|fake-|fake_|stub-|stub_)[^'\"/]*['\"]|(?:test[-_]?helpers|test[-_]?utils|test[-_]?setup|mocks|fixtures|stubs|fakes)(?:\.[^.'\"/]*)?['\"]|[^'\"/]*[._-](?:test|spec)(?:\.[^.'\"/]*)?['\"]))", "A test module is imported outside tests", "Move it to the tests", guards=("slash", "block", "js_test"), needs=("test", "mock", "fixture", "fake", "stub", "spec")),
 )
 
 

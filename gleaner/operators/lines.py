@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 def split_lines(files: DataFrame) -> DataFrame:
     """``path`` and ``text``, the file's lines: neither trailing carriage returns nor an empty last line."""
-    raw = F.split(F.regexp_replace("content", r"\r(?=\n|\z)", ""), "\n", -1)
+    returned = F.when(F.contains("content", F.lit("\r")), F.regexp_replace("content", r"\r(?=\n|\z)", "")).otherwise(F.col("content"))
+    raw = F.split(returned, "\n", -1)
     whole = F.when(F.element_at(raw, -1) == "", F.slice(raw, 1, F.size(raw) - 1)).otherwise(raw)
     return files.where("content is not null").select("path", whole.alias("text"))
 

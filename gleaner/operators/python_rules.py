@@ -9,11 +9,11 @@ from __future__ import annotations
 import ast
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .helpers import tabled
 from .line_rules import described
 
 KID = "struct<field:string,type:string,name:string,value:string,line:int,code:string>"
@@ -92,14 +92,7 @@ def nodes_of(path: str, source: str) -> Iterator[tuple]:
 
 
 def python_nodes(files: DataFrame) -> DataFrame:
-    names = [x.split()[0] for x in NODES.replace(KID, "k").split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, source in zip(batch["path"], batch["content"], strict=True):
-                yield pd.DataFrame([*nodes_of(path, source)], columns=names)
-
-    return files.where(T.extension(F.col("path")).isin(".py", ".pyi") & F.col("content").isNotNull()).select("path", "content").mapInPandas(run, NODES)
+    return tabled(files.where(T.extension(F.col("path")).isin(".py", ".pyi")), nodes_of, NODES)
 
 
 def some(test) -> Column:

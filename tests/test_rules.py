@@ -1,11 +1,15 @@
 import os
+import time
+from dataclasses import replace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from gleaner.corpus import CORPUS
-from gleaner.operators import brace_rules, file_rules, flow_rules, line_rules, python_rules
+from gleaner.operators import brace_rules, file_rules, flow_rules, helpers, line_rules, python_rules
 from gleaner.operators.lines import exploded, split_lines
+from gleaner.samples import SAMPLES
 from gleaner.sources.files import read_tree, walk
 
 
@@ -216,3 +220,29 @@ def test_statements_run_over_lines_and_headers(spark):
         ("no-timeout", 4), ("no-timeout", 7), ("unwrapped-error", 11), ("unchecked-type-assert", 13), ("context-todo", 19),
         ("js-catch-return-null", 1), ("js-catch-return-null", 4), ("no-timeout-fetch", 15), ("js-callback-err-ignored", 20), ("js-callback-err-ignored", 22),
     }
+
+
+def test_what_a_line_must_have_hides_no_finding(spark):
+    rows = spark.createDataFrame([(f"{k}/{name}", text.replace(" <<<", "").upper() if up else text.replace(" <<<", "")) for k, (_, name, text) in enumerate(SAMPLES) for up in (False, True)] + CORPUS, "path string, content string")
+    for rules in (line_rules.RULES, brace_rules.LINE_RULES):
+        assert sum(bool(r.needs) for r in rules) > 7
+        own, free = (line_rules.line_findings(split_lines(rows), x).exceptAll for x in (rules, tuple(replace(r, needs=()) for r in rules)))
+        assert not free(line_rules.line_findings(split_lines(rows), rules)).take(1) and not own(line_rules.line_findings(split_lines(rows), tuple(replace(r, needs=()) for r in rules))).take(1)
+
+
+def test_a_long_file_is_passed_once():
+    begun = time.monotonic()
+    rows = [*brace_rules.blocks_of("a.go", "func f() {\n" + "\tcall()\n" * 200000 + "}\n" + "\n" * 200000)]
+    assert [len(r[5]) for r in rows] == [200000, 1]
+    # Copies of what follows each line took over a minute.
+    assert time.monotonic() - begun < 20
+
+
+def test_rows_of_many_files_leave_a_task_together(spark):
+    sizes = []
+    files = [(f"{k}.go", "func f() {\n\ta()\n}\n") for k in range(600)]
+    table = spark.createDataFrame([(a, b) for a, b in files], "path string, content string").coalesce(1)
+    given = pa.RecordBatch.from_pylist([{"path": a, "content": b} for a, b in files])
+    for batch in helpers.batches(brace_rules.blocks_of, brace_rules.BLOCKS)(iter([given])):
+        sizes.append(batch.num_rows)
+    assert sizes == [1200] and brace_rules.brace_blocks(table).count() == 1200
