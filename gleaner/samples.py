@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import storage
 from .plans.scan import all_findings
 
 MARK = "<<<"
@@ -166,11 +167,12 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the sample's own rule reports in each file."""
-    made = files(spark, sf_dir)
+    """What the sample's own rule reports in each file; files are made once and dealt to as many tasks as the session has."""
+    made = files(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+    made = storage.saved(made.select("path", "content"), "samples")
     own = F.element_at(F.array(*(F.lit(rule) for rule, _, _ in SAMPLES)), F.col("sample") + 1)
     kinds = F.regexp_extract("file", r"^gen/d(-?\d+)/", 1).cast("long")
-    rows = all_findings(made.select("path", "content")).withColumn("sample", F.pmod(kinds, F.lit(len(SAMPLES))).cast("int"))
+    rows = all_findings(made).withColumn("sample", F.pmod(kinds, F.lit(len(SAMPLES))).cast("int"))
     return rows.where(F.col("rule") == own).select("rule", "file", "line").distinct()
 
 
