@@ -26,11 +26,17 @@ def matches(batches: DataFrame, precedents: DataFrame, least: float = 0.6, most:
     return joined.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
+def hashed(findings: DataFrame) -> DataFrame:
+    """Findings with their ``pattern_hash``; those that carry it already keep it, as working it out is dear."""
+    if "pattern_hash" in findings.columns:
+        return findings
+    return findings.withColumn("pattern_hash", T.pattern_hash(F.col("rule"), F.col("code")))
+
+
 def pattern_batches(findings: DataFrame) -> DataFrame:
     """Findings grouped by (rule, pattern hash): the first as representative, their number and first place."""
-    hashed = findings.withColumn("pattern_hash", T.pattern_hash(F.col("rule"), F.col("code")))
     order = F.struct("file", "line", "seq")
-    return hashed.groupBy("rule", "pattern_hash").agg(F.min_by(F.struct("file", "line", "code"), order).alias("first"), F.count("*").alias("items"), F.min(order).alias("place"))
+    return hashed(findings).groupBy("rule", "pattern_hash").agg(F.min_by(F.struct("file", "line", "code"), order).alias("first"), F.count("*").alias("items"), F.min(order).alias("place"))
 
 
 def judged(batches: DataFrame, best: DataFrame, threshold: float = 0.9) -> DataFrame:
