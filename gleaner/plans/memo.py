@@ -46,13 +46,12 @@ def remembered(listing: DataFrame, folder: str, read: Callable[[DataFrame], Data
     found = all_findings(files.select("path", "content"), extensions).where(~F.col("rule").isin(*ABOUT_OTHERS))
     own = found.groupBy(F.col("file").alias("path")).agg(F.array_sort(F.collect_list(F.struct(*NAMES))).alias("findings"))
     kind = known.schema["findings"].dataType
-    new = files.select("path", "mtime_ns").join(own, "path", "left").withColumn("findings", F.coalesce("findings", F.array().cast(kind)).cast(kind))
-    rows = looked.where("findings is not null").withColumn("fresh", F.lit(False)).unionByName(new.withColumn("fresh", F.lit(True)))
+    new = files.select("path", "mtime_ns", F.col("content").isNull().alias("unread")).join(own, "path", "left").withColumn("findings", F.coalesce("findings", F.array().cast(kind)).cast(kind))
+    rows = looked.where("findings is not null").withColumns({"fresh": F.lit(False), "unread": F.lit(False)}).unionByName(new.withColumn("fresh", F.lit(True)))
     rows = storage.saved(rows, "remembered")
-    # A file whose content could not be read is looked at again next time.
-    gone = files.where("content is null").select("path")
-    stores.replace(rows.join(gone, "path", "left_anti").select("path", "mtime_ns", F.lit(rules).alias("rules"), "findings", F.lit(0).alias("ord")), folder, "memo")
-    return rows
+    # A file whose content could not be read is looked at again next time; its row says so, and findings are not moved to tell.
+    stores.replace(rows.where("not unread").select("path", "mtime_ns", F.lit(rules).alias("rules"), "findings", F.lit(0).alias("ord")), folder, "memo")
+    return rows.drop("unread")
 
 
 def memo_scan(listing: DataFrame, folder: str, read: Callable[[DataFrame], DataFrame] = with_contents, rules: str | None = None, extensions: tuple[str, ...] | None = None, **how) -> DataFrame:

@@ -377,3 +377,15 @@ def test_scan_of_changed_lines_with_settings(spark):
     own = config.Config(disable=["bad-defaults.unvalidated-env-bash"], severity={"trace-gaps.print-debug": "error"})
     found = scan(files, own.disable, own.overrides(spark), changed=changed).collect()
     assert [(r.rule, r.severity, r.line) for r in found] == [("trace-gaps.print-debug", "error", 2)]
+
+
+def test_a_memo_is_packed_and_forgets_what_could_not_be_read(spark, tmp_path):
+    from gleaner.plans import memo
+
+    listing = spark.createDataFrame([("a.txt", 1), ("b.txt", 1)], "path string, mtime_ns long")
+    contents = spark.createDataFrame([("a.txt", 1, "flask"), ("b.txt", 1, None)], "path string, mtime_ns long, content string")
+    rows = memo.remembered(listing, str(tmp_path), lambda x: x.join(contents, ["path", "mtime_ns"]), extensions=(".txt",))
+    assert rows.columns == ["path", "mtime_ns", "findings", "fresh"] and rows.count() == 2
+    parts = [*(tmp_path / "parts").rglob("*.parquet")]
+    assert parts and all(".zstd." in p.name for p in parts)
+    assert [r.path for r in spark.read.parquet(str(tmp_path / "parts")).collect()] == ["a.txt"]
