@@ -269,9 +269,11 @@ def texts_of(docs: DataFrame, n: int, needed: DataFrame) -> DataFrame:
             yield batch_of({"s1": pa.array(keys[:, 0]), "s2": pa.array(keys[:, 1]), "doc_id": batch.column(0).cast(pa.int64()).take(at), "t": batch.column(1).cast(pa.string()).take(at)})
 
     found = docs.select("doc_id", "text").mapInArrow(run, "s1 long, s2 long, doc_id long, t string")
-    # Copies would meet again and again in the joins: one text a node is kept.
-    own = found.join(needed, ["s1", "s2"]).where("doc_id <=> name")
-    return own.select("s1", "s2", "t").dropDuplicates(["s1", "s2"])
+    # Copies would meet again and again in the joins: one text a node is kept. The id is a key of the join, so copies are
+    # dealt to many tasks; duplicates are dropped by the same keys, so texts are shuffled once.
+    key = ["s1", "s2", "id", "nameless"]
+    keyed = lambda rows, c, *more: rows.select("s1", "s2", F.coalesce(c, F.lit(0)).alias("id"), F.col(c).isNull().alias("nameless"), *more)
+    return keyed(found, "doc_id", "t").join(keyed(needed, "name"), key).dropDuplicates(key).select("s1", "s2", "t")
 
 
 def likely(pairs: DataFrame, node: DataFrame, percent: int) -> DataFrame:
@@ -290,9 +292,22 @@ def likely(pairs: DataFrame, node: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a1 long, a2 long, b1 long, b2 long")
 
 
+def thinned(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose first column, a hash, is not in ``keys`` (one column), before they are shuffled."""
+    bits = rows.sparkSession.sparkContext.broadcast(bit_filter(keys))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.unpackbits(bits.value).astype(bool)
+        for batch in batches:
+            key = batch.column(0).to_numpy().astype(np.int64)
+            yield batch.filter(pa.array(table[key & (FILTER_BITS - 1)] if len(table) else np.zeros(len(key), bool)))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs whose sets reach the threshold."""
-    a, b = texts.toDF("a1", "a2", "ta"), texts.toDF("b1", "b2", "tb")
+    """The pairs (a saved table) whose sets reach the threshold; of the texts, only those of pairs are moved."""
+    a, b = (thinned(texts, pairs.select(f"{x}1")).toDF(f"{x}1", f"{x}2", f"t{x}") for x in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, x = None, np.zeros(0, np.uint64)
@@ -391,10 +406,12 @@ def all_links(docs: DataFrame, n: int, percent: int, sketch: np.ndarray, classes
     sized = node.drop("bits").join(classes.select("s1", "s2", "rep"), ["s1", "s2"])
     split = F.ceil(F.col("members") / CHUNK).cast("long")
     chunk = F.pmod(F.col("s1"), split)
-    placed = member.join(sized, ["s1", "s2"]).withColumn("c", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), split - 1)))
-    placed = placed.select("entry", F.least("c", "other").alias("c1"), F.greatest("c", "other").alias("c2"), "c", "n", "s1", "s2", "b0", "b1", "b2", "b3", "rep")
     columns = [x.split()[0] for x in ENTRY.split(", ")]
 
+    def placed(member: DataFrame) -> DataFrame:
+        rows = member.join(sized, ["s1", "s2"]).withColumn("c", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), split - 1)))
+        return rows.select("entry", F.least("c", "other").alias("c1"), F.greatest("c", "other").alias("c2"), "c", "n", "s1", "s2", "b0", "b1", "b2", "b3", "rep")
+
     def settled(pairs: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Links found so far and their components, after verification of ``pairs``."""
         near = saved(likely(pairs, node, percent), "likely")
@@ -403,7 +420,7 @@ def all_links(docs: DataFrame, n: int, percent: int, sketch: np.ndarray, classes
         return links, saved(components(links), "roots")
 
     # First round: of the first candidates in all its entries, each set's most frequent one.
-    found = saved(proposed(placed.withColumn("root", F.xxhash64("s1", "s2")).select(*columns), percent, 0, 1), "proposed")
+    found = saved(proposed(placed(member).withColumn("root", F.xxhash64("s1", "s2")).select(*columns), percent, 0, 1), "proposed")
     pairs = found.where(F.col("kind") == PAIR)
     needed = found.where(F.col("kind") != OPEN).select(F.col("a1").alias("s1"), F.col("a2").alias("s2")).union(pairs.select("b1", "b2")).distinct()
     needed = saved(needed.join(classes.select("s1", "s2", "name"), ["s1", "s2"]), "needed")
@@ -417,7 +434,7 @@ def all_links(docs: DataFrame, n: int, percent: int, sketch: np.ndarray, classes
         # In the rounds after the first, entries with a member that has further candidates.
         still = F.col("kind") == OPEN if skip else F.col("kind") != NODE
         open_entries = found.where(still).select("entry").distinct()
-        rows = placed.join(open_entries, "entry", "left_semi").join(roots.withColumnRenamed("v", "rep"), "rep", "left")
+        rows = placed(member.join(open_entries, "entry", "left_semi")).join(roots.withColumnRenamed("v", "rep"), "rep", "left")
         rows = rows.withColumn("root", F.coalesce("root", "rep")).select(*columns)
         before, found = found, saved(proposed(rows, percent, skip, most), "proposed")
         discard(before)

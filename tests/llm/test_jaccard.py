@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gleaner.llm import jaccard
 from gleaner.llm.components import components
@@ -104,3 +105,26 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "u long, v long")
     found = {x.v: x.root for x in components(edges).collect()}
     assert found == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_texts_are_shuffled_once_and_those_of_no_pair_are_left(spark):
+    docs = spark.createDataFrame([(k, f"text number {k // 2} of some") for k in range(200)] + [(None, "text number 3 of some"), (None, "a text of nobody at all")], "doc_id long, text string")
+    own = jaccard.hashed(docs, 3).where("block is null and n > 0")
+    names = own.groupBy("s1", "s2").agg(F.min("doc_id").alias("name"))
+    needed = spark.createDataFrame(names.collect(), names.schema)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = jaccard.texts_of(docs, 3, needed)
+        moved = [x for x in texts._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning(" in x]
+        rows = {(x.s1, x.s2): x.t for x in texts.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # Texts and what is needed, copies by their ids; not the joined texts once more.
+    assert len(moved) == 2 and all("nameless#" in x for x in moved)
+    assert len(rows) == 101 and rows.keys() == {(x.s1, x.s2) for x in needed.collect()}
+    few = spark.createDataFrame([x[:2] for x in list(rows)[:10]], "s1 long, s2 long")
+    table = spark.createDataFrame([(*k, t) for k, t in rows.items()], "s1 long, s2 long, t string")
+    left = jaccard.thinned(table, few.select("s1")).collect()
+    assert {x[:2] for x in few.collect()} <= {(x.s1, x.s2) for x in left} and len(left) < 20
+    assert jaccard.thinned(table, few.select("s1").limit(0)).count() == 0
