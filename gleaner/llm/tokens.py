@@ -10,19 +10,24 @@ hold the two against each other.
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
 #: A bound for the words of one generation a worker remembers; the one before is kept to be drawn on.
 CACHE_WORDS = 700_000
 ODD_SPACE = re.compile(r"[^\S \n]")
+ODD_ASCII = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
 #: Beyond these letters lower case is left to the library.
 NOT_LATIN = re.compile(r"[^\x00-\u024f]")
 #: White space and the word after it, for tokenizers that keep blanks.
 SPACED = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 TAILS = frozenset(".,;:!?")
+#: How a vocabulary file says that a run of letters is a piece, whose bytes are then written as letters.
+LETTER_RUNS = json.dumps({"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"})
 
 #: Vocabularies that exist as byte ranks too, which tiktoken turns into the same ids at several times the speed.
 RANKS = {"byte_bpe_50k.json": "byte_bpe_50k.tiktoken"}
@@ -64,6 +69,13 @@ class Encoder:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self.ranks = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.folds = "Lowercase" in repr(self.tokenizer.normalizer)
+        # A word of lower-case Latin letters is its own normal form and one piece of such a pre-tokenizer: its bytes go to the model.
+        self.letters = None
+        if self.folds and LETTER_RUNS in json.dumps(json.loads(self.tokenizer.to_str())["pre_tokenizer"]):
+            from tokenizers import pre_tokenizers
+
+            self.letters = Tokenizer(self.tokenizer.model)
+            self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
@@ -72,27 +84,38 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
+    def of_words(self, tokenizer, words: list[str]) -> list[bytes]:
+        """The same of words, which are short: their ids become one array."""
+        found = [x.ids for x in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        ends = np.cumsum([0, *map(len, found)]) * 4
+        ids = np.fromiter(chain.from_iterable(found), "<u4", ends[-1] // 4).tobytes()
+        return [ids[a:z] for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The same ids, by way of ranks or of the table of words; beyond Latin letters by the library alone."""
         if self.ranks is not None:
             plain = [NOT_LATIN.search(x) is None for x in texts]
             odd = iter(self.whole([x for x, ok in zip(texts, plain, strict=True) if not ok]))
             return [self.ranks.encode_to_numpy(x, disallowed_special=()).astype("<u4").tobytes() if ok else next(odd) for x, ok in zip(texts, plain, strict=True)]
-        safe = [ODD_SPACE.search(x) is None for x in texts]
+        safe = [not any(map(x.__contains__, ODD_ASCII)) if x.isascii() else ODD_SPACE.search(x) is None for x in texts]
         if self.folds:
-            texts = [x.lower() if ok and NOT_LATIN.search(x) is None else x for x, ok in zip(texts, safe, strict=True)]
+            texts = [x.lower() if ok and (x.isascii() or NOT_LATIN.search(x) is None) else x for x, ok in zip(texts, safe, strict=True)]
         words = [self.split(x) if ok else () for x, ok in zip(texts, safe, strict=True)]
         if len(self.known) > CACHE_WORDS:
             self.before, self.known = self.known, {}
         known, before = self.known, self.before
         new = set().union(*words).difference(known)
-        for x in new & before.keys():
-            known[x] = before[x]
-        new.difference_update(known)
+        again = new & before.keys()
+        known.update((x, before[x]) for x in again)
+        new -= again
         # "word," is "word" and ",": a mark after a letter always starts a piece of its own.
         cut = {x for x in new if len(x) > 1 and x[-1] in TAILS and x[-2].isalpha()}
         plain = [*({x[:-1] for x in cut} | {x[-1] for x in cut} | (new - cut)).difference(known)]
-        known.update(zip(plain, self.whole(plain), strict=True))
+        if self.letters:
+            own = [x for x in plain if x.isalpha() and x.islower() and (x.isascii() or NOT_LATIN.search(x) is None)]
+            known.update(zip(own, self.of_words(self.letters, own), strict=True))
+            plain = [*set(plain).difference(own)]
+        known.update(zip(plain, self.of_words(self.tokenizer, plain), strict=True))
         for x in cut:
             known[x] = known[x[:-1]] + known[x[-1]]
         odd = iter(self.whole([x for x, ok in zip(texts, safe, strict=True) if not ok]))

@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from gleaner.llm import packing, token_files
+from gleaner.llm import packing, token_files, tokens
 from gleaner.llm.tokens import encoder, vocabulary
 
 TEXTS = [
@@ -24,6 +24,18 @@ def test_ids_are_those_of_the_library(name, spaces):
         assert own.encode(texts) == own.whole(texts)
 
 
+def test_words_of_latin_letters_go_to_the_model_alone(monkeypatch):
+    own = tokens.Encoder(token_files.VOCABULARY, False)
+    asked = []
+    of_words = own.of_words
+    monkeypatch.setattr(own, "of_words", lambda by, words: asked.append((by is own.letters, set(words))) or of_words(by, words))
+    letters = [chr(c) for c in range(0x21, 0x250)]
+    texts = ["".join(x) for x in zip(letters, letters[1:], letters[7:], strict=False)] + [f"a{x}b {x} {x}'s st{x}." for x in letters] + [f"a{chr(c)}b" for c in range(0x21)]
+    assert own.encode(texts) == own.whole(texts)
+    assert own.encode(["some words, é'tait WORDS"]) == own.whole(["some words, é'tait WORDS"])
+    assert asked[-2:] == [(True, {"some", "words"}), (False, {"é'tait"})]
+
+
 def test_differencing_is_near_equal():
     sizes = np.random.default_rng(0).integers(1, 257, 900)
     found = packing.pack_group(sizes, 1024)
