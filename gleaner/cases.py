@@ -162,10 +162,9 @@ def enclosing(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("package a\n// "), F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-z]+", " "), F.lit("\nfunc run() {\n"), opened(F.lit(1), half), F.lit("work(func() {\n"), opened(half + 1, n), F.repeat(F.lit("}\n"), n - half), F.lit("})\n"), F.repeat(F.lit("}\n"), half), F.lit("}\n"))
     nodes = storage.saved(brace_rules.brace_nodes(docs.select(F.concat(F.col("doc_id").cast("string"), F.lit(".go")).alias("path"), text.alias("content"))), "nodes")
     call = (F.col("kind") == "statement") & F.col("text").startswith("call(")
-    kinds = ("function", "loop")
-    counts = intervals.ancestors(nodes, call, kinds).groupBy("path", "text").agg(F.count_if(F.col("o_kind") == "loop").alias("loops"), F.count_if(F.col("o_kind") == "function").alias("functions"))
-    near = intervals.nearest(nodes, call, kinds).select("path", "text", F.col("o_kind").alias("nearest"))
-    return counts.join(near, ["path", "text"])
+    # Pairs are met once: a call's counts and what is nearest come of the same group.
+    pairs = intervals.ancestors(nodes, call, ("function", "loop")).groupBy("path", "text", "pre", "post")
+    return pairs.agg(F.count_if(F.col("o_kind") == "loop").alias("loops"), F.count_if(F.col("o_kind") == "function").alias("functions"), intervals.innermost("o_kind").alias("nearest")).drop("pre", "post")
 
 
 def cost_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ OPEN_ENDS, GOES_ON = frozenset("+-*/%=&|,.<>?:("), re.compile(r"[.?:}]|else\b|ca
 
 def masked(source: str) -> str:
     """The source with comments and strings blanked out, at the same places."""
-    return HIDDEN.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
+    return HIDDEN.sub(lambda m: "\n".join(" " * len(x) for x in m[0].split("\n")), source)
 
 
 def brace_tree(source: str) -> tuple[list[tuple[dict, int]], Callable[[int], int]]:

@@ -23,6 +23,8 @@ def batches(rows_of: Callable[[str, str], Iterator[tuple]], schema: str) -> Call
         rows, size = [], 0
         for given in files:
             for path, source in zip(given["path"].to_pylist(), given["content"].to_pylist(), strict=True):
+                if source is None:
+                    continue
                 size += len(source)
                 for row in rows_of(path, source):
                     rows.append(row)
@@ -40,6 +42,7 @@ def batches(rows_of: Callable[[str, str], Iterator[tuple]], schema: str) -> Call
 
 def tabled(files: DataFrame, rows_of: Callable[[str, str], Iterator[tuple]], schema: str) -> DataFrame:
     """The rows of ``schema`` that ``rows_of`` makes of path and content of each of ``files``; files without content have none."""
-    own = files.where("content is not null").select("path", "content")
+    # Where content is an expression, a condition on it would have Spark work it out twice.
+    own = files.select("path", "content")
     own.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     return own.mapInArrow(batches(rows_of, schema), schema)

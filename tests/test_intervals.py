@@ -1,7 +1,9 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
+from gleaner import cases
 from gleaner.operators import brace_rules, intervals
 
 
@@ -48,3 +50,40 @@ def test_nearest_loop_or_function_is_what_the_walk_through_the_file_says(spark):
     rule = brace_rules.brace_findings(df, df.select("path", F.split("content", "\n").alias("text"))).where(F.col("rule") == "bad-defaults.defer-in-loop")
     assert {(x.file, x.line) for x in rule.collect()} == in_loops
     nodes.unpersist()
+
+
+def test_enclosing_meets_each_pair_once(spark, sf_dir):
+    found = cases.enclosing(spark, sf_dir)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+    assert found.where("loops < 1 or functions < 1 or nearest <> 'loop'").count() == 0
+
+
+def test_innermost_is_the_nearest(spark):
+    r = random.Random(5)
+    df = spark.createDataFrame([(f"f{k}.js", "function main() {\n" + "\n".join(made(r)) + "\n}\n") for k in range(20)], "path string, content string")
+    nodes = brace_rules.brace_nodes(df).persist()
+    call, kinds = F.col("kind") == "statement", ("function", "loop", "block")
+    near = intervals.nearest(nodes, call, kinds).select("path", "pre", "post", "o_kind", "o_pre")
+    one = intervals.ancestors(nodes, call, kinds).groupBy("path", "pre", "post").agg(intervals.innermost("o_kind"), intervals.innermost("o_pre"))
+    assert sorted(map(tuple, near.collect())) == sorted(map(tuple, one.collect()))
+    nodes.unpersist()
+
+
+def test_points_and_intervals_look_at_the_levels_they_reach(spark):
+    rows = spark.createDataFrame([(0, -1), (0, 0), (3, 900), (512, 1023), (5, 2), (0, (1 << 40) - 2)], "pre long, post long")
+    for x in rows.select("pre", "post", intervals.buckets("pre", "post").alias("b"), F.expr(intervals.reached("post")).alias("top")).collect():
+        assert sum(1 << b.level for b in x.b) == max(0, x.post + 1 - x.pre) and all(b.level <= x.top for b in x.b)
+        assert x.top <= max(0, x.post + 1).bit_length()
+
+
+def test_hidden_text_keeps_its_places():
+    source = "a /* x\n\ty */ b // z\n'q' \"\\\"r\" `s\nt`\n//  u"
+    assert brace_rules.masked(source) == brace_rules.HIDDEN.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
+
+
+def test_content_is_worked_out_once_and_files_without_it_have_no_nodes(spark):
+    df = spark.createDataFrame([("a.go", "package a\n"), ("b.go", None), ("c.go", "package c\n")], "path string, content string")
+    nodes = brace_rules.brace_nodes(df.select("path", F.regexp_replace("content", "z+", "y").alias("content")))
+    assert nodes._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
+    assert {x.path for x in nodes.collect()} == {"a.go", "c.go"}
